@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, secrets
+from tidemark.llm import chat, langid, mixing, packing, secrets, sstable
 from tidemark.llm.common import read
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -16,6 +20,12 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.parse_formatted(chat.format_conversations(turns.unionByName(own))))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    told = langid.identify(docs, langid.fit(docs))
+    return told.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
@@ -25,7 +35,11 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.withColumns({"target": F.round("target", 6), "rate": F.round("rate", 9)})
 
 
-QUERIES = {f.__name__: f for f in (op5_chat_formatting, op8_secret_scans, op9_source_mixing)}
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.read_shards(sstable.write_shards(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op5_chat_formatting, op6_language_id, op8_secret_scans, op9_source_mixing, op10_token_shards)}
 
 SQL = {
     "op5_chat_formatting": chat.SQL,
