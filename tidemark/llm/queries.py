@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, mixing, packing, secrets, sstable
+from tidemark.llm import chat, langid, mixing, neardup, packing, secrets, sstable
 from tidemark.llm.common import read
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(read(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -39,9 +43,10 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op5_chat_formatting, op6_language_id, op8_secret_scans, op9_source_mixing, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_packing, op5_chat_formatting, op6_language_id, op8_secret_scans, op9_source_mixing, op10_token_shards)}
 
 SQL = {
+    "op2_minhash_dedup": neardup.SQL,
     "op5_chat_formatting": chat.SQL,
     "op8_secret_scans": secrets.SQL,
     "op9_source_mixing": mixing.SQL,
