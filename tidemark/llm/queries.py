@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, mixing, neardup, packing, secrets, sstable
+from tidemark.llm import ann, chat, embdedup, langid, mixing, neardup, packing, secrets, sstable
 from tidemark.llm.common import read
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(read(spark, sf_dir, "documents"))
 
@@ -17,6 +22,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.link(read(spark, sf_dir, "embeddings"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -43,7 +52,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_packing, op5_chat_formatting, op6_language_id, op8_secret_scans, op9_source_mixing, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_minhash_dedup, op3_packing, op4_embedding_dedup, op5_chat_formatting, op6_language_id, op8_secret_scans, op9_source_mixing, op10_token_shards)}
 
 SQL = {
     "op2_minhash_dedup": neardup.SQL,

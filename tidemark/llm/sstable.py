@@ -196,7 +196,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     manifest, which has one row per file, plus a running sum while a file is read.
     """
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start")).repartition("path")
+    files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start")).repartition(max(1, manifest.count()), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,7 @@ from array import array
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-#: So many different words are remembered by a Python worker (about 60 MB, and those of one batch of texts), then it starts anew.
+#: So many different words are remembered by a Python worker (about 60 MB).
 MEMORY = 300_000
 
 
@@ -16,6 +16,46 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Words(dict):
+    """Words and their ids. A word that isn't there is looked up among the older ones, then encoded.
+
+    Once there are MEMORY / 2 the words become the older ones, so frequent words stay.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__({"": b""})
+        self.tokenizer, self.old = tokenizer, {}
+        self.tokenize = tokenizer.model.tokenize
+        self.marks = {m: self.whole(m) for m in ",."}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        if len(self) >= MEMORY // 2:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def learn(self, word: str) -> bytes:
+        """A word of plain lower-case letters is one unit of the tokenizer's pattern, so its model can be asked
+        directly; a comma or full stop behind it is a unit of its own. All else goes through the whole tokenizer."""
+        if word.isalpha():
+            if word.isascii():
+                if word.islower():
+                    return array("I", [t.id for t in self.tokenize(word)]).tobytes()
+            elif max(word) < "\u0250" and word == word.lower():
+                unit = word.encode().decode("latin-1").translate(_BYTES)
+                return array("I", [t.id for t in self.tokenize(unit)]).tobytes()
+        elif word and word[-1] in self.marks and word[:-1].isalpha() and max(word) < "\u0250" and word == word.lower():
+            return self[word[:-1]] + self.marks[word[-1]]
+        return self.whole(word)
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes.
 
@@ -28,49 +68,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.words = _Words(self.tokenizer)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text followed by END; a null text counts as empty."""
-        end = array("I", [END]).tobytes()
-        split = [_fold(text or "") for text in texts]
-        known = self.known
-        missing = set().union(*split).difference(known)
-        if missing:
-            if len(known) + len(missing) > MEMORY:
-                known = self.known = {"": b""}
-                missing = set().union(*split).difference(known)
-            fresh = self._learn(list(missing))
-            if len(known) + len(fresh) > MEMORY:
-                known = fresh
-                known[""] = b""
-            else:
-                known.update(fresh)
-        told = [b"".join(map(known.__getitem__, words)) + end for words in split]
-        return told
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words the worker hasn't seen.
-
-        A word of plain lower-case letters is one unit of the tokenizer's pattern, so its
-        model can be asked directly; a comma or full stop behind it is a unit of its own.
-        Everything else goes through the whole tokenizer.
-        """
-        fresh: dict[str, bytes] = {}
-        tokenize = self.tokenizer.model.tokenize
-        marks = {m: array("I", self.tokenizer.encode(m, add_special_tokens=False).ids).tobytes() for m in ",."}
-        for w in words:
-            body = w[:-1] if w[-1] in marks else w
-            if not _plain(body):
-                fresh[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-                continue
-            ids = self.known.get(body) or fresh.get(body)
-            if ids is None:
-                unit = body if body.isascii() else body.encode().decode("latin-1").translate(_BYTES)
-                ids = fresh[body] = array("I", [t.id for t in tokenize(unit)]).tobytes()
-            if body is not w:
-                fresh[w] = ids + marks[w[-1]]
-        return fresh
+        end, ids = array("I", [END]).tobytes(), self.words.__getitem__
+        return [b"".join(map(ids, _fold(text or ""))) + end for text in texts]
 
 
 #: Byte-level alphabets write a byte without a visible Latin-1 character as the next code point from 256 on.
@@ -78,11 +81,6 @@ _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 17
 _BYTES = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 
 
-def _plain(word: str) -> bool:
-    """Lower-case letters of the first Unicode blocks only: all normal forms leave them as they are."""
-    return word.isalpha() and word == word.lower() and (word.isascii() or max(word) < "\u0250")
-
-
 def _fold(text: str) -> list[str]:
     """Words between blanks and line ends.
 
