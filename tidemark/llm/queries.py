@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, embdedup, langid, mixing, neardup, packing, secrets, sstable
+from tidemark.llm import ann, chat, embdedup, langid, mixing, neardup, packing, quality, secrets, sstable
 from tidemark.llm.common import read
 
 
@@ -39,6 +39,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    told = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    return told.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(read(spark, sf_dir, "documents")))
 
@@ -52,7 +58,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_minhash_dedup, op3_packing, op4_embedding_dedup, op5_chat_formatting, op6_language_id, op8_secret_scans, op9_source_mixing, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_minhash_dedup, op3_packing, op4_embedding_dedup, op5_chat_formatting, op6_language_id, op7_quality, op8_secret_scans, op9_source_mixing, op10_token_shards)}
 
 SQL = {
     "op2_minhash_dedup": neardup.SQL,
