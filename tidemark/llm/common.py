@@ -15,11 +15,16 @@ BROADCAST_ROWS = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of ``sf_dir``; Arrow batches are kept small, since texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    """A table of ``sf_dir``."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small: texts can be long, and a batch is held whole by a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+
+
 def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, hinted for broadcast only if a count shows that it is within ``limit`` rows."""
     return F.broadcast(df) if row_count_at_most(df, limit) else df
