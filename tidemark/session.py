@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -70,3 +71,12 @@ def discard(df: DataFrame) -> None:
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
     return df.limit(limit + 1).count() <= limit
+
+
+#: A table of keys and short columns may be broadcast up to so many rows.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, hinted for broadcast only if a count shows that it is within ``limit`` rows."""
+    return F.broadcast(df) if row_count_at_most(df, limit) else df
