@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, if_small
 from tidemark.llm.textvec import shingle_sets, texts_of
-from tidemark.session import discard, materialize
+from tidemark.session import materialize
 
 WIDTH = 5
 #: Similarity as a fraction of whole numbers: 100 * intersection >= 75 * union.
@@ -25,6 +26,12 @@ CHUNKS, LANES = 16, 6
 ALLOWED = 1
 #: Found pairs that differ in more values than this aren't confirmed: 6 deviations above the mean.
 FARTHEST = 50
+#: A set's bitmap has BITMAP words of 64 bits. A bit that only one of two bitmaps has stands for a shingle that
+#: only that set has, so the bitmaps bound the similarity from above and rule out pairs without any error.
+BITMAP = 16
+#: Before all pairs are compared, parts meet through representatives in so many rounds at most;
+#: in a round a part tries the so many other parts with which it shares most keys.
+ROUNDS, TRIES = 3, 2
 #: A bucket of more rows than this is divided by the keys of the other chunks before its pairs are compared.
 BUCKET = 2_000
 
@@ -43,22 +50,32 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (lanes << (np.arange(LANES, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64).astype(np.int64)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each hash: BITMAP words."""
+    bits = np.zeros(BITMAP * 64, np.uint8)
+    bits[(hashes % np.uint64(BITMAP * 64)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit fingerprint of the set (f0, f1) and its signature, from whole texts."""
+    """doc_id, n_shingles, a 128-bit fingerprint of the set (f0, f1), its signature and its bitmap, from whole texts."""
     names = ["doc_id", "n_shingles", "f0", "f1", *SIGNATURE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.zeros((len(names) - 1, batch.num_rows), np.int64)
+            maps = np.zeros((batch.num_rows, BITMAP), np.int64)
             for i, s in enumerate(shingle_sets(*texts_of(batch["text"]), WIDTH)):
                 if len(s):
                     rows[0, i] = len(s)
                     rows[1, i] = s.sum(dtype=np.uint64).astype(np.int64)
                     rows[2, i] = np.bitwise_xor.reduce(s * np.uint64(0xD6E8FEB86659FD93) ^ (s >> np.uint64(31))).astype(np.int64)
                     rows[3:, i] = signature(s)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *map(pa.array, rows)], names)
+                    maps[i] = bitmap(s)
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, maps.size + 1, BITMAP), pa.int32()), pa.array(maps.ravel()))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *map(pa.array, rows), bits], [*names, "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", bits array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -74,17 +91,24 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+#: The places of a chunk that a key leaves out: one, or two where a large bucket is divided.
+_ONE = [(d,) for d in range(LANES)]
+_TWO = list(combinations(range(LANES), 2))
+
+
 def chunk_keys(skip: Column | None = None) -> Column:
     """The keys of a signature: each chunk with each of its values left out in turn.
 
-    A key is the chunk's number, the place left out and the values that stay, in one
-    integer. ``skip`` is the number of a chunk whose keys aren't wanted.
+    A key is the chunk's number, the number of the place left out and the values that stay,
+    in one integer. With ``skip``, the number of a chunk, the keys are those of the other
+    chunks with two values left out: two signatures that differ in at most 31 values share
+    one of these, since 15 chunks with three differences each would be 45.
     """
     keys = []
     for j in range(CHUNKS):
-        for d in range(LANES):
-            rest = F.col(f"c{j}").bitwiseAND(F.lit((2**48 - 1) & ~(0xFF << (8 * d))))
-            key = rest.bitwiseOR(F.lit((j << 52) | (d << 48)))
+        for i, places in enumerate(_ONE if skip is None else _TWO):
+            mask = 2**48 - 1 - sum(0xFF << (8 * d) for d in places)
+            key = F.col(f"c{j}").bitwiseAND(F.lit(mask)).bitwiseOR(F.lit((j << 52) | (i << 48)))
             keys.append(key if skip is None else F.when(skip != j, key))
     every = F.array(*keys)
     return every if skip is None else F.filter(every, lambda k: k.isNotNull())
@@ -118,46 +142,53 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _close(a: str, b: str) -> Column:
     sizes = F.expr(f"100 * least({a}.n_shingles, {b}.n_shingles) >= {AT_LEAST} * greatest({a}.n_shingles, {b}.n_shingles)")
-    return sizes & (differing(a, b) <= FARTHEST)
+    total = f"{AT_LEAST} * ({a}.n_shingles + {b}.n_shingles)"  # 100 I >= 75 (a + b - I), so 175 I >= 75 (a + b)
+    only = "aggregate(zip_with({x}.bits, {y}.bits, (u, v) -> bit_count(u & ~v)), 0, (s, n) -> s + n)"
+    bound = " and ".join(f"{100 + AT_LEAST} * ({x}.n_shingles - {only.format(x=x, y=y)}) >= {total}" for x, y in ((a, b), (b, a)))
+    return sizes & (differing(a, b) <= FARTHEST) & F.expr(bound)
 
 
 def link(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Texts with the same set are one class, named by its smallest doc_id. Classes meet in the
-    buckets of their chunk keys. First every class is compared with the smallest class of
-    each of its buckets, and what is confirmed is joined to components: a group of near
-    copies, however large, costs a few comparisons for each member. Then buckets that still
-    hold several components are compared across components, all pairs that the signatures
-    allow, so no link that could join two components is left out. A bucket too large for
-    that is divided by the keys of the other chunks, which again find every pair of
-    signatures under the distance; a pair inside one component needs no comparison.
+    buckets of their chunk keys. First parts (at the start a class each) meet through one
+    representative in each bucket, and what is confirmed is joined to larger parts: a group
+    of near copies, however large, costs a few comparisons for each member. Then buckets that
+    still hold several parts are compared across them, all pairs that the signatures allow,
+    so no link that could join two parts is left out. A bucket too large for that is divided
+    by the keys of the other chunks, which again find every pair of signatures under the
+    distance; a pair inside one part needs no comparison.
 
     Empty and null texts and null ids link with nothing; a null doc_id has a null component
     and is kept. Rows that repeat a doc_id share its component, each with its own n_shingles.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = materialize(sign(docs), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(
-        some.groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in SIGNATURE]), "classes"
+        some.groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in (*SIGNATURE, "bits")]), "classes"
     )
     keyed = classes.select("doc_id", F.explode(chunk_keys()).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(keyed.join(heads, "key"), "buckets")
-
-    seen = classes.select("doc_id", "n_shingles", *SIGNATURE)
-    stars = buckets.where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    near = stars.join(seen.alias("s"), F.col("a") == F.col("s.doc_id")).join(seen.alias("t"), F.col("b") == F.col("t.doc_id"))
-    candidates = materialize(near.where(_close("s", "t")).select("a", "b"), "stars")
-    edges = materialize(confirm(candidates, docs), "star-edges")
-    parts = materialize(components(edges), "star-parts")
-
-    more = _across(buckets, classes, parts)
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(keyed.join(counts, "key"), "shared-keys")
+    popular = shared.groupBy("doc_id").agg(F.sum("n").alias("popular"))
+    buckets = materialize(shared.join(popular, "doc_id"), "buckets")
+
+    parts = None
+    for _ in range(ROUNDS):
+        tries = _representatives(_mixed(buckets, parts), classes)
+        edges = materialize(confirm(tries, docs), "edges")
+        if edges.isEmpty():
+            break
+        parts = materialize(components(edges if parts is None else edges.union(parts.select("node", "component"))), "parts")
+    more = _across(_mixed(buckets, parts), classes)
     if more is not None:
         fresh = materialize(confirm(more, docs), "more-edges")
-        parts = materialize(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(fresh)), "parts")
+        known = fresh if parts is None else fresh.union(parts.select("node", "component"))
+        parts = materialize(components(known), "parts")
+    if parts is None:
+        parts = docs.sparkSession.createDataFrame([], "node long, component long")
     named = classes.select("f0", "f1", "n_shingles", F.col("doc_id").alias("node")).join(parts, "node", "left")
     named = named.select("f0", "f1", "n_shingles", F.coalesce("component", "node").alias("component"))
     told = signed.select("doc_id", "n_shingles", "f0", "f1").join(named, ["f0", "f1", "n_shingles"], "left")
@@ -168,17 +199,66 @@ def link(docs: DataFrame) -> DataFrame:
     )
 
 
-def _across(buckets: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame | None:
-    """Pairs of different components that share a bucket and have close signatures; None if there are none to compare."""
+def _mixed(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """The rows (key, doc_id, n, popular, part) of the buckets that hold several parts, as a table."""
+    if parts is None:
+        return buckets.withColumn("part", F.col("doc_id"))
     placed = buckets.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("part")
+        "key", "doc_id", "n", "popular", F.coalesce("component", "doc_id").alias("part")
     )
-    mixed_keys = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    rest = materialize(placed.join(mixed_keys, "key", "left_semi"), "mixed-buckets")
+    several = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    return materialize(placed.join(several, "key", "left_semi"), "mixed-buckets")
+
+
+def _representatives(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents that stand for two parts that share buckets, with close signatures.
+
+    In a bucket the document of each part whose buckets are fullest stands for it, and is
+    paired with the one whose buckets are fullest of all: in a group of edited copies that is
+    the text they were made from, or nearest to it. Of the other parts a part meets so, it
+    tries the TRIES with most buckets in common.
+    """
+    stands = rows.groupBy("key", "part").agg(F.min(F.struct(-F.col("popular"), "doc_id")).alias("s"))
+    head = stands.groupBy("key").agg(F.min(F.struct("s", "part")).alias("h"))
+    stands, head = stands.select("key", "part", F.col("s.doc_id").alias("a")), head.select("key", F.struct(F.col("h.part").alias("part"), F.col("h.s.doc_id").alias("a")).alias("h"))
+    met = stands.join(head, "key").where("part <> h.part").groupBy("part", F.col("h.part").alias("other"), "a", F.col("h.a").alias("b")).agg(F.count("*").alias("m"))
+    best = met.groupBy("part", "other").agg(F.sum("m").alias("m"), F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("pair"))
+    tried = best.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("m"), "other"))).where(f"r <= {TRIES}").select("pair.*")
+    seen = classes.select("doc_id", "n_shingles", *SIGNATURE, "bits")
+    near = tried.join(seen.alias("s"), F.col("a") == F.col("s.doc_id")).join(seen.alias("t"), F.col("b") == F.col("t.doc_id"))
+    return materialize(near.where(_close("s", "t")).select("a", "b").distinct(), "tries")
+
+
+def _once() -> Column:
+    """Whether a shared bucket of x and y is the first one they share, where alone the pair counts.
+
+    That is the first chunk with one difference at most, and in it the key that leaves out
+    the differing value, or the first key if nothing differs; in a divided bucket likewise
+    the first other chunk with two differences at most.
+    """
+    xors = "array(" + ", ".join(f"x.{c} ^ y.{c}" for c in SIGNATURE) + ")"
+    fold = "v"
+    for shift, mask in ((4, 0x0F0F0F0F0F0F), (2, 0x030303030303), (1, 0x010101010101)):
+        fold = f"(({fold} | shiftrightunsigned({fold}, {shift})) & {mask}L)"
+    counts = f"transform({xors}, v -> bit_count({fold}))"
+    chunk, place = "shiftright(x.key, 52)", "(shiftright(x.key, 48) & 15)"
+    first = f"""
+      array_position(transform({counts}, n -> n <= 1), true) - 1 = {chunk}
+      and ({place} = 0 or get({counts}, cast({chunk} as int)) = 1)"""
+    other, left_out = "shiftright(x.second, 52)", "(shiftright(x.second, 48) & 15)"
+    lane = f"cast((length(hex(get({xors}, cast({other} as int)))) - 1) div 2 as int)"
+    second = f"""
+      array_position(transform({counts}, (n, i) -> n <= 2 and i <> {chunk}), true) - 1 = {other}
+      and case get({counts}, cast({other} as int)) when 0 then {left_out} = 0 when 1 then {left_out} = greatest({lane} - 1, 0) else true end"""
+    return F.expr(f"({first}) and (x.second = -1 or ({second}))")
+
+
+def _across(rest: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Pairs of different parts that share a bucket and have close signatures; None if there are none to compare."""
     if rest.isEmpty():
         return None
-    seen = classes.select("doc_id", "n_shingles", *SIGNATURE)
-    small = rest.where(f"n <= {BUCKET}").select("key", F.lit(0).cast("long").alias("second"), "doc_id", "part")
+    seen = classes.select("doc_id", "n_shingles", *SIGNATURE, "bits")
+    small = rest.where(f"n <= {BUCKET}").select("key", F.lit(-1).cast("long").alias("second"), "doc_id", "part")
     large = rest.where(f"n > {BUCKET}").join(seen, "doc_id").select(
         "key", F.explode(chunk_keys(F.shiftright("key", 52))).alias("second"), "doc_id", "part"
     )
@@ -192,7 +272,7 @@ def _across(buckets: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFra
     x, y = rows.where("part <> main").alias("x"), rows.alias("y")
     apart = F.expr("x.part <> y.part and (y.part = y.main or x.doc_id < y.doc_id)")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.second") == F.col("y.second"))
-    return x.join(y, same & apart & _close("x", "y")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    return x.join(y, same & apart & _close("x", "y") & _once()).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
