@@ -9,3 +9,16 @@ from pyspark.sql import functions as F
 def rounded(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
     """Doubles rounded, so that sums taken in another order compare equal; ``own`` sets columns apart."""
     return df.select(*[F.round(c, own.get(c, digits)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark, sf_dir: str, name: str, build) -> DataFrame:
+    """A table that several queries start from, written once per application and input folder to the shared folder."""
+    from tidemark.session import materialize
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        _stored[key] = materialize(build(), name)
+    return _stored[key]

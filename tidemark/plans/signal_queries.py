@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import enrichment, features, relational, signals, valuation
 from tidemark.plans import series_queries, sql
-from tidemark.plans.common import rounded
+from tidemark.plans.common import rounded, stored
 from tidemark.plans.registry import AXIS, default_features, default_signals
-from tidemark.session import if_small, materialize
+from tidemark.session import if_small
 from tidemark.sources import adapters
 
 YEARS = ["1998-12-31", "1999-12-31", "2000-12-31", "2001-12-31"]
@@ -20,17 +20,18 @@ def _enriched_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.unionByName(enrichment.enrich_instant(adapters.instant_series(spark, sf_dir)), allowMissingColumns=True)
 
 
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _build_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.with_macro(_enriched_all(spark, sf_dir), adapters.macro(spark, sf_dir), ["rate"])
     return features.emit(rows, default_features())
 
 
-def _stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(_features(spark, sf_dir), "features")
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table, as stored by the step before."""
+    return stored(spark, sf_dir, "features", lambda: _build_features(spark, sf_dir))
 
 
 def series_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_features(spark, sf_dir))
+    return rounded(_build_features(spark, sf_dir))
 
 
 def latest_feature_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +86,7 @@ def factor_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of state from year to year."""
-    told = signals.timeline(_stored_features(spark, sf_dir), default_signals(), YEARS, changed_only=True)
+    told = signals.timeline(_features(spark, sf_dir), default_signals(), YEARS, changed_only=True)
     return told.select("entity", "factor", "axis", "as_of", "signal_key")
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +83,16 @@ BROADCAST_ROWS = 200_000
 def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, hinted for broadcast only if a count shows that it is within ``limit`` rows."""
     return F.broadcast(df) if row_count_at_most(df, limit) else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application, unless PYTHONPATH gives it to them already."""
+    root, app = Path(__file__).resolve().parent.parent, spark.sparkContext.applicationId
+    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tidemark", "zip", root, "tidemark"))
+    _shipped.add(app)
