@@ -72,7 +72,7 @@ def as_number(x: Column, kind: str) -> Column:
 def robust_z(x: Column, centre: Column, scale: Column, clip: float = 3.0) -> Column:
     """(x - centre) / scale within ±clip; missing values and a scale of 0 give 0."""
     z = F.when(scale > 0, (x - centre) / scale)
-    return F.coalesce(F.least(F.greatest(z, F.lit(-clip)), F.lit(clip)), F.lit(0.0))
+    return F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))).otherwise(0.0)
 
 
 def normalized_entropy(counts: Column) -> Column:

@@ -341,7 +341,7 @@ issues AS (
   UNION ALL SELECT cik, metric_key, 'missing_quarter', 'warning' FROM (SELECT b.cik, b.metric_key, unnest(range(a, z + 1)) AS i FROM b) w WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.cik = w.cik AND f.metric_key = w.metric_key AND f.i = w.i)
   UNION ALL SELECT cik, metric_key, CASE WHEN positive THEN 'sign_profile_conflict' ELSE 'negative_value' END, CASE WHEN positive THEN 'warning' ELSE 'info' END FROM f JOIN prof USING (cik, metric_key) WHERE val < 0)
 SELECT metric_key, "check", severity, count(*) AS n, count(DISTINCT cik) AS companies FROM issues GROUP BY 1, 2, 3""",
-    "page_texts": f"SELECT page_id, CAST(length(trim(t)) AS INT) AS chars, md5(trim(t)) AS digest FROM (SELECT page_id, {_NORMAL} AS t FROM pages)",
+    "page_texts": f"SELECT page_id, CAST(length(t) AS INT) AS chars, md5(t) AS digest FROM (SELECT page_id, regexp_replace({_NORMAL}, '^\\s+|\\s+$', '', 'g') AS t FROM pages)",
     "filing_items": """SELECT o_orderkey, 0 AS pos, '5.02' AS code, 'Departure of Officer ' || o_orderkey AS title, chr(10) || 'First body' || chr(10) AS body FROM orders
 UNION ALL SELECT o_orderkey, 1, '9.01', 'Exhibits', chr(10) || 'Last body' FROM orders""",
     "dividend_phrases": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 90 + 10) / 100 END AS previous, CASE WHEN o_orderkey % 3 <> 0 THEN CAST('1.' || (o_orderkey % 90 + 10) AS DOUBLE) END AS current,
