@@ -84,13 +84,15 @@ _BYTES = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 def _fold(text: str) -> list[str]:
     """Words between blanks and line ends.
 
-    Texts of Latin-1 characters go to lower case first, as the tokenizer does anyway.
+    Texts of Latin-1 characters go to lower case first, as the tokenizer does anyway, but for
+    those that may hold a special token, which it looks for in the text as it is.
     """
-    try:
-        text.encode("latin-1")
-        text = text.lower()
-    except UnicodeEncodeError:
-        pass
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
     return text.replace("\n", " ").split(" ")
 
 
