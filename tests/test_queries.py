@@ -29,7 +29,7 @@ def plain(v):
         return ""
     if isinstance(v, bool) or not isinstance(v, (int, float)):
         return str(v).removesuffix(" 00:00:00")
-    return f"{v:.4f}"
+    return f"{round(v, 4) + 0.0:.4f}"
 
 
 @pytest.mark.parametrize("name", CHECKED)

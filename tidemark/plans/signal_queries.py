@@ -121,7 +121,7 @@ def _feature_sql() -> str:
         source = f"(SELECT * FROM enriched WHERE metric_key = '{d.metric_key}') e"
         asof = lambda metric, alias: f" ASOF LEFT JOIN (SELECT cik, \"end\", {{}} AS v FROM {'ie' if metric == 'assets' else 'enriched'} WHERE metric_key = '{metric}') {alias} ON e.cik = {alias}.cik AND e.\"end\" >= {alias}.\"end\""
         if d.method in ("direct", "negative_direct"):
-            v = f"{'-' if d.method[0] == 'n' else ''}{s}"
+            v = f"0 - {s}" if d.method[0] == "n" else s
         elif d.method in ("positive_ratio", "negative_ratio"):
             op = ">" if d.method[0] == "p" else "<"
             v = f"CASE WHEN {full} AND count({s}) {frame} > 0 THEN CAST(sum(CASE WHEN {s} {op} 0 THEN 1 ELSE 0 END) {frame} AS DOUBLE) / count({s}) {frame} END"
@@ -138,7 +138,7 @@ def _feature_sql() -> str:
         elif d.method == "lag_ratio_deviation":
             v = f"CASE WHEN lag({s}, {d.lag}) {w}) <> 0 THEN {s} / lag({s}, {d.lag}) {w}) - 1 END"
         elif d.method in ("relative_deviation", "negative_relative_deviation"):
-            v = f"{'-' if d.method[0] == 'n' else ''}(CASE WHEN {d.reference} <> 0 THEN ({s} - {d.reference}) / abs({d.reference}) END)"
+            v = f"{'0 - ' if d.method[0] == 'n' else ''}(CASE WHEN {d.reference} <> 0 THEN ({s} - {d.reference}) / abs({d.reference}) END)"
         elif d.method == "turnaround_momentum":
             v = "CASE WHEN is_turnaround THEN 1.0 WHEN is_loss_narrowing THEN 0.5 WHEN is_deterioration THEN -1.0 WHEN coalesce(is_turnaround, is_loss_narrowing, is_deterioration) IS NOT NULL THEN 0.0 END"
         else:
