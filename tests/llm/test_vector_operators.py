@@ -39,6 +39,26 @@ def test_embedding_links_equal_brute_force(spark):
     assert embdedup.link(table(spark, odd)).count() == len(odd) and embdedup.link(table(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("per_cell", [None, 64])
+def test_links_of_a_dense_group_over_many_cells(spark, monkeypatch, per_cell):
+    if per_cell:
+        monkeypatch.setattr(embdedup, "PER_CELL", per_cell, raising=False)
+    rng = np.random.default_rng(4)
+    n, dim = 4800, 64
+    x = rng.standard_normal((n, dim))
+    x[: n * 3 // 4] = rng.standard_normal(dim) + 0.3 * rng.standard_normal((n * 3 // 4, dim))
+    x = x.astype(np.float32).astype(np.float64)
+    told = {r["vec_id"]: r for r in embdedup.link(table(spark, list(enumerate(x)))).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = np.arange(n)
+    while ((least := np.minimum(label, np.where(near, label[None, :], n).min(1))) != label).any():
+        label = least
+    assert [told[i]["n_links"] for i in range(n)] == near.sum(1).tolist() and near.sum() > 100_000
+    assert [told[i]["component_id"] for i in range(n)] == label.tolist()
+
+
 def test_unbiased_estimates():
     rng = np.random.default_rng(1)
     u = rng.standard_normal((400, 32))
