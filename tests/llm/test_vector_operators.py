@@ -91,6 +91,25 @@ def test_neighbours_with_few_rows_and_odd_vectors(spark):
     assert {r["query_id"] for r in told} == {0, 1, 2} and ann.search(table(spark, odd), table(spark, odd)).count() == 0
 
 
+def test_queries_look_far_enough_past_their_own_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "candidates_needed", lambda *a: 1)
+    rows, _ = vectors(5)
+    told = ann.search(table(spark, rows + [(0, v + 0.001) for _, v in rows[::12]]), table(spark, rows[:6]), k=20).collect()
+    ranks = {q: sorted(r["rank"] for r in told if r["query_id"] == q) for q in range(6)}
+    assert all(r == list(range(1, 21)) for r in ranks.values())
+
+
+def test_queries_of_a_hot_centroid_come_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    placed = spark.range(1000).selectExpr("id as vec_id", "binary('') as vec", "int(id % 10 = 0) as x", "0 as y")
+    probes = spark.range(1000).selectExpr("id as vec_id", "binary('') as vec", "int(id % 100 = 0) as x", "binary('') as want")
+    stored, asked = ann._deal(placed, probes, np.array([900, 100]))
+    largest = lambda df: df.groupBy("x", "block", "part").count().agg({"count": "max"}).first()[0]
+    assert largest(stored) < 150 and largest(asked) < 150
+    met = stored.alias("a").join(asked.alias("b"), ["x", "block", "part"]).select("a.vec_id", "b.vec_id")
+    assert met.count() == 900 * 990 + 100 * 10
+
+
 @needs_data
 def test_recall(spark):
     import pyarrow.parquet as pq

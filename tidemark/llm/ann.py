@@ -21,7 +21,7 @@ LEAST_CENTROIDS, MOST_CENTROIDS = 8, 128
 #: The number of entries a query looks at is set so that this share of true neighbours lies in them,
 #: measured by brute force for so many sampled queries over all entries.
 TARGET_RECALL, CALIBRATION_QUERIES = 0.96, 128
-#: Entries of one group of cells are compared in blocks of about so many.
+#: Entries of one group of cells are compared in blocks of about so many, with as many queries at a time.
 BLOCK = 2048
 
 
@@ -105,7 +105,9 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, target_recall
     for row in placed.groupBy("x", "y").count().collect():  # one row per cell, MOST_CENTROIDS ** 2 at most
         index.sizes[row["x"], row["y"]] = row["count"]
     enough = candidates_needed(placed, asked, index, dim, count, k, target_recall)
-    return _rerank(placed, asked, index, dim, enough, k)
+    # a query's own rows are no answer, so it looks at k entries more than any vec_id has
+    own = placed.groupBy("vec_id").count().agg(F.max("count").alias("most")).first()["most"]
+    return _rerank(placed, asked, index, dim, max(enough, own + k), k)
 
 
 def fit(entries: DataFrame, dim: int, count: int) -> MultiIndex:
@@ -160,14 +162,12 @@ def candidates_needed(placed, asked, index: MultiIndex, dim: int, count: int, k:
 def _rerank(placed: DataFrame, asked: DataFrame, index: MultiIndex, dim: int, enough: int, k: int) -> DataFrame:
     """Compare each query with the entries of its cells and keep the best.
 
-    Entries are grouped by left centroid and cut into blocks; a query goes to the blocks of
-    each left centroid it reaches, with the right centroids it wants there as bits.
+    Entries are grouped by left centroid and cut into blocks, and so are the queries that
+    reach it, with the right centroids they want there as bits; every block of entries
+    meets every block of queries.
     """
     shared = placed.sparkSession.sparkContext.broadcast(index)
     width = -(-len(index.right) // 8)
-    held = index.sizes.sum(1)
-    blocks = [max(1, int(-(-n // BLOCK))) for n in held.tolist()]
-    per_left = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("x") + 1)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,8 +182,7 @@ def _rerank(placed: DataFrame, asked: DataFrame, index: MultiIndex, dim: int, en
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["vec_id", "vec", "x", "want"])
 
     probes = asked.repartition(F.xxhash64("vec_id")).mapInArrow(walk, "vec_id long, vec binary, x int, want binary")
-    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), per_left - 1)))
-    stored = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), per_left).cast("int"))
+    stored, probes = _deal(placed, materialize(probes, "probes"), index.sizes.sum(1))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, own = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
@@ -205,7 +204,19 @@ def _rerank(placed: DataFrame, asked: DataFrame, index: MultiIndex, dim: int, en
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
         return pa.table([join(out[0], pa.int64()), join(out[1], pa.int64()), join(out[2], pa.float64())], names)
 
-    scored = stored.groupBy("x", "block").cogroup(probes.groupBy("x", "block")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    scored = stored.groupBy("x", "block", "part").cogroup(probes.groupBy("x", "block", "part")).applyInArrow(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
     return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _deal(placed: DataFrame, probes: DataFrame, held: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Entries and queries with block (of the entries) and part (of the queries) of their left centroid x."""
+    reach = np.zeros(len(held), np.int64)
+    for row in probes.groupBy("x").count().collect():  # one row per left centroid, MOST_CENTROIDS at most
+        reach[row["x"]] = row["count"]
+    per_left = lambda n: F.element_at(F.array(*[F.lit(max(1, int(-(-m // BLOCK)))) for m in n.tolist()]), F.col("x") + 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), per_left(n) - 1))
+    one = lambda n, *by: F.pmod(F.xxhash64(*by), per_left(n)).cast("int")
+    stored = placed.withColumn("block", one(held, "vec_id")).withColumn("part", every(reach))
+    return stored, probes.withColumn("part", one(reach, "vec_id", "vec")).withColumn("block", every(held))
