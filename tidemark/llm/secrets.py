@@ -21,6 +21,9 @@ EXTRA = {
     "forge": r"gh[opsur]_[A-Za-z0-9]{36,}",
 }
 KINDS = [*BASE, *EXTRA]
+#: What follows a pem header without its END line: header fields, then runs of base64 of which only the last is short.
+_BREAK, _FIELD = r"""(?:[\s"'>#,]|\\[rn])*+""", r"(?:Proc-Type|DEK-Info): [^\r\n\\]*+"
+PEM_BODY = rf"^(?:{_BREAK}{_FIELD})*+(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}|(?=[\x20\t]*+(?:[\r\n]|\z))))?"
 #: Names the set of rules: a change of any rule takes a new version, and only then are blobs scanned anew.
 RULES_VERSION = "rules-1"
 
@@ -122,9 +125,25 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+def whole_keys() -> str:
+    """SQL for ``found`` with each pem span drawn out from its header over the key in ``text``.
+
+    That is through the END line of the same label, if no other key begins before it, or
+    else to the end of the base64 body, which has a run of at least 16 characters.
+    """
+    body = "'" + PEM_BODY.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    header = "regexp_extract(substring(text, x.start + 1, x.stop - x.start), 'BEGIN ([A-Z ]*)PRIVATE KEY', 1)"
+    rest, end = "substring(text, x.stop + 1)", f"concat('-----END ', {header}, 'PRIVATE KEY-----')"
+    at, following = f"instr({rest}, {end})", f"instr({rest}, '-----BEGIN ')"
+    more = f"if({at} > 0 and ({following} = 0 or {at} < {following}), {at} - 1 + length({end}), length(regexp_extract({rest}, {body}, 0)))"
+    return f"transform(found, x -> if(x.kind = 'pem', named_struct('start', x.start, 'ord', x.ord, 'stop', x.stop + {more}, 'kind', x.kind), x))"
+
+
 def redact(docs: DataFrame, mark: str = "[secret]", ledger: BlobLedger | None = None) -> DataFrame:
     """``docs`` with every span replaced by ``mark`` and n_chars counted anew; all rows stay.
 
+    A private key goes whole, though its span is only its header.
+
     Only blobs with findings are rewritten: their texts are cut once per blob, joined back to
     the rows that hold them, and every other row passes as it is. Overlapping spans are one.
     """
@@ -144,7 +163,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", ledger: BlobLedger | None =
     pieces = f"""
       transform(m, (x, i) -> substring(text, if(i = 0, 0, m[i - 1].b) + 1, x.a - if(i = 0, 0, m[i - 1].b)))"""
     clean = f"concat(array_join({pieces}, '{mark}'), '{mark}', substring(text, element_at(m, -1).b + 1))"
-    fresh = joined.withColumn("m", F.expr(merged)).withColumn("__new", F.expr(f"if(found is null, text, {clean})"))
+    fresh = joined.withColumn("found", F.expr(whole_keys())).withColumn("m", F.expr(merged)).withColumn("__new", F.expr(f"if(found is null, text, {clean})"))
     keep = [F.col("__new").alias("text") if c == "text" else F.expr("if(found is null, n_chars, cast(length(__new) as long))").alias(c) if c == "n_chars" else F.col(c) for c in names]
     return fresh.select(*keep)
 
