@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, if_small
 from tidemark.llm.textvec import shingle_sets, texts_of
-from tidemark.session import materialize
+from tidemark.session import discard, materialize
 
 WIDTH = 5
 #: Similarity as a fraction of whole numbers: 100 * intersection >= 75 * union.
@@ -32,13 +32,20 @@ BITMAP = 16
 #: Before all pairs are compared, parts meet through representatives in so many rounds at most;
 #: in a round a part tries the so many other parts with which it shares most keys.
 ROUNDS, TRIES = 3, 2
-#: A bucket of more rows than this is divided by the keys of the other chunks before its pairs are compared.
+#: A bucket of more rows than this is divided by the keys of the other chunks before its pairs are compared. Either way the
+#: same pairs are: those with a chunk that differs in one value at most and another in two at most. All pairs that differ in
+#: at most 31 values are such; of those of the least similarity that share a bucket all but one in 10**11 are.
 BUCKET = 2_000
+#: A document that stands in more pairs than this has its set sent to several tasks.
+PAIRS_A_TASK = 512
+#: Classes whose keys one task makes.
+CLASSES_A_TASK = 20_000
 
 _rng = np.random.Generator(np.random.PCG64(5))
 _A = _rng.integers(1, 2**63, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, CHUNKS * LANES, dtype=np.uint64)
 SIGNATURE = [f"c{j}" for j in range(CHUNKS)]
+BITS = [f"b{j}" for j in range(BITMAP)]
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -59,23 +66,21 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 
 def sign(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit fingerprint of the set (f0, f1), its signature and its bitmap, from whole texts."""
-    names = ["doc_id", "n_shingles", "f0", "f1", *SIGNATURE]
+    names = ["doc_id", "n_shingles", "f0", "f1", *SIGNATURE, *BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.zeros((len(names) - 1, batch.num_rows), np.int64)
-            maps = np.zeros((batch.num_rows, BITMAP), np.int64)
             for i, s in enumerate(shingle_sets(*texts_of(batch["text"]), WIDTH)):
                 if len(s):
                     rows[0, i] = len(s)
                     rows[1, i] = s.sum(dtype=np.uint64).astype(np.int64)
                     rows[2, i] = np.bitwise_xor.reduce(s * np.uint64(0xD6E8FEB86659FD93) ^ (s >> np.uint64(31))).astype(np.int64)
-                    rows[3:, i] = signature(s)
-                    maps[i] = bitmap(s)
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(0, maps.size + 1, BITMAP), pa.int32()), pa.array(maps.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *map(pa.array, rows), bits], [*names, "bits"])
+                    rows[3 : 3 + CHUNKS, i] = signature(s)
+                    rows[3 + CHUNKS :, i] = bitmap(s)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *map(pa.array, rows)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", bits array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -125,26 +130,42 @@ def differing(a: str, b: str) -> Column:
     return F.expr(" + ".join(counts))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; ``pairs`` and ``sets`` are tables.
 
-    Only texts that stand in a pair are cut into shingles again; which they are is
-    broadcast if a count allows it, and joined by shuffle otherwise.
+    Only the sets of documents that stand in a pair are shuffled; which they are is broadcast if a
+    count allows it.
     """
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "confirm-ids")
-    sets = full_sets(docs.select("doc_id", "text").join(if_small(wanted), "doc_id", "left_semi")).where("size(shingles) > 0")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+    some = sets.join(if_small(wanted), "doc_id", "left_semi")
+    both = _attached(pairs, some, F.col("shingles"), "x", "y")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * AT_LEAST).select("a", "b").distinct()
 
 
+def _attached(pairs: DataFrame, table: DataFrame, value: Column, x: str, y: str) -> DataFrame:
+    """The pairs (a, b), a table, with what ``table`` has for a as ``x`` and for b as ``y``.
+
+    A document in many pairs is no hot key: they are dealt to as many parts as they fill, each
+    with a copy of its value.
+    """
+    rows = pairs
+    for side, name in (("a", x), ("b", y)):
+        many = pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("parts")).where("parts > 1")
+        many = if_small(materialize(many, "hot-documents"))
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = rows.join(many, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), parts)).drop("parts")
+        copied = table.select(F.col("doc_id").alias(side), value.alias(name)).join(many, side, "left")
+        copied = copied.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+        rows = dealt.join(copied, [side, "part"]).drop("part")
+    return rows
+
+
 def _close(a: str, b: str) -> Column:
     sizes = F.expr(f"100 * least({a}.n_shingles, {b}.n_shingles) >= {AT_LEAST} * greatest({a}.n_shingles, {b}.n_shingles)")
     total = f"{AT_LEAST} * ({a}.n_shingles + {b}.n_shingles)"  # 100 I >= 75 (a + b - I), so 175 I >= 75 (a + b)
-    only = "aggregate(zip_with({x}.bits, {y}.bits, (u, v) -> bit_count(u & ~v)), 0, (s, n) -> s + n)"
-    bound = " and ".join(f"{100 + AT_LEAST} * ({x}.n_shingles - {only.format(x=x, y=y)}) >= {total}" for x, y in ((a, b), (b, a)))
+    only = lambda x, y: " + ".join(f"bit_count({x}.{w} & ~{y}.{w})" for w in BITS)
+    bound = " and ".join(f"{100 + AT_LEAST} * ({x}.n_shingles - ({only(x, y)})) >= {total}" for x, y in ((a, b), (b, a)))
     return sizes & (differing(a, b) <= FARTHEST) & F.expr(bound)
 
 
@@ -157,38 +178,50 @@ def link(docs: DataFrame) -> DataFrame:
     of near copies, however large, costs a few comparisons for each member. Then buckets that
     still hold several parts are compared across them, all pairs that the signatures allow,
     so no link that could join two parts is left out. A bucket too large for that is divided
-    by the keys of the other chunks, which again find every pair of signatures under the
-    distance; a pair inside one part needs no comparison.
+    by the keys of the other chunks; a pair inside one part needs no comparison.
 
     Empty and null texts and null ids link with nothing; a null doc_id has a null component
-    and is kept. Rows that repeat a doc_id share its component, each with its own n_shingles.
+    and is kept. Long texts are read whole, in parts of bounded memory. Rows that repeat a
+    doc_id share its component, each with its own n_shingles; equal similarities need no
+    order, as a component's name is its smallest doc_id. An empty table gives an empty
+    result, and columns other than doc_id and text are ignored, whatever their names.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = materialize(sign(docs), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(
-        some.groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in (*SIGNATURE, "bits")]), "classes"
+        some.groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in (*SIGNATURE, *BITS)]), "classes"
     )
-    keyed = classes.select("doc_id", F.explode(chunk_keys()).alias("key"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-classes.count() // CLASSES_A_TASK))
+    keyed = classes.select("doc_id", *SIGNATURE).repartition(tasks, "doc_id").select("doc_id", F.explode(chunk_keys()).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(keyed.join(counts, "key"), "shared-keys")
-    popular = shared.groupBy("doc_id").agg(F.sum("n").alias("popular"))
+    popular = materialize(shared.groupBy("doc_id").agg(F.sum("n").alias("popular")), "popular")
     buckets = materialize(shared.join(popular, "doc_id"), "buckets")
+    discard(shared)
+    # the texts that share a bucket with another are cut into shingles again, once
+    sets = materialize(full_sets(docs.join(if_small(popular.select("doc_id")), "doc_id", "left_semi")).where("size(shingles) > 0"), "shingle-sets")
 
     parts = None
     for _ in range(ROUNDS):
-        tries = _representatives(_mixed(buckets, parts), classes)
-        edges = materialize(confirm(tries, docs), "edges")
+        tries = materialize(_representatives(_placed(buckets, parts), classes), "tries")
+        edges = materialize(confirm(tries, sets), "edges")
+        discard(tries)
         if edges.isEmpty():
             break
         parts = materialize(components(edges if parts is None else edges.union(parts.select("node", "component"))), "parts")
-    more = _across(_mixed(buckets, parts), classes)
+        discard(edges)
+    more = _across(_placed(buckets, parts), classes)
     if more is not None:
-        fresh = materialize(confirm(more, docs), "more-edges")
+        fresh = materialize(confirm(more, sets), "more-edges")
+        discard(more)
         known = fresh if parts is None else fresh.union(parts.select("node", "component"))
         parts = materialize(components(known), "parts")
+    discard(buckets)
+    discard(sets)
     if parts is None:
-        parts = docs.sparkSession.createDataFrame([], "node long, component long")
+        parts = spark.createDataFrame([], "node long, component long")
     named = classes.select("f0", "f1", "n_shingles", F.col("doc_id").alias("node")).join(parts, "node", "left")
     named = named.select("f0", "f1", "n_shingles", F.coalesce("component", "node").alias("component"))
     told = signed.select("doc_id", "n_shingles", "f0", "f1").join(named, ["f0", "f1", "n_shingles"], "left")
@@ -199,34 +232,33 @@ def link(docs: DataFrame) -> DataFrame:
     )
 
 
-def _mixed(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """The rows (key, doc_id, n, popular, part) of the buckets that hold several parts, as a table."""
+def _placed(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """The rows (key, doc_id, n, popular) of the buckets with the part of their document."""
     if parts is None:
         return buckets.withColumn("part", F.col("doc_id"))
-    placed = buckets.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", "n", "popular", F.coalesce("component", "doc_id").alias("part")
-    )
-    several = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    return materialize(placed.join(several, "key", "left_semi"), "mixed-buckets")
+    placed = buckets.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return placed.select("key", "doc_id", "n", "popular", F.coalesce("component", "doc_id").alias("part"))
 
 
-def _representatives(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _representatives(placed: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of documents that stand for two parts that share buckets, with close signatures.
 
     In a bucket the document of each part whose buckets are fullest stands for it, and is
     paired with the one whose buckets are fullest of all: in a group of edited copies that is
     the text they were made from, or nearest to it. Of the other parts a part meets so, it
-    tries the TRIES with most buckets in common.
+    tries the TRIES with most buckets in common. Members are counted down to one row for each
+    bucket and part before anything is joined, so a large part isn't carried along.
     """
-    stands = rows.groupBy("key", "part").agg(F.min(F.struct(-F.col("popular"), "doc_id")).alias("s"))
-    head = stands.groupBy("key").agg(F.min(F.struct("s", "part")).alias("h"))
-    stands, head = stands.select("key", "part", F.col("s.doc_id").alias("a")), head.select("key", F.struct(F.col("h.part").alias("part"), F.col("h.s.doc_id").alias("a")).alias("h"))
-    met = stands.join(head, "key").where("part <> h.part").groupBy("part", F.col("h.part").alias("other"), "a", F.col("h.a").alias("b")).agg(F.count("*").alias("m"))
+    stands = materialize(placed.groupBy("key", "part").agg(F.min(F.struct(-F.col("popular"), "doc_id")).alias("s")), "standing")
+    head = stands.groupBy("key").agg(F.min(F.struct("s", "part")).alias("h"), F.count("*").alias("parts")).where("parts > 1")
+    head = head.select("key", F.struct(F.col("h.part").alias("part"), F.col("h.s.doc_id").alias("a")).alias("h"))
+    met = stands.select("key", "part", F.col("s.doc_id").alias("a")).join(head, "key").where("part <> h.part")
+    met = met.groupBy("part", F.col("h.part").alias("other"), "a", F.col("h.a").alias("b")).agg(F.count("*").alias("m"))
     best = met.groupBy("part", "other").agg(F.sum("m").alias("m"), F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("pair"))
-    tried = best.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("m"), "other"))).where(f"r <= {TRIES}").select("pair.*")
-    seen = classes.select("doc_id", "n_shingles", *SIGNATURE, "bits")
-    near = tried.join(seen.alias("s"), F.col("a") == F.col("s.doc_id")).join(seen.alias("t"), F.col("b") == F.col("t.doc_id"))
-    return materialize(near.where(_close("s", "t")).select("a", "b").distinct(), "tries")
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("m"), "other"))).where(f"r <= {TRIES}")
+    tried = materialize(best.select("pair.*").distinct(), "tried")
+    near = _attached(tried, classes, F.struct("n_shingles", *SIGNATURE, *BITS), "s", "t")
+    return near.where(_close("s", "t")).select("a", "b").distinct()
 
 
 def _once() -> Column:
@@ -234,7 +266,8 @@ def _once() -> Column:
 
     That is the first chunk with one difference at most, and in it the key that leaves out
     the differing value, or the first key if nothing differs; in a divided bucket likewise
-    the first other chunk with two differences at most.
+    the first other chunk with two differences at most. In an undivided one there must be
+    such another chunk too, so that it makes no difference whether a bucket was divided.
     """
     xors = "array(" + ", ".join(f"x.{c} ^ y.{c}" for c in SIGNATURE) + ")"
     fold = "v"
@@ -250,44 +283,59 @@ def _once() -> Column:
     second = f"""
       array_position(transform({counts}, (n, i) -> n <= 2 and i <> {chunk}), true) - 1 = {other}
       and case get({counts}, cast({other} as int)) when 0 then {left_out} = 0 when 1 then {left_out} = greatest({lane} - 1, 0) else true end"""
-    return F.expr(f"({first}) and (x.second = -1 or ({second}))")
+    alike = f"size(filter({counts}, n -> n <= 2)) > 1"
+    return F.expr(f"({first}) and if(x.second = -1, {alike}, {second})")
 
 
-def _across(rest: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Pairs of different parts that share a bucket and have close signatures; None if there are none to compare."""
+def _across(placed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Pairs of different parts that share a bucket and have close signatures, as a table; None if no bucket holds two parts."""
+    main = _main(placed, "key")
+    rest = materialize(placed.join(main.select("key"), "key").select("key", "doc_id", "n", "part"), "mixed-buckets")
     if rest.isEmpty():
         return None
-    seen = classes.select("doc_id", "n_shingles", *SIGNATURE, "bits")
+    seen = classes.select("doc_id", "n_shingles", *SIGNATURE, *BITS)
     small = rest.where(f"n <= {BUCKET}").select("key", F.lit(-1).cast("long").alias("second"), "doc_id", "part")
-    large = rest.where(f"n > {BUCKET}").join(seen, "doc_id").select(
+    large = rest.where(f"n > {BUCKET}").join(seen.select("doc_id", *SIGNATURE), "doc_id").select(
         "key", F.explode(chunk_keys(F.shiftright("key", 52))).alias("second"), "doc_id", "part"
     )
     both = materialize(small.unionByName(large), "divided-buckets")
-    sizes = both.groupBy("key", "second", "part").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("key", "second").agg(
-        F.max(F.struct("m", "part")).getField("part").alias("main"), F.min("part").alias("p"), F.max("part").alias("q")
-    ).where("p < q")
-    rows = both.join(main.select("key", "second", "main"), ["key", "second"]).join(seen, "doc_id")
+    rows = both.join(_main(both, "key", "second"), ["key", "second"]).join(seen, "doc_id")
     rows = materialize(rows, "open-buckets")
     x, y = rows.where("part <> main").alias("x"), rows.alias("y")
     apart = F.expr("x.part <> y.part and (y.part = y.main or x.doc_id < y.doc_id)")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.second") == F.col("y.second"))
-    return x.join(y, same & apart & _close("x", "y") & _once()).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    pairs = x.join(y, same & apart & _close("x", "y") & _once()).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    found = materialize(pairs, "across")
+    for table in (rest, both, rows):
+        discard(table)
+    return found
+
+
+def _main(rows: DataFrame, *keys: str) -> DataFrame:
+    """The largest part of each bucket that holds several (keys, main)."""
+    sizes = rows.groupBy(*keys, "part").agg(F.count("*").alias("m"))
+    main = sizes.groupBy(*keys).agg(F.max(F.struct("m", "part")).getField("part").alias("main"), F.count("*").alias("parts"))
+    return main.where("parts > 1").drop("parts")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its group, without those of other members.
 
-    Of rows that repeat a doc_id one stays. The ids to drop are few, so the texts are
-    shuffled only if these are too many to broadcast. Rows of a null doc_id stay.
+    Of rows that repeat a doc_id one stays: that of the smallest SHA-256 of the text (a null
+    text first), then the smallest hash of the whole row. The ids to drop are few, so the
+    texts are shuffled only if these are too many to broadcast. Rows of a null doc_id stay,
+    and so do empty and null texts. All columns are kept under their names; an empty table
+    gives an empty result.
     """
+    names = docs.columns
     gone = materialize(link(docs).where("not kept").select("doc_id").distinct(), "dropped-ids")
     again = materialize(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     rest = docs.join(if_small(gone), "doc_id", "left_anti")
     if not again.isEmpty():
-        twice = rest.join(if_small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        rest = rest.join(if_small(again), "doc_id", "left_anti").unionByName(twice)
-    return rest.select(*docs.columns)
+        order = F.struct(F.sha2(F.encode(F.col("text"), "UTF-8"), 256).alias("t"), F.xxhash64(*names).alias("r"))
+        twice = rest.join(if_small(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), order).alias("__row"))
+        rest = rest.join(if_small(again), "doc_id", "left_anti").select(*names).unionByName(twice.select("__row.*"))
+    return rest.select(*names)
 
 
 SQL = r"""
