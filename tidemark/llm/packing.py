@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +15,11 @@ from tidemark.session import materialize
 
 CAPACITY = 4096
 #: Pieces of at least this many tokens are packed by configurations, the others by best fit.
-LARGE = 1366
-#: The long pieces are cut into so many groups of equal number, each rounded up to its longest.
-GROUPS = 400
+LARGE = 1024
+#: The long pieces of a shard are cut into so many groups of equal number, each rounded up to its longest.
+GROUPS = 20
+#: Configurations are improved in so many rounds at most; any round leaves a valid choice.
+ROUNDS = 300
 #: Pieces are dealt to shards of about so many; each shard is packed by one task call.
 #: A shard can waste about one sequence of its thousands.
 SHARD = 16_384
@@ -54,61 +55,63 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     Offsets in a sequence are gapless from 0 and a sequence has at most ``capacity`` tokens.
     Pieces are dealt to shards by a hash of their row number, so neither a hot document
     nor repeated rows meet in one task, and a shard's size doesn't depend on the input's.
+
+    A null or empty text is a piece of one id, null and repeated ids keep a row for each of
+    theirs, a long text gives as many pieces as it fills. Pieces of equal length are taken in
+    order of their row. Columns other than doc_id and text are ignored, whatever their names;
+    an empty table gives an empty result.
     """
     pieces = materialize(cut_pieces(docs, vocabulary, capacity, ids), "pieces")
     shards = max(1, -(-pieces.count() // SHARD))
-    lengths = pieces.select("row", "length").withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
-    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row", ignore_index=True)
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("row")
         bins, offset = pack_lengths(rows["length"].to_numpy(), capacity)
-        return pd.DataFrame({"row": rows["row"], "sequence_id": (int(key[0]) << 32) + bins, "offset": offset})
+        told = rows.select(["row"] if ids else names)
+        return told.append_column("sequence_id", pa.array((int(key[0].as_py()) << 32) + bins)).append_column("offset", pa.array(offset))
 
     if ids:
-        placed = lengths.groupBy("shard").applyInPandas(place, "row long, sequence_id long, offset long")
+        placed = dealt.select("row", "length", "shard").groupBy("shard").applyInArrow(place, "row long, sequence_id long, offset long")
         return pieces.join(placed, "row").drop("row")
-    whole = pieces.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-
-    def place_whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row", ignore_index=True)
-        rows["sequence_id"], rows["offset"] = pack_lengths(rows["length"].to_numpy(), capacity)
-        rows["sequence_id"] += int(key[0]) << 32
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]].astype({"doc_id": "Int64"})
-
-    return whole.groupBy("shard").applyInPandas(place_whole, schema)
+    return dealt.groupBy("shard").applyInArrow(place, schema)
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, large: int = LARGE, groups: int = GROUPS) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each length (1 to ``capacity``), in as few bins as the scheme finds.
 
     The large lengths in descending order form groups of equal number, each counted as its
-    longest. Over these few sizes, configurations are chosen one after another: the
-    longest size left and the fullest set of others that fits with it, used as often as the
-    numbers allow. Actual pieces take the places of their group; what rounding left free is
-    then given to the small pieces, the longest first, each where it fits best.
+    longest: few sizes. Which configurations of these sizes to use how often is a linear
+    programme, and its whole uses are taken. Actual pieces take the places of their group.
+    The few large pieces left over and then the small ones, the longest first, go where they
+    fit best, into what rounding left free or into new bins.
     """
     n = len(lengths)
     order = np.argsort(-lengths, kind="stable")
     big = int((lengths >= large).sum())
     bins: list[list[int]] = []
     free: list[int] = []
+    rest: list[int] = []
     if big:
         edges = np.unique(np.linspace(0, big, min(groups, big) + 1).round().astype(int))
         queues: dict[int, list[int]] = {}
         for a, b in zip(edges[:-1], edges[1:]):
             queues.setdefault(int(lengths[order[a]]), []).extend(order[a:b].tolist())
-        for chosen, times in configurations({s: len(q) for s, q in queues.items()}, capacity):
+        sizes = np.array(list(queues))
+        for chosen, times in configurations(sizes, np.array([len(queues[s]) for s in sizes.tolist()]), capacity):
             for _ in range(times):
-                members = [queues[s].pop() for s in chosen]
+                members = [queues[s].pop() for s, k in zip(sizes.tolist(), chosen.tolist()) for _ in range(k)]
                 bins.append(members)
                 free.append(capacity - int(lengths[members].sum()))
-    # best fit of the small ones: bins by free space, and a bit for each space that some bin has
+        rest = sorted((i for q in queues.values() for i in q), key=lambda i: -lengths[i])
+    # best fit: bins by free space, and a bit for each space that some bin has
     by_space: list[list[int]] = [[] for _ in range(capacity + 1)]
     for b, space in enumerate(free):
         by_space[space].append(b)
     has = sum(1 << s for s in range(capacity + 1) if by_space[s])
-    for i in order[big:].tolist():
+    for i in rest + order[big:].tolist():
         size = int(lengths[i])
         fitting = has >> size
         if fitting:
@@ -131,35 +134,48 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, large: int = LAR
     return place, offset
 
 
-def configurations(counts: dict[int, int], capacity: int) -> Iterator[tuple[list[int], int]]:
-    """Sets of sizes with sums up to ``capacity`` and how often to use each, until every count is used."""
-    left = dict(sorted(counts.items(), reverse=True))
-    while left:
-        first = next(iter(left))
-        chosen, room = [first], capacity - first
-        # sums that the sizes left can reach, as bits; reach[k] before the k-th size was added
-        sizes = [s for s in left if s <= room]
-        reach, sums = [], 1
-        limit = (1 << (room + 1)) - 1
-        for s in sizes:
-            reach.append(sums)
-            many = min(left[s] - (s == first), room // s)
-            for _ in range(many):
-                grown = sums | (sums << s) & limit
-                if grown == sums:
-                    break
-                sums = grown
-        total = sums.bit_length() - 1
-        for k in range(len(sizes) - 1, -1, -1):
-            while not reach[k] >> total & 1:
-                chosen.append(sizes[k])
-                total -= sizes[k]
-        need: dict[int, int] = {}
-        for s in chosen:
-            need[s] = need.get(s, 0) + 1
-        times = min(left[s] // k for s, k in need.items())
-        yield chosen, times
-        for s, k in need.items():
-            left[s] -= k * times
-            if not left[s]:
-                del left[s]
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
+    """How many pieces of each size a bin takes, and for how many bins: the whole part of the best fractional choice.
+
+    Column generation: prices of the sizes follow from the configurations in use, the
+    configuration worth most at these prices replaces one of them, until none is worth more
+    than a bin. As many configurations as sizes are in use, so what their fractions leave
+    over is less than a bin for each size.
+    """
+    basis = np.diag(capacity // sizes).astype(float)
+    for _ in range(rounds):
+        prices = np.linalg.solve(basis.T, np.ones(len(sizes)))
+        fresh = worth_most(prices, sizes, capacity)
+        if fresh @ prices <= 1 + 1e-9:
+            break
+        use, change = np.linalg.solve(basis, np.column_stack([counts, fresh])).T
+        leaves = np.where(change > 1e-9, np.maximum(use, 0) / np.where(change > 1e-9, change, 1), np.inf)
+        basis[:, leaves.argmin()] = fresh
+    use = np.linalg.solve(basis, counts)
+    chosen = [(basis[:, j].round().astype(int), int(np.floor(u + 1e-6))) for j, u in enumerate(use)]
+    left, told = counts.copy(), []
+    for config, times in sorted(chosen, key=lambda c: -c[1]):
+        # rounding errors of the solution must not use more pieces than there are
+        times = min([times, *(left[config > 0] // config[config > 0])])
+        if times > 0:
+            left = left - config * times
+            told.append((config, int(times)))
+    return told
+
+
+def worth_most(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The numbers of pieces of each size that fit into ``capacity`` together and are worth most."""
+    best, before = np.zeros(capacity + 1), []
+    for price, size in zip(prices, sizes.tolist()):
+        before.append(best)
+        if price > 0:
+            best = best.copy()
+            for k in range(1, capacity // size + 1):
+                np.maximum(best[k * size :], before[-1][: -k * size] + k * price, out=best[k * size :])
+    told, room = np.zeros(len(sizes), int), capacity
+    for j in range(len(sizes) - 1, -1, -1):
+        if prices[j] > 0:
+            k = np.arange(room // sizes[j] + 1)
+            told[j] = int((before[j][room - k * sizes[j]] + k * prices[j]).argmax())
+            room -= told[j] * sizes[j]
+    return told
