@@ -46,7 +46,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan_secrets(read(spark, sf_dir, "documents")))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    # a history of two versions: the documents whose language was known, then all of them
+    return secrets.digest(secrets.scan_history([docs.where("lang is not null"), docs]))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize, scratch_path
+from tidemark.llm.common import if_small
+from tidemark.session import materialize, row_count_at_most, scratch_path
 
 #: The base rules, as (kind, pattern, least length, group measured).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,6 +28,9 @@ PEM_BODY = rf"^(?:{_BREAK}{_FIELD})*+(?:{_BREAK}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)+
 #: Names the set of rules: a change of any rule takes a new version, and only then are blobs scanned anew.
 RULES_VERSION = "rules-1"
 
+#: So many addresses may be broadcast (about 100 bytes each).
+BROADCAST_BLOBS = 50_000
+
 SPAN = "array<struct<start:int,ord:int,stop:int,kind:string>>"
 
 
@@ -77,25 +81,41 @@ class BlobLedger:
         return self.spark.read.schema(self.schema).parquet(self.path) if there else self.spark.createDataFrame([], self.schema)
 
     def unseen(self, versions: DataFrame) -> DataFrame:
-        """The blobs of ``versions`` (blob, text) not yet scanned with these rules, each once."""
-        seen = self.rows().where(F.col("rule_version") == self.version).select("blob")
+        """The blobs of ``versions`` (blob, text) not yet scanned with these rules, each once.
+
+        What is unseen is found from the addresses alone. Their texts stay where they are if
+        few blobs are unseen, or if few are seen or repeated; otherwise they are shuffled.
+        """
         known = versions.select("blob", "text")
-        if not seen.isEmpty():
-            known = known.join(seen, "blob", "left_anti")
-        return known.groupBy("blob").agg(F.any_value("text").alias("text"))
+        seen = self.rows().where(F.col("rule_version") == self.version).select("blob").distinct()
+        addresses = known.groupBy("blob").agg(F.count("*").alias("n"))
+        fresh = materialize(addresses.join(seen, "blob", "left_anti"), "unseen-blobs")
+        if row_count_at_most(fresh, BROADCAST_BLOBS):
+            return known.join(F.broadcast(fresh.select("blob")), "blob", "left_semi").groupBy("blob").agg(F.any_value("text").alias("text"))
+        repeated = fresh.where("n > 1").select("blob")
+        apart = materialize(seen.unionByName(repeated), "set-apart")
+        if row_count_at_most(apart, BROADCAST_BLOBS):
+            again = known.join(F.broadcast(repeated), "blob", "left_semi").groupBy("blob").agg(F.any_value("text").alias("text"))
+            return known.join(F.broadcast(apart), "blob", "left_anti").unionByName(again)
+        return known.join(fresh.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.any_value("text").alias("text"))
 
     def record(self, versions: DataFrame) -> None:
+        """Scan what is unseen of ``versions`` and add it to the ledger."""
         found = scan_blobs(self.unseen(versions), self.rules)
         found.select("blob", F.lit(self.version).alias("rule_version"), "found").write.mode("append").parquet(self.path)
 
     def findings(self, paths: DataFrame) -> DataFrame:
         """``paths`` (blob and any other columns) with ``found``, the spans of their blob."""
+        return paths.join(self.scanned(), "blob", "left")
+
+    def scanned(self) -> DataFrame:
+        """(blob, found) of these rules; two runs that record a blob at the same time leave one row here."""
         rows = self.rows().where(F.col("rule_version") == self.version)
-        return paths.join(rows.select("blob", "found"), "blob", "left")
+        return rows.groupBy("blob").agg(F.any_value("found").alias("found"))
 
 
 def content_address(docs: DataFrame) -> DataFrame:
-    """Adds ``blob``, the SHA-256 of the text; a null text counts as empty."""
+    """Adds ``blob``, the SHA-256 of the text, in place of any column of that name; a null text counts as empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.withColumn("text", text).withColumn("blob", F.sha2(F.encode(text, "UTF-8"), 256))
 
@@ -103,8 +123,10 @@ def content_address(docs: DataFrame) -> DataFrame:
 def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
     """Secrets in the whole text of every row: doc_id, blob, found, counts and digests.
 
-    Equal texts are scanned once and share their spans; a null or empty text has none.
-    Repeated rows each get a row. Other columns are ignored.
+    Equal texts are scanned once and share their spans; a null or empty text has none, and a
+    long one is scanned whole. Repeated rows each get a row. Spans that begin together are
+    ordered by kind. Other columns are ignored, whatever their names; an empty table gives
+    an empty result.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     addressed = content_address(docs.select("doc_id", "text"))
@@ -113,6 +135,18 @@ def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame
     return found.select("doc_id", "blob", "found")
 
 
+def scan_history(versions: list[DataFrame], ledger: BlobLedger | None = None) -> DataFrame:
+    """The secrets of the last of ``versions`` (doc_id, text), after each of them went through one ledger in turn.
+
+    A version scans only the blobs that no version before it had; what they held is joined
+    back to the paths of the last. Rows as in :func:`scan_secrets`.
+    """
+    ledger = ledger or BlobLedger(versions[-1].sparkSession)
+    for docs in versions[:-1]:
+        ledger.record(content_address(docs.select("doc_id", "text")))
+    return scan_secrets(versions[-1], ledger)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Counts of the base kinds and the spans as text, from the rows of :func:`scan_secrets`."""
     told = "transform({}, x -> concat_ws(':', x.kind, x.start, x.stop))"
@@ -125,18 +159,18 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def whole_keys() -> str:
+def whole_keys(text: str, found: str) -> str:
     """SQL for ``found`` with each pem span drawn out from its header over the key in ``text``.
 
     That is through the END line of the same label, if no other key begins before it, or
     else to the end of the base64 body, which has a run of at least 16 characters.
     """
     body = "'" + PEM_BODY.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    header = "regexp_extract(substring(text, x.start + 1, x.stop - x.start), 'BEGIN ([A-Z ]*)PRIVATE KEY', 1)"
-    rest, end = "substring(text, x.stop + 1)", f"concat('-----END ', {header}, 'PRIVATE KEY-----')"
+    header = f"regexp_extract(substring({text}, x.start + 1, x.stop - x.start), 'BEGIN ([A-Z ]*)PRIVATE KEY', 1)"
+    rest, end = f"substring({text}, x.stop + 1)", f"concat('-----END ', {header}, 'PRIVATE KEY-----')"
     at, following = f"instr({rest}, {end})", f"instr({rest}, '-----BEGIN ')"
     more = f"if({at} > 0 and ({following} = 0 or {at} < {following}), {at} - 1 + length({end}), length(regexp_extract({rest}, {body}, 0)))"
-    return f"transform(found, x -> if(x.kind = 'pem', named_struct('start', x.start, 'ord', x.ord, 'stop', x.stop + {more}, 'kind', x.kind), x))"
+    return f"transform({found}, x -> if(x.kind = 'pem', named_struct('start', x.start, 'ord', x.ord, 'stop', x.stop + {more}, 'kind', x.kind), x))"
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", ledger: BlobLedger | None = None) -> DataFrame:
@@ -144,28 +178,40 @@ def redact(docs: DataFrame, mark: str = "[secret]", ledger: BlobLedger | None =
 
     A private key goes whole, though its span is only its header.
 
-    Only blobs with findings are rewritten: their texts are cut once per blob, joined back to
-    the rows that hold them, and every other row passes as it is. Overlapping spans are one.
+    Every blob is scanned once, whatever rows hold it; only texts with findings are rewritten,
+    every other row passes as it is. Overlapping spans are one. Null and empty texts stay as
+    they are, long ones are read whole, repeated rows are rewritten alike. All columns are
+    kept under their names, as the operator's own are made in a struct of a name that no
+    column has; an empty table gives an empty result.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
     names = docs.columns
     addressed = content_address(docs.select("text"))
     ledger.record(addressed)
-    hits = ledger.rows().where((F.col("rule_version") == ledger.version) & (F.size("found") > 0))
-    hits = materialize(hits.select(F.col("blob").alias("__blob"), "found"), "secret-hits")
-    own = F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256)
-    joined = docs.join(hits, own == F.col("__blob"), "left")
-    merged = """
-      aggregate(found, cast(array() as array<struct<a:int,b:int>>), (acc, x) ->
-        if(size(acc) > 0 and element_at(acc, -1).b >= x.start,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(element_at(acc, -1).b, x.stop)))),
-           concat(acc, array(named_struct('a', x.start, 'b', x.stop)))))"""
-    pieces = f"""
-      transform(m, (x, i) -> substring(text, if(i = 0, 0, m[i - 1].b) + 1, x.a - if(i = 0, 0, m[i - 1].b)))"""
-    clean = f"concat(array_join({pieces}, '{mark}'), '{mark}', substring(text, element_at(m, -1).b + 1))"
-    fresh = joined.withColumn("found", F.expr(whole_keys())).withColumn("m", F.expr(merged)).withColumn("__new", F.expr(f"if(found is null, text, {clean})"))
-    keep = [F.col("__new").alias("text") if c == "text" else F.expr("if(found is null, n_chars, cast(length(__new) as long))").alias(c) if c == "n_chars" else F.col(c) for c in names]
-    return fresh.select(*keep)
+    own = _fresh("secrets", names)
+    hits = ledger.scanned().where(F.size("found") > 0).select(F.col("blob").alias(f"{own}_blob"), F.col("found").alias(f"{own}_found"))
+    hits = if_small(materialize(hits, "secret-hits"), BROADCAST_BLOBS)
+    address = F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256)
+    joined = docs.join(hits, address == F.col(f"{own}_blob"), "left")
+    # a span opens a new cut unless one before it, by order of start, reaches it
+    cuts = f"""
+      aggregate({whole_keys("text", f"{own}_found")}, named_struct('done', cast(array() as array<struct<a:int,b:int>>), 'a', -1, 'b', -1), (acc, x) ->
+        if(acc.b >= x.start and acc.a >= 0, named_struct('done', acc.done, 'a', acc.a, 'b', greatest(acc.b, x.stop)),
+           named_struct('done', if(acc.a < 0, acc.done, array_append(acc.done, named_struct('a', acc.a, 'b', acc.b))), 'a', x.start, 'b', x.stop)),
+        acc -> array_append(acc.done, named_struct('a', acc.a, 'b', acc.b)))"""
+    m = f"{own}_cuts"
+    pieces = f"transform({m}, (x, i) -> substring(text, if(i = 0, 0, {m}[i - 1].b) + 1, x.a - if(i = 0, 0, {m}[i - 1].b)))"
+    clean = f"concat(array_join({pieces}, '{mark}'), '{mark}', substring(text, element_at({m}, -1).b + 1))"
+    fresh = joined.withColumn(m, F.expr(f"if({own}_found is null, null, {cuts})")).withColumn(f"{own}_text", F.expr(f"if({m} is null, text, {clean})"))
+    new = {"text": F.col(f"{own}_text"), "n_chars": F.expr(f"if({m} is null, n_chars, cast(length({own}_text) as long))") if "n_chars" in names else None}
+    return fresh.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names])
+
+
+def _fresh(word: str, names: list[str]) -> str:
+    """A name that begins no column's."""
+    while any(n.lower().startswith(word) for n in names):
+        word += "_"
+    return word
 
 
 SQL = r"""
