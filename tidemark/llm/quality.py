@@ -7,9 +7,10 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import WORD
 from tidemark.llm.langid import held_out
 from tidemark.llm.textvec import _cuts, texts_of, word_hashes
 from tidemark.session import materialize
@@ -19,8 +20,9 @@ PASSAGE = 64
 #: Hashed words, pairs of character classes, and a few measures of repetition.
 WORD_BUCKETS, CLASSES, MEASURES = 256, 16, 4
 FEATURES = WORD_BUCKETS + CLASSES * CLASSES + MEASURES
-#: The model is fitted on about so many labelled documents, by hash of the id, and at most so many passages of each, evenly spread.
-FIT_DOCS, FIT_PASSAGES = 2500, 24
+#: The model is fitted on about so many labelled documents, taken by hash of the id as long as all of their passages are so
+#: many at most. Documents of more than a twentieth of these aren't taken into the sample; of those taken every passage is encoded.
+FIT_DOCS, FIT_PASSAGES = 2500, 30_000
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 40, 128, 0.004, 1e-4
 THRESHOLD = 0.3
 
@@ -127,8 +129,8 @@ def train(x: np.ndarray, docs: np.ndarray, labels: np.ndarray, seed: int = 13) -
         zero = Model(*(np.zeros(s, np.float32) for s in ((FEATURES, HIDDEN), HIDDEN, (HIDDEN, GATE), (HIDDEN, GATE), GATE, HIDDEN, 1)))
         zero.d[0] = flat
         return zero
-    middle, spread = x.mean(0), x.std(0) + 1e-3
-    x = (x - middle) / spread
+    middle, spread = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
+    x = ((x - middle.astype(np.float32)) / spread.astype(np.float32)).astype(np.float32)
     p = [rng.standard_normal(s) * scale for s, scale in (
         ((FEATURES, HIDDEN), 0.3 / FEATURES**0.5), (HIDDEN, 0), ((HIDDEN, GATE), 0.3), ((HIDDEN, GATE), 0.3), (GATE, 0.3), (HIDDEN, 0.3), (1, 0))]
     m, s = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
@@ -175,27 +177,29 @@ def _gradients(p, x, own, label):
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     """Learn ``labels.quality`` from a bounded sample of documents that aren't held out.
 
-    Passages are encoded in tasks and only the sample's features come to the driver: at
-    most about fit_docs * FIT_PASSAGES rows of FEATURES numbers. Of several labels of a
-    document the largest counts; labels other than 0 and 1 are ignored.
+    Every passage of a document of the sample is encoded, in tasks, and only the sample's
+    features come to the driver: at most FIT_PASSAGES rows of FEATURES numbers. Of several
+    labels of a document the largest counts; labels other than 0 and 1 are ignored. Repeated
+    rows of a document are passages of one bag. Without labelled documents every text gets
+    the same score.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = materialize(known, "known-labels")
     share = min(1.0, fit_docs / max(1, known.count()))
-    coin = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1_000_000)) / 1e6
-    chosen = materialize(known.where(coin < share), "fit-labels")
+    hashed = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1_000_000))
+    chosen = materialize(known.where(hashed / 1e6 < share), "fit-labels")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about fit_docs rows
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    bags = sample.groupBy("doc_id").agg(F.sum(F.greatest(F.lit(1), F.ceil(words / PASSAGE))).alias("n")).where(f"n <= {FIT_PASSAGES // 20}")
+    order = Window.orderBy(hashed, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    taken = materialize(bags.withColumn("n", F.sum("n").over(order)).where(f"n <= {FIT_PASSAGES}").select("doc_id"), "fit-documents")
+    sample = sample.join(F.broadcast(taken), "doc_id")  # not more than about fit_docs ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, quality = batch["doc_id"].to_numpy(), batch["quality"].to_numpy()
-            found = list(passages(*texts_of(batch["text"])))
-            rows = np.concatenate([r for r, _ in found]) if found else np.zeros(0, np.int64)
-            x = np.concatenate([f for _, f in found]) if found else np.zeros((0, FEATURES), np.float32)
-            starts = np.searchsorted(rows, np.arange(len(ids) + 1))
-            take = [np.unique(np.linspace(a, b - 1, min(FIT_PASSAGES, b - a)).astype(int)) for a, b in zip(starts[:-1], starts[1:]) if b > a]
-            at = np.concatenate(take) if take else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows[at]]), pa.array(quality[rows[at]], pa.int32()), pa.array([r.tobytes() for r in x[at]], pa.binary())], ["doc_id", "quality", "x"])
+            for rows, x in passages(*texts_of(batch["text"])):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(quality[rows], pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
     told = sample.mapInArrow(run, "doc_id long, quality int, x binary").toArrow()
     if not len(told):
@@ -206,16 +210,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
     unique, own = np.unique(ids[order], return_inverse=True)
     label = np.zeros(len(unique))
     label[own] = told["quality"].to_numpy()[order]
-    return train(x[order].astype(np.float64), own, label)
+    return train(x[order], own, label)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without its text, with ``score`` and ``predicted`` of each whole text.
 
-    Empty and null texts are scored as one passage without words; columns named score or
-    predicted are replaced. The model (a few ten thousand numbers) is broadcast.
+    Empty and null texts are scored as one passage without words, long ones from all of their
+    passages; repeated rows each get the same score. Columns named score or predicted are
+    replaced, all others stay; an empty table gives an empty result. The model (a few ten
+    thousand numbers) is broadcast.
     """
-    names = [c for c in docs.columns if c not in ("text", "score", "predicted")]
+    names = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast([getattr(model, f.name) for f in fields(model)])
 
     @F.pandas_udf("double")
