@@ -49,9 +49,10 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, mos
     )
 
 
-def coin(key, seed: str = SEED):
-    """A number in [0, 1) fixed by ``seed`` and the key: 52 bits of an MD5 digest."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))))
+def coin(seed: str = SEED):
+    """A number in [0, 1) fixed by ``seed``, the doc_id and the text: 52 bits of an MD5 digest."""
+    own = F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"))
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), own))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
@@ -59,34 +60,38 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     """One row per document: doc_id, size, source_size, target, rate, copies, taken.
 
     Size is the number of words (runs free of white space); a null text has none. Every document is emitted
-    floor(rate) times, and once more if the coin that ``seed`` and its doc_id toss falls
-    below the fraction, so reruns agree and repeated rows of an id share their coin. An
-    empty table gives an empty result; columns beyond doc_id, text and source are ignored.
+    floor(rate) times, and once more if the coin that ``seed``, its doc_id and its text toss
+    falls below the fraction, so reruns agree; rows that are equal in both share their coin,
+    rows of a null doc_id don't. Long texts are counted whole, sources of equal ratio go by
+    name. An empty table gives an empty result; columns beyond doc_id, text and source are
+    ignored, whatever their names.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = materialize(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
-    return _with_rates(sized, sized, weights, share, most, seed).select("doc_id", "size", "source_size", "target", "rate", "copies", "taken")
+    sized = materialize(docs.select("doc_id", "source", size.alias("size"), coin(seed).alias("coin")), "mix-sizes")
+    return _with_rates(sized, sized, weights, share, most).select("doc_id", "size", "source_size", "target", "rate", "copies", "taken")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
-    """The mixed corpus: every document repeated as :func:`plan_mix` says, with the columns of ``docs``."""
-    names = docs.columns
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.withColumn("__size", size)
-    packed = sized.select("doc_id", "source", F.col("__size").alias("size"), F.struct(*names).alias("__row"))
-    rated = _with_rates(packed, sized.select("source", F.col("__size").alias("size")), weights, share, most, seed)
-    repeated = rated.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select("__row.*")
+    """The mixed corpus: every document repeated as :func:`plan_mix` says, with the columns of ``docs`` under their names.
+
+    A document without words is emitted as its source's rate says. A source whose documents
+    hold no word has rate 0 and goes. Edge cases are those of :func:`plan_mix`.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rated = _with_rates(docs.select("doc_id", "source", size, coin(seed).alias("coin"), whole), docs.select("source", size), weights, share, most)
+    repeated = rated.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select("whole.*")
 
 
-def _with_rates(rows: DataFrame, sized: DataFrame, weights, share, most, seed) -> DataFrame:
+def _with_rates(rows: DataFrame, sized: DataFrame, weights, share, most) -> DataFrame:
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rates = materialize(source_targets(totals, weights, share, most), "mix-rates")
     known = if_small(rates.withColumnRenamed("source", "__source"), SOURCES_BROADCAST)
     fraction = F.col("rate") - F.floor("rate")
     return (
         rows.join(known, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("copies", (F.floor("rate") + (coin(F.col("doc_id"), seed) < fraction).cast("long")).cast("int"))
+        .withColumn("copies", (F.floor("rate") + (F.col("coin") < fraction).cast("long")).cast("int"))
         .withColumn("taken", F.col("size") * F.col("copies"))
     )
 
@@ -94,7 +99,8 @@ def _with_rates(rows: DataFrame, sized: DataFrame, weights, share, most, seed) -
 #: The same mix in the SQL of another engine, for the rows of :func:`plan_mix`.
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS digest
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (
@@ -114,7 +120,7 @@ u AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END A
 c AS (
   SELECT d.doc_id, d.size, u.source_size, u.target, u.rate,
          CAST(floor(rate) AS INT) + CASE WHEN
-           CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE
+           CAST(('0x' || substr(digest, 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE
            < rate - floor(rate) THEN 1 ELSE 0 END AS copies
   FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target, round(rate, 9) AS rate, copies, size * copies AS taken FROM c
