@@ -12,17 +12,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import vectors
+from tidemark.llm.common import if_small
 from tidemark.session import materialize
 
-#: Codebooks are fitted on a sample of about so many vectors; every vector is indexed.
-FIT_VECTORS = 20_000
-#: Centroids of each half: so many cells squared. It bounds the table of cell sizes (MOST_CENTROIDS ** 2 numbers).
-LEAST_CENTROIDS, MOST_CENTROIDS = 8, 128
+#: Codebooks are fitted on a sample of about so many vectors, or so many for each centroid; every vector is indexed.
+FIT_VECTORS, FIT_PER_CENTROID = 20_000, 16
+#: Centroids of each half: so many cells squared, of about 36 entries each. The upper bound, reached at 150 million vectors,
+#: bounds the table of cell sizes that every query task holds (MOST_CENTROIDS ** 2 numbers of 4 bytes: 17 MB).
+LEAST_CENTROIDS, MOST_CENTROIDS = 8, 2048
 #: The number of entries a query looks at is set so that this share of true neighbours lies in them,
 #: measured by brute force for so many sampled queries over all entries.
 TARGET_RECALL, CALIBRATION_QUERIES = 0.96, 128
-#: Entries of one group of cells are compared in blocks of about so many, with as many queries at a time.
+#: Cells of a left centroid are compared together until they hold about so many entries, and so many queries at a time; a
+#: cell of more entries is divided.
 BLOCK = 2048
+#: Queries that one task walks.
+QUERIES_A_TASK = 512
 
 
 @dataclass
@@ -80,7 +85,8 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, target_recall
     the k + 1 smallest ids can stand in an answer, so only these are indexed. The others are
     counted as found by that rule and never compared. Vectors that are null, zero, of another
     length or hold null or non-finite components take no part, and rows without vec_id neither.
-    With fewer candidates than ``k`` all are returned; an empty table gives an empty result.
+    Rows that repeat a vec_id are candidates each and queries each. With fewer candidates than ``k`` all are returned;
+    an empty table gives an empty result. Columns other than vec_id and embedding are ignored, whatever their names.
     """
     spark = embeddings.sparkSession
     dim = vectors.dimension(embeddings)
@@ -101,9 +107,9 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, target_recall
             yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["vec"], pa.array(x, pa.int32()), pa.array(y, pa.int32())], ["vec_id", "vec", "x", "y"])
 
     placed = materialize(entries.mapInArrow(place, "vec_id long, vec binary, x int, y int"), "placed")
-    index.sizes = np.zeros((len(index.left), len(index.right)), np.int64)
-    for row in placed.groupBy("x", "y").count().collect():  # one row per cell, MOST_CENTROIDS ** 2 at most
-        index.sizes[row["x"], row["y"]] = row["count"]
+    index.sizes = np.zeros((len(index.left), len(index.right)), np.int32)
+    held = placed.groupBy("x", "y").agg(F.count("*").cast("int").alias("n")).toArrow()  # one row per cell, MOST_CENTROIDS ** 2 at most
+    index.sizes[held["x"].to_numpy(), held["y"].to_numpy()] = held["n"].to_numpy()
     enough = candidates_needed(placed, asked, index, dim, count, k, target_recall)
     # a query's own rows are no answer, so it looks at k entries more than any vec_id has
     own = placed.groupBy("vec_id").count().agg(F.max("count").alias("most")).first()["most"]
@@ -112,10 +118,11 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, target_recall
 
 def fit(entries: DataFrame, dim: int, count: int) -> MultiIndex:
     """Codebooks of both halves from a bounded sample; a vector of one number has an empty right half."""
-    x = vectors.sample(entries, dim, FIT_VECTORS, count, "ann")
-    if not len(x):
-        x = vectors.sample(entries, dim, FIT_VECTORS, 1, "ann")
     k = int(np.clip(round(count**0.5 / 6), LEAST_CENTROIDS, MOST_CENTROIDS))
+    most = max(FIT_VECTORS, k * FIT_PER_CENTROID)
+    x = vectors.sample(entries, dim, most, count, "ann")
+    if not len(x):
+        x = vectors.sample(entries, dim, most, 1, "ann")
     split = (dim + 1) // 2
     right = vectors.kmeans(x[:, split:], k) if dim > 1 else np.zeros((1, 0))
     return MultiIndex(split, vectors.kmeans(x[:, :split], k), right)
@@ -150,49 +157,81 @@ def candidates_needed(placed, asked, index: MultiIndex, dim: int, count: int, k:
     truth = near.withColumn("r", F.row_number().over(order)).where(f"r <= {k}").select("q", "x", "y").collect()
     if not truth:
         return count
-    depth = np.zeros((len(q), *index.sizes.shape), np.int64)
-    for i, v in enumerate(q):
-        a, b = index.distances(v)
+    cells: dict[int, list[int]] = {}
+    for r in truth:
+        cells.setdefault(r["q"], []).append(r["x"] * len(index.right) + r["y"])
+    places = []
+    for i, own in cells.items():
+        a, b = index.distances(q[i])
         walk = np.argsort((a[:, None] + b[None, :]).ravel(), kind="stable")
-        depth[i].ravel()[walk] = np.cumsum(index.sizes.ravel()[walk])
-    places = np.sort([depth[r["q"], r["x"], r["y"]] for r in truth])
+        depth = np.zeros(len(walk), np.int64)
+        depth[walk] = np.cumsum(index.sizes.ravel()[walk])
+        places.extend(depth[own])
+    places = np.sort(places)
     return int(places[min(len(places) - 1, int(np.ceil(target * len(places))))])
 
 
+def blocks_of(sizes: np.ndarray, most: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each cell within its left centroid, and over how many divisions a cell's entries are dealt.
+
+    Neighbouring right centroids share a block until it would hold more than ``most``
+    entries; a cell of more is a block of its own and divided.
+    """
+    block, divisions = np.zeros(sizes.shape, np.int32), np.maximum(1, -(-sizes // most)).astype(np.int32)
+    at, held = np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int64)
+    for y in range(sizes.shape[1]):
+        opens = (held > 0) & (held + sizes[:, y] > most)
+        at, held = at + opens, np.where(opens, 0, held) + sizes[:, y]
+        block[:, y] = at
+    return block, divisions
+
+
 def _rerank(placed: DataFrame, asked: DataFrame, index: MultiIndex, dim: int, enough: int, k: int) -> DataFrame:
     """Compare each query with the entries of its cells and keep the best.
 
-    Entries are grouped by left centroid and cut into blocks, and so are the queries that
-    reach it, with the right centroids they want there as bits; every block of entries
-    meets every block of queries.
+    Entries are grouped by blocks of neighbouring cells. A query goes to the blocks that
+    hold a cell of its walk, with the cells it wants there as bits, and is compared with the
+    entries of these cells only. A block that many queries reach is copied for parts of them.
     """
-    shared = placed.sparkSession.sparkContext.broadcast(index)
+    block, divisions = blocks_of(index.sizes)
+    shared = placed.sparkSession.sparkContext.broadcast((index, block, divisions))
     width = -(-len(index.right) // 8)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at, divided = shared.value
         for batch in batches:
             rows = []
             for vec_id, v in zip(batch["vec_id"].to_pylist(), batch["vec"].to_pylist()):
-                for x, ys in shared.value.probe(np.frombuffer(v), enough).items():
-                    want = np.zeros(width * 8, np.uint8)
-                    want[ys] = 1
-                    rows.append((vec_id, v, x, np.packbits(want).tobytes()))
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["vec_id", "vec", "x", "want"])
-
-    probes = asked.repartition(F.xxhash64("vec_id")).mapInArrow(walk, "vec_id long, vec binary, x int, want binary")
-    stored, probes = _deal(placed, materialize(probes, "probes"), index.sizes.sum(1))
+                for x, ys in own.probe(np.frombuffer(v), enough).items():
+                    ys = np.array(ys)
+                    for b in np.unique(at[x, ys]).tolist():
+                        some = ys[at[x, ys] == b]
+                        want = np.zeros(width * 8, np.uint8)
+                        want[some] = 1
+                        rows.extend((vec_id, v, x, b, d, np.packbits(want).tobytes()) for d in range(int(divided[x, some].max())))
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            columns = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["vec_id", "vec", "x", "block", "division", "want"])
+
+    tasks = max(placed.sparkSession.sparkContext.defaultParallelism, -(-asked.count() // QUERIES_A_TASK))
+    probes = asked.repartition(tasks, F.xxhash64("vec_id")).mapInArrow(walk, "vec_id long, vec binary, x int, block int, division int, want binary")
+    stored, probes = _deal(placed, materialize(probes, "probes"), index.sizes, block, divisions)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, own = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
         names, out = ["query_id", "vec_id", "score"], ([], [], [])
-        if len(ids) and len(own):
+        if len(left) and len(right):
+            left = left.sort_by("y")
+            ids, own, y = left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), left["y"].to_numpy()
             e, q = vectors.matrix(left["vec"].combine_chunks(), dim), vectors.matrix(right["vec"].combine_chunks(), dim)
-            y = left["y"].to_numpy()
             want = np.unpackbits(np.frombuffer(b"".join(right["want"].to_pylist()), np.uint8).reshape(-1, width), axis=1).astype(bool)
+            first = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
             for i in range(0, len(own), 256):
-                score = np.where(want[i : i + 256][:, y] & (own[i : i + 256, None] != ids[None, :]), q[i : i + 256] @ e.T, -np.inf)
+                score = np.full((len(own[i : i + 256]), len(ids)), -np.inf)
+                for a, b in zip(first, [*first[1:], len(y)]):
+                    some = np.flatnonzero(want[i : i + 256, y[a]])
+                    if len(some):
+                        score[some, a:b] = q[i + some] @ e[a:b].T
+                score[own[i : i + 256, None] == ids[None, :]] = -np.inf
                 least = np.partition(score, -k, 1)[:, -k] if len(ids) > k else np.full(len(score), -np.inf)
                 for r, bound in enumerate(least.tolist()):
                     at = np.flatnonzero((score[r] >= bound - 1e-9 * abs(bound)) & (score[r] > -np.inf)) if bound > -np.inf else np.flatnonzero(score[r] > -np.inf)
@@ -204,19 +243,26 @@ def _rerank(placed: DataFrame, asked: DataFrame, index: MultiIndex, dim: int, en
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
         return pa.table([join(out[0], pa.int64()), join(out[1], pa.int64()), join(out[2], pa.float64())], names)
 
-    scored = stored.groupBy("x", "block", "part").cogroup(probes.groupBy("x", "block", "part")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    group = ["x", "block", "division", "part"]
+    scored = stored.groupBy(*group).cogroup(probes.groupBy(*group)).applyInArrow(compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _deal(placed: DataFrame, probes: DataFrame, held: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Entries and queries with block (of the entries) and part (of the queries) of their left centroid x."""
-    reach = np.zeros(len(held), np.int64)
-    for row in probes.groupBy("x").count().collect():  # one row per left centroid, MOST_CENTROIDS at most
-        reach[row["x"]] = row["count"]
-    per_left = lambda n: F.element_at(F.array(*[F.lit(max(1, int(-(-m // BLOCK)))) for m in n.tolist()]), F.col("x") + 1)
-    every = lambda n: F.explode(F.sequence(F.lit(0), per_left(n) - 1))
-    one = lambda n, *by: F.pmod(F.xxhash64(*by), per_left(n)).cast("int")
-    stored = placed.withColumn("block", one(held, "vec_id")).withColumn("part", every(reach))
-    return stored, probes.withColumn("part", one(reach, "vec_id", "vec")).withColumn("block", every(held))
+def _deal(placed: DataFrame, probes: DataFrame, sizes: np.ndarray, block: np.ndarray, divisions: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Entries and queries with the block of their cells, its division (of the entries) and part (of the queries).
+
+    Entries of blocks that no query reaches go.
+    """
+    x, y = np.nonzero(sizes)
+    cells = pa.table({"x": pa.array(x, pa.int32()), "y": pa.array(y, pa.int32()), "block": pa.array(block[x, y]), "divisions": pa.array(divisions[x, y])})
+    cells = if_small(placed.sparkSession.createDataFrame(cells))  # one row per cell that holds an entry
+    reach = materialize(probes.groupBy("x", "block").agg(F.ceil(F.count("*") / F.max(F.col("division") + 1) / BLOCK).alias("parts")), "reach")
+    reach = if_small(reach)
+    stored = (
+        placed.join(cells, ["x", "y"]).withColumn("division", F.pmod(F.xxhash64("vec_id"), F.col("divisions")).cast("int"))
+        .join(reach, ["x", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    )
+    asked = probes.join(reach, ["x", "block"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "vec"), F.col("parts")))
+    return stored.select("x", "block", "division", "part", "y", "vec_id", "vec"), asked.select("x", "block", "division", "part", "vec_id", "vec", "want")
