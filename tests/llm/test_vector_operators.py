@@ -99,15 +99,70 @@ def test_queries_look_far_enough_past_their_own_rows(spark, monkeypatch):
     assert all(r == list(range(1, 21)) for r in ranks.values())
 
 
-def test_queries_of_a_hot_centroid_come_in_blocks(spark, monkeypatch):
+def test_cells_share_blocks_and_hot_ones_are_divided(spark, monkeypatch):
+    sizes = np.array([[30, 30, 30, 900], [0, 50, 0, 20]], np.int32)
+    block, divisions = ann.blocks_of(sizes, 64)
+    assert block.tolist() == [[0, 0, 1, 2], [0, 0, 0, 1]] and divisions.tolist() == [[1, 1, 1, 15], [1, 1, 1, 1]]
     monkeypatch.setattr(ann, "BLOCK", 64)
-    placed = spark.range(1000).selectExpr("id as vec_id", "binary('') as vec", "int(id % 10 = 0) as x", "0 as y")
-    probes = spark.range(1000).selectExpr("id as vec_id", "binary('') as vec", "int(id % 100 = 0) as x", "binary('') as want")
-    stored, asked = ann._deal(placed, probes, np.array([900, 100]))
-    largest = lambda df: df.groupBy("x", "block", "part").count().agg({"count": "max"}).first()[0]
-    assert largest(stored) < 150 and largest(asked) < 150
-    met = stored.alias("a").join(asked.alias("b"), ["x", "block", "part"]).select("a.vec_id", "b.vec_id")
-    assert met.count() == 900 * 990 + 100 * 10
+    rows = [(x, y, i) for x in range(2) for y in range(4) for i in range(sizes[x, y])]
+    placed = spark.createDataFrame([(n, b"", x, y) for n, (x, y, _) in enumerate(rows)], "vec_id long, vec binary, x int, y int")
+    probes = spark.createDataFrame([(q, b"%d" % q, 0, 2, d, b"") for q in range(300) for d in range(15)] + [(7, b"", 1, 0, 0, b"")], "vec_id long, vec binary, x int, block int, division int, want binary")
+    stored, asked = ann._deal(placed, probes, sizes, block, divisions)
+    group = ["x", "block", "division", "part"]
+    largest = lambda df: df.groupBy(*group).count().agg({"count": "max"}).first()[0]
+    assert largest(stored) < 120 and largest(asked) < 120
+    met = stored.alias("a").join(asked.alias("b"), group).select("a.vec_id", "b.vec_id")
+    assert met.count() == met.distinct().count() == 900 * 300 + 50
+
+
+def test_recall_where_cells_are_left_out(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((150, 24))
+    x = (centres[rng.integers(0, 150, 12_000)] + 0.4 * rng.standard_normal((12_000, 24))).astype(np.float32).astype(np.float64)
+    x[:4000] = centres[0] + 0.2 * rng.standard_normal((4000, 24))
+    x = x.astype(np.float32).astype(np.float64)
+    every = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    told = ann.search(every, every.where("vec_id % 20 = 0"), k=20).collect()
+    got = {}
+    for r in told:
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hits = 0
+    for i in range(0, len(x), 20):
+        score = x @ x[i]
+        score[i] = -np.inf
+        near = set(np.argsort(-score, kind="stable")[:20].tolist())
+        assert sorted(r for r, _, _ in got[i]) == list(range(1, 21)) and all(abs(s - score[j]) < 1e-9 for _, j, s in got[i])
+        hits += len(near & {j for _, j, _ in got[i]})
+    assert hits >= 0.9 * len(x)
+
+
+def test_repeated_ids_and_links(spark):
+    rows, _ = vectors(9, 30)
+    rows += [(3, rows[3][1]), (3, rows[7][1] * 2), (None, rows[2][1])]
+    told = embdedup.link(table(spark, rows)).collect()
+    x = np.array([np.float32(v) for _, v in rows[:-1]], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.9).sum(1) - 1
+    both = links[3] + links[31]  # rows of id 3: two equal vectors, and one that links with 7
+    assert sorted(r["n_links"] for r in told if r["vec_id"] == 3) == [both - 1, both, both] and len(told) == len(rows)
+    assert all(r["n_links"] == links[r["vec_id"]] for r in told if r["vec_id"] not in (None, 3))
+    assert {r["component_id"] for r in told if r["vec_id"] in (3, 7)} == {3}
+    found = ann.search(table(spark, rows), table(spark, rows[:4]), k=20).collect()
+    assert {r["query_id"] for r in found} == {0, 1, 2, 3} and not any(r["query_id"] == r["vec_id"] for r in found)
+
+
+def test_planted_pairs_at_the_limit(spark):
+    rng = np.random.default_rng(12)
+    a = rng.standard_normal((3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.91 * a + (1 - 0.91**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x = np.concatenate([a, b]).astype(np.float32).astype(np.float64)
+    told = embdedup.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    assert sum(r["n_links"] for r in told) >= 0.999 * want.sum() and all(r["n_links"] <= want[r["vec_id"]] for r in told)
 
 
 @needs_data

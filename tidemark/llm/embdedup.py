@@ -64,12 +64,15 @@ def link(embeddings: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     their own distance, so at least one end looks into the other's cell, at any number of
     cells. There its rotated vector is set against the stored codes; pairs whose interval lies
     below ``least`` are ruled out, all others are computed in double precision from the
-    vectors, so no link is below ``least``. A pair is missed only if the code's bound fails. A cell of many rows is compared block by block in as
-    many groups, and tasks return counts and one edge per row, never pairs.
+    vectors, so no link is below ``least``. A pair is missed only if the code's bound fails. A cell of many rows is compared
+    block by block in as many groups, and tasks return counts and one edge per row, never pairs.
 
     Vectors that are null, zero, of another length than the commonest, or hold null or
     non-finite components have no links, and rows of a null vec_id neither: these have a null
-    component and are kept. Rows that repeat a vec_id count as vectors of their own and share a component.
+    component and are kept. Rows that repeat a vec_id with equal vectors count as links of each other; with different
+    vectors they share a component, are no links of each other, and each has the links that any of them has with other
+    ids and its own copies. Columns other than
+    vec_id and embedding are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = embeddings.sparkSession
     dim = vectors.dimension(embeddings)
