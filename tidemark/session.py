@@ -34,11 +34,14 @@ def get_spark(name: str = "tidemark", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests, a laptop) a temporary folder is made and used.
+    Only where the session names none and runs on one machine (tests, a laptop) a temporary
+    folder is made and used; on a cluster executors wouldn't see it.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
