@@ -68,13 +68,31 @@ def test_labels(spark):
 
 
 def test_texts(spark):
-    filing = "x\nItem 5.02 Departure of Directors\nbody &amp; more\nItem 9.01. Exhibits\n(d) Exhibits\n10.1 Some agreement\n10.1 Twice\n99 Press release\nSIGNATURES\n"
+    filing = "x\nItem 5.02 Departure of Directors\nbody &amp; more\nItem 9.01. Exhibits\n(d) Exhibits\n10.1 Some agreement\n10.1  Some agreement.\n99 Press release\nSIGNATURES\n"
     row = one(
         spark, text.items(F.lit(filing), F.lit("8-K")), text.exhibits(F.lit(filing)), text.dividend(F.lit("Dividend raised from $0.50 to $0.55 per share")), text.normalized(F.lit("<p>a&amp;lt;b</p><br/>  c")),
-        text.dividend(F.lit("nothing")), text.normalized(F.lit(None).cast("string")), text.infer_tags(F.lit("Tech"), F.lit("Tech"), F.lit("cloud"), n(3e9), n(None), n(0.05)),
+        text.dividend(F.lit("nothing")), text.normalized(F.lit(None).cast("string")), text.infer_tags({"sector": F.lit("Technology"), "industry": F.lit("Tech"), "description": F.lit("cloud"), "market_cap": n(3e9), "last_dividend": n(1.25), "price": n(100)}),
         text.items(F.lit("PART I. Item 1A. Risk factors\nmuch"), F.lit("10-K")),
     )
     assert [(i["code"], i["title"]) for i in row[0]] == [("5.02", "Departure of Directors"), ("9.01", "Exhibits")]
     assert [tuple(e) for e in row[1]] == [("10.1", "Some agreement"), ("99", "Press release")]
-    assert row[2]["previous"] == 0.5 and row[2]["current"] == 0.55 and row[3] == "a&lt;b\nc".replace("&lt;", "<") and row[4] is None and row[5] == ""
-    assert row[6] == ["tech", "cloud", "mid-cap", "high-yield"] and row[7][0]["code"] == "1A" and not math.isnan(row[2]["current"])
+    assert row[2]["previous"] == 0.5 and row[2]["current"] == 0.55 and row[3] == "a<b\n c" and row[4] is None and row[5] == ""
+    assert row[6] == ["tech", "cloud", "midcap", "high_dividend"] and row[7][0]["code"] == "1A" and not math.isnan(row[2]["current"])
+
+
+def test_texts_in_other_words(spark):
+    said = [
+        "The Board raised the dividend from $0.50 to $0.55 per share, or $2.20 on an annualized basis. It was declared on May 2, 2024 and is payable June 14, 2024 to shareholders of record at the close of business on May 20, 2024.",
+        "From $1,000.5 to $1,200 per shares; holders of record June 3, 2023 (paid on July 1, 2023).", "rose from $1 to $2 a unit", "", None,
+    ]
+    rows = one(spark, *[text.dividend(F.lit(t).cast("string")) for t in said])
+    assert tuple(rows[0]) == (0.5, 0.55, 2.2, "May 2, 2024", "May 20, 2024", "June 14, 2024")
+    assert tuple(rows[1]) == (1000.5, 1200.0, None, None, "June 3, 2023", "July 1, 2023") and [rows[i] for i in (2, 3, 4)] == [None] * 3
+    filing = "Part II\nITEM 8. Statements.\nsums\nItem 9B\nnone\nItem 5 of the list is short\nItem one\n"
+    row = one(
+        spark, text.items(F.lit(filing), F.lit("10-K")), text.items(F.lit("plain"), F.lit("8-K")), text.items(F.lit(None).cast("string"), F.lit("8-K")), text.exhibits(F.lit("( d )  Exhibits\n3.1.a By-laws of it.\n10 ab\nItem 9.01 more\n4 not this")),
+        text.exhibits(F.lit("no list")), text.normalized(F.lit("a&#8217;s &#128512;&#0;&#55296; b<br />c</LI>d")), text.infer_tags({}),
+    )
+    assert [(i["code"], i["title"], i["body"]) for i in row[0]] == [("8", "Statements", "sums"), ("9B", None, "none"), ("5", "of the list is short", "Item one")]
+    assert row[1] == [] and row[2] is None and [tuple(e) for e in row[3]] == [("3.1.a", "By-laws of it")] and row[4] == []
+    assert row[5] == "a’s 😀 b\nc\nd" and row[6] == ["non_dividend"]

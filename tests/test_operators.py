@@ -90,7 +90,7 @@ def test_rules(spark):
 
 
 def test_similarity_case(spark):
-    found = spark.createDataFrame([(0, ["p", "q"], ["a", "b"], 1), (1, ["p", "r"], ["a", "c"], 1)], "idx long, state_vector array<string>, tokens array<string>, size long")
+    found = spark.createDataFrame([(0, ["a", "b"], ["a", "b"], 1), (1, ["a", "c"], ["a", "c"], 1)], "idx long, state_vector array<string>, tokens array<string>, size long")
     row = structure.pair_similarity(found).first()
     assert row["jaccard"] == pytest.approx(1 / 3) and row["idf_jaccard"] == pytest.approx(0.239812, abs=1e-6) and row["hamming"] == 0.5
 
@@ -165,3 +165,39 @@ def test_csv_readers(spark, tmp_path):
     (tmp_path / "m.csv").write_text("series_id,observation_date,value\nGDP,2024-01-01,.\nGDP,2024-04-01,3.5\n")
     assert [tuple(r) for r in facts.read_holdings(spark, str(tmp_path / "h.csv")).collect()] == [("AAA", "A, Inc", 5.5)]
     assert [r["value"] for r in facts.read_observations(spark, str(tmp_path / "m.csv")).orderBy("observation_date").collect()] == [None, 3.5]
+
+
+def test_pairs_without_common_tokens_agree_by_state(spark):
+    states = [["a=missing", "b=missing", "c=up"], ["a=missing", "b=missing", "c=down"], ["a=x", "b=y", "c=z"], ["a=x", "b=mixed_q", "c=w"], ["a=v", "b=mixed_q", "c=u"]]
+    rows = [(i, s, [t.replace("=", ".") for t in s if not t.endswith("missing") and "mixed_" not in t], 1) for i, s in enumerate(states)]
+    found = spark.createDataFrame(rows, "idx long, state_vector array<string>, tokens array<string>, size long")
+    pairs = structure.pair_similarity(found)
+    told = {(r["a"], r["b"]): (r["shared"], r["different"], r["hamming"], r["jaccard"]) for r in pairs.collect()}
+    want = {}
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            same, shared = sum(p == q for p, q in zip(x[1], y[1])), len(set(x[2]) & set(y[2]))
+            if same:
+                want[x[0], y[0]] = (shared, 3 - same, pytest.approx(same / 3), pytest.approx(shared / len(set(x[2]) | set(y[2]))))
+    assert told == want and len(want) == 3
+    bars = {r["bucket"]: r["n"] for r in structure.histogram(found, pairs).collect()}
+    assert sum(bars.values()) == 10 and bars[0] == 7
+
+
+def test_differences_of_facts_that_several_filings_state(spark):
+    day = dt.date
+    rows = [(1, "T", "U", day(2023, 1, 1), day(2023, 3, 31), 100.0, day(2023, 4, 1)), (1, "T", "U", day(2023, 1, 1), day(2023, 3, 31), 110.0, day(2024, 4, 1)), (1, "T", "U", day(2023, 1, 1), day(2023, 6, 30), 250.0, day(2023, 7, 1)),
+            (1, "T", "U", day(2023, 1, 1), day(2023, 6, 30), 260.0, day(2024, 7, 1)), (1, "T", "U", day(2023, 4, 1), day(2023, 6, 30), 150.0, day(2023, 7, 1))]
+    facts = spark.createDataFrame(rows, "cik int, tag string, unit string, start date, end date, val double, filed date")
+    told = periods.from_differences(facts).collect()
+    assert [(r["start"], r["end"], r["val"], r["duration_days"]) for r in told] == [(day(2023, 4, 1), day(2023, 6, 30), 150.0, 91)]
+    lead = periods.from_trailing(facts).collect()
+    assert [(r["start"], r["end"], r["val"]) for r in lead] == [(day(2023, 1, 1), day(2023, 3, 31), 110.0)]
+
+
+def test_spans_stated_twice_keep_both_facts(spark):
+    day = dt.date
+    facts = spark.createDataFrame([(1, day(2023, 1, 2), day(2023, 4, 1), 5.0)] * 2 + [(1, day(2023, 2, 1), day(2023, 4, 30), 7.0)], "cik int, start date, end date, val double")
+    windows = spark.createDataFrame([(1, 2023, 1, day(2023, 1, 1), day(2023, 3, 31))], "cik int, fiscal_year int, fiscal_quarter int, low date, high date")
+    told = periods.resolve_quarters(facts, windows).collect()
+    assert [(r["val"], r["fiscal_quarter"], r["match"]) for r in told] == [(5.0, 1, "near")] * 2

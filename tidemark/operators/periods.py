@@ -64,13 +64,16 @@ def resolve_quarters(facts: DataFrame, windows: DataFrame) -> DataFrame:
     Adds fiscal_year, fiscal_quarter, score and match; only exact and near matches stay.
     """
     month = lambda d: F.year(d) * 12 + F.month(d)
+    # facts that state one span share its window, so spans are matched once and facts looked up
+    some = facts.where(F.date_diff("end", "start").between(QUARTER_LENGTH[0] - 1, QUARTER_LENGTH[1] - 1))
+    spans = some.select("cik", "start", "end").distinct().withColumn("m", month(F.col("end")))
     w = windows.select("cik", F.col("fiscal_year").alias("wy"), F.col("fiscal_quarter").alias("wq"), "low", "high").withColumn("m", F.explode(F.array(*[month(F.col("high")) + k for k in (-1, 0, 1)])))
-    some = facts.where(F.date_diff("end", "start").between(QUARTER_LENGTH[0] - 1, QUARTER_LENGTH[1] - 1)).withColumn("m", month(F.col("end"))).withColumn("__id", F.monotonically_increasing_id())
-    scored = some.join(w, ["cik", "m"]).withColumn("s", window_score(F.col("start"), F.col("end"), F.col("low"), F.col("high"), QUARTER_TOLERANCE))
+    scored = spans.join(w, ["cik", "m"]).withColumn("s", window_score(F.col("start"), F.col("end"), F.col("low"), F.col("high"), QUARTER_TOLERANCE))
     good = scored.where(F.col("s.match").isin("exact", "near"))
-    best = good.withColumn("__r", F.row_number().over(Window.partitionBy("__id").orderBy(F.desc("s.score"), "wy", "wq"))).where("__r = 1")
+    best = good.groupBy("cik", "start", "end").agg(F.max_by(F.struct("wy", "wq", "s"), F.struct("s.score", -F.col("wy"), -F.col("wq"))).alias("__b"))
     names = [c for c in facts.columns if c not in ("fiscal_year", "fiscal_quarter", "score", "match")]
-    return best.select(*names, F.col("wy").alias("fiscal_year"), F.col("wq").alias("fiscal_quarter"), F.col("s.score").alias("score"), F.col("s.match").alias("match"))
+    told = some.join(best, ["cik", "start", "end"])
+    return told.select(*names, F.col("__b.wy").alias("fiscal_year"), F.col("__b.wq").alias("fiscal_quarter"), F.col("__b.s.score").alias("score"), F.col("__b.s.match").alias("match"))
 
 
 def best_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,13 +84,19 @@ def best_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def _last_stated(facts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One fact per keys, start and end: of several filings that state it the one filed last, then the larger value."""
+    return facts.groupBy(*keys, "start", "end").agg(F.max(F.struct("filed", "val")).alias("__f")).select(*keys, "start", "end", "__f.val", "__f.filed")
+
+
 def from_differences(facts: DataFrame, keys: tuple[str, ...] = ("cik", "tag", "unit")) -> DataFrame:
     """Quarters as a cumulative fact less the one before it with the same start: start, end, val, source_kind.
 
-    Only differences of a quarter's length count; the longest earlier fact is taken.
+    The latest fact that ends strictly earlier is taken, and only differences of a quarter's
+    length count. A period that several filings state is first brought to its last statement.
     """
     w = Window.partitionBy(*keys, "start").orderBy("end")
-    before = facts.withColumn("__p", F.lag(F.struct("end", "val", "filed")).over(w)).where(F.col("__p").isNotNull() & (F.col("__p.end") < F.col("end")))
+    before = _last_stated(facts, keys).withColumn("__p", F.lag(F.struct("end", "val", "filed")).over(w)).where(F.col("__p").isNotNull())
     start = F.date_add("__p.end", 1)
     length = F.date_diff("end", start) + 1
     return before.where(length.between(*QUARTER_LENGTH)).select(
@@ -97,9 +106,9 @@ def from_differences(facts: DataFrame, keys: tuple[str, ...] = ("cik", "tag", "u
 
 
 def from_trailing(facts: DataFrame, keys: tuple[str, ...] = ("cik", "tag", "unit")) -> DataFrame:
-    """Leading quarters as a cumulative fact less the longest shorter one with the same end."""
+    """Leading quarters as a cumulative fact less the longest shorter one with the same end, each by its last statement."""
     w = Window.partitionBy(*keys, "end").orderBy(F.desc("start"))
-    after = facts.withColumn("__p", F.lag(F.struct("start", "val", "filed")).over(w)).where(F.col("__p").isNotNull() & (F.col("__p.start") > F.col("start")))
+    after = _last_stated(facts, keys).withColumn("__p", F.lag(F.struct("start", "val", "filed")).over(w)).where(F.col("__p").isNotNull())
     end = F.date_add("__p.start", -1)
     length = F.date_diff(end, "start") + 1
     return after.where(length.between(*QUARTER_LENGTH)).select(

@@ -45,38 +45,53 @@ def token_weights(found: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(total)).select("token", "df", F.least(F.log(1 + F.col("g") / F.col("df")), F.lit(IDF_CAP)).alias("weight"))
 
 
+#: Groups of one state that a task meets with each other.
+GROUPS_A_TASK = 1000
+
+
 def pair_similarity(found: DataFrame) -> DataFrame:
-    """Pairs of groups that share a token: a < b, shared and union counts, Jaccard, its weighted form, Hamming.
+    """Pairs of groups that are in one state in some question: a < b, shared and union counts of tokens, Jaccard, its weighted form, Hamming.
 
-    Pairs meet by token, so pairs with nothing in common, whose Jaccard similarities are 0,
-    are never made. Sums run per pair before anything else is joined.
+    Pairs meet by state, directional or not; a pair that agrees in no question has similarity
+    0 in every lens and isn't made (:func:`histogram` counts these by arithmetic). Sums run
+    per pair before anything else is joined. Groups of a common state are dealt to parts that
+    meet each other, so no task holds all of its pairs.
     """
     weights = token_weights(found)
-    tokens = found.select("idx", F.explode("tokens").alias("token")).join(if_small(weights), "token")
-    sizes = tokens.groupBy("idx").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    x, y = tokens.alias("x"), tokens.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.idx") < F.col("y.idx"))).groupBy(F.col("x.idx").alias("a"), F.col("y.idx").alias("b")).agg(
-        F.count("*").alias("shared"), F.sum("x.weight").alias("shared_weight")
-    )
-    side = found.select("idx", "state_vector").join(sizes, "idx")
-    both = met.join(if_small(side.select(F.col("idx").alias("a"), F.col("state_vector").alias("va"), F.col("n").alias("na"), F.col("w").alias("wa"))), "a").join(
-        if_small(side.select(F.col("idx").alias("b"), F.col("state_vector").alias("vb"), F.col("n").alias("nb"), F.col("w").alias("wb"))), "b"
+    token = lambda s: F.regexp_replace(s, "=", ".")
+    states = found.select("idx", "tokens", F.explode("state_vector").alias("state"))
+    states = states.select("idx", "state", F.when(F.array_contains("tokens", token(F.col("state"))), token(F.col("state"))).alias("token"))
+    states = materialize(states.join(if_small(weights), "token", "left").select("idx", "state", "weight"), "states")
+    sizes = states.groupBy("idx").agg(F.count("weight").alias("n"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"), F.count("*").alias("questions"))
+    parts = if_small(states.groupBy("state").agg(F.ceil(F.count("*") / GROUPS_A_TASK).alias("parts")))
+    dealt = states.join(parts, "state")
+    x = dealt.withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts"))).alias("x")
+    y = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("y")
+    same = (F.col("x.state") == F.col("y.state")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.idx") < F.col("y.idx"))
+    met = x.join(y, same).groupBy(F.col("x.idx").alias("a"), F.col("y.idx").alias("b")).agg(
+        F.count("*").alias("agree"), F.count("x.weight").alias("shared"), F.coalesce(F.sum("x.weight"), F.lit(0.0)).alias("shared_weight")
     )
-    different = F.aggregate(F.zip_with("va", "vb", lambda p, q: F.when(p.eqNullSafe(q), 0).otherwise(1)), F.lit(0), lambda s, v: s + v)
-    longest = F.greatest(F.size("va"), F.size("vb"))
+    side = lambda i: if_small(sizes.select(F.col("idx").alias(i), *[F.col(c).alias(c + i) for c in ("n", "w", "questions")]))
+    both = met.join(side("a"), "a").join(side("b"), "b")
+    longest = F.greatest("questionsa", "questionsb")
+    different = (longest - F.col("agree")).cast("int")
     union, weight = F.col("na") + F.col("nb") - F.col("shared"), F.col("wa") + F.col("wb") - F.col("shared_weight")
     return both.select(
-        "a", "b", "shared", union.alias("union"), (F.col("shared") / union).alias("jaccard"), F.when(weight > 0, F.col("shared_weight") / weight).otherwise(0.0).alias("idf_jaccard"),
+        "a", "b", "shared", union.alias("union"), F.when(union > 0, F.col("shared") / union).otherwise(0.0).alias("jaccard"),
+        F.when(F.col("shared") > 0, F.col("shared_weight") / weight).otherwise(0.0).alias("idf_jaccard"),
         (1 - different / longest).alias("hamming"), different.alias("different"),
     )
 
 
-def histogram(pairs: DataFrame, column: str = "hamming", buckets: int = 20) -> DataFrame:
-    """(bucket, n, share) for every bucket from 0 to ``buckets``, empty ones too."""
+def histogram(found: DataFrame, pairs: DataFrame, column: str = "hamming", buckets: int = 20) -> DataFrame:
+    """(bucket, n, share) for every bucket from 0 to ``buckets``, empty ones too, over all pairs of ``found``: those not made are in bucket 0."""
     spark = pairs.sparkSession
     counted = pairs.groupBy(F.least(F.lit(buckets), F.floor(F.col(column) * buckets)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     every = spark.range(buckets + 1).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(counted), "bucket", "left").fillna(0, ["n"])
-    return every.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = found.agg(((F.count("*") * (F.count("*") - 1)) / 2).cast("long").alias("total"))
+    made = every.withColumn("made", F.sum("n").over(Window.partitionBy())).crossJoin(F.broadcast(total))
+    told = made.withColumn("n", F.col("n") + F.when(F.col("bucket") == 0, F.col("total") - F.col("made")).otherwise(0))
+    return told.select("bucket", "n", F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(0.0).alias("share"))
 
 
 def components(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

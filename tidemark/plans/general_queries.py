@@ -43,11 +43,12 @@ def resolved_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months that follow each other without a gap, summed where they make a quarter."""
+    """The months of one quarter's filing that follow each other without a gap, summed where they make a quarter."""
     items = adapters.table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_quantity"])
     month = F.trunc(F.col("l_shipdate").cast("date"), "MM")
-    months = items.groupBy(F.col("l_suppkey").alias("cik"), month.alias("start")).agg(F.sum("l_quantity").alias("val")).where("month(start) % 4 <> 0")
-    return periods.merge_segments(months.withColumn("end", F.last_day("start")), ["cik"])
+    months = items.groupBy(F.col("l_suppkey").alias("cik"), month.alias("start")).agg(F.sum("l_quantity").alias("val"))
+    filed = months.withColumn("end", F.last_day("start")).withColumn("accn", F.year("start") * 10 + F.quarter("start"))
+    return periods.merge_segments(filed, ["cik", "accn"])
 
 
 def annual_from_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,24 +87,56 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.length(told).alias("chars"), F.md5(F.encode(told, "UTF-8")).alias("digest"))
 
 
+#: Made-up filings by form: {k} is a number.
+_FILINGS = {
+    "8-K": "HEAD\nItem 5.02 Departure of Officer {k}.\nFirst body\nITEM 9.01. Exhibits\n(d) Exhibits\n99.1. Release {k}.\n101.INS Instance\n(e) Other\n5 not one",
+    "10-K": "PART I\nPART I. Item 1A. Risk Factors\nrisk {k}\nItem 7 Discussion\nof items\nand more",
+    "10-Q": "Item 2.02 Results\nquarter {k}\nExhibit No.  Description\n10.1 Contract {k}\n10.1 Contract {k}\nno 7",
+}
+_SAYINGS = [
+    "No payment was announced.",
+    "The Board raised the quarterly dividend from $0.{k} to $1.{k} per share, payable March {d}, 2024.",
+    "It paid $2.{k} on an annualized basis. The dividend was declared on May {d}, 2024, to holders of record at the close of business on June {d}, 2024.",
+    "A dividend of $0.{k} (paid July {d}, 2024) was declared.",
+]
+
+
+def _said(texts: list[str], turn) -> F.Column:
+    """The text whose turn it is, with the key's numbers written in."""
+    number, day = (F.col("o_orderkey") % 90 + 10).cast("string"), (F.col("o_orderkey") % 28 + 1).cast("string")
+    filled = [F.replace(F.replace(F.lit(x), F.lit("{k}"), number), F.lit("{d}"), day) for x in texts]
+    return F.element_at(F.array(*filled), (turn % len(texts) + 1).cast("int"))
+
+
 def filing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item headings and bodies of texts made from orders."""
-    k = F.col("o_orderkey").cast("string")
-    body = F.concat(F.lit("HEAD\nItem 5.02 Departure of Officer "), k, F.lit(".\nFirst body\nItem 9.01. Exhibits\nLast body"))
-    rows = adapters.table(spark, sf_dir, "orders", ["o_orderkey"]).select("o_orderkey", F.posexplode(text.items(body, F.lit("8-K"))).alias("pos", "i"))
+    """Item headings, titles and bodies of filings of three forms made from orders."""
+    form = F.element_at(F.array(*map(F.lit, _FILINGS)), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    orders = adapters.table(spark, sf_dir, "orders", ["o_orderkey"]).withColumn("form", form)
+    rows = orders.select("o_orderkey", F.posexplode(text.items(_said(list(_FILINGS.values()), F.col("o_orderkey")), F.col("form"))).alias("pos", "i"))
     return rows.select("o_orderkey", "pos", "i.*")
 
 
+def filing_exhibits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exhibit numbers and descriptions of the same filings."""
+    orders = adapters.table(spark, sf_dir, "orders", ["o_orderkey"])
+    rows = orders.select("o_orderkey", F.posexplode(text.exhibits(_said(list(_FILINGS.values()), F.col("o_orderkey")))).alias("pos", "e"))
+    return rows.select("o_orderkey", "pos", "e.*")
+
+
 def dividend_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    raised = F.concat(F.lit("The Board raised the quarterly dividend from $0."), (k % 90 + 10).cast("string"), F.lit(" to $1."), (k % 90 + 10).cast("string"), F.lit(" per share, payable March "), (k % 28 + 1).cast("string"), F.lit(", 2024."))
-    told = text.dividend(F.when(k % 3 == 0, "No payment was announced.").otherwise(raised))
-    return adapters.table(spark, sf_dir, "orders", ["o_orderkey"]).select("o_orderkey", told["previous"].alias("previous"), told["current"].alias("current"), told["payable"].alias("payable"), told.isNull().alias("is_silent"))
+    told = text.dividend(_said(_SAYINGS, F.col("o_orderkey")))
+    orders = adapters.table(spark, sf_dir, "orders", ["o_orderkey"]).withColumn("t", told)
+    return orders.select("o_orderkey", "t.*", F.col("t").isNull().alias("is_silent"))
 
 
 def inferred_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = adapters.companies(spark, sf_dir).withColumn("k", F.col("cik").cast("int"))
-    tags = text.infer_tags(F.col("sector"), F.col("industry"), F.lit(None).cast("string"), F.pow(F.lit(10.0), F.col("k") % 5 + 8), F.lit(0.5) + F.col("k") % 10 / 10, (F.col("k") % 6) / 100)
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), F.col("k") % len(values) + 1)
+    tags = text.infer_tags({
+        "sector": pick("Technology", "Energy", "Unknown", None), "industry": pick("Software - Application", "Oil & Gas Midstream", "Regional Banks"), "country": pick("US", "CN", "", "FR", "US"),
+        "description": pick("Cloud and data center services", "Runs the grid", "Uses artificial intelligence in retail", None, ""), "is_etf": F.col("k") % 7 == 0,
+        "market_cap": F.pow(F.lit(10.0), F.col("k") % 5 + 8), "beta": F.lit(0.5) + F.col("k") % 10 / 10, "last_dividend": (F.col("k") % 6) / 4, "price": F.lit(100.0),
+    })
     return c.select("cik", F.concat_ws(",", tags).alias("tags"))
 
 
@@ -276,18 +309,18 @@ def robust_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     reconstructed_quarters, leading_quarters, resolved_quarters, merged_segments, annual_from_quarters, fiscal_regimes, formula_metric, series_issues,
-    page_texts, filing_items, dividend_phrases, inferred_tags, portfolio_rebalance, portfolio_exposure, core_turnover, share_turnover, core_forward_returns, event_cohorts,
+    page_texts, filing_items, filing_exhibits, dividend_phrases, inferred_tags, portfolio_rebalance, portfolio_exposure, core_turnover, share_turnover, core_forward_returns, event_cohorts,
     status_pivot, modal_priority, price_percentiles, segment_shares, unordered_customers, membership_sync, changed_customers, nearest_to_median, comparison_groups,
     trailing_usage, tag_candidates, robust_scores,
 )}
 
-_TAGS = [
-    (r"(?i)<\s*(?:br|/p|/div|/tr|/li|/h[1-6]|p|div|tr|li|h[1-6])\b[^>]*>", "chr(10)"), (r"<[^>]*>", "' '"), (r"&nbsp;|&#160;", "' '"), ("&amp;", "'&'"), ("&lt;", "'<'"), ("&gt;", "'>'"),
-    ("&quot;", "'\"'"), ("&#39;|&apos;", "chr(39)"), (r"[ \t\x0B\f\r]+", "' '"), (r" ?\n ?", "chr(10)"), (r"\n{2,}", "chr(10)"),
-]
 _NORMAL = "coalesce(html, '')"
-for _p, _by in _TAGS:
+for _p, _by in (
+    (r"(?i)<(?:br\s*/?|/(?:p|div|tr|li))>", "chr(10)"), ("<[^>]+>", "' '"), ("(?i)&nbsp;", "' '"), ("(?i)&amp;", "'&'"), ("(?i)&quot;", "'\"'"), ("(?i)&lt;", "'<'"), ("(?i)&gt;", "'>'"),
+):
     _NORMAL = f"regexp_replace({_NORMAL}, '{_p}', {_by}, 'g')"
+_DECODED = r"array_to_string(list_transform(list_zip(string_split_regex(t0, '&#\d+;'), regexp_extract_all(t0, '&#(\d+);', 1)), lambda p: p[1] || coalesce(chr(CAST(p[2] AS INT)), '')), '')"
+_SQUEEZED = r"regexp_replace(regexp_replace(replace(replace(t1, chr(13), ''), chr(9), ' '), ' {2,}', ' ', 'g'), '\n{2,}', chr(10), 'g')"
 _RANKED = """sold AS (SELECT CAST(date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS as_of, p_brand AS name, sum(l_quantity) AS sold FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY sold DESC, name) AS rank FROM sold)"""
 _BANDS = f"""{_RANKED}, core AS (SELECT as_of, list(name ORDER BY rank) AS core FROM ranked WHERE rank <= 5 GROUP BY 1),
@@ -322,9 +355,9 @@ c AS (SELECT f.*, qw.*, abs(start - low) AS a, abs("end" - high) AS b, abs(("end
 g AS (SELECT *, 0.35 * (1 - a / 20) + 0.45 * (1 - b / 20) + 0.2 * CASE WHEN n <= 14 THEN 1 - n / 28 ELSE 0 END AS score FROM c)
 SELECT cik, start, "end", val, fiscal_year, fiscal_quarter, round(score, 6) AS score, CASE WHEN a = 0 AND b = 0 THEN 'exact' ELSE 'near' END AS match FROM g
 QUALIFY row_number() OVER (PARTITION BY cik, start ORDER BY score DESC, fiscal_year, fiscal_quarter) = 1""",
-    "merged_segments": """WITH m AS (SELECT l_suppkey AS cik, CAST(date_trunc('month', l_shipdate) AS DATE) AS start, sum(l_quantity) AS val FROM lineitem WHERE month(l_shipdate) % 4 <> 0 GROUP BY 1, 2),
-c AS (SELECT *, last_day(start) AS "end", year(start) * 12 + month(start) - row_number() OVER (PARTITION BY cik ORDER BY start) AS g FROM m),
-s AS (SELECT cik, min(start) AS start, max("end") AS "end", sum(val) AS val, count(*) AS segments FROM c GROUP BY cik, g)
+    "merged_segments": """WITH m AS (SELECT l_suppkey AS cik, CAST(date_trunc('month', l_shipdate) AS DATE) AS start, CAST(year(l_shipdate) * 10 + quarter(l_shipdate) AS INT) AS accn, sum(l_quantity) AS val FROM lineitem GROUP BY 1, 2, 3),
+c AS (SELECT *, last_day(start) AS "end", year(start) * 12 + month(start) - row_number() OVER (PARTITION BY cik, accn ORDER BY start) AS g FROM m),
+s AS (SELECT cik, accn, min(start) AS start, max("end") AS "end", sum(val) AS val, count(*) AS segments FROM c GROUP BY cik, accn, g)
 SELECT *, 'segment_merged' AS source_kind FROM s WHERE segments > 1 AND "end" - start + 1 BETWEEN 75 AND 120""",
     "annual_from_quarters": f"""WITH {sql.FLOW} SELECT cik, metric_key, unit, fiscal_year, round(sum(val), 4) AS val, min(start) AS start, max("end") AS "end", max(effective_date) AS effective_date, 'annual' AS period_type
 FROM flow WHERE metric_key IN ('revenue', 'capex_cash') AND fiscal_year IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT fiscal_quarter) = 4 AND count(*) = 4""",
@@ -341,15 +374,29 @@ issues AS (
   UNION ALL SELECT cik, metric_key, 'missing_quarter', 'warning' FROM (SELECT b.cik, b.metric_key, unnest(range(a, z + 1)) AS i FROM b) w WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.cik = w.cik AND f.metric_key = w.metric_key AND f.i = w.i)
   UNION ALL SELECT cik, metric_key, CASE WHEN positive THEN 'sign_profile_conflict' ELSE 'negative_value' END, CASE WHEN positive THEN 'warning' ELSE 'info' END FROM f JOIN prof USING (cik, metric_key) WHERE val < 0)
 SELECT metric_key, "check", severity, count(*) AS n, count(DISTINCT cik) AS companies FROM issues GROUP BY 1, 2, 3""",
-    "page_texts": f"SELECT page_id, CAST(length(t) AS INT) AS chars, md5(t) AS digest FROM (SELECT page_id, regexp_replace({_NORMAL}, '^\\s+|\\s+$', '', 'g') AS t FROM pages)",
-    "filing_items": """SELECT o_orderkey, 0 AS pos, '5.02' AS code, 'Departure of Officer ' || o_orderkey AS title, chr(10) || 'First body' || chr(10) AS body FROM orders
-UNION ALL SELECT o_orderkey, 1, '9.01', 'Exhibits', chr(10) || 'Last body' FROM orders""",
-    "dividend_phrases": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 90 + 10) / 100 END AS previous, CASE WHEN o_orderkey % 3 <> 0 THEN CAST('1.' || (o_orderkey % 90 + 10) AS DOUBLE) END AS current,
-  CASE WHEN o_orderkey % 3 <> 0 THEN 'March ' || (o_orderkey % 28 + 1) || ', 2024' END AS payable, o_orderkey % 3 = 0 AS is_silent FROM orders""",
-    "inferred_tags": f"""WITH {sql.COMPANIES.strip()}, t AS (SELECT *, CAST(cik AS INT) AS k FROM companies)
-SELECT cik, array_to_string(list_filter([nullif(regexp_replace(lower(sector), '[^a-z0-9]+', '-', 'g'), ''), nullif(regexp_replace(lower(industry), '[^a-z0-9]+', '-', 'g'), ''),
-  CASE k % 5 WHEN 4 THEN 'mega-cap' WHEN 3 THEN 'large-cap' WHEN 2 THEN 'large-cap' WHEN 1 THEN 'small-cap' ELSE 'small-cap' END,
-  CASE WHEN k % 10 >= 8 THEN 'high-beta' WHEN k % 10 < 3 THEN 'low-beta' END, CASE WHEN k % 6 >= 4 THEN 'high-yield' WHEN k % 6 >= 2 THEN 'income' END], lambda x: x IS NOT NULL), ',') AS tags FROM t""",
+    "page_texts": f"""WITH a AS (SELECT page_id, {_NORMAL} AS t0 FROM pages), b AS (SELECT page_id, {_DECODED} AS t1 FROM a), c AS (SELECT page_id, {_SQUEEZED} AS t2 FROM b), d AS (SELECT page_id, regexp_replace(t2, '^\\s+|\\s+$', '', 'g') AS t FROM c)
+SELECT page_id, CAST(length(t) AS INT) AS chars, md5(t) AS digest FROM d""",
+    "filing_items": """WITH o AS (SELECT o_orderkey, o_orderkey % 3 AS f, o_orderkey % 90 + 10 AS k FROM orders)
+SELECT o_orderkey, 0 AS pos, '5.02' AS code, 'Departure of Officer ' || k AS title, 'First body' AS body FROM o WHERE f = 0
+UNION ALL SELECT o_orderkey, 1, '9.01', 'Exhibits', '(d) Exhibits' || chr(10) || '99.1. Release ' || k || '.' || chr(10) || '101.INS Instance' || chr(10) || '(e) Other' || chr(10) || '5 not one' FROM o WHERE f = 0
+UNION ALL SELECT o_orderkey, 0, '1A', 'Risk Factors', 'risk ' || k FROM o WHERE f = 1
+UNION ALL SELECT o_orderkey, 1, '7', 'Discussion', 'of items' || chr(10) || 'and more' FROM o WHERE f = 1
+UNION ALL SELECT o_orderkey, 0, '2.02', 'Results', 'quarter ' || k || chr(10) || 'Exhibit No.  Description' || chr(10) || '10.1 Contract ' || k || chr(10) || '10.1 Contract ' || k || chr(10) || 'no 7' FROM o WHERE f = 2""",
+    "filing_exhibits": """WITH o AS (SELECT o_orderkey, o_orderkey % 3 AS f, o_orderkey % 90 + 10 AS k FROM orders)
+SELECT o_orderkey, 0 AS pos, '99.1' AS number, 'Release ' || k AS description FROM o WHERE f = 0 UNION ALL SELECT o_orderkey, 1, '101.INS', 'Instance' FROM o WHERE f = 0
+UNION ALL SELECT o_orderkey, 0, '10.1', 'Contract ' || k FROM o WHERE f = 2""",
+    "dividend_phrases": """WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS f, o_orderkey % 90 + 10 AS k, o_orderkey % 28 + 1 AS d FROM orders)
+SELECT o_orderkey, CASE WHEN f = 1 THEN k / 100 END AS previous, CASE WHEN f = 1 THEN CAST('1.' || k AS DOUBLE) END AS current, CASE WHEN f = 2 THEN CAST('2.' || k AS DOUBLE) END AS annualized,
+  CASE WHEN f = 2 THEN 'May ' || d || ', 2024' END AS declared, CASE WHEN f = 2 THEN 'June ' || d || ', 2024' END AS record,
+  CASE f WHEN 1 THEN 'March ' || d || ', 2024' WHEN 3 THEN 'July ' || d || ', 2024' END AS payable, f = 0 AS is_silent FROM o""",
+    "inferred_tags": f"""WITH {sql.COMPANIES.strip()}, t AS (SELECT cik, CAST(cik AS INT) AS k FROM companies)
+SELECT cik, array_to_string(list_filter(list_concat(
+  CASE k % 4 WHEN 0 THEN ['tech'] WHEN 1 THEN ['energy'] ELSE [] END, CASE k % 3 WHEN 0 THEN ['software'] WHEN 1 THEN ['oil_gas'] ELSE ['banking'] END,
+  CASE k % 5 WHEN 0 THEN ['us_listed'] WHEN 1 THEN ['non_us', 'china_exposure'] WHEN 2 THEN [] WHEN 3 THEN ['non_us'] ELSE ['us_listed'] END, CASE WHEN k % 7 = 0 THEN ['etf'] ELSE [] END,
+  CASE k % 5 WHEN 0 THEN ['data_center', 'cloud'] WHEN 1 THEN ['power_infra'] WHEN 2 THEN ['ai', 'consumer'] ELSE [] END,
+  [CASE k % 5 WHEN 4 THEN 'megacap' WHEN 3 THEN 'largecap' WHEN 2 THEN 'largecap' ELSE 'smallcap' END,
+   CASE WHEN k % 10 < 3 THEN 'low_beta' WHEN k % 10 <= 7 THEN 'mid_beta' ELSE 'high_beta' END, CASE k % 6 WHEN 0 THEN 'non_dividend' WHEN 1 THEN 'low_dividend' WHEN 2 THEN 'mid_dividend' WHEN 3 THEN 'mid_dividend' WHEN 4 THEN 'mid_dividend' ELSE 'high_dividend' END]
+  ), lambda x: x IS NOT NULL), ',') AS tags FROM t""",
     "portfolio_rebalance": f"""WITH {_HELD},
 c AS (SELECT *, max(CASE WHEN ticker = 'CASH' THEN greatest(current_value - target_weight / 100 * total, 0) END) OVER (PARTITION BY portfolio) AS investable, CASE WHEN ticker <> 'CASH' THEN greatest(coalesce(target_weight, 0) / 100 * total - current_value, 0) END AS deficit_value FROM weighed),
 b AS (SELECT *, CASE WHEN ticker = 'CASH' THEN -investable WHEN sum(deficit_value) OVER (PARTITION BY portfolio) > 0 AND investable > 0 THEN deficit_value / sum(deficit_value) OVER (PARTITION BY portfolio) * investable ELSE 0 END AS buy_amount FROM c)

@@ -43,7 +43,7 @@ def price_feature_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same features as of each year's end, from one pass over the bars."""
     shots = spark.sql("select explode(sequence(date'1998-12-31', date'2001-12-31', interval 1 year)) as as_of")
     told = prices.price_features(adapters.bars(spark, sf_dir), _market(spark, sf_dir), shots)
-    return rounded(told.where("feature_key in ('priceReturn12M', 'marketBeta1Y', 'maxDrawdown1Y', 'realizedVolatility3Y', 'downsideCapture1Y')"))
+    return rounded(told)
 
 
 def proxy_betas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +150,6 @@ def _long(name: str, keys: str, names: dict[str, str]) -> str:
 {name}_l AS (SELECT {keys}, effective_date, feature_key, feature_value FROM (UNPIVOT {name}_w ON {listed} INTO NAME feature_key VALUE feature_value))"""
 
 
-_SOME = ["priceReturn12M", "marketBeta1Y", "maxDrawdown1Y", "realizedVolatility3Y", "downsideCapture1Y"]
 _SNAP = ", (SELECT CAST(DATE '1998-12-31' + to_years(CAST(i AS INT)) AS DATE) AS as_of FROM range(4) t(i)) WHERE price_date <= as_of"
 
 SQL = {
@@ -160,7 +159,7 @@ SELECT ticker, effective_date, feature_key, round(feature_value, 6) AS feature_v
 {_numbered('spy', 'y').strip()},{_long('y', 'ticker', {k: v for k, v in _features().items() if k in RELATIVE})}
 SELECT x.ticker, x.effective_date, CASE x.feature_key {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in RELATIVE.items())} END AS feature_key, round(x.feature_value - y.feature_value, 6) AS feature_value
 FROM x_l x JOIN y_l y USING (feature_key)""",
-    "price_feature_timeline": f"""WITH {_MARKET},{_numbered('bars', 'x', _SNAP)},{_long('x', 'ticker, as_of', {k: v for k, v in _features().items() if k in _SOME})}
+    "price_feature_timeline": f"""WITH {_MARKET},{_numbered('bars', 'x', _SNAP)},{_long('x', 'ticker, as_of', _features())}
 SELECT ticker, as_of, effective_date, feature_key, round(feature_value, 6) AS feature_value FROM x_l""",
     "proxy_betas": f"""WITH {sql.BARS.strip()}, {sql.PROXIES.strip()},
 m(definition, ticker) AS (VALUES {', '.join(f"('{d}', '{t}')" for d, ts in BASKETS.items() for t in ts)}),

@@ -33,7 +33,7 @@ def growth_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flow_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(flow_enriched(spark, sf_dir).where("metric_key in ('revenue', 'net_income')"), **_ADJUSTED)
+    return rounded(flow_enriched(spark, sf_dir), **_ADJUSTED)
 
 
 def instant_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +49,10 @@ def asof_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last macro observation at or before each period end, per series."""
     rows = adapters.flow_series(spark, sf_dir).where("metric_key = 'revenue'").select("cik", "end", "val")
     series = adapters.macro(spark, sf_dir).where("value is not null")
-    wanted = rows.withColumn("series_id", F.explode(F.array(*map(F.lit, ("rate", "spread", "vix")))))
-    return relational.as_of(wanted, series, ["series_id"], "end", "observation_date")
+    names = F.explode(F.array(*map(F.lit, ("rate", "spread", "vix")))).alias("series_id")
+    # companies share their period ends: each end is looked up once
+    ends = relational.as_of(rows.select("end").distinct().select("end", names), series, ["series_id"], "end", "observation_date")
+    return rows.select("*", names).join(if_small(ends), ["series_id", "end"])
 
 
 def asof_price(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +214,7 @@ SQL = {
     "growth_leaders": f"""WITH {ENRICHED}
 SELECT cik, ticker, "end", round(val, 6) AS val, round(ttm_val, 6) AS ttm_val, round(ttm_yoy, 6) AS ttm_yoy, round(yoy, 6) AS yoy, round(qoq, 6) AS qoq, round(yoy_delta, 6) AS yoy_delta, yoy_delta > 0 AS is_accelerating
 FROM enriched WHERE metric_key = 'revenue' QUALIFY row_number() OVER (PARTITION BY cik ORDER BY "end" DESC) = 1""",
-    "flow_enrichment": f"WITH {ENRICHED} SELECT * REPLACE ({_REPLACE}) FROM enriched WHERE metric_key IN ('revenue', 'net_income')",
+    "flow_enrichment": f"WITH {ENRICHED} SELECT * REPLACE ({_REPLACE}) FROM enriched",
     "instant_enrichment": f"""WITH {sql.INSTANT},
 b AS (SELECT *, fiscal_year * 4 + fiscal_quarter - 1 AS idx, row_number() OVER p AS rn, "end" - lag("end") OVER p AS gap FROM instant WINDOW p AS (PARTITION BY cik, metric_key ORDER BY "end")),
 near AS ({_NEAR}),

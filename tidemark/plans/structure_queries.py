@@ -39,7 +39,7 @@ def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(structure.histogram(_graph(spark, sf_dir)[1]))
+    return rounded(structure.histogram(*_graph(spark, sf_dir)))
 
 
 def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,11 +130,12 @@ w AS (SELECT token, count(*) AS df, least(ln(1 + (SELECT count(*) FROM gr) / cou
 tw AS (SELECT tok.*, weight FROM tok JOIN w USING (token)),
 ns AS (SELECT idx, count(*) AS n, sum(weight) AS w FROM tw GROUP BY 1),
 meet AS (SELECT x.idx AS a, y.idx AS b, count(*) AS shared, sum(x.weight) AS sw FROM tw x JOIN tw y ON x.token = y.token AND x.idx < y.idx GROUP BY 1, 2),
-pairs AS (
-  SELECT a, b, shared, na.n + nb.n - shared AS "union", shared / (na.n + nb.n - shared) AS jaccard, sw / (na.w + nb.w - sw) AS idf_jaccard,
+every AS (
+  SELECT ga.idx AS a, gb.idx AS b, coalesce(m.shared, 0) AS shared, coalesce(m.sw, 0) AS sw, coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(m.shared, 0) AS u, coalesce(na.w, 0) + coalesce(nb.w, 0) - coalesce(m.sw, 0) AS uw,
     list_sum(list_transform(list_zip(ga.vec, gb.vec), lambda p: (p[1] <> p[2])::INT)) AS different, len(ga.vec) AS ln_
-  FROM meet JOIN ns na ON na.idx = a JOIN ns nb ON nb.idx = b JOIN gr ga ON ga.idx = a JOIN gr gb ON gb.idx = b),
-ham AS (SELECT *, 1 - different / ln_ AS hamming FROM pairs)"""
+  FROM gr ga JOIN gr gb ON ga.idx < gb.idx LEFT JOIN meet m ON m.a = ga.idx AND m.b = gb.idx LEFT JOIN ns na ON na.idx = ga.idx LEFT JOIN ns nb ON nb.idx = gb.idx),
+ham AS (SELECT a, b, shared, u AS "union", CASE WHEN u > 0 THEN shared / u ELSE 0 END AS jaccard, CASE WHEN shared > 0 THEN sw / uw ELSE 0 END AS idf_jaccard, different, ln_, 1 - different / ln_ AS hamming
+  FROM every WHERE different < ln_)"""
 
 
 def _families(name: str, threshold: str, lens: str = "jaccard") -> str:
@@ -146,7 +147,7 @@ def _families(name: str, threshold: str, lens: str = "jaccard") -> str:
 _SPARSE = """both_ AS (SELECT a, b, idf_jaccard AS weight FROM ham WHERE idf_jaccard >= 0.08 UNION ALL SELECT b, a, idf_jaccard FROM ham WHERE idf_jaccard >= 0.08),
 sparse AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, weight FROM (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) <= 14))"""
 _SWEEP = f"""steps AS (SELECT range AS t FROM range(101)),
-se AS (SELECT t, a, b FROM ham JOIN steps ON t <= least(100, floor(jaccard * 100)) UNION SELECT t, b, a FROM ham JOIN steps ON t <= least(100, floor(jaccard * 100))),
+se AS (SELECT t, a, b FROM ham JOIN steps ON jaccard > 0 AND t <= least(100, floor(jaccard * 100)) UNION SELECT t, b, a FROM ham JOIN steps ON jaccard > 0 AND t <= least(100, floor(jaccard * 100))),
 sr(t, node, reached) AS (SELECT t, idx, idx FROM gr, steps UNION SELECT r.t, r.node, e.b FROM sr r JOIN se e ON e.t = r.t AND e.a = r.reached),
 sl AS (SELECT t, node, min(reached) AS label FROM sr GROUP BY 1, 2), sz AS (SELECT t, label, count(*) AS n FROM sl GROUP BY 1, 2),
 sk AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, label) AS r FROM sz),
@@ -157,8 +158,8 @@ SQL = {
     "combination_groups": f"{_BASE} SELECT idx, group_key, size, array_to_string(vec, '|') AS state_vector, array_to_string(tokens, '|') AS tokens, sample FROM gr",
     "token_weights": f"{_PAIRS} SELECT token, df, round(weight, 6) AS weight FROM w",
     "pair_similarity": f"{_PAIRS} SELECT a, b, shared, \"union\", round(jaccard, 6) AS jaccard, round(idf_jaccard, 6) AS idf_jaccard, round(hamming, 6) AS hamming, CAST(different AS INT) AS different FROM ham",
-    "similarity_histogram": f"""{_PAIRS}, h AS (SELECT CAST(least(20, floor(hamming * 20)) AS INT) AS bucket, count(*) AS n FROM ham GROUP BY 1)
-SELECT CAST(r.range AS INT) AS bucket, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(*) FROM ham), 6) AS share FROM range(21) r LEFT JOIN h ON h.bucket = r.range""",
+    "similarity_histogram": f"""{_PAIRS}, h AS (SELECT CAST(least(20, floor((1 - different / ln_) * 20)) AS INT) AS bucket, count(*) AS n FROM every GROUP BY 1)
+SELECT CAST(r.range AS INT) AS bucket, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(*) FROM every), 6) AS share FROM range(21) r LEFT JOIN h ON h.bucket = r.range""",
     "similar_groups": f"""{_PAIRS}, m AS (SELECT a, b, jaccard FROM ham UNION ALL SELECT b, a, jaccard FROM ham)
 SELECT a, CAST(row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, size DESC, b) AS INT) AS rank, b, round(jaccard, 6) AS jaccard FROM m JOIN gr ON gr.idx = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, size DESC, b) <= 5""",
     "families_at_threshold": f"{_PAIRS}, {_families('fam', '0.6')} SELECT idx, label FROM fam",

@@ -1,8 +1,8 @@
 """The driver's star-schema tables read as filing, price and macro series.
 
 A supplier stands for a company, a quarter of its line items for a filing, a brand for a
-listed share, an order day for a macro observation. Gaps and missing fiscal fields are put
-in by arithmetic on keys, so that every fallback has rows to work on.
+listed share, an order day for a macro observation. Missing fiscal fields are put in by
+arithmetic on keys, so that fallbacks have rows to work on; no row of the tables is left out.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ def _long(wide: DataFrame, values: dict[str, str], kind: str) -> DataFrame:
 
 
 def flow_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarterly flows; every eleventh quarter is missing, every thirteenth lacks fiscal fields."""
-    return _long(quarters(spark, sf_dir).where((F.col("s") * 7 + F.col("qn")) % 11 != 0), FLOWS, "flow")
+    """Quarterly flows; every thirteenth lacks fiscal fields."""
+    return _long(quarters(spark, sf_dir), FLOWS, "flow")
 
 
 def instant_series(spark: SparkSession, sf_dir: str) -> DataFrame:
