@@ -326,6 +326,19 @@ def test_long_texts_give_every_gram_once(monkeypatch):
     assert np.array_equal(np.sort(np.concatenate(list(langid.grams(text)))), once) and len(once) == len(brute_grams(text))
 
 
+def test_conversations_empty_long_and_clashing(spark):
+    schema = "conv_id long, turn int, role string, text string, ts int, mask string, blocks int"
+    rows = [(1, 0, "user", "x" * 300_000, 1, "m", 2), (1, 1, "assistant", "y<|" * 1000, 1, "m", 2), (1, 1, "assistant", "y<|" * 1000, 1, "m", 2)]
+    told = chat.digest(chat.parse_formatted(chat.format_conversations(spark.createDataFrame(rows, schema)))).collect()
+    assert [(r["n_turns"], r["loss_chars"]) for r in told] == [(3, 6000)]
+    assert chat.digest(chat.parse_formatted(chat.format_conversations(spark.createDataFrame([], schema)))).count() == 0
+
+
+def test_stores_that_arrow_names_otherwise(tmp_path):
+    system, inner = sstable.opened(f"file://{tmp_path}/x")
+    assert inner == f"{tmp_path}/x" and sstable.opened("dbfs:/a/b")[1] == "/dbfs/a/b"
+
+
 @needs_data
 def test_language_held_out_accuracy(spark):
     told = queries.op6_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()

@@ -41,7 +41,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     a role become one block: ``<|im_start|>role``, a line end, their texts with
     ``<|im_next|>`` between them, ``<|im_end|>`` and a line end. ``mask`` holds (start,
     length) in code points of each assistant text, the separators left out. Everything is
-    Spark expressions: one shuffle by conv_id. Rows of a null conv_id form one conversation.
+    Spark expressions: one shuffle by conv_id. Rows of a null conv_id form one conversation,
+    repeated rows are turns of their own, long texts are taken whole. Columns other than the
+    four are ignored, whatever their names; an empty table gives an empty result.
     """
     clean = turns.select(
         "conv_id",

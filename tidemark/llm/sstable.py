@@ -35,6 +35,18 @@ BLOCK = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 
+#: Names that Hadoop has for stores which Arrow knows by other names.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "abfs://": "abfss://", "dbfs:/": "file:///dbfs/"}
+
+
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a path as Spark writes it, and the path there."""
+    for theirs, ours in SCHEMES.items():
+        if path.startswith(theirs):
+            path = ours + path[len(theirs) :].lstrip("/")
+    return pafs.FileSystem.from_uri(path)
+
+
 def key_of(doc_id: int | None) -> bytes:
     return b"" if doc_id is None else struct.pack(">Q", (doc_id + (1 << 63)) & (2**64 - 1))
 
@@ -101,7 +113,7 @@ class Reader:
     """Reads a shard: all of it in order, or one key through the Bloom filter and the index."""
 
     def __init__(self, path: str):
-        system, inner = pafs.FileSystem.from_uri(path)
+        system, inner = opened(path)
         self.file = system.open_input_file(inner)
         size = self.file.size()
         at, length, bloom_at, bloom_length, self.entries, self.ids, crc, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, size - FOOTER.size))
@@ -154,13 +166,14 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str | N
     the text itself, so that repeated ids have one order too; nulls come first. Each task
     encodes and writes its range as one file under a name of its own, so a task that runs
     again does no harm: only files named in the manifest (shard, path, n_entries, n_ids,
-    low, high) count. A null text is empty and still has the end id. An empty table gives
-    an empty manifest.
+    low, high) count. A null text is empty and still has the end id; a long one is a long value
+    of one block. Columns other than doc_id and text are ignored, whatever their names. An
+    empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "shards")
     vocabulary = vocabulary or tokens.vocabulary_path()
-    system, inner = pafs.FileSystem.from_uri(folder)
+    system, inner = opened(folder)
     system.create_dir(inner, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +183,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str | N
         for batch in batches:
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist())):
                 if writer is None:
-                    there, at = pafs.FileSystem.from_uri(path)
+                    there, at = opened(path)
                     stream = there.open_output_stream(at)
                     writer, low = Writer(stream), doc_id
                 writer.add(doc_id, ids)
