@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.filings import duration_class
+from tidemark.functions.filings import duration_class, fiscal_year, form_hint, frame_parts, period_hint, period_quarter
 
 #: Weights of a window's score, tolerances in days, and the least scores.
 START_WEIGHT, END_WEIGHT, LENGTH_WEIGHT = 0.35, 0.45, 0.20
@@ -20,11 +20,11 @@ def closeness(days: Column, tolerance: int) -> Column:
 
 
 def window_score(start: Column, end: Column, low: Column, high: Column, tolerance: tuple[int, int]) -> Column:
-    """struct(score, match): exact, near (both ends within tolerance), partial (inside the window) or outside."""
+    """struct(score, match): exact, near (both ends and the length within tolerance), partial (inside the window) or outside."""
     a, b = F.abs(F.date_diff(start, low)), F.abs(F.date_diff(end, high))
     length = F.abs(F.date_diff(end, start) - F.date_diff(high, low))
     score = START_WEIGHT * closeness(a, tolerance[0]) + END_WEIGHT * closeness(b, tolerance[0]) + LENGTH_WEIGHT * closeness(length, tolerance[1])
-    match = F.when((a == 0) & (b == 0), "exact").when((a <= tolerance[0]) & (b <= tolerance[0]), "near").when((start >= low) & (end <= high), "partial").otherwise("outside")
+    match = F.when((a == 0) & (b == 0), "exact").when((a <= tolerance[0]) & (b <= tolerance[0]) & (length <= tolerance[0]), "near").when((start >= low) & (end <= high), "partial").otherwise("outside")
     return F.struct(score.alias("score"), match.alias("match"))
 
 
@@ -76,6 +76,97 @@ def resolve_quarters(facts: DataFrame, windows: DataFrame) -> DataFrame:
     return told.select(*names, F.col("__b.wy").alias("fiscal_year"), F.col("__b.wq").alias("fiscal_quarter"), F.col("__b.s.score").alias("score"), F.col("__b.s.match").alias("match"))
 
 
+#: What a filing's labels add to a quarter window's score, the least score and the longest partial quarter in days.
+QUARTER_BONUS, FRAME_BONUS, QUARTER_PENALTY, LEAST_QUARTER, PARTIAL_DAYS = 0.12, 0.05, 0.20, 0.45, 170
+#: How far from a window's end a snapshot may lie, and what labels add to its confidence.
+SNAPSHOT_DAYS, SNAPSHOT_BONUS, SNAPSHOT_PENALTY = 14, 0.08, 0.12
+#: What speaks for a fact being a quarter's, and how sure its labels alone can make.
+QUARTER_SIGNS, LABELS_ALONE = (0.35, 0.25, 0.25, 0.15), 0.7
+PERIOD = ["start", "end", "fy", "fp", "form", "frame"]
+
+
+def resolve_periods(facts: DataFrame, years: DataFrame, quarters: DataFrame) -> DataFrame:
+    """Facts (cik, start, end, fy, fp, form, frame, ...) with the fiscal period they report.
+
+    Adds kind (annual, quarter, ytd, instant, other), fiscal_year, fiscal_quarter,
+    expected_start, expected_end, fit_score, confidence, window_match and basis. Tried in this
+    order: a year's window (``years``), a quarter's (``quarters``) or, if its labels say so,
+    the labelled quarter, the span from a year's start to a quarter's end, and for a snapshot
+    the quarter end nearest to it. Filing labels raise or lower a quarter's score; of equal
+    scores the earlier window wins.
+
+    Facts that state one span under the same labels share their period, so distinct spans
+    are matched, with the windows of three years each, and facts look theirs up: the work
+    grows with filings and not with their facts, and no fact meets all windows of a company.
+    """
+    names = ["cik", *PERIOD]
+    at = lambda c: F.col(f"k.{c}")
+    spans = facts.select(F.struct(*names).alias("k")).distinct()
+    days = F.when(at("start").isNotNull(), F.date_diff(at("end"), at("start")) + 1)
+    told = spans.select(
+        "k", at("cik").alias("cik"), at("start").alias("start"), at("end").alias("end"), days.alias("days"), duration_class(days).alias("length"), form_hint(at("form")).alias("form"),
+        period_hint(at("fp")).alias("hint"), fiscal_year(at("fy")).alias("fy"), period_quarter(at("fp")).alias("fq"), frame_parts(F.upper(F.trim(at("frame")))).alias("frame"),
+    )
+    signs = (F.col("length") == "quarter", F.col("form") == "quarter", F.col("hint") == "quarter", F.col("frame.quarter").isNotNull() & ~F.col("frame.instant"))
+    sure = sum(F.when(F.coalesce(s, F.lit(False)), w).otherwise(0.0) for s, w in zip(signs, QUARTER_SIGNS))
+    frame_quarter = F.when(~F.col("frame.instant"), F.col("frame.quarter"))
+    frame_year = F.when(F.col("frame.quarter").isNull(), F.col("frame.year"))
+    told = told.withColumns({"sure": sure, "frame_quarter": frame_quarter, "frame_year": frame_year})
+    about = F.array_distinct(F.flatten(F.transform(F.filter(F.array(F.coalesce("fy", F.year("end")), "frame_year"), lambda y: y.isNotNull()), lambda y: F.array(y - 1, y, y + 1))))
+    own = years.select("cik", "fiscal_year", F.col("low").alias("year_low"), F.col("high").alias("year_high"))
+    cut = own.join(quarters.select("cik", "fiscal_year", "fiscal_quarter", "low", "high"), ["cik", "fiscal_year"])
+    whole = own.select("*", F.lit(0).alias("fiscal_quarter"), F.col("year_low").alias("low"), F.col("year_high").alias("high"))
+    windows = cut.select(whole.columns).unionByName(whole)
+    met = told.withColumn("fiscal_year", F.explode(about)).join(windows, ["cik", "fiscal_year"])
+    within = F.coalesce(F.abs(F.col("fiscal_year") - F.col("fy")) <= 1, F.lit(False))
+    of_year, of_quarter = F.col("fiscal_quarter") == 0, F.col("fiscal_quarter") > 0
+    score = lambda low, high, tolerance: window_score(F.col("start"), F.col("end"), F.col(low), F.col(high), tolerance)
+    met = met.withColumns({"y": score("low", "high", YEAR_TOLERANCE), "q": score("low", "high", QUARTER_TOLERANCE), "t": score("year_low", "high", YTD_TOLERANCE)})
+    near = lambda a, b: F.coalesce(F.abs(F.date_diff(a, b)) <= 2, F.lit(False))
+    labelled = F.col("q.score") + F.when(F.col("fq") == F.col("fiscal_quarter"), QUARTER_BONUS).when(F.col("fq").isNotNull(), -QUARTER_PENALTY).otherwise(0.0) + F.when(F.col("frame_quarter") == F.col("fiscal_quarter"), FRAME_BONUS).otherwise(0.0)
+    off = F.abs(F.date_diff("end", "high"))
+    snap = F.when(off <= SNAPSHOT_DAYS, 1 - off / (2 * SNAPSHOT_DAYS)).otherwise(0.0)
+    agree = lambda c, w: F.when(F.col(c) == F.col(w), SNAPSHOT_BONUS).otherwise(0.0)
+    clash = F.when((F.col("fy") != F.col("fiscal_year")) | (F.col("fq") != F.col("fiscal_quarter")), SNAPSHOT_PENALTY).otherwise(0.0)
+    bounded = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 9)
+    met = met.withColumns({
+        "labelled": bounded(labelled), "cumulative": (F.col("fiscal_quarter") > 1) & near("start", "year_low") & near("end", "high"), "snap": snap,
+        "snap_sure": bounded(snap + agree("fy", "fiscal_year") + agree("fq", "fiscal_quarter") - clash),
+    })
+    # a missing fy leaves the years around the end, a given one only those around it; a frame's year counts for annual facts
+    here = within | F.col("fy").isNull()
+    best = lambda values, order, *where: F.max_by(F.struct(*values, "fiscal_year", "fiscal_quarter", "low", "high", "year_low"), F.when(where[0], F.struct(*order, -F.col("fiscal_year"), -F.col("fiscal_quarter"))))
+    bests = met.groupBy("k").agg(
+        best([F.col("y.score").alias("score"), F.col("y.match").alias("match")], [F.round("y.score", 9)], of_year & (here | (F.abs(F.col("fiscal_year") - F.col("frame_year")) <= 1))).alias("a"),
+        best([F.col("labelled").alias("score"), F.col("q.match").alias("match"), "cumulative"], ["labelled"], of_quarter & here).alias("b"),
+        best([F.col("t.score").alias("score"), F.col("t.match").alias("match")], [F.round("t.score", 9)], of_quarter & here).alias("c"),
+        best([F.col("snap").alias("score"), F.col("snap_sure").alias("sure"), F.when(off == 0, "exact").otherwise("near").alias("match")], ["snap_sure", "snap"], of_quarter & here).alias("d"),
+    )
+    every = told.join(bests.withColumnRenamed("k", "of"), F.col("k").eqNullSafe(F.col("of")), "left").drop("of")
+    fits = lambda c: F.col(f"{c}.match").isin("exact", "near")
+    period = lambda kind, basis, year, quarter, low, high, score, sure, match: F.struct(
+        F.lit(kind).alias("kind"), year.cast("int").alias("fiscal_year"), quarter.cast("int").alias("fiscal_quarter"), low.cast("date").alias("expected_start"), high.cast("date").alias("expected_end"),
+        score.cast("double").alias("fit_score"), sure.cast("double").alias("confidence"), F.lit(match).alias("window_match") if isinstance(match, str) else match.alias("window_match"), F.lit(basis).alias("basis"),
+    )
+    none, q = F.lit(None), F.col
+    is_annual = (q("length") == "annual") | (q("form") == "annual") | (q("hint") == "annual")
+    is_quarter = (q("length") == "quarter") | (q("form") == "quarter") | (q("hint") == "quarter")
+    partial = (q("b.match") == "partial") & (q("days") < PARTIAL_DAYS)
+    annual = F.when(is_annual & fits("a") & (q("a.score") >= LEAST_ANNUAL), period("annual", "annual_window", q("a.fiscal_year"), none, q("a.low"), q("a.high"), q("a.score"), q("a.score"), q("a.match")))
+    quarter = F.when(is_quarter & ~q("b.cumulative") & ((fits("b") & (q("b.score") >= LEAST_QUARTER)) | partial), period("quarter", "quarter_window", q("b.fiscal_year"), q("b.fiscal_quarter"), q("b.low"), q("b.high"), q("b.score"), F.least(F.lit(1.0), F.greatest("b.score", "sure")), q("b.match")))
+    by_label = F.least(q("sure"), F.lit(LABELS_ALONE))
+    labels = F.when(is_quarter & q("fy").isNotNull() & q("fq").isNotNull() & (q("length") == "quarter"), period("quarter", "sec_fp", q("fy"), q("fq"), q("start"), q("end"), by_label, by_label, "exact"))
+    ytd = F.when((q("length") == "ytd") & fits("c") & (q("c.score") >= LEAST_YTD), period("ytd", "quarter_window", q("c.fiscal_year"), q("c.fiscal_quarter"), q("c.year_low"), q("c.high"), q("c.score"), q("c.score"), q("c.match")))
+    snapshot = q("length") == "instant"
+    both = F.when(q("fy").isNotNull() & q("fq").isNotNull(), 0.65).otherwise(0.45)
+    instant = F.when(snapshot & (q("d.score") > 0), period("instant", "fiscal_profile", q("d.fiscal_year"), q("d.fiscal_quarter"), q("d.low"), q("d.high"), q("d.score"), q("d.sure"), q("d.match"))).when(
+        snapshot, period("instant", "instant_snapshot", q("fy"), q("fq"), none, q("end"), both, both, "unknown"))
+    other = period("other", "unresolved", q("fy"), none, none, none, F.lit(0.2), F.lit(0.2), "unknown")
+    found = every.select("k", F.coalesce(annual, quarter, labels, ytd, instant, other).alias("p"))
+    key = facts.withColumn("__k", F.struct(*names))
+    return key.join(found, F.col("__k").eqNullSafe(F.col("k"))).select(*[F.col(c) for c in facts.columns if c not in ("kind", "fiscal_year", "fiscal_quarter")], "p.*")
+
+
 def best_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The best candidate per period: fit score, tag priority, filing date, source rank, confidence, accession."""
     rank = F.when(F.col("source_kind") == "direct", 0).when(F.col("source_kind") == "cumulative_derived", 1).otherwise(2)

@@ -42,6 +42,31 @@ def resolved_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(periods.resolve_quarters(rows, windows))
 
 
+def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters, spans from the year's start and snapshots as facts: some days off, with labels that are right, wrong or missing."""
+    q = adapters.quarters(spark, sf_dir)
+    day = (F.col("s") % 5).cast("int")
+    spans = F.array(
+        F.struct(F.lit("q").alias("tag"), F.date_add("start", day).alias("start"), F.date_add("end", day).alias("end")),
+        F.struct(F.lit("y").alias("tag"), F.trunc("start", "year").alias("start"), F.date_add("end", day).alias("end")),
+        F.struct(F.lit("i").alias("tag"), F.lit(None).cast("date").alias("start"), F.date_add("end", day * 5).alias("end")),
+    )
+    n, label = F.col("s") + F.col("qn"), F.concat(F.lit("Q"), F.col("qn") % 4 + 1)
+    return q.withColumn("p", F.explode(spans)).select(
+        F.col("s").alias("cik"), "p.*", F.when(n % 3 > 0, F.floor(F.col("qn") / 4) + F.when(n % 7 == 0, 1).otherwise(0)).cast("int").alias("fy"),
+        F.when(n % 4 == 1, label).when(n % 4 == 2, F.when(F.col("qn") % 4 == 3, "FY").otherwise("Q1")).alias("fp"), F.when(F.col("qn") % 4 == 3, "10-K").otherwise("10-Q").alias("form"),
+        F.when((n % 5 == 0) & (F.col("p.tag") == "q"), F.concat(F.lit("CY"), F.year("end").cast("string"), label)).alias("frame"),
+    )
+
+
+def resolved_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fiscal period of annual, quarterly, cumulative and snapshot facts, by windows and labels."""
+    facts_ = _stated(spark, sf_dir)
+    annual = facts_.select("cik").distinct().select("cik", F.lit(1996).alias("fiscal_year"), F.lit("1996-01-01").cast("date").alias("start"), F.lit("1996-12-31").cast("date").alias("end"))
+    years = periods.year_windows(annual, (1991, 2000))
+    return rounded(periods.resolve_periods(facts_, years, periods.quarter_windows(years)))
+
+
 def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The months of one quarter's filing that follow each other without a gap, summed where they make a quarter."""
     items = adapters.table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_quantity"])
@@ -308,7 +333,7 @@ def robust_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    reconstructed_quarters, leading_quarters, resolved_quarters, merged_segments, annual_from_quarters, fiscal_regimes, formula_metric, series_issues,
+    reconstructed_quarters, leading_quarters, resolved_quarters, resolved_periods, merged_segments, annual_from_quarters, fiscal_regimes, formula_metric, series_issues,
     page_texts, filing_items, filing_exhibits, dividend_phrases, inferred_tags, portfolio_rebalance, portfolio_exposure, core_turnover, share_turnover, core_forward_returns, event_cohorts,
     status_pivot, modal_priority, price_percentiles, segment_shares, unordered_customers, membership_sync, changed_customers, nearest_to_median, comparison_groups,
     trailing_usage, tag_candidates, robust_scores,
@@ -355,6 +380,41 @@ c AS (SELECT f.*, qw.*, abs(start - low) AS a, abs("end" - high) AS b, abs(("end
 g AS (SELECT *, 0.35 * (1 - a / 20) + 0.45 * (1 - b / 20) + 0.2 * CASE WHEN n <= 14 THEN 1 - n / 28 ELSE 0 END AS score FROM c)
 SELECT cik, start, "end", val, fiscal_year, fiscal_quarter, round(score, 6) AS score, CASE WHEN a = 0 AND b = 0 THEN 'exact' ELSE 'near' END AS match FROM g
 QUALIFY row_number() OVER (PARTITION BY cik, start ORDER BY score DESC, fiscal_year, fiscal_quarter) = 1""",
+    "resolved_periods": f"""WITH {sql.QUARTERS}, g AS (SELECT *, s + qn AS nn, 'Q' || (qn % 4 + 1) AS label FROM quarters),
+f AS (SELECT s AS cik, tag, b AS start, CAST(e AS DATE) AS "end", CASE WHEN nn % 3 > 0 THEN CAST(qn // 4 + CASE WHEN nn % 7 = 0 THEN 1 ELSE 0 END AS INT) END AS fy,
+  CASE nn % 4 WHEN 1 THEN label WHEN 2 THEN CASE WHEN qn % 4 = 3 THEN 'FY' ELSE 'Q1' END END AS fp, CASE WHEN qn % 4 = 3 THEN '10-K' ELSE '10-Q' END AS form,
+  CASE WHEN nn % 5 = 0 AND tag = 'q' THEN 'CY' || year("end") || label END AS frame
+  FROM (SELECT *, 'q' AS tag, start + CAST(s % 5 AS INT) AS b, "end" + CAST(s % 5 AS INT) AS e FROM g UNION ALL SELECT *, 'y', CAST(date_trunc('year', start) AS DATE), "end" + CAST(s % 5 AS INT) FROM g
+        UNION ALL SELECT *, 'i', NULL, "end" + CAST(s % 5 * 5 AS INT) FROM g)),
+w AS (SELECT y.range AS wy, k.range AS wq, make_date(y.range, 1, 1) AS yl, make_date(y.range, 12, 31) AS yh,
+  CASE k.range WHEN 0 THEN make_date(y.range, 1, 1) ELSE make_date(y.range, 1, 1) + CAST((k.range - 1) * 91 AS INT) END AS lo, CASE WHEN k.range IN (0, 4) THEN make_date(y.range, 12, 31) ELSE make_date(y.range, 1, 1) + CAST(k.range * 91 - 1 AS INT) END AS hi
+  FROM range(1991, 2001) y, range(5) k),
+h AS (SELECT *, "end" - start + 1 AS days, CASE WHEN start IS NULL THEN 'instant' WHEN "end" - start + 1 BETWEEN 330 AND 400 THEN 'annual' WHEN "end" - start + 1 BETWEEN 75 AND 120 THEN 'quarter' WHEN "end" - start + 1 BETWEEN 130 AND 300 THEN 'ytd' ELSE 'other' END AS len,
+  CASE WHEN fp LIKE 'Q%' THEN CAST(fp[2] AS INT) END AS fq, CASE WHEN frame LIKE '%Q%' THEN CAST(right(frame, 1) AS INT) END AS rq, row_number() OVER () AS id FROM f),
+sc(id, a, b, c, tol, ltol, x) AS (SELECT id, abs(start - lo), abs("end" - hi), abs(("end" - start) - (hi - lo)), CASE wq WHEN 0 THEN 14 ELSE 10 END, CASE wq WHEN 0 THEN 21 ELSE 14 END, {{'wy': wy, 'wq': wq, 'k': 'w', 'inside': start >= lo AND "end" <= hi}} FROM h JOIN w ON abs(wy - coalesce(fy, year("end"))) <= 1
+  UNION ALL SELECT id, abs(start - yl), abs("end" - hi), abs(("end" - start) - (hi - yl)), 10, 21, {{'wy': wy, 'wq': wq, 'k': 't', 'inside': start >= yl AND "end" <= hi}} FROM h JOIN w ON wq > 0 AND abs(wy - coalesce(fy, year("end"))) <= 1),
+sm AS (SELECT id, x.wy AS wy, x.wq AS wq, x.k AS k, b, 0.35::DOUBLE * CASE WHEN a <= tol THEN 1 - a / (2 * tol) ELSE 0 END + 0.45::DOUBLE * CASE WHEN b <= tol THEN 1 - b / (2 * tol) ELSE 0 END + 0.2::DOUBLE * CASE WHEN c <= ltol THEN 1 - c / (2 * ltol) ELSE 0 END AS s,
+  CASE WHEN a = 0 AND b = 0 THEN 'exact' WHEN a <= tol AND b <= tol AND c <= tol THEN 'near' WHEN x.inside THEN 'partial' ELSE 'outside' END AS m FROM sc),
+z AS (SELECT sm.*, h.* EXCLUDE (id), w.lo, w.hi, w.yl, round(greatest(0, least(1, s + CASE WHEN fq = sm.wq THEN 0.12 WHEN fq IS NOT NULL THEN -0.2 ELSE 0 END + CASE WHEN rq = sm.wq THEN 0.05 ELSE 0 END)), 9) AS ls,
+  coalesce(sm.wq > 1 AND abs(start - yl) <= 2 AND b <= 2, false) AS cum, CASE WHEN b <= 14 THEN 1 - b / 28 ELSE 0 END AS sn,
+  round(greatest(0, least(1, CASE WHEN b <= 14 THEN 1 - b / 28 ELSE 0 END + CASE WHEN fy = sm.wy THEN 0.08 ELSE 0 END + CASE WHEN fq = sm.wq THEN 0.08 ELSE 0 END - CASE WHEN fy <> sm.wy OR fq <> sm.wq THEN 0.12 ELSE 0 END)), 9) AS sq
+  FROM sm JOIN h USING (id) JOIN w ON w.wy = sm.wy AND w.wq = sm.wq),
+ra AS (SELECT id, wy, lo, hi, s, m FROM z WHERE k = 'w' AND wq = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, wy) = 1), rb AS (SELECT id, wy, wq, lo, hi, ls, m, cum FROM z WHERE k = 'w' AND wq > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY ls DESC, wy, wq) = 1),
+rc AS (SELECT id, wy, wq, yl, hi, s, m FROM z WHERE k = 't' QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(s, 9) DESC, wy, wq) = 1), rd AS (SELECT id, wy, wq, lo, hi, sn, sq, b FROM z WHERE k = 'w' AND wq > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY sq DESC, sn DESC, wy, wq) = 1),
+e AS (SELECT h.*, CASE WHEN len = 'quarter' THEN 0.35 ELSE 0 END + CASE WHEN form = '10-Q' THEN 0.25 ELSE 0 END + CASE WHEN fq IS NOT NULL THEN 0.25 ELSE 0 END + CASE WHEN rq IS NOT NULL THEN 0.15 ELSE 0 END AS sure FROM h),
+o AS (SELECT e.*, ra.wy AS awy, ra.lo AS alo, ra.hi AS ahi, ra.s AS as_, ra.m AS am, rb.wy AS bwy, rb.wq AS bwq, rb.lo AS blo, rb.hi AS bhi, rb.ls AS bs, rb.m AS bm, rb.cum AS bcum, rc.wy AS cwy, rc.wq AS cwq, rc.yl AS clo, rc.hi AS chi, rc.s AS cs, rc.m AS cm,
+  rd.wy AS dwy, rd.wq AS dwq, rd.lo AS dlo, rd.hi AS dhi, rd.sn AS ds, rd.sq AS dq, CASE WHEN rd.b = 0 THEN 'exact' ELSE 'near' END AS dm,
+  CASE WHEN (len = 'annual' OR form = '10-K' OR fp = 'FY') AND ra.m IN ('exact', 'near') AND ra.s >= 0.5 THEN 1
+    WHEN (len = 'quarter' OR form = '10-Q' OR e.fq IS NOT NULL) AND NOT rb.cum AND ((rb.m IN ('exact', 'near') AND rb.ls >= 0.45) OR (rb.m = 'partial' AND e.days < 170)) THEN 2
+    WHEN len = 'quarter' AND e.fy IS NOT NULL AND e.fq IS NOT NULL THEN 3 WHEN len = 'ytd' AND rc.m IN ('exact', 'near') AND rc.s >= 0.4 THEN 4 WHEN len = 'instant' AND rd.sn > 0 THEN 5 WHEN len = 'instant' THEN 6 ELSE 7 END AS way
+  FROM e LEFT JOIN ra USING (id) LEFT JOIN rb USING (id) LEFT JOIN rc USING (id) LEFT JOIN rd USING (id))
+SELECT cik, tag, start, "end", fy, fp, form, frame, CASE WHEN way = 1 THEN 'annual' WHEN way IN (2, 3) THEN 'quarter' WHEN way = 4 THEN 'ytd' WHEN way IN (5, 6) THEN 'instant' ELSE 'other' END AS kind,
+  CAST(CASE way WHEN 1 THEN awy WHEN 2 THEN bwy WHEN 4 THEN cwy WHEN 5 THEN dwy ELSE fy END AS INT) AS fiscal_year, CAST(CASE way WHEN 2 THEN bwq WHEN 3 THEN fq WHEN 4 THEN cwq WHEN 5 THEN dwq WHEN 6 THEN fq END AS INT) AS fiscal_quarter,
+  CASE way WHEN 1 THEN alo WHEN 2 THEN blo WHEN 3 THEN start WHEN 4 THEN clo WHEN 5 THEN dlo END AS expected_start, CASE way WHEN 1 THEN ahi WHEN 2 THEN bhi WHEN 3 THEN "end" WHEN 4 THEN chi WHEN 5 THEN dhi WHEN 6 THEN "end" END AS expected_end,
+  round(CAST(CASE way WHEN 1 THEN as_ WHEN 2 THEN bs WHEN 3 THEN least(sure, 0.7) WHEN 4 THEN cs WHEN 5 THEN ds WHEN 6 THEN CASE WHEN fy IS NOT NULL AND fq IS NOT NULL THEN 0.65 ELSE 0.45 END ELSE 0.2 END AS DOUBLE), 6) AS fit_score,
+  round(CAST(CASE way WHEN 1 THEN as_ WHEN 2 THEN least(1, greatest(bs, sure)) WHEN 3 THEN least(sure, 0.7) WHEN 4 THEN cs WHEN 5 THEN dq WHEN 6 THEN CASE WHEN fy IS NOT NULL AND fq IS NOT NULL THEN 0.65 ELSE 0.45 END ELSE 0.2 END AS DOUBLE), 6) AS confidence,
+  CASE way WHEN 1 THEN am WHEN 2 THEN bm WHEN 3 THEN 'exact' WHEN 4 THEN cm WHEN 5 THEN dm ELSE 'unknown' END AS window_match,
+  CASE way WHEN 1 THEN 'annual_window' WHEN 2 THEN 'quarter_window' WHEN 3 THEN 'sec_fp' WHEN 4 THEN 'quarter_window' WHEN 5 THEN 'fiscal_profile' WHEN 6 THEN 'instant_snapshot' ELSE 'unresolved' END AS basis FROM o""",
     "merged_segments": """WITH m AS (SELECT l_suppkey AS cik, CAST(date_trunc('month', l_shipdate) AS DATE) AS start, CAST(year(l_shipdate) * 10 + quarter(l_shipdate) AS INT) AS accn, sum(l_quantity) AS val FROM lineitem GROUP BY 1, 2, 3),
 c AS (SELECT *, last_day(start) AS "end", year(start) * 12 + month(start) - row_number() OVER (PARTITION BY cik, accn ORDER BY start) AS g FROM m),
 s AS (SELECT cik, accn, min(start) AS start, max("end") AS "end", sum(val) AS val, count(*) AS segments FROM c GROUP BY cik, accn, g)
