@@ -67,6 +67,73 @@ def resolved_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(periods.resolve_periods(facts_, years, periods.quarter_windows(years)))
 
 
+#: The tag of each line of an order.
+_TAGS_BY_LINE = ("AIR", "RAIL", "SHIP", "TRUCK", "MAIL", "FOB", "REG")
+
+
+def _raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as raw facts: the line's number tells the tag, a supplier's quarter the filing; every ninth has no start."""
+    items = adapters.table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag"])
+    tag = F.element_at(F.array(*map(F.lit, _TAGS_BY_LINE)), F.col("l_linenumber").cast("int"))
+    day = F.col("l_shipdate").cast("date")
+    return items.select(
+        F.col("l_suppkey").cast("string").alias("cik"), F.lit("us").alias("taxonomy"), tag.alias("tag"), F.col("l_returnflag").alias("unit"),
+        F.concat_ws("-", F.col("l_orderkey"), F.col("l_linenumber")).alias("accn"), F.when(F.col("l_orderkey") % 9 != 0, F.date_add(day, -90)).alias("start"), day.alias("end"),
+        F.col("l_extendedprice").cast("double").alias("val"), F.date_add(day, 30).alias("filed"), tag.alias("label"), F.lit(None).cast("string").alias("description"),
+    )
+
+
+_KNOWN_TAGS = [("AIR", "revenue", "flow", 1), ("RAIL", "revenue", "flow", None), ("SHIP", "assets", "instant", 3)]
+
+
+def _tag_meta(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_KNOWN_TAGS, "tag string, metric_key string, fact_type string, priority int")
+
+
+def mapped_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of known tags with their metric, priority and length."""
+    told = facts.map_tags(_raw_facts(spark, sf_dir), _tag_meta(spark))
+    return told.select("accn", "cik", "tag", "metric_key", "fact_type", "priority", "duration_days", "val")
+
+
+def unmapped_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per company, unit and kind the tags that no metric claims, with their newest accession."""
+    told = facts.unmapped_tag_stats(_raw_facts(spark, sf_dir), _tag_meta(spark), "1994-01-01")
+    return told.select("cik", "tag", "unit", "kind", "n", "first_end", "last_end", "last_filed", "accn", "label")
+
+
+def fact_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facts stored, and those of unit R once more with another value and filed later: the fresh ones win."""
+    stored_ = _raw_facts(spark, sf_dir)
+    fresh = stored_.where("unit = 'R'").withColumns({"val": F.col("val") + 1, "filed": F.date_add("filed", 400)})
+    return facts.upsert_facts(stored_, fresh).select("accn", "cik", "tag", "unit", "start", "end", "val", "filed")
+
+
+def best_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of the facts that compete for a company's quarter: fit, priority, filing date, source, confidence, accession."""
+    rows = facts.map_tags(_raw_facts(spark, sf_dir), _tag_meta(spark)).select(
+        "cik", "metric_key", F.trunc("end", "quarter").alias("period"), (F.round(F.col("val") % 10) / 10).alias("score"), "priority", "filed",
+        F.when(F.col("unit") == "A", "direct").when(F.col("unit") == "N", "cumulative_derived").otherwise("segment_merged").alias("source_kind"), F.lit(None).cast("double").alias("confidence"), "accn", "val",
+    )
+    return periods.best_rows(rows, ["cik", "metric_key", "period"])
+
+
+def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files of an archive against a state that knows three quarters of them, some with another size."""
+    o = adapters.table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"])
+    listing = o.select(F.col("o_orderkey").alias("cik"), F.concat(F.lit("f"), "o_orderkey").alias("path"), F.floor("o_totalprice").alias("size"))
+    state = listing.where("cik % 4 <> 0").withColumn("size", F.when(F.col("cik") % 10 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return facts.changed_files(listing, state)
+
+
+def annual_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years that differ by more than a tenth from the sum of their quarters; every third company's years are a fifth too high."""
+    rows = adapters.flow_series(spark, sf_dir).where("fiscal_year is not null")
+    annual = rows.groupBy("cik", "metric_key", "fiscal_year").agg((F.sum("val") * F.when(F.col("cik").cast("int") % 3 == 0, 1.2).otherwise(1.05)).alias("val"), F.max("end").alias("end"))
+    told = checks.flow_consistency(annual, rows.select("cik", "metric_key", "fiscal_year", "val"))
+    return told.groupBy("metric_key", "check", "severity").agg(F.count("*").alias("n"))
+
+
 def merged_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The months of one quarter's filing that follow each other without a gap, summed where they make a quarter."""
     items = adapters.table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_quantity"])
@@ -333,7 +400,7 @@ def robust_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    reconstructed_quarters, leading_quarters, resolved_quarters, resolved_periods, merged_segments, annual_from_quarters, fiscal_regimes, formula_metric, series_issues,
+    reconstructed_quarters, leading_quarters, resolved_quarters, resolved_periods, merged_segments, mapped_facts, unmapped_tags, fact_upsert, best_candidates, file_changes, annual_consistency, annual_from_quarters, fiscal_regimes, formula_metric, series_issues,
     page_texts, filing_items, filing_exhibits, dividend_phrases, inferred_tags, portfolio_rebalance, portfolio_exposure, core_turnover, share_turnover, core_forward_returns, event_cohorts,
     status_pivot, modal_priority, price_percentiles, segment_shares, unordered_customers, membership_sync, changed_customers, nearest_to_median, comparison_groups,
     trailing_usage, tag_candidates, robust_scores,
@@ -367,7 +434,21 @@ _HELD = """held AS (
 valued AS (SELECT *, coalesce(shares * current_price, total_cost, 0) AS current_value FROM held),
 weighed AS (SELECT *, current_value / sum(current_value) OVER (PARTITION BY portfolio) * 100 AS current_weight, sum(current_value) OVER (PARTITION BY portfolio) AS total FROM valued)"""
 
+_FACTS = """raw AS (SELECT CAST(l_suppkey AS VARCHAR) AS cik, ['AIR', 'RAIL', 'SHIP', 'TRUCK', 'MAIL', 'FOB', 'REG'][l_linenumber] AS tag, l_returnflag AS unit, l_orderkey || '-' || l_linenumber AS accn, CASE WHEN l_orderkey % 9 <> 0 THEN CAST(l_shipdate AS DATE) - 90 END AS start,
+  CAST(l_shipdate AS DATE) AS "end", CAST(l_extendedprice AS DOUBLE) AS val, CAST(l_shipdate AS DATE) + 30 AS filed FROM lineitem),
+meta(tag, metric_key, fact_type, priority) AS (VALUES ('AIR', 'revenue', 'flow', 1), ('RAIL', 'revenue', 'flow', 99), ('SHIP', 'assets', 'instant', 3))"""
+
 SQL = {
+    "mapped_facts": f"""WITH {_FACTS} SELECT accn, cik, tag, metric_key, fact_type, CAST(priority AS INT) AS priority, CAST("end" - start + 1 AS INT) AS duration_days, val FROM raw JOIN meta USING (tag)""",
+    "unmapped_tags": f"""WITH {_FACTS} SELECT cik, tag, unit, CASE WHEN start IS NULL THEN 'instant' ELSE 'flow' END AS kind, count(*) AS n, min("end") AS first_end, max("end") AS last_end, max(filed) AS last_filed, arg_max(accn, (filed, "end", accn)) AS accn, any_value(tag) AS label
+FROM raw WHERE "end" >= DATE '1994-01-01' AND tag NOT IN (SELECT tag FROM meta) GROUP BY 1, 2, 3, 4""",
+    "fact_upsert": f"""WITH {_FACTS} SELECT accn, cik, tag, unit, start, "end", CASE WHEN unit = 'R' THEN val + 1 ELSE val END AS val, CASE WHEN unit = 'R' THEN filed + 400 ELSE filed END AS filed FROM raw""",
+    "best_candidates": f"""WITH {_FACTS}, c AS (SELECT cik, metric_key, CAST(date_trunc('quarter', "end") AS DATE) AS period, round(val % 10) / 10 AS score, CAST(priority AS INT) AS priority, filed,
+  CASE unit WHEN 'A' THEN 'direct' WHEN 'N' THEN 'cumulative_derived' ELSE 'segment_merged' END AS source_kind, CAST(NULL AS DOUBLE) AS confidence, accn, val FROM raw JOIN meta USING (tag))
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY cik, metric_key, period ORDER BY score DESC, priority, filed DESC, CASE source_kind WHEN 'direct' THEN 0 WHEN 'cumulative_derived' THEN 1 ELSE 2 END, accn DESC) = 1""",
+    "file_changes": """SELECT o_orderkey AS cik, 'f' || o_orderkey AS path, CAST(floor(o_totalprice) AS BIGINT) AS size, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 10 = 0""",
+    "annual_consistency": f"""WITH {sql.FLOW}, y AS (SELECT cik, metric_key, fiscal_year, sum(val) AS q, count(val) AS n, sum(val) * CASE WHEN CAST(cik AS INT) % 3 = 0 THEN 1.2::DOUBLE ELSE 1.05::DOUBLE END AS v FROM flow WHERE fiscal_year IS NOT NULL GROUP BY 1, 2, 3)
+SELECT metric_key, 'annual_differs_from_quarters' AS "check", 'warning' AS severity, count(*) AS n FROM y WHERE n >= 3 AND abs(v - q) > 0.1 * greatest(abs(v), 1e-9) GROUP BY 1""",
     "reconstructed_quarters": f"""WITH {sql.QUARTERS} SELECT s AS cik, 'Revenues' AS tag, 'USD' AS unit, start, "end", round(r, 4) AS val, CAST("end" + 30 AS DATE) AS filed, CAST("end" - start + 1 AS INT) AS duration_days, 'cumulative_derived' AS source_kind
 FROM quarters WHERE quarter(start) > 1 AND EXISTS (SELECT 1 FROM q p WHERE p.s = quarters.s AND p.start = quarters.start - INTERVAL 3 MONTH)""",
     "leading_quarters": f"""WITH {sql.QUARTERS} SELECT a.s AS cik, 'Revenues' AS tag, 'USD' AS unit, a.start, a."end", round(a.r, 4) AS val, CAST(b."end" + 30 AS DATE) AS filed, CAST(a."end" - a.start + 1 AS INT) AS duration_days, 'leading_derived' AS source_kind
