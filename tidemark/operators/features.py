@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -114,16 +114,22 @@ def emit(enriched: DataFrame, definitions: list[Feature]) -> DataFrame:
 
     ``enriched`` holds flow and instant rows with one set of columns; a map column ``macro``
     (series -> value as of the row's end) is needed only by macro betas. All definitions are
-    computed in one pass: one shuffle by company.
+    computed in one pass: one shuffle by company. Definitions that ask the same of different
+    metrics share one computed column, so the work is rows by different questions, and a row
+    takes from them what its metric asks for.
     """
     df = enriched.withColumn("__day", F.unix_date("end"))
-    compiler = _Compiler(df)
-    items = []
+    compiler, values, by_metric = _Compiler(df), {}, {}
     for d in definitions:
-        head = [F.lit(getattr(d, k)).alias(k) for k in ("factor", "axis", "feature_key")]
-        item = F.struct(*head, F.when(F.col("metric_key") == d.metric_key, compiler.value(d)).cast("double").alias("feature_value"))
-        items.append(item)
-    computed = df.withColumn("__all", F.array(*items))
+        own = replace(d, factor="", axis="", feature_key="", metric_key="")
+        name = values.setdefault(own, f"__v{len(values)}")
+        by_metric.setdefault(d.metric_key, []).append(F.struct(*[F.lit(getattr(d, k)).alias(k) for k in ("factor", "axis", "feature_key")], F.col(name).alias("feature_value")))
+    df = df.where(F.col("metric_key").isin(*by_metric, *{m for d in definitions for m in (d.denominator, d.counterpart) if m}))
+    computed = df.withColumns({name: compiler.value(d).cast("double") for d, name in values.items()})
+    told = None
+    for metric, items in by_metric.items():
+        told = (F if told is None else told).when(F.col("metric_key") == metric, F.array(*items))
+    computed = computed.withColumn("__all", told if told is not None else F.array().cast("array<struct<factor:string,axis:string,feature_key:string,feature_value:double>>"))
     found = computed.withColumn("__f", F.explode(F.filter("__all", lambda x: x["feature_value"].isNotNull())))
     return found.select(
         "ticker", "cik", F.col("__f.factor").alias("factor"), F.col("__f.axis").alias("axis"), "metric_key", F.col("__f.feature_key").alias("feature_key"),
