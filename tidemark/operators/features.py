@@ -206,3 +206,33 @@ def comparison_members(companies: DataFrame, universe: DataFrame) -> DataFrame:
         F.when(F.col("sector").isNotNull(), F.struct(F.lit("sector").alias("comparison"), F.col("sector").alias("member_group"))),
     )
     return base.select("ticker", F.explode(F.filter(groups, lambda g: g.isNotNull())).alias("g")).select("ticker", "g.*")
+
+
+def vector_matrix(features: DataFrame, least_feature_share: float = 0.5, least_ticker_share: float = 0.5, method: str = "robust_z_score", clip: float = 3.0) -> DataFrame:
+    """One dense vector per ticker over the features that enough tickers have: values in the order of feature_keys, observed, missing, coverage.
+
+    ``features``: ticker, factor, axis, metric_key, feature_key, feature_value, one row each (of
+    several the largest value counts). ``method``: robust_z_score (median and scaled MAD,
+    the population deviation where that is 0, else 1; clipped), sign, or none. A missing value
+    is 0; tickers below the least share are left out. Keys are as many as the registry has,
+    so they travel as one row.
+    """
+    key = F.concat_ws(".", "factor", "axis", "metric_key", "feature_key")
+    rows = features.where("feature_value is not null and ticker is not null").groupBy("ticker", key.alias("key")).agg(F.max(F.col("feature_value").cast("double")).alias("x"))
+    every = rows.agg(F.greatest(F.lit(1), F.ceil(F.count_distinct("ticker") * F.lit(float(least_feature_share)))).alias("least"))
+    counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.median("x").alias("centre"), F.stddev_pop("x").alias("sd"))
+    kept = counted.join(F.broadcast(every), F.col("n") >= F.col("least")).select("key", "centre", "sd")
+    placed = rows.join(kept, "key")
+    if method == "robust_z_score":
+        mad = placed.groupBy("key").agg((F.median(F.abs(F.col("x") - F.col("centre"))) * 1.4826).alias("mad"))
+        scale = F.when(F.col("mad") != 0, F.col("mad")).when(F.col("sd") != 0, F.col("sd")).otherwise(1.0)
+        placed = placed.join(mad, "key").withColumn("z", F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col("x") - F.col("centre")) / scale)))
+    else:
+        placed = placed.withColumn("z", F.signum("x") if method == "sign" else F.col("x"))
+    keys = kept.agg(F.array_sort(F.collect_list("key")).alias("feature_keys"))
+    own = placed.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct("key", "z"))).alias("m"))
+    all_keys, m = F.col("feature_keys"), F.col("m")
+    told = rows.select("ticker").distinct().join(own, "ticker", "left").crossJoin(F.broadcast(keys)).withColumn("observed", F.coalesce(F.size(F.map_keys(m)), F.lit(0)))
+    told = told.withColumn("observed", F.greatest(F.lit(0), "observed")).withColumn("coverage", F.when(F.size(all_keys) > 0, F.col("observed") / F.size(all_keys)).otherwise(0.0))
+    values = F.transform(all_keys, lambda k: F.coalesce(m[k], F.lit(0.0)))
+    return told.where(F.col("coverage") >= least_ticker_share).select("ticker", "feature_keys", values.alias("values"), "observed", (F.size(all_keys) - F.col("observed")).alias("missing"), "coverage")
