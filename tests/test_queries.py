@@ -10,9 +10,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 import __spark_entry__ as driver  # noqa: E402
-from tidemark.plans import general_queries, price_queries, series_queries, signal_queries, structure_queries  # noqa: E402
+from tidemark.plans import fiscal_queries, general_queries, price_queries, series_queries, signal_queries, structure_queries  # noqa: E402
 
-CHECKED = [n for m in (series_queries, general_queries) for n in m.SQL] + ["daily_returns", "series_features", "factor_signals", "valuation_composites", "pair_similarity", "threshold_sweep"]
+CHECKED = [n for m in (series_queries, general_queries, fiscal_queries) for n in m.SQL] + ["daily_returns", "series_features", "factor_signals", "valuation_composites", "pair_similarity", "threshold_sweep"]
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_contract(spark):
     assert set(driver.oracle_sql()) <= set(driver.queries()) and driver.entry(spark).columns[0] == "cik"
-    own = {n for m in (series_queries, price_queries, signal_queries, structure_queries, general_queries) for n in m.QUERIES}
+    own = {n for m in (series_queries, price_queries, signal_queries, structure_queries, general_queries, fiscal_queries) for n in m.QUERIES}
     assert own <= set(driver.queries()) and len(own) >= 70
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.calendar import duration_days, fiscal_year_of_end, is_month_end, month_day_distance, weekday
+from tidemark.session import discard, materialize
 
 #: Lengths in days of whole years, of the shortest transition period, of quarters, of cumulative spans and of odd spans.
 FULL_YEAR, LEAST_TRANSITION, QUARTER, CUMULATIVE, ODD = (330, 400), 30, (60, 140), (120, 320), (45, 180)
@@ -197,9 +198,16 @@ def quarter_windows(years: DataFrame, quarters: DataFrame, lengths: DataFrame) -
 
 
 def calendar(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Year and quarter windows of all companies, straight from their facts, as period resolution takes them."""
-    annual = annual_periods(facts)
+    """Year and quarter windows of all companies, straight from their facts, as period resolution takes them.
+
+    Annual periods, quarters and both windows are written to the shared folder, as each is
+    used several times; they have a few rows for each company and year.
+    """
+    annual = materialize(annual_periods(facts), "annual")
+    quarters = materialize(quarter_periods(annual, quarter_candidates(facts)), "quarters")
     regimes = regime_history(annual)
-    quarters = quarter_periods(annual, quarter_candidates(facts))
-    years = year_windows(annual, regimes, profiles(annual, regimes))
-    return years, quarter_windows(years, quarters, quarter_lengths(quarters))
+    years = materialize(year_windows(annual, regimes, profiles(annual, regimes)), "years")
+    cut = materialize(quarter_windows(years, quarters, quarter_lengths(quarters)), "windows")
+    discard(annual)
+    discard(quarters)
+    return years, cut

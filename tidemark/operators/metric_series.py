@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.calendar import duration_days
 from tidemark.functions.filings import fiscal_year, period_quarter
 from tidemark.operators import periods
+from tidemark.session import materialize
 
 FLOW_KINDS = ("flow", "per_share", "share_count")
 #: What a window's basis and match add to a candidate's fit, and which sources are preferred.
@@ -128,14 +129,14 @@ def build_flow(rows: DataFrame, years: DataFrame, quarters: DataFrame, positive:
     """The best row per metric and fiscal year and per metric and fiscal quarter of resolved flow ``rows`` (see :func:`candidates`).
 
     Quarters stated, rebuilt by difference, merged from segments and merged from unresolved
-    spans compete. Rebuilt rows with negative revenue are left out, as are negative capex_cash
+    spans compete. ``rows`` are read once for each of these, so they should be a written table. Rebuilt rows with negative revenue are left out, as are negative capex_cash
     of tags in ``positive`` (cik, metric_key, tag, unit) and quarters out of a year where one of
     the tag is stated. All rebuilt spans are resolved in one pass.
     """
     names = [*ROW, "source_kind", "chain", "place"]
     none = lambda df: df.select(*ROW, "source_kind", F.lit(None).cast("long").alias("chain"), F.lit(None).cast("int").alias("place"))
     made = none(from_earlier(rows)).unionByName(none(from_later(rows))).unionByName(none(from_segments(rows))).unionByName(prefixes(rows).select(*names))
-    told = periods.resolve_periods(made, years, quarters).where("kind = 'quarter'")
+    told = periods.resolve_periods(materialize(made, "rebuilt"), years, quarters).where("kind = 'quarter'")
     derived = F.col("source_kind").isin("cumulative_derived", "annual_derived")
     told = told.where(~derived | (F.col("val") >= 0) | (F.col("metric_key") != "revenue"))
     told = told.where((F.col("source_kind") != "segment_merged") | F.col("window_match").isin("exact", "near"))
@@ -147,6 +148,7 @@ def build_flow(rows: DataFrame, years: DataFrame, quarters: DataFrame, positive:
     stated = rows.where("kind = 'quarter' and source_kind = 'raw_direct'").select(*STATED, "fiscal_year", "fiscal_quarter").distinct().withColumn("stated", F.lit(True))
     told = told.join(stated, [*STATED, "fiscal_year", "fiscal_quarter"], "left").where((F.col("source_kind") != "annual_derived") | F.col("stated").isNull()).drop("stated")
     best_quarters = best_rows(rows.where("kind = 'quarter'").unionByName(told.select(*rows.columns)).where("fiscal_year is not null and fiscal_quarter is not null"), [*SERIES, "fiscal_year", "fiscal_quarter"])
+    best_quarters = materialize(best_quarters, "best-quarters")
     best_annual = best_rows(rows.where("kind = 'annual' and fiscal_year is not null"), [*SERIES, "fiscal_year"])
     return best_annual.unionByName(summed_years(best_quarters, best_annual)).unionByName(best_quarters)
 
@@ -162,7 +164,7 @@ def build(facts: DataFrame, years: DataFrame, quarters: DataFrame, positive: Dat
     ``years`` and ``quarters`` are windows as of :func:`fiscal.calendar`. A row is known from
     its filing date on (``effective_date``), or from its end where that is missing.
     """
-    flows = candidates(facts.where(F.col("fact_type").isin(*FLOW_KINDS)), years, quarters)
+    flows = materialize(candidates(facts.where(F.col("fact_type").isin(*FLOW_KINDS)), years, quarters), "candidates")
     snapshots = facts.where("fact_type = 'instant'").withColumn("start", F.lit(None).cast("date"))
     every = build_flow(flows, years, quarters, positive).unionByName(build_instant(candidates(snapshots, years, quarters)))
     return every.select(

@@ -40,7 +40,7 @@ def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     told = q.withColumn("f", F.explode(F.filter(kinds, lambda x: x.isNotNull())))
     return told.select(
-        F.col("s").alias("cik"), "f.tag", "f.metric_key", "f.fact_type", F.lit("USD").alias("unit"), F.lit(1).alias("priority"), "f.start", "f.end", "f.val", F.date_add("f.end", F.col("f.later") + 30).alias("filed"),
+        F.col("s").alias("cik"), "f.tag", "f.metric_key", "f.fact_type", F.lit("USD").alias("unit"), F.lit(1).alias("priority"), "f.start", "f.end", "f.val", F.date_add("e", F.col("f.later") + 30).alias("filed"),
         F.concat_ws("-", "s", "qn", "f.later").alias("accn"), (F.col("y") + F.when((F.col("s") + F.col("y")) % 7 == 0, 1).otherwise(0)).cast("int").alias("fy"), "f.fp", "f.form", none.alias("frame"),
     )
 
@@ -105,10 +105,10 @@ _FACTS = f"""{sql.QUARTERS},
 g AS (SELECT *, year(start) AS y, qn % 4 + 1 AS k, CAST(s % 5 - CASE WHEN s % 3 = 0 AND year(start) >= 1997 THEN 20 ELSE 0 END AS INT) AS o FROM quarters),
 h AS (SELECT *, start + o AS b, "end" + o AS e, make_date(y, 1, 1) + o AS yb, 'Q' || k AS label FROM g),
 raw AS (
-  SELECT s, y, qn, 0 AS later, b AS start, e AS "end", CASE WHEN (s + qn) % 4 <> 0 THEN label END AS fp, k = 4 AS last FROM h
-  UNION ALL SELECT s, y, qn, 0, yb, e, CASE WHEN k = 4 THEN 'FY' ELSE label END, k = 4 FROM h UNION ALL SELECT s, y, qn, 365, yb, e, 'FY', true FROM h WHERE k = 4
-  UNION ALL SELECT s, y, qn, 0, b, b + 44, label, k = 4 FROM h UNION ALL SELECT s, y, qn, 0, b + 45, e, label, k = 4 FROM h),
-facts AS (SELECT s AS cik, start, "end", CAST("end" - start + 1 AS INT) AS days, fp, last, "end" + 30 + later AS filed, s || '-' || qn || '-' || later AS accn, CAST(y + CASE WHEN (s + y) % 7 = 0 THEN 1 ELSE 0 END AS INT) AS fy FROM raw)"""
+  SELECT s, y, qn, 0 AS later, e AS f, b AS start, e AS "end", CASE WHEN (s + qn) % 4 <> 0 THEN label END AS fp, k = 4 AS last FROM h
+  UNION ALL SELECT s, y, qn, 0, e, yb, e, CASE WHEN k = 4 THEN 'FY' ELSE label END, k = 4 FROM h UNION ALL SELECT s, y, qn, 365, e, yb, e, 'FY', true FROM h WHERE k = 4
+  UNION ALL SELECT s, y, qn, 0, e, b, b + 44, label, k = 4 FROM h UNION ALL SELECT s, y, qn, 0, e, b + 45, e, label, k = 4 FROM h),
+facts AS (SELECT s AS cik, start, "end", CAST("end" - start + 1 AS INT) AS days, fp, last, f + 30 + later AS filed, s || '-' || qn || '-' || later AS accn, CAST(y + CASE WHEN (s + y) % 7 = 0 THEN 1 ELSE 0 END AS INT) AS fy FROM raw)"""
 _YEARS = f"""{_FACTS},
 a0 AS (SELECT cik, fy, start, "end", days, arg_max(accn, (filed, accn)) AS accn, max(filed) AS filed, count(*) AS n FROM facts WHERE last AND fp = 'FY' AND days BETWEEN 30 AND 400 GROUP BY ALL),
 a1 AS (SELECT *, (SELECT count(*) FROM facts f WHERE f.cik = a0.cik AND f.start = a0.start AND f."end" = a0."end" AND f.last AND f.days >= 30) AS support, CAST(CASE WHEN month("end") = 1 AND day("end") <= 7 THEN year("end") - 1 ELSE year("end") END AS INT) AS fiscal_year FROM a0),
