@@ -93,3 +93,22 @@ def mirrored(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Each unordered pair in both directions."""
     rest = [c for c in pairs.columns if c not in (a, b)]
     return pairs.unionByName(pairs.select(F.col(b).alias(a), F.col(a).alias(b), *rest))
+
+
+def recent_or_all(rows: DataFrame, keys: list[str], date: str, years: int) -> DataFrame:
+    """The rows of each key's last ``years`` years up to its latest date; all of a key's rows where that would leave one or none."""
+    own = Window.partitionBy(*keys)
+    recent = F.col(date) >= F.add_months(F.max(date).over(own), -12 * years)
+    marked = rows.withColumn("__recent", F.coalesce(recent, F.lit(False)))
+    return marked.withColumn("__n", F.sum(F.col("__recent").cast("int")).over(own)).where(F.col("__recent") | (F.col("__n") <= 1)).drop("__recent", "__n")
+
+
+def by_identity(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of each asked (ticker, cik): by cik, or by ticker where the asked one has no cik. Adds asked_ticker.
+
+    Two equality joins over disjoint parts of ``asked``, so neither side is compared with all of the other.
+    """
+    known = asked.where("cik is not null").select(F.col("ticker").alias("asked_ticker"), "cik").distinct()
+    unknown = asked.where("cik is null").select(F.col("ticker").alias("asked_ticker"), "ticker").distinct()
+    names = ["asked_ticker", *rows.columns]
+    return rows.join(known, "cik").select(*names).unionByName(rows.join(unknown, "ticker").select(*names))

@@ -279,3 +279,22 @@ def feature_audit(features: DataFrame, member: Column, least: int = 5) -> DataFr
     spread = F.col("q3") - F.col("q1")
     scored = told.where(F.col("n") >= least).withColumn("shift", F.when(spread > 0, (F.col("inside") - F.col("outside")) / spread)).where("shift is not null")
     return scored.orderBy(F.desc(F.abs("shift")), "factor", "axis", "feature_key").limit(5)
+
+
+def top_members(members: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
+    """Each group's ``n`` largest members (ticker, market_cap) by capitalisation, unknown ones last, then by ticker; ``place`` counts from 1."""
+    w = Window.partitionBy(*keys).orderBy(F.coalesce("market_cap", F.lit(-1.0)).desc(), "ticker")
+    return members.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def extremes(items: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
+    """Per group the tickers of the ``n`` items of largest absolute value and of the ``n`` nearest to their threshold, as sorted arrays.
+
+    ``items``: ticker, value, threshold; a null value is in neither, a null threshold in the
+    first only. Ties go to the smaller ticker.
+    """
+    far = Window.partitionBy(*keys).orderBy(F.abs("value").desc_nulls_last(), "ticker")
+    near = Window.partitionBy(*keys).orderBy(F.abs(F.col("value") - F.col("threshold")).asc_nulls_last(), "ticker")
+    ranked = items.withColumns({"far": F.when(F.col("value").isNotNull(), F.row_number().over(far)), "near": F.when((F.col("value") - F.col("threshold")).isNotNull(), F.row_number().over(near))})
+    pick = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c) <= n, F.struct(c, "ticker")))), lambda x: x["ticker"])
+    return ranked.where((F.col("far") <= n) | (F.col("near") <= n)).groupBy(*keys).agg(pick("far").alias("outliers"), pick("near").alias("near_threshold"))

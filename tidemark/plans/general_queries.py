@@ -399,11 +399,39 @@ def robust_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(c.join(F.broadcast(scale), "c_mktsegment").select("c_custkey", robust_z(F.col("c_acctbal"), F.col("m"), F.col("s"), 1.5).alias("z")))
 
 
+def recent_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders of the last year before its latest, or all where that leaves one."""
+    o = adapters.table(spark, sf_dir, "orders", ["o_custkey", "o_orderkey", "o_orderdate"]).withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    return relational.recent_or_all(o, ["o_custkey"], "o_orderdate", 1)
+
+
+def identity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest filings of all suppliers, looked up by number or, for every third, by ticker alone."""
+    c = adapters.companies(spark, sf_dir)
+    asked = c.select("ticker", F.when(F.col("cik").cast("int") % 3 != 0, F.col("cik")).alias("cik"))
+    rows = adapters.instant_series(spark, sf_dir).groupBy("cik", "ticker").agg(F.max("end").alias("end"), F.count("*").alias("n"))
+    return relational.by_identity(asked, rows)
+
+
+def group_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per segment the customers of the largest balances and those nearest to a threshold."""
+    c = adapters.table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment", "c_acctbal"])
+    items = c.select("c_mktsegment", F.col("c_custkey").alias("ticker"), F.when(F.col("c_custkey") % 11 != 0, F.col("c_acctbal")).alias("value"), F.lit(1000.0).alias("threshold"))
+    told = structure.extremes(items, ["c_mktsegment"])
+    return told.select("c_mktsegment", F.concat_ws(",", "outliers").alias("outliers"), F.concat_ws(",", "near_threshold").alias("near_threshold"))
+
+
+def group_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest suppliers of each nation by balance; every seventh balance is unknown."""
+    s = adapters.table(spark, sf_dir, "supplier", ["s_nationkey", "s_suppkey", "s_acctbal"])
+    return structure.top_members(s.select("s_nationkey", F.col("s_suppkey").alias("ticker"), F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("market_cap")), ["s_nationkey"])
+
+
 QUERIES = {f.__name__: f for f in (
     reconstructed_quarters, leading_quarters, resolved_quarters, resolved_periods, merged_segments, mapped_facts, unmapped_tags, fact_upsert, best_candidates, file_changes, annual_consistency, annual_from_quarters, fiscal_regimes, formula_metric, series_issues,
     page_texts, filing_items, filing_exhibits, dividend_phrases, inferred_tags, portfolio_rebalance, portfolio_exposure, core_turnover, share_turnover, core_forward_returns, event_cohorts,
     status_pivot, modal_priority, price_percentiles, segment_shares, unordered_customers, membership_sync, changed_customers, nearest_to_median, comparison_groups,
-    trailing_usage, tag_candidates, robust_scores,
+    trailing_usage, tag_candidates, robust_scores, recent_orders, identity_rows, group_extremes, group_leaders,
 )}
 
 _NORMAL = "coalesce(html, '')"
@@ -439,6 +467,14 @@ _FACTS = """raw AS (SELECT CAST(l_suppkey AS VARCHAR) AS cik, ['AIR', 'RAIL', 'S
 meta(tag, metric_key, fact_type, priority) AS (VALUES ('AIR', 'revenue', 'flow', 1), ('RAIL', 'revenue', 'flow', 99), ('SHIP', 'assets', 'instant', 3))"""
 
 SQL = {
+    "recent_orders": """WITH o AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders), r AS (SELECT *, o_orderdate >= max(o_orderdate) OVER (PARTITION BY o_custkey) - INTERVAL 12 MONTH AS recent FROM o)
+SELECT o_custkey, o_orderkey, o_orderdate FROM r QUALIFY recent OR sum(CASE WHEN recent THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey) <= 1""",
+    "identity_rows": f"""WITH {sql.INSTANT}, {sql.COMPANIES.strip()}, a AS (SELECT ticker, CASE WHEN CAST(cik AS INT) % 3 <> 0 THEN cik END AS cik FROM companies), r AS (SELECT cik, ticker, max("end") AS "end", count(*) AS n FROM instant GROUP BY 1, 2)
+SELECT a.ticker AS asked_ticker, r.* FROM r JOIN a ON r.cik = a.cik OR (a.cik IS NULL AND r.ticker = a.ticker)""",
+    "group_extremes": """WITH i AS (SELECT c_mktsegment, c_custkey AS t, CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal END AS v FROM customer WHERE c_custkey % 11 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY abs(v) DESC, t) AS f, row_number() OVER (PARTITION BY c_mktsegment ORDER BY abs(v - 1000), t) AS n FROM i)
+SELECT c_mktsegment, string_agg(CAST(t AS VARCHAR), ',' ORDER BY f) FILTER (f <= 5) AS outliers, string_agg(CAST(t AS VARCHAR), ',' ORDER BY n) FILTER (n <= 5) AS near_threshold FROM r GROUP BY 1""",
+    "group_leaders": """SELECT s_nationkey, s_suppkey AS ticker, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS market_cap, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY coalesce(CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END, -1) DESC, s_suppkey) AS INT) AS place FROM supplier QUALIFY place <= 5""",
     "mapped_facts": f"""WITH {_FACTS} SELECT accn, cik, tag, metric_key, fact_type, CAST(priority AS INT) AS priority, CAST("end" - start + 1 AS INT) AS duration_days, val FROM raw JOIN meta USING (tag)""",
     "unmapped_tags": f"""WITH {_FACTS} SELECT cik, tag, unit, CASE WHEN start IS NULL THEN 'instant' ELSE 'flow' END AS kind, count(*) AS n, min("end") AS first_end, max("end") AS last_end, max(filed) AS last_filed, arg_max(accn, (filed, "end", accn)) AS accn, any_value(tag) AS label
 FROM raw WHERE "end" >= DATE '1994-01-01' AND tag NOT IN (SELECT tag FROM meta) GROUP BY 1, 2, 3, 4""",
