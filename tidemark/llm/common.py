@@ -71,3 +71,15 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     """Size and checksum of a set of edges: equal marks mean that a round changed nothing."""
     row = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(hi, lo))").alias("x")).first()
     return row["n"], row["x"] or 0
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text, given :data:`CRC_TABLE` joined as ``tab``."""
+    units = f"list_transform(string_split({text}, ''), lambda x: ord(x)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295, {units}), lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+#: A common table expression of the 256 values of CRC-32, by its rule.
+CRC_TABLE = """tab as (
+  select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t
+  from range(256) r(i))"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat, embdedup, langid, mixing, neardup, packing, quality, secrets, sstable
+from tidemark.llm import ann, chat, embdedup, langid, merkle, mixing, neardup, packing, pieces, quality, repair, secrets, sstable
 from tidemark.llm.common import read
 
 
@@ -70,11 +70,30 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_minhash_dedup, op3_packing, op4_embedding_dedup, op5_chat_formatting, op6_language_id, op7_quality, op8_secret_scans, op9_source_mixing, op10_token_shards)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after its rows were damaged. Edge cases: :func:`repair.plan_repairs`."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.plan_repairs(repair.damage(turns))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, digested. Edge cases: :func:`pieces.encode`."""
+    told = pieces.encode(read(spark, sf_dir, "documents"))
+    return told.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and fold of every document, some of them tampered with. Edge cases: :func:`merkle.manifest`."""
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_minhash_dedup, op3_packing, op4_embedding_dedup, op5_chat_formatting, op6_language_id, op7_quality, op8_secret_scans, op9_source_mixing, op10_token_shards, op11_conversation_repair, op12_sentencepiece, op13_merkle_manifest)}
 
 SQL = {
     "op2_minhash_dedup": neardup.SQL,
     "op5_chat_formatting": chat.SQL,
     "op8_secret_scans": secrets.SQL,
     "op9_source_mixing": mixing.SQL,
+    "op11_conversation_repair": repair.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
