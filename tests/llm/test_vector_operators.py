@@ -136,6 +136,18 @@ def test_recall_where_cells_are_left_out(spark):
     assert hits >= 0.9 * len(x)
 
 
+def test_ids_with_more_rows_than_are_asked_for(spark):
+    v = [1.0, 2.0, 0.5, 1.0]
+    rows = [(20, v)] * 25 + [(i, v) for i in range(21, 26)]
+    got = ann.search(table(spark, rows), table(spark, rows[:25]), k=20).orderBy("rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(20, i + 1, 21 + i) for i in range(5)]
+    # 30 rows of the nearest id fill an answer; another vector under the query's id is a query of its own
+    rows = [(20, v), (20, [-1.0, 0.0, 0.0, 0.0]), (7, [-3.0, 0.0, 0.0, 0.0])] + [(21, v)] * 30 + [(22, v)] * 30
+    got = ann.search(table(spark, rows), table(spark, rows[:2]), k=20).collect()
+    by = sorted((r["rank"], r["vec_id"]) for r in got)
+    assert by == sorted([(i + 1, 21) for i in range(20)] + [(1, 7)] + [(i + 2, 21) for i in range(19)])
+
+
 def test_repeated_ids_and_links(spark):
     rows, _ = vectors(9, 30)
     rows += [(3, rows[3][1]), (3, rows[7][1] * 2), (None, rows[2][1])]

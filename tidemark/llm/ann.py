@@ -82,18 +82,20 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20, target_recall
 
     Nearness is the largest inner product in double precision, ties to the smaller vec_id;
     a row is no neighbour of the rows that share its vec_id. Of equal vectors no more than
-    the k + 1 smallest ids can stand in an answer, so only these are indexed. The others are
-    counted as found by that rule and never compared. Vectors that are null, zero, of another
+    the k + 1 smallest ids, each with k of its rows, can stand in an answer (one id may be the query's own),
+    so only these are indexed. The others are found by that rule and never compared. Vectors that are null, zero, of another
     length or hold null or non-finite components take no part, and rows without vec_id neither.
-    Rows that repeat a vec_id are candidates each and queries each. With fewer candidates than ``k`` all are returned;
+    Rows that repeat a vec_id are candidates each; as queries, those of one vector are one query and those
+    of another have neighbours of their own under the same query_id. With fewer candidates than ``k`` all are returned;
     an empty table gives an empty result. Columns other than vec_id and embedding are ignored, whatever their names.
     """
     spark = embeddings.sparkSession
     dim = vectors.dimension(embeddings)
     told = vectors.checked(embeddings, dim).where("vec is not null and vec_id is not null")
-    copies = Window.partitionBy("h0", "h1").orderBy("vec_id")
-    entries = materialize(told.withColumn("n", F.row_number().over(copies)).where(f"n <= {k + 1}").select("vec_id", "vec"), "entries")
-    asked = materialize(vectors.checked(queries, dim).where("vec is not null and vec_id is not null").select("vec_id", "vec"), "asked")
+    again, ids = Window.partitionBy("h0", "h1", "vec_id").orderBy("vec_id"), Window.partitionBy("h0", "h1").orderBy("vec_id")
+    few = told.withColumn("n", F.row_number().over(again)).where(f"n <= {k}").withColumn("n", F.dense_rank().over(ids)).where(f"n <= {k + 1}")
+    entries = materialize(few.select("vec_id", "vec"), "entries")
+    asked = materialize(vectors.checked(queries, dim).where("vec is not null and vec_id is not null").select("vec_id", "vec").distinct(), "asked")
     count = entries.count()
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not count or asked.isEmpty():
@@ -201,27 +203,27 @@ def _rerank(placed: DataFrame, asked: DataFrame, index: MultiIndex, dim: int, en
         own, at, divided = shared.value
         for batch in batches:
             rows = []
-            for vec_id, v in zip(batch["vec_id"].to_pylist(), batch["vec"].to_pylist()):
+            for vec_id, v, q in zip(batch["vec_id"].to_pylist(), batch["vec"].to_pylist(), batch["q"].to_pylist()):
                 for x, ys in own.probe(np.frombuffer(v), enough).items():
                     ys = np.array(ys)
                     for b in np.unique(at[x, ys]).tolist():
                         some = ys[at[x, ys] == b]
                         want = np.zeros(width * 8, np.uint8)
                         want[some] = 1
-                        rows.extend((vec_id, v, x, b, d, np.packbits(want).tobytes()) for d in range(int(divided[x, some].max())))
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            columns = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["vec_id", "vec", "x", "block", "division", "want"])
+                        rows.extend((vec_id, v, q, x, b, d, np.packbits(want).tobytes()) for d in range(int(divided[x, some].max())))
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            columns = list(zip(*rows)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["vec_id", "vec", "q", "x", "block", "division", "want"])
 
     tasks = max(placed.sparkSession.sparkContext.defaultParallelism, -(-asked.count() // QUERIES_A_TASK))
-    probes = asked.repartition(tasks, F.xxhash64("vec_id")).mapInArrow(walk, "vec_id long, vec binary, x int, block int, division int, want binary")
+    probes = asked.repartition(tasks, F.xxhash64("vec_id")).withColumn("q", F.xxhash64("vec")).mapInArrow(walk, "vec_id long, vec binary, q long, x int, block int, division int, want binary")
     stored, probes = _deal(placed, materialize(probes, "probes"), index.sizes, block, divisions)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, out = ["query_id", "vec_id", "score"], ([], [], [])
+        names, out = ["query_id", "q", "vec_id", "score"], ([], [], [], [])
         if len(left) and len(right):
             left = left.sort_by("y")
-            ids, own, y = left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), left["y"].to_numpy()
+            ids, own, y, mark = left["vec_id"].to_numpy(), right["vec_id"].to_numpy(), left["y"].to_numpy(), right["q"].to_numpy()
             e, q = vectors.matrix(left["vec"].combine_chunks(), dim), vectors.matrix(right["vec"].combine_chunks(), dim)
             want = np.unpackbits(np.frombuffer(b"".join(right["want"].to_pylist()), np.uint8).reshape(-1, width), axis=1).astype(bool)
             first = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
@@ -238,14 +240,15 @@ def _rerank(placed: DataFrame, asked: DataFrame, index: MultiIndex, dim: int, en
                     exact = (e[at] * q[i + r]).sum(1)
                     best = np.lexsort((ids[at], -exact))[:k]
                     out[0].append(np.full(len(best), own[i + r]))
-                    out[1].append(ids[at][best])
-                    out[2].append(exact[best])
+                    out[1].append(np.full(len(best), mark[i + r]))
+                    out[2].append(ids[at][best])
+                    out[3].append(exact[best])
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
-        return pa.table([join(out[0], pa.int64()), join(out[1], pa.int64()), join(out[2], pa.float64())], names)
+        return pa.table([*(join(o, pa.int64()) for o in out[:3]), join(out[3], pa.float64())], names)
 
     group = ["x", "block", "division", "part"]
-    scored = stored.groupBy(*group).cogroup(probes.groupBy(*group)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    scored = stored.groupBy(*group).cogroup(probes.groupBy(*group)).applyInArrow(compare, "query_id long, q long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
     return ranked.select("query_id", "rank", "vec_id", "score")
 
@@ -265,4 +268,4 @@ def _deal(placed: DataFrame, probes: DataFrame, sizes: np.ndarray, block: np.nda
         .join(reach, ["x", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     )
     asked = probes.join(reach, ["x", "block"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "vec"), F.col("parts")))
-    return stored.select("x", "block", "division", "part", "y", "vec_id", "vec"), asked.select("x", "block", "division", "part", "vec_id", "vec", "want")
+    return stored.select("x", "block", "division", "part", "y", "vec_id", "vec"), asked.drop("parts")
