@@ -16,8 +16,9 @@ from tidemark.session import materialize
 CAPACITY = 4096
 #: Pieces of at least this many tokens are packed by configurations, the others by best fit.
 LARGE = 1024
-#: The long pieces of a shard are cut into so many groups of equal number, each rounded up to its longest.
-GROUPS = 20
+#: The long pieces of a shard are cut into so many groups of equal number, each rounded up to its longest; with no more
+#: different lengths than that each is a group of its own and nothing is rounded.
+GROUPS = 40
 #: Configurations are improved in so many rounds at most; any round leaves a valid choice.
 ROUNDS = 300
 #: Pieces are dealt to shards of about so many; each shard is packed by one task call.
@@ -87,32 +88,51 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, large: int = LAR
     programme, and its whole uses are taken. Actual pieces take the places of their group.
     The few large pieces left over and then the small ones, the longest first, go where they
     fit best, into what rounding left free or into new bins.
+
+    Where lengths spread so widely that rounding up costs more than configurations gain, the same
+    best fit of all pieces without configurations takes fewer bins and is the answer instead: the result is never
+    worse than best fit decreasing.
     """
-    n = len(lengths)
     order = np.argsort(-lengths, kind="stable")
     big = int((lengths >= large).sum())
-    bins: list[list[int]] = []
-    free: list[int] = []
-    rest: list[int] = []
-    if big:
-        edges = np.unique(np.linspace(0, big, min(groups, big) + 1).round().astype(int))
-        queues: dict[int, list[int]] = {}
-        for a, b in zip(edges[:-1], edges[1:]):
-            queues.setdefault(int(lengths[order[a]]), []).extend(order[a:b].tolist())
-        sizes = np.array(list(queues))
-        for chosen, times in configurations(sizes, np.array([len(queues[s]) for s in sizes.tolist()]), capacity):
-            for _ in range(times):
-                members = [queues[s].pop() for s, k in zip(sizes.tolist(), chosen.tolist()) for _ in range(k)]
-                bins.append(members)
-                free.append(capacity - int(lengths[members].sum()))
-        rest = sorted((i for q in queues.values() for i in q), key=lambda i: -lengths[i])
-    # best fit: bins by free space, and a bit for each space that some bin has
+    plain = best_fit(lengths, [], order, capacity)
+    bins = plain
+    if big and len(plain) > -(-int(lengths.sum()) // capacity):
+        chosen, rest = grouped(lengths, order[:big], capacity, groups)
+        bins = min(best_fit(lengths, chosen, np.concatenate([rest, order[big:]]), capacity), plain, key=len)
+    place, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    for b, members in enumerate(bins):
+        place[members] = b
+        offset[members] = np.cumsum(lengths[members]) - lengths[members]
+    return place, offset
+
+
+def grouped(lengths: np.ndarray, big: np.ndarray, capacity: int, groups: int) -> tuple[list[list[int]], np.ndarray]:
+    """Bins of the large pieces (in descending order) by configurations, and those left over, the longest first."""
+    if len(np.unique(lengths[big])) <= groups:
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(lengths[big])) + 1, [len(big)]])
+    else:
+        edges = np.unique(np.linspace(0, len(big), groups + 1).round().astype(int))
+    queues: dict[int, list[int]] = {}
+    for a, b in zip(edges[:-1], edges[1:]):
+        queues.setdefault(int(lengths[big[a]]), []).extend(big[a:b].tolist())
+    sizes = np.array(list(queues))
+    bins = []
+    for chosen, times in configurations(sizes, np.array([len(queues[s]) for s in sizes.tolist()]), capacity):
+        for _ in range(times):
+            bins.append([queues[s].pop() for s, k in zip(sizes.tolist(), chosen.tolist()) for _ in range(k)])
+    return bins, np.array(sorted((i for q in queues.values() for i in q), key=lambda i: -lengths[i]), dtype=np.int64)
+
+
+def best_fit(lengths: np.ndarray, bins: list[list[int]], rest: np.ndarray, capacity: int) -> list[list[int]]:
+    """``bins`` after every piece of ``rest``, in its order, went to the fullest bin that has room, or to a new one."""
+    bins = [list(members) for members in bins]
+    # bins by free space, and a bit for each space that some bin has
     by_space: list[list[int]] = [[] for _ in range(capacity + 1)]
-    for b, space in enumerate(free):
-        by_space[space].append(b)
+    for b, members in enumerate(bins):
+        by_space[capacity - int(lengths[members].sum())].append(b)
     has = sum(1 << s for s in range(capacity + 1) if by_space[s])
-    for i in rest + order[big:].tolist():
-        size = int(lengths[i])
+    for i, size in zip(rest.tolist(), lengths[rest].tolist()):
         fitting = has >> size
         if fitting:
             space = size + (fitting & -fitting).bit_length() - 1
@@ -125,13 +145,7 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, large: int = LAR
         bins[b].append(i)
         by_space[space - size].append(b)
         has |= 1 << (space - size)
-    place, offset = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for b, members in enumerate(bins):
-        at = 0
-        for i in members:
-            place[i], offset[i] = b, at
-            at += int(lengths[i])
-    return place, offset
+    return bins
 
 
 def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
