@@ -123,6 +123,16 @@ TRICKY = [
 ]
 
 
+def test_secrets_in_long_runs_and_many_hits(spark):
+    """Runs of near-misses are read once and many hits don't slow each other down: both texts took minutes by the square of their length."""
+    rows = [(1, "eyJ" * 200_000), (2, "eyJ" * 50 + "." + "eyJhbGciOi.eyJzdWIiOi.c2lnbmF0dXJl tail eyJshort.eyJhbGciOi12.eyJzdWIiOi12.c2lnbmF0dXJl"), (3, "token=abcdef " * 40_000), (4, "eyJaaaaaaaa.short.eyJbbbbbbbb.cccccccc.dddddddd")]
+    told = {r["doc_id"]: [(x["kind"], x["start"], x["stop"]) for x in r["found"]] for r in secrets.scan_secrets(docs(spark, rows)).collect()}
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    for i, text in rows[1::2]:
+        assert told[i] == [("jwt", *m.span()) for m in plain.finditer(text)] and told[i]
+    assert told[1] == [] and told[3] == [("assign", 13 * i, 13 * i + 12) for i in range(40_000)]
+
+
 def test_secrets_equal_brute_force(spark):
     told = secrets.digest(secrets.scan_secrets(docs(spark, TRICKY)))
     want = []
@@ -247,6 +257,30 @@ def test_packing_is_near_the_least_on_small_cases():
         assert len(set(packing.pack_lengths(some)[0])) <= brute_bins(some.tolist(), 4096) + 1
 
 
+@pytest.mark.parametrize("spread", ["uniform", "wide", "lognormal", "near", "six"])
+def test_packing_is_never_worse_than_best_fit_decreasing(spread):
+    rng = np.random.default_rng(4)
+    n = 6000
+    lengths = {
+        "uniform": rng.integers(1, 4097, n), "wide": rng.integers(1024, 4097, n), "lognormal": np.clip(rng.lognormal(6.5, 1, n).astype(int), 1, 4096),
+        "near": rng.integers(1300, 1420, n), "six": rng.choice([400, 900, 1300, 1500, 2100, 2900], n),
+    }[spread]
+    free = []
+    for size in sorted(lengths.tolist(), reverse=True):
+        room = min((f for f in free if f >= size), default=None)
+        if room is None:
+            free.append(4096 - size)
+        else:
+            free[free.index(room)] -= size
+    place, offset = packing.pack_lengths(lengths)
+    assert place.max() + 1 <= len(free) and np.bincount(place, lengths).max() <= 4096
+    assert spread != "near" or place.max() + 1 < 0.95 * len(free)
+    for b in range(0, place.max() + 1, 97):
+        own = np.flatnonzero(place == b)
+        own = own[np.argsort(offset[own])]
+        assert (offset[own] == np.cumsum(lengths[own]) - lengths[own]).all()
+
+
 def test_configurations_are_few_and_optimal():
     # 400 pieces of each size: 2000 + 1100 + 996 fill a bin, so 400 bins hold all
     told = packing.configurations(np.array([2000, 1100, 996]), np.array([400, 400, 400]), 4096)

@@ -18,7 +18,8 @@ HEX = r"[0-9a-f]{24,}"
 BASE = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
 EXTRA = {
     "pem": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
-    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    # a run of its characters that two more don't follow is matched too, and dropped: so it's read once, not from every eyJ in it
+    "jwt": r"eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)?+",
     "forge": r"gh[opsur]_[A-Za-z0-9]{36,}",
 }
 KINDS = [*BASE, *EXTRA]
@@ -31,6 +32,8 @@ RULES_VERSION = "rules-1"
 #: So many addresses may be broadcast (about 100 bytes each).
 BROADCAST_BLOBS = 50_000
 
+#: Matches of a text are gone through so many at a time.
+SLICE = 256
 SPAN = "array<struct<start:int,ord:int,stop:int,kind:string>>"
 
 
@@ -38,22 +41,27 @@ def spans_of(kind: str, pattern: str) -> str:
     """SQL for the spans of one rule in ``text``, as code points, the end exclusive.
 
     The text between matches and the matches alternate, so their lengths add up to the
-    positions. A match of ``assign`` whose value has under 6 characters is dropped after
-    it has consumed its text.
+    positions. A match of ``assign`` whose value has under 6 characters, or of ``jwt`` that is
+    one run only, is dropped after it has consumed its text. Matches are gone through in slices, whose lists are put together at the
+    end: an array that grows by one match at a time would be copied as often as there are matches.
     """
     rule = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    short = f"length(regexp_extract(x.h, {rule}, 2)) < 6" if kind == "assign" else "false"
+    short = {"assign": f"length(regexp_extract(x.h, {rule}, 2)) < 6", "jwt": "instr(x.h, '.') = 0"}.get(kind, "false")
+    walk = f"""
+      aggregate(part, named_struct('at', acc.at, 'found', cast(array() as {SPAN})),
+        (own, x) -> named_struct(
+          'at', own.at + length(x.g) + coalesce(length(x.h), 0),
+          'found', if(x.h is null or {short}, own.found,
+            concat(own.found, array(named_struct('start', own.at + length(x.g), 'ord', {KINDS.index(kind)},
+              'stop', own.at + length(x.g) + length(x.h), 'kind', '{kind}'))))))"""
     return f"""
       if(not text rlike {rule}, cast(array() as {SPAN}),
-        aggregate(
-          zip_with(regexp_extract_all(text, {rule}, 0), split(text, {rule}, -1), (h, g) -> named_struct('h', h, 'g', g)),
-          named_struct('at', 0, 'found', cast(array() as {SPAN})),
-          (acc, x) -> named_struct(
-            'at', acc.at + length(x.g) + coalesce(length(x.h), 0),
-            'found', if(x.h is null or {short}, acc.found,
-              concat(acc.found, array(named_struct('start', acc.at + length(x.g), 'ord', {KINDS.index(kind)},
-                'stop', acc.at + length(x.g) + length(x.h), 'kind', '{kind}'))))),
-          acc -> acc.found))"""
+        flatten(aggregate(
+          transform(array(zip_with(regexp_extract_all(text, {rule}, 0), split(text, {rule}, -1), (h, g) -> named_struct('h', h, 'g', g))),
+            all -> transform(sequence(0, (size(all) - 1) div {SLICE}), i -> slice(all, i * {SLICE} + 1, {SLICE})))[0],
+          named_struct('at', 0, 'found', cast(array() as array<{SPAN}>)),
+          (acc, part) -> transform(array({walk}), t -> named_struct('at', t.at, 'found', concat(acc.found, array(t.found))))[0],
+          acc -> acc.found)))"""
 
 
 def scan_blobs(blobs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
