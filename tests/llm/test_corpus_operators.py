@@ -164,10 +164,13 @@ def test_pieces_equal_the_library_in_small_blocks(spark, model, tmp_path):
 
 def test_each_chunk_is_segmented_once(spark, tmp_path):
     spark.createDataFrame([(i, f"the word {i % 3} and the word") for i in range(200)], "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/d")
-    named = pieces.distinct_chunks(spark.read.parquet(f"{tmp_path}/d"), 500)
-    assert named.count() == named.distinct().count() and named.select("block").distinct().count() > 4
-    told = pieces.segment_chunks(named, pieces.model_path())
-    assert told.count() == named.count() and told.select("chunk").distinct().count() == 6 == told.select("chunk", "ids").distinct().count()
+    named = pieces.distinct_chunks(spark.read.parquet(f"{tmp_path}/d"), 8, 500)
+    listed = [(r["block"], r["bucket"], c) for r in named.collect() for c in r["chunks"].split(pieces.MARK)]
+    assert len(listed) == len(set(listed)) == len({(b, c) for b, _, c in listed}) and len({b for b, *_ in listed}) > 4
+    assert len({c for *_, c in listed}) == 6 == len({(k, c) for _, k, c in listed})
+    told = pieces.segment_chunks(named, pieces.model_path()).collect()
+    assert sum(len(r["ids"].split("\n")) for r in told) == len(listed)
+    assert len({pair for r in told for pair in zip(r["chunks"].split(pieces.MARK), r["ids"].split("\n"))}) == 6
 
 
 @needs_data

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -30,8 +31,11 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: A block ends with the document that brings it to so many characters: at most about half a million distinct chunks.
 BLOCK_CHARS = 1 << 25
-#: So many chunks are segmented by one call of the library.
-BATCH = 4096
+#: Chunks meet in so many buckets, four for each input partition, so a bucket doesn't grow with the input until there are
+#: MOST_BUCKETS. A task holds one bucket's chunks; should they be more than MOST_HELD it starts over, and some are segmented again.
+LEAST_BUCKETS, MOST_BUCKETS, MOST_HELD = 256, 1 << 16, 1_000_000
+#: Rows of an Arrow batch that lists chunks.
+BATCH = 64
 
 #: A model that rewrites characters or white space before it segments can't pass these.
 PROBES = ("a b", "a\nb", " \n a", "a  b ", "   ", "\t\u3000a", "\ufb01 e\u0301")
@@ -123,48 +127,57 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
             yield (part << 24) + number, ids[start:], texts[start:]
 
 
-def distinct_chunks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(block, chunk): each chunk once for every block that holds it."""
+def distinct_chunks(docs: DataFrame, buckets: int, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(block, bucket, chunks): each chunk once for every block that holds it.
+
+    Chunks are dealt to buckets by a hash; those of a block and bucket stand sorted in one string, between markers,
+    which no chunk holds.
+    """
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, seen = None, set()
         for block, _, texts in blocks(batches, block_chars):
             if block != current:
-                yield from _named(current, seen)
+                yield from _named(current, seen, buckets)
                 current, seen = block, set()
             for text in texts:
                 seen.update(chunks(text))
-        yield from _named(current, seen)
+        yield from _named(current, seen, buckets)
 
-    return docs.mapInArrow(name, "block long, chunk string")
+    return docs.mapInArrow(name, "block long, bucket int, chunks string")
 
 
-def _named(block: int | None, seen: set[str]) -> Iterator[pa.RecordBatch]:
-    if seen:
-        for batch in pa.table({"block": pa.repeat(pa.scalar(block, pa.int64()), len(seen)), "chunk": pa.array(list(seen), pa.string())}).to_batches(max_chunksize=BATCH * 4):
-            yield batch
+def _named(block: int | None, seen: set[str], buckets: int) -> Iterator[pa.RecordBatch]:
+    dealt: dict[int, list[str]] = {}
+    for chunk in seen:
+        dealt.setdefault(crc32(chunk.encode()) % buckets, []).append(chunk)
+    numbers = sorted(dealt)
+    for i in range(0, len(numbers), BATCH):
+        some = numbers[i : i + BATCH]
+        joined_chunks = [MARK.join(sorted(dealt.pop(n))) for n in some]
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(joined_chunks, pa.string())], ["block", "bucket", "chunks"])
 
 
 def segment_chunks(named: DataFrame, model: str) -> DataFrame:
-    """Adds ``ids`` and ``decoded`` to (block, chunk): equal chunks meet, sorted, and each is segmented once."""
+    """Adds ``ids`` (a line a chunk) and ``decoded`` (where it differs) to each list: a bucket's chunks meet, and each is segmented once."""
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = segmenter(model), ("", "", None)
+        own, current, table = segmenter(model), None, {}
         for batch in batches:
-            rows = batch["chunk"].to_pylist()
-            fresh = [c for i, c in enumerate(rows) if c != (rows[i - 1] if i else last[0])]
-            table = {last[0]: last[1:], **dict(zip(fresh, zip(*own.segment(fresh))))} if fresh else {last[0]: last[1:]}
-            if "" in rows:
-                table[""] = tuple(x[0] for x in own.segment([""]))
-            told = [table[c] for c in rows]
-            last = (rows[-1], *told[-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch["block"], batch["chunk"], pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.string())],
-                ["block", "chunk", "ids", "decoded"],
-            )
-
-    met = named.repartition("chunk").sortWithinPartitions("chunk")
-    return met.mapInArrow(segment, "block long, chunk string, ids string, decoded string")
+            ids, decoded = [], []
+            for bucket, listed in zip(batch["bucket"].to_pylist(), batch["chunks"].to_pylist()):
+                if bucket != current or len(table) > MOST_HELD:
+                    current, table = bucket, {}
+                parts = listed.split(MARK)
+                fresh = [c for c in parts if c not in table]
+                table.update(zip(fresh, zip(*own.segment(fresh))) if fresh else ())
+                told = [table[c] for c in parts]
+                ids.append("\n".join([t[0] for t in told]))
+                decoded.append(MARK.join([c if t[1] is None else t[1] for c, t in zip(parts, told)]) if any(t[1] is not None for t in told) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["block", "bucket", "chunks", "ids", "decoded"])
+
+    met = named.repartition("bucket").sortWithinPartitions("bucket")
+    return met.mapInArrow(segment, "block long, bucket int, chunks string, ids string, decoded string")
 
 
 def read_block(system: pafs.FileSystem, folder: str, block: int) -> tuple[dict[str, str], dict[str, str]]:
@@ -174,11 +187,12 @@ def read_block(system: pafs.FileSystem, folder: str, block: int) -> tuple[dict[s
     for file in system.get_file_info(pafs.FileSelector(f"{folder}/block={block}", allow_not_found=True)):
         if file.path.endswith(".parquet"):
             with system.open_input_file(file.path) as stream:
-                for batch in pq.ParquetFile(stream).iter_batches(batch_size=1 << 16, columns=["chunk", "ids", "decoded"]):
-                    names, decoded = batch["chunk"].to_pylist(), batch["decoded"]
-                    ids.update(zip(names, batch["ids"].to_pylist()))
-                    if decoded.null_count < len(decoded):
-                        odd.update((c, d) for c, d in zip(names, decoded.to_pylist()) if d is not None)
+                for batch in pq.ParquetFile(stream).iter_batches(batch_size=256, columns=["chunks", "ids", "decoded"]):
+                    for listed, told, decoded in zip(*(c.to_pylist() for c in batch.columns)):
+                        parts = listed.split(MARK)
+                        ids.update(zip(parts, told.split("\n")))
+                        if decoded is not None:
+                            odd.update((c, d) for c, d in zip(parts, decoded.split(MARK)) if c != d)
     return ids, odd
 
 
@@ -197,8 +211,9 @@ def encode(docs: DataFrame, model: str | None = None, block_chars: int = BLOCK_C
     model = model or model_path()
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     folder = scratch_path(docs.sparkSession, "chunks")
-    table = segment_chunks(distinct_chunks(docs, block_chars), model)
-    table.repartition("block").write.partitionBy("block").parquet(folder)
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 4 * docs.rdd.getNumPartitions()))
+    table = segment_chunks(distinct_chunks(docs, buckets, block_chars), model)
+    table.repartition("block").write.partitionBy("block").option("compression", "zstd").parquet(folder)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, inner = opened(folder)
