@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import communities, enrichment, features, periods, portfolio, relational, signals, structure, timeline, valuation
+from tidemark.operators import communities, enrichment, features, periods, portfolio, relational, rules, signals, structure, timeline, valuation
 from tidemark.sources import facts
 
 D = dt.date
@@ -89,6 +89,74 @@ def test_rules(spark):
     assert tuple(row) == (True, True, False, False, 0.0, False)
 
 
+FEATURES = "ticker string, cik string, factor string, axis string, metric_key string, feature_key string, feature_value double, period_end date, effective_date date"
+
+
+def random_features(spark, n=4, seed=3):
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for e in range(n):
+        for q in range(24):
+            for m in ("revenue", "income", "cash"):
+                for k in ("a", "b"):
+                    if rng.random() < 0.7:
+                        day = D(2015, 1, 1) + dt.timedelta(days=90 * q + rng.choice((0, 0, 5)))
+                        value = rng.choice((None, float("inf"), float("nan"), 0.0, 1.0, -1.0, rng.uniform(-2, 2), rng.uniform(-2, 2)))
+                        rows.append((f"T{e}" if rng.random() < 0.8 else f"U{e}", f"{e}" if e else None, "f", "x", m, k, value, day, day + dt.timedelta(days=rng.choice((30, 30, 200)))))
+    return spark.createDataFrame(rows, FEATURES)
+
+
+RULES = signals.Registry([
+    signals.Signal("f", "x", "up", 1, all=(signals.Condition("a", ">=", 0.5, 2), signals.Condition("b", ">", -1.0)), supporting=("a", "b"), full_metrics=3),
+    signals.Signal("f", "x", "odd", 2, any=(signals.Condition("zzz", ">", 0), signals.Condition("b", "<", -0.7), signals.Condition("a", "<", -0.7)), supporting=("b",), contradicting=("a",)),
+    signals.Signal("f", "x", "none", 5, default=True, supporting=("a",)), signals.Signal("f", "y", "elsewhere", 1),
+])
+
+
+def test_timeline_equals_a_build_for_each_date_and_reads_features_once(spark):
+    features_ = random_features(spark)
+    dates = [str(D(2014, 1, 31) + dt.timedelta(days=25 * i)) for i in range(120)]
+    told = signals.timeline(features_, RULES, dates)
+    show = lambda df: sorted(str(tuple(r)) for r in df.select("entity", "signal_key", "primary_feature_key", "signal_value", "confidence", "supporting", "contradicting", "total_metrics", "period_end", "effective_date").collect())
+    every = told.cache()
+    for d in dates[::13] + dates[-1:]:
+        assert show(every.where(F.col("as_of") == d)) == show(signals.build(features_, RULES, d)), d
+    # the choices are those of the rules taken one by one
+    latest = {(r["entity"], r["factor"]): r for r in signals.build(features_, RULES).collect()}
+    for r in signals.scopes(signals.aggregates(features_)).collect():
+        own = {k: (v["value"], v["metrics"]) for k, v in r["features"].items()}
+        ok = lambda k, t: k in own and t(*own[k])
+        up = ok("a", lambda v, n: v >= 0.5 and n >= 2) and ok("b", lambda v, n: v > -1)
+        odd = ok("b", lambda v, n: v < -0.7) or ok("a", lambda v, n: v < -0.7)
+        assert latest[r["entity"], "f"]["signal_key"] == ("up" if up else "odd" if odd else "none")
+    changes = signals.timeline(features_, RULES, dates, changed_only=True)
+    by = {}
+    for r in every.orderBy("as_of").collect():
+        if not by.get(r["entity"]) or by[r["entity"]][-1][1] != r["signal_key"]:
+            by.setdefault(r["entity"], []).append((r["as_of"], r["signal_key"]))
+    assert by == {e: [(r["as_of"], r["signal_key"]) for r in changes.orderBy("as_of").collect() if r["entity"] == e] for e in by}
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert size(signals.timeline(features_, RULES, dates)) < size(signals.timeline(features_, RULES, dates[:2])) + 200 * len(dates)
+    assert every.where("false").count() == 0 and signals.build(features_.limit(0), RULES).count() == 0
+
+
+def test_stored_rules_with_faults(spark):
+    good = rules.store(spark, RULES.signals)
+    bad = [("factor_signal", "v0", "f", "x", k, "L", 1, s, e, "{}", True) for k, s, e in (("no json", "{oops", "{}"), ("wrong type", '{"all": "a"}', "{}"), ("null", None, "{}"), ("list", "[1]", "{}"))]
+    bad += [("factor_signal", "v0", "f", "x", "off", "L", 0, "{}", "{}", "{}", False), ("factor_signal", "v1", "f", "x", "later", "L", 0, "{}", "{}", "{}", True)]
+    bad += [("factor_signal", "v0", "f", "x", "up", "repeated", 99, "{}", "{}", "{}", True), ("factor_signal", "v0", "f", "x", "unknown", "L", 0, '{"all":[{"featureKey":"a","operator":"~","value":1}], "more": 1}', '{"contextFeatureKeys":["b"]}', "{}", True)]
+    read = rules.read(good.unionByName(spark.createDataFrame(bad, rules.STORED)))
+    assert {r["signal_key"] for r in read.rejected.collect()} == {"no json", "wrong type", "null", "list"} and all(r["faults"] == ["selection_rules"] for r in read.rejected.collect())
+    assert {r["signal_key"] for r in read.definitions.collect()} == {"up", "odd", "none", "elsewhere", "unknown"}
+    one = read.definitions.where("signal_key = 'unknown'").first()
+    assert (one["supporting"], one["max_items"], one["least_metrics"], one["full_metrics"]) == (["b"], 5, 1, 1)
+    features_ = random_features(spark)
+    show = lambda df: sorted(str(tuple(r)) for r in df.drop("feature_values").collect())
+    assert show(signals.build(features_, read)) == show(signals.build(features_, RULES))
+
+
 def test_similarity_case(spark):
     found = spark.createDataFrame([(0, ["a", "b"], ["a", "b"], 1), (1, ["a", "c"], ["a", "c"], 1)], "idx long, state_vector array<string>, tokens array<string>, size long")
     row = structure.pair_similarity(found).first()

@@ -7,7 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.features import latest_features
+from tidemark.operators import rules as stored_rules
+from tidemark.operators.rules import SCOPE, Rules
+from tidemark.session import if_small
 
 _OPERATORS = {
     ">=": lambda a, b: a >= b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, "<": lambda a, b: a < b, "=": lambda a, b: a == b,
@@ -55,26 +57,60 @@ class Registry:
         return found
 
 
-def aggregates(latest: DataFrame) -> DataFrame:
-    """Per entity, factor and axis a map feature -> (value, metrics, rows).
+ENTITY = ["entity", *SCOPE]
+#: The far end of time: everything is known.
+ALL_TIME = "9999-12-31"
+_EVIDENCE = ("metric_key", "feature_key", "feature_value", "period_end", "effective_date")
 
-    ``value`` is the median over metrics; groups without a finite value vanish. An entity
-    has a few features of a few metrics, so what is collected for one is small by nature.
+
+def known_spans(features: DataFrame, dates: list[str]) -> DataFrame:
+    """Each feature value with the snapshots at which it is the latest known one: numbers ``since`` up to before ``until``.
+
+    Snapshots are numbered in order of date. The latest known value has the latest effective date, then period end, then
+    the first ticker; share classes with one cik are one entity. Values known at no snapshot go. Each value is one row
+    however many snapshots it covers.
     """
-    finite = latest.where(F.col("feature_value").isNotNull() & ~F.isnan("feature_value") & (F.abs("feature_value") < float("inf")))
-    row = F.struct(
-        F.abs("feature_value").alias("size"), "metric_key", "feature_key", "feature_value", "period_end", "effective_date"
-    )
-    each = finite.groupBy("entity", "factor", "axis", "feature_key").agg(
-        F.median("feature_value").alias("value"), F.countDistinct("metric_key").alias("metrics"), F.collect_list(row).alias("rows"),
+    at = F.array(*[F.lit(d).cast("date") for d in sorted(dates)])
+    keyed = features.where("feature_value is not null").withColumn("entity", F.coalesce("cik", "ticker")).repartition(*ENTITY)
+    series = [*ENTITY, "metric_key", "feature_key"]
+    first = Window.partitionBy(*series, "effective_date").orderBy(F.desc("period_end"), "ticker")
+    newest = keyed.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn")
+    until = F.lead("effective_date").over(Window.partitionBy(*series).orderBy("effective_date"))
+    before = lambda day: F.size(F.filter(at, lambda d: d < day))
+    spans = newest.withColumn("__next", until).withColumns({"since": before(F.col("effective_date")), "until": F.when(F.col("__next").isNull(), len(dates)).otherwise(before(F.col("__next")))})
+    finite = ~F.isnan("feature_value") & (F.abs("feature_value") < float("inf"))
+    return spans.where((F.col("since") < F.col("until")) & finite).drop("__next")
+
+
+def _at_changes(spans: DataFrame, keys: list[str], end: int) -> DataFrame:
+    """Rows of ``since`` .. ``until`` cut at every point where a row of their ``keys`` starts or ends."""
+    points = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("since", "until")).over(Window.partitionBy(*keys)))))
+    cut = spans.withColumn("__points", points).withColumn("__at", F.explode(F.filter("__points", lambda p: (p >= F.col("since")) & (p < F.col("until")))))
+    following = F.get("__points", F.array_position("__points", F.col("__at")).cast("int"))
+    return cut.withColumns({"since": F.col("__at"), "until": F.coalesce(following, F.lit(end))}).drop("__points", "__at")
+
+
+def aggregates(features: DataFrame, dates: list[str] = (ALL_TIME,)) -> DataFrame:
+    """Per entity, scope and feature the median over metrics: value, metrics, evidence rows, for spans of snapshots.
+
+    A feature is aggregated anew only where one of its metrics' values changes, and is cut where any of the scope's changes, so
+    that all features of a scope that are known from one point on have the same span.
+    """
+    spans = _at_changes(known_spans(features, dates), [*ENTITY, "feature_key"], len(dates))
+    row = F.struct(F.abs("feature_value").alias("size"), *_EVIDENCE)
+    by_size = lambda a, b: F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1).when(a["metric_key"] < b["metric_key"], -1).otherwise(1)
+    each = spans.groupBy(*ENTITY, "feature_key", "since", "until").agg(
+        F.median("feature_value").alias("value"), F.count_distinct("metric_key").alias("metrics"), F.array_sort(F.collect_list(row), by_size).alias("rows"),
         F.min("ticker").alias("ticker"), F.max("cik").alias("cik"), F.max(F.struct("effective_date", "period_end")).alias("newest"), F.collect_set("metric_key").alias("all_metrics"),
     )
-    by_size = lambda a, b: F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1).when(a["metric_key"] < b["metric_key"], -1).otherwise(1)
-    ordered = each.withColumn("rows", F.array_sort("rows", by_size))
-    return ordered.groupBy("entity", "factor", "axis").agg(
+    return _at_changes(each, ENTITY, len(dates))
+
+
+def scopes(each: DataFrame) -> DataFrame:
+    """Per entity, scope and span what :func:`aggregates` has of it: a map of features, counts, newest dates."""
+    return each.groupBy(*ENTITY, "since", "until").agg(
         F.map_from_entries(F.collect_list(F.struct("feature_key", F.struct("value", "metrics", "rows")))).alias("features"),
-        F.min("ticker").alias("ticker"), F.max("cik").alias("cik"), F.max("newest").alias("newest"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("all_metrics")))).alias("total_metrics"),
+        F.min("ticker").alias("ticker"), F.max("cik").alias("cik"), F.max("newest").alias("newest"), F.size(F.array_distinct(F.flatten(F.collect_list("all_metrics")))).alias("total_metrics"),
     )
 
 
@@ -102,54 +138,53 @@ def matches(s: Signal, features: Column, empty_matches: bool = True) -> Column:
     return told
 
 
-def _evidence(keys: tuple[str, ...], most: int, features: Column) -> Column:
+def _evidence(keys: Column, most: Column, features: Column) -> Column:
     """Row i of every feature in turn, features in the order given, until ``most`` items are taken."""
-    if not keys:
-        return F.array().cast("array<struct<metric_key:string,feature_key:string,feature_value:double,period_end:date,effective_date:date>>")
-    lists = F.array(*[F.coalesce(features[k]["rows"], F.array()) for k in keys])
+    lists = F.transform(keys, lambda k: F.coalesce(features[k]["rows"], F.array()))
     ranked = F.flatten(F.transform(lists, lambda rows, f: F.transform(rows, lambda r, i: F.struct(i.alias("i"), f.alias("f"), r.alias("r")))))
-    taken = F.slice(F.array_sort(ranked, lambda a, b: F.when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).when(a["f"] < b["f"], -1).otherwise(1)), 1, most)
-    return F.transform(taken, lambda x: F.struct(*[x["r"][c].alias(c) for c in ("metric_key", "feature_key", "feature_value", "period_end", "effective_date")]))
-
-
-def _chosen(s: Signal, features: Column) -> Column:
-    """What the choice of a definition gives, as one struct."""
-    primary = F.coalesce(*[F.when(holds(c, features), F.lit(c.feature_key)) for c in s.any], *([F.lit(s.all[0].feature_key)] if s.all else []), F.lit(None).cast("string"))
-    supporting = _evidence(s.supporting, s.max_items, features)
-    first = F.get(F.filter(supporting, lambda e: e["feature_key"] == primary), 0)
-    fallback = F.get(supporting, 0)
-    key = F.coalesce(primary, fallback["feature_key"])
-    at = features[key]
-    full = s.full_metrics or s.least_metrics
-    observed = F.coalesce(at["metrics"], F.lit(0))
-    return F.struct(
-        F.lit(s.signal_key).alias("signal_key"), key.alias("primary_feature_key"),
-        F.coalesce(at["value"], F.coalesce(first, fallback)["feature_value"]).alias("signal_value"), observed.cast("int").alias("observed_metrics"),
-        F.when((observed >= s.least_metrics) & (F.lit(full) > 0), F.least(F.lit(1.0), observed / full)).alias("confidence"),
-        supporting.alias("supporting"), _evidence(s.contradicting, s.max_items, features).alias("contradicting"),
+    taken = F.slice(F.array_sort(ranked, lambda a, b: F.when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).when(a["f"] < b["f"], -1).otherwise(1)), F.lit(1), most)
+    return F.transform(taken, lambda x: F.struct(*[x["r"][c].alias(c) for c in _EVIDENCE]))
+
+
+def read_rules(registry: Registry | Rules, spark) -> Rules:
+    """Rules as relations; a registry in memory is first written down as it would be stored."""
+    return registry if isinstance(registry, Rules) else stored_rules.read(stored_rules.store(spark, registry.signals))
+
+
+def _chosen(features: DataFrame, registry: Registry | Rules, dates: list[str]) -> DataFrame:
+    """The first rule that matches, for each entity, scope and span of snapshots at which nothing changes."""
+    rules, each = read_rules(registry, features.sparkSession), aggregates(features, dates)
+    keys = [*ENTITY, "since", "until"]
+    first = stored_rules.matches(each, rules, keys).where("matched").groupBy(*keys).agg(F.min_by(F.struct("signal_key", "by_feature"), F.struct("priority", "signal_key")).alias("s"))
+    met = scopes(each).join(first, keys).select("*", "s.*").drop("s")
+    return met.join(if_small(rules.definitions), [*SCOPE, "signal_key"])
+
+
+def _told(chosen: DataFrame, effective: Column) -> DataFrame:
+    """What the choice gives: value, confidence and evidence."""
+    at, d = F.col("features"), F.col
+    shown = chosen.withColumns({"supporting": _evidence(d("supporting"), d("max_items"), at), "contradicting": _evidence(d("contradicting"), d("max_items"), at)})
+    primary = F.coalesce("by_feature", F.when(d("n_all") > 0, d("named_first")))
+    shown = shown.withColumn("__first", F.get(F.filter("supporting", lambda e: e["feature_key"] == primary), F.lit(0))).withColumn("__any", F.get("supporting", F.lit(0)))
+    shown = shown.withColumn("primary_feature_key", F.coalesce(primary, d("__any.feature_key")))
+    shown = shown.withColumn("__a", at[d("primary_feature_key")]).withColumn("observed_metrics", F.coalesce("__a.metrics", F.lit(0)).cast("int"))
+    enough = (d("observed_metrics") >= d("least_metrics")) & (d("full_metrics") > 0)
+    return shown.select(
+        "entity", "ticker", "cik", *SCOPE, "signal_key", "primary_feature_key", F.coalesce(d("__a.value"), F.coalesce("__first", "__any")["feature_value"]).alias("signal_value"),
+        "observed_metrics", F.when(enough, F.least(F.lit(1.0), d("observed_metrics") / d("full_metrics"))).alias("confidence"), "supporting", "contradicting",
+        d("newest.period_end").alias("period_end"), effective.alias("effective_date"), d("total_metrics").cast("int").alias("total_metrics"),
+        F.map_from_entries(F.transform(F.map_entries("features"), lambda e: F.struct(e["key"], e["value"]["value"]))).alias("feature_values"), "since", "until",
     )
 
 
-def build(features: DataFrame, registry: Registry, as_of: str | None = None) -> DataFrame:
-    """One signal per entity and scope: the first definition that matches, its value, confidence and evidence.
+def build(features: DataFrame, registry: Registry | Rules, as_of: str | None = None) -> DataFrame:
+    """One signal per entity and scope: the first rule that matches, its value, confidence and evidence.
 
-    All rules become one expression, evaluated where the aggregates are; entities that match
-    no definition have no row. With ``as_of`` only what was known by then counts.
+    Entities that match no rule have no row. With ``as_of`` only what was known by then counts. Rules are rows
+    (:mod:`rules`); one shuffle by entity and scope, then everything is grouped within it.
     """
-    told = aggregates(latest_features(features, as_of))
-    at = F.col("features")
-    choice = None
-    for (factor, axis), signals in registry.scopes().items():
-        here = (F.col("factor") == factor) & (F.col("axis") == axis)
-        for s in signals:
-            test = here & matches(s, at)
-            choice = F.when(test, _chosen(s, at)) if choice is None else choice.when(test, _chosen(s, at))
-    chosen = told.withColumn("__s", choice).where(F.col("__s").isNotNull())
-    return chosen.select(
-        "entity", "ticker", "cik", "factor", "axis", "__s.*", F.col("newest.period_end").alias("period_end"),
-        (F.lit(as_of).cast("date") if as_of else F.col("newest.effective_date")).alias("effective_date"), F.col("total_metrics").cast("int").alias("total_metrics"),
-        F.map_from_entries(F.transform(F.map_entries("features"), lambda e: F.struct(e["key"], e["value"]["value"]))).alias("feature_values"),
-    )
+    told = _told(_chosen(features, registry, [as_of or ALL_TIME]), F.lit(as_of).cast("date") if as_of else F.col("newest.effective_date"))
+    return told.drop("since", "until")
 
 
 def bucket_median(feature_values: Column, keys: list[str]) -> Column:
@@ -159,42 +194,43 @@ def bucket_median(feature_values: Column, keys: list[str]) -> Column:
     return F.when(n > 0, (F.get(found, F.floor((n - 1) / 2).cast("int")) + F.get(found, F.floor(n / 2).cast("int"))) / 2)
 
 
-def timeline(features: DataFrame, registry: Registry, dates: list[str], changed_only: bool = False) -> DataFrame:
-    """Signals at several dates; with ``changed_only`` just those that differ from the entity's date before."""
-    parts = [build(features, registry, d).withColumn("as_of", F.lit(d).cast("date")) for d in dates]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    if not changed_only:
-        return every
-    w = Window.partitionBy("entity", "factor", "axis").orderBy("as_of")
-    return every.withColumn("__b", F.lag("signal_key").over(w)).where(~F.col("signal_key").eqNullSafe(F.col("__b"))).drop("__b")
-
+def timeline(features: DataFrame, registry: Registry | Rules, dates: list[str], changed_only: bool = False) -> DataFrame:
+    """Signals at several dates; with ``changed_only`` just those that differ from the entity's date before.
 
-def validation(features: DataFrame, registry: Registry, universe_size: int) -> DataFrame:
+    Features are read once. A value is a span of dates; aggregates, conditions and choices are worked out
+    where a span starts or ends, and what is chosen there holds until the next such point.
+    """
+    days = F.array(*[F.lit(d).cast("date") for d in sorted(dates)])
+    told = _told(_chosen(features, registry, dates), F.lit(None).cast("date"))
+    if changed_only:
+        # a span that goes on where one of the same state ended is no change; dates without any state lie between others
+        w = Window.partitionBy(*ENTITY).orderBy("since")
+        told = told.withColumn("__b", F.lag("signal_key").over(w)).where(~F.col("signal_key").eqNullSafe(F.col("__b"))).drop("__b")
+        told = told.withColumn("as_of", F.get(days, F.col("since")))
+    else:
+        told = told.withColumn("as_of", F.explode(F.slice(days, F.col("since") + 1, F.col("until") - F.col("since"))))
+    return told.withColumn("effective_date", F.col("as_of")).drop("since", "until")
+
+
+def validation(features: DataFrame, registry: Registry | Rules, universe_size: int) -> DataFrame:
     """Per definition: how often it is chosen, its share, how often lower-priority rules it shadows match, driver percentiles.
 
     Here rules without conditions match nothing.
     """
-    told = aggregates(latest_features(features))
-    rows = []
-    for (factor, axis), signals in registry.scopes().items():
-        for i, s in enumerate(signals):
-            hit = matches(s, F.col("features"), empty_matches=False)
-            before = F.lit(False)
-            for t in signals[:i]:
-                before = before | matches(t, F.col("features"), empty_matches=False)
-            key = s.conditions[0].feature_key if s.conditions else None
-            rows.append(F.struct(
-                F.lit(factor).alias("f"), F.lit(axis).alias("a"), F.lit(s.signal_key).alias("signal_key"), F.lit(s.priority).alias("priority"),
-                F.when(hit & ~before, 1).otherwise(0).alias("chosen"), F.when(hit & before, 1).otherwise(0).alias("shadowed"),
-                (F.when(hit & ~before, F.col("features")[key]["value"]) if key else F.lit(None).cast("double")).alias("driver"),
-                (threshold_distance(F.col("features"), s)).alias("distance"),
-            ))
-    flat = told.select("factor", "axis", F.explode(F.array(*rows)).alias("r")).where("factor = r.f and axis = r.a").select("factor", "axis", "r.*")
-    return flat.groupBy("factor", "axis", "signal_key", "priority").agg(
-        F.sum("chosen").alias("n"), (F.sum("chosen") / universe_size).alias("share"), F.sum("shadowed").alias("shadowed"),
-        *[F.percentile("driver", p).alias(f"driver_p{int(p * 100)}") for p in (0.1, 0.5, 0.9)], F.min(F.when(F.col("chosen") == 1, F.col("distance"))).alias("nearest_threshold"),
+    rules, each = read_rules(registry, features.sparkSession), aggregates(features)
+    hits = stored_rules.matches(each, rules, ENTITY).where("matched and not unconditional")
+    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy(*ENTITY).orderBy("priority", "signal_key")))
+    counted = ranked.groupBy(*SCOPE, "signal_key").agg(
+        F.count_if(F.col("r") == 1).alias("n"), F.count_if(F.col("r") > 1).alias("shadowed"),
+        *[F.percentile(F.when(F.col("r") == 1, F.col("driver")), p).alias(f"driver_p{int(p * 100)}") for p in (0.1, 0.5, 0.9)],
+        F.min(F.when(F.col("r") == 1, F.col("distance"))).alias("nearest_threshold"),
+    )
+    # scopes in which no entity has a feature aren't reported
+    present = each.select(*SCOPE).distinct()
+    told = rules.definitions.select(*SCOPE, "signal_key", "priority").join(present, [*SCOPE], "left_semi").join(counted, [*SCOPE, "signal_key"], "left")
+    return told.select(
+        *SCOPE, "signal_key", "priority", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / universe_size).alias("share"), F.coalesce("shadowed", F.lit(0)).alias("shadowed"),
+        "driver_p10", "driver_p50", "driver_p90", "nearest_threshold",
     )
 
 

@@ -51,3 +51,12 @@ def default_signals() -> Registry:
 
 
 QUESTIONS = [(f, AXIS) for f in ("growth", "investment", "profitability", "quality", "stretch")]
+
+
+def graded_signals() -> Registry:
+    """114 rules by rule: for each of six features a state for every tenth from 0.9 down to -0.9, highest first."""
+    graded = (("growth", "latestGrowth"), ("growth", "durableGrowth"), ("stretch", "trendStretch"), ("quality", "observedShare"), ("profitability", "netMargin"), ("investment", "capexRelief"))
+    return Registry([
+        Signal(f, AXIS, f"{k}_{g:+d}", 100 * i + 9 - g, all=(Condition(k, ">=", g / 10),), supporting=(k,), full_metrics=3)
+        for i, (f, k) in enumerate(graded) for g in range(9, -10, -1)
+    ])

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import enrichment, features, relational, signals, valuation
+from tidemark.operators import rules as stored_rules
 from tidemark.plans import series_queries, sql
 from tidemark.plans.common import rounded, stored
-from tidemark.plans.registry import AXIS, default_features, default_signals
+from tidemark.plans.registry import AXIS, default_features, default_signals, graded_signals
 from tidemark.session import if_small
 from tidemark.sources import adapters
 
 YEARS = ["1998-12-31", "1999-12-31", "2000-12-31", "2001-12-31"]
+QUARTERS = [f"{y}-{day}" for y in range(1995, 2003) for day in ("03-31", "06-30", "09-30", "12-31")]
 
 
 def _enriched_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +92,19 @@ def signal_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("entity", "factor", "axis", "as_of", "signal_key")
 
 
+def quarterly_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of state over 32 quarter ends, from one reading of the features."""
+    told = signals.timeline(_features(spark, sf_dir), default_signals(), QUARTERS, changed_only=True)
+    return told.select("entity", "factor", "axis", "as_of", "signal_key")
+
+
+def graded_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every company and question by 114 stored rules, read from a table of JSON."""
+    rules = stored_rules.read(stored_rules.store(spark, graded_signals().signals))
+    told = signals.build(_features(spark, sf_dir), rules)
+    return rounded(told.select("entity", "factor", "axis", "signal_key", "signal_value", "confidence", "primary_feature_key", F.size("supporting").alias("n_supporting")))
+
+
 def signal_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = adapters.companies(spark, sf_dir).count()
     return rounded(signals.validation(_features(spark, sf_dir), default_signals(), size))
@@ -103,7 +118,7 @@ def question_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     series_features, latest_feature_values, sign_profiles, sign_normalized, macro_contrasts, valuation_composites, implied_expectations,
-    factor_signals, signal_timeline, signal_validation, question_policies,
+    factor_signals, signal_timeline, quarterly_signals, graded_states, signal_validation, question_policies,
 )}
 
 _INSTANT_ENRICHED = """ie AS (
@@ -277,8 +292,18 @@ rr AS (SELECT *, (ns > 0.2)::INT + (dm > 0.6)::INT + (ds < 0.25)::INT + coalesce
 SELECT factor, axis, selected, mixed, round(ns, 6) AS no_signal_share, round(ds, 6) AS directional_share, round(dm, 6) AS dominant_share, round(entropy, 6) AS entropy, reasons,
   CASE WHEN ns > 0.45 OR ds < 0.1 THEN 'hold' WHEN reasons > 1 OR ns > 0.2 OR dm > 0.6 THEN 'review' ELSE 'use' END AS status FROM rr""",
 }
-SQL["signal_timeline"] = "WITH " + _FEATURES + ", " + ", ".join(
-    f"h{i} AS (WITH {_LATEST.format(where=f'WHERE effective_date <= DATE {chr(39)}{d}{chr(39)}')}, {_AGG}, {_rules_sql()}, {_CHOSEN} SELECT entity, factor, axis, DATE '{d}' AS as_of, signal_key FROM chosen)" for i, d in enumerate(YEARS)
-) + ", tt AS (" + " UNION ALL ".join(f"SELECT * FROM h{i}" for i in range(len(YEARS))) + """)
+
+
+def _timeline_sql(dates: list[str]) -> str:
+    """Changes between snapshots, each worked out on its own."""
+    at = lambda i, d: f"h{i} AS MATERIALIZED (WITH {_LATEST.format(where=f'WHERE effective_date <= DATE {chr(39)}{d}{chr(39)}')}, {_AGG}, {_rules_sql()}, {_CHOSEN} SELECT entity, factor, axis, DATE '{d}' AS as_of, signal_key FROM chosen)"
+    return f"WITH {_FEATURES.replace('features AS (', 'features AS MATERIALIZED (')}, " + ", ".join(at(i, d) for i, d in enumerate(dates)) + ", tt AS (" + " UNION ALL ".join(f"SELECT * FROM h{i}" for i in range(len(dates))) + """)
 SELECT * FROM tt QUALIFY lag(signal_key) OVER (PARTITION BY entity, factor, axis ORDER BY as_of) IS DISTINCT FROM signal_key"""
+
+
+SQL["signal_timeline"], SQL["quarterly_signals"] = _timeline_sql(YEARS), _timeline_sql(QUARTERS)
+SQL["graded_states"] = f"""WITH {_FEATURES}, {_LATEST.format(where='')}, {_AGG},
+rules(factor, signal_key, priority, feature_key, t) AS (VALUES {", ".join(f"('{s.factor}', '{s.signal_key}', {s.priority}, '{s.all[0].feature_key}', {s.all[0].value}::DOUBLE)" for s in graded_signals().signals)}),
+best AS (SELECT a.*, r.signal_key FROM agg a JOIN rules r ON r.factor = a.factor AND r.feature_key = a.feature_key AND a.value >= r.t QUALIFY row_number() OVER (PARTITION BY entity, a.factor, axis ORDER BY priority, signal_key) = 1)
+SELECT entity, factor, axis, signal_key, round(value, 6) AS signal_value, round(least(1.0, metrics / 3), 6) AS confidence, feature_key AS primary_feature_key, CAST(least(metrics, 5) AS INT) AS n_supporting FROM best"""
 __all__ = ["AXIS", "QUERIES", "SQL"]
