@@ -30,12 +30,26 @@ def state_vectors(signals: DataFrame, questions: list[tuple[str, str]]) -> DataF
 def groups(vectors: DataFrame) -> DataFrame:
     """Entities with the same full vector are one group: its key (12 hex digits of SHA-1), index, vector, tokens and size.
 
-    ``idx`` numbers groups by size, then key; it takes one sort of the groups, which are
-    far fewer than entities.
+    ``idx`` numbers groups by size, then key: ranges of that order are numbered apart, from
+    the counts of the ranges before them.
     """
     found = vectors.groupBy("state_vector").agg(F.count("*").alias("size"), F.first("tokens").alias("tokens"), F.min("entity").alias("sample"))
     keyed = found.withColumn("group_key", F.substring(F.sha1(F.encode(F.concat_ws("|", "state_vector"), "UTF-8")), 1, 12))
-    return keyed.withColumn("idx", (F.row_number().over(Window.orderBy(F.desc("size"), "group_key")) - 1).cast("long"))
+    return numbered(keyed, [F.desc("size"), F.asc("group_key")], "idx")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``, the place of each row in ``order``, from 0, without a task that sees all rows.
+
+    One range shuffle; what comes before a range is a sum over one row a range.
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + own - 1).cast("long")).drop("__part", "__start")
 
 
 def token_weights(found: DataFrame) -> DataFrame:
@@ -123,35 +137,6 @@ def families(found: DataFrame, pairs: DataFrame, threshold: float, lens: str = "
     return found.select("idx").join(labels.withColumnRenamed("node", "idx"), "idx", "left").select("idx", F.coalesce("label", "idx").alias("label"))
 
 
-def threshold_sweep(found: DataFrame, pairs: DataFrame, lens: str = "jaccard", steps: int = 100) -> DataFrame:
-    """At each of the thresholds 0 to 1: families, largest, second, singletons, sum of squares and mean size of the others.
-
-    All thresholds are solved together: an edge stands in the graphs of every threshold up to
-    its own, and the graphs are told apart by a key.
-    """
-    spark = found.sparkSession
-    step = F.least(F.lit(steps), F.floor(F.col(LENSES[lens]) * steps)).cast("int")
-    edges = pairs.where(F.col(LENSES[lens]) > 0).select(F.explode(F.sequence(F.lit(0), step)).alias("t"), "a", "b")
-    sizes = components(edges, ("t",)).groupBy("t", "label").agg(F.count("*").alias("n"))
-    ranked = sizes.withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("n"), "label")))
-    told = ranked.groupBy("t").agg(
-        F.count("*").alias("k"), F.sum("n").alias("m"), F.max("n").alias("largest"), F.max(F.when(F.col("r") == 2, F.col("n"))).alias("second"),
-        F.sum(F.when(F.col("r") > 1, F.col("n") * F.col("n"))).alias("squares"),
-    )
-    total = found.agg(F.count("*").alias("g"))
-    every = spark.range(steps + 1).select(F.col("id").cast("int").alias("t")).join(F.broadcast(told), "t", "left").crossJoin(F.broadcast(total))
-    lone = F.col("g") - F.coalesce("m", F.lit(0))
-    largest = F.coalesce("largest", F.when(F.col("g") > 0, 1).otherwise(0))
-    alone = F.when(F.col("largest").isNotNull(), lone).otherwise(F.greatest(lone - 1, F.lit(0)))
-    squares = F.coalesce("squares", F.lit(0)) + alone
-    finite = F.col("g") - largest
-    return every.select(
-        (F.col("t") / steps).alias("threshold"), (F.coalesce("k", F.lit(0)) + lone).alias("families"), largest.cast("long").alias("largest"),
-        F.coalesce("second", F.when(alone > 0, 1).otherwise(0)).cast("long").alias("second"), lone.alias("singletons"),
-        squares.alias("second_moment"), F.when(finite > 0, squares / finite).otherwise(0.0).alias("mean_finite_size"),
-    )
-
-
 def threshold_candidates(stats: DataFrame, total: int) -> DataFrame:
     """Where a second family of weight appears, where it is gone again, and where the largest drops most after that.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import communities, signals, structure
+from tidemark.operators import communities, percolation, signals, structure
 from tidemark.plans import signal_queries as sq
 from tidemark.plans.common import rounded, stored
 from tidemark.plans.registry import QUESTIONS, default_signals
@@ -50,16 +50,74 @@ def families_at_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.families(*_graph(spark, sf_dir), 0.6)
 
 
+def _forest(spark: SparkSession, sf_dir: str, lens: str = "jaccard") -> DataFrame:
+    return stored(spark, sf_dir, f"forest-{lens}", lambda: percolation.spanning_forest(percolation.weighted(_graph(spark, sf_dir)[1], lens)))
+
+
+def _sweep_of(spark: SparkSession, sf_dir: str, lens: str = "jaccard") -> DataFrame:
+    found, forest = _groups(spark, sf_dir), _forest(spark, sf_dir, lens)
+    return stored(spark, sf_dir, f"sweep-{lens}", lambda: percolation.sweep(found, materialize(percolation.merge_tree(forest), "tree")))
+
+
+def spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights of the forest's edges, ascending: any maximum spanning forest has the same."""
+    told = _forest(spark, sf_dir, "idf").groupBy("weight").agg(F.count("*").alias("n"))
+    return told.groupBy(F.round("weight", 6).alias("weight")).agg(F.sum("n").alias("n"))
+
+
+def merge_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percolation.merge_tree(_forest(spark, sf_dir))
+
+
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(structure.threshold_sweep(*_graph(spark, sf_dir)))
+    return rounded(_sweep_of(spark, sf_dir))
 
 
 def threshold_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, pairs = _graph(spark, sf_dir)
-    stats = materialize(structure.threshold_sweep(found, pairs), "sweep")
+    found, stats = _groups(spark, sf_dir), _sweep_of(spark, sf_dir)
     return rounded(structure.threshold_candidates(stats, found.count()).crossJoin(structure.percolation_peak(stats)))
 
 
+#: Two thresholds of the weighted Jaccard similarity between which the largest family of the test tables breaks.
+BEFORE, AFTER, AUDIT = 0.69, 0.7, 0.8
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, forest = _groups(spark, sf_dir), _forest(spark, sf_dir, "idf")
+    return stored(spark, sf_dir, "broken", lambda: percolation.pieces(found, percolation.cut(found, forest, BEFORE), percolation.cut(found, forest, AFTER)))
+
+
+def percolation_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both splits of both lenses: the thresholds before and at them, the pieces of the largest family and their sizes."""
+    found, parts = _groups(spark, sf_dir), None
+    for lens in ("idf", "hamming"):
+        stats, forest = _sweep_of(spark, sf_dir, lens), _forest(spark, sf_dir, lens)
+        for kind in ("first", "peak"):
+            at = percolation.split(stats, kind == "first")
+            if at:
+                broken = percolation.pieces(found, percolation.cut(found, forest, at[0]), percolation.cut(found, forest, at[1]))
+                told = broken.groupBy("piece").agg(F.count("*").alias("groups")).select(
+                    F.lit(lens).alias("lens"), F.lit(kind).alias("split"), F.lit(at[0]).alias("before"), F.lit(at[1]).alias("at"), F.col("piece").cast("long").alias("piece"), "groups"
+                )
+                parts = told if parts is None else parts.unionByName(told)
+    return parts if parts is not None else spark.createDataFrame([], "lens string, split string, before double, at double, piece long, groups long")
+
+
+def hamming_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the largest family, held against the Hamming similarity."""
+    found, pairs = _graph(spark, sf_dir)
+    return rounded(percolation.hamming_audit(found, pairs, _broken(spark, sf_dir), AUDIT))
+
+
+def piece_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(percolation.piece_contrast(_groups(spark, sf_dir), _broken(spark, sf_dir)))
+
+
+def broken_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, pairs = _graph(spark, sf_dir)
+    return rounded(percolation.broken_bridges(found, percolation.weighted(pairs, "idf"), _broken(spark, sf_dir), BEFORE, AFTER))
+
+
 def family_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, pairs = _graph(spark, sf_dir)
     return structure.top_tokens(found, structure.families(found, pairs, 0.6))
@@ -114,7 +172,8 @@ def family_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    combination_groups, token_weights, pair_similarity, similarity_histogram, similar_groups, families_at_threshold, threshold_sweep, threshold_candidates,
+    combination_groups, token_weights, pair_similarity, similarity_histogram, similar_groups, families_at_threshold, spanning_forest, merge_tree, threshold_sweep, threshold_candidates,
+    percolation_splits, hamming_audit, piece_contrast, broken_bridges,
     family_tokens, bridge_analysis, sparse_graph, partition_agreement, state_diversity, flow_communities, markov_communities, louvain_communities, family_modularity,
 )}
 
@@ -146,13 +205,39 @@ def _families(name: str, threshold: str, lens: str = "jaccard") -> str:
 
 _SPARSE = """both_ AS (SELECT a, b, idf_jaccard AS weight FROM ham WHERE idf_jaccard >= 0.08 UNION ALL SELECT b, a, idf_jaccard FROM ham WHERE idf_jaccard >= 0.08),
 sparse AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, weight FROM (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) <= 14))"""
-_SWEEP = f"""steps AS (SELECT range AS t FROM range(101)),
-se AS (SELECT t, a, b FROM ham JOIN steps ON jaccard > 0 AND t <= least(100, floor(jaccard * 100)) UNION SELECT t, b, a FROM ham JOIN steps ON jaccard > 0 AND t <= least(100, floor(jaccard * 100))),
-sr(t, node, reached) AS (SELECT t, idx, idx FROM gr, steps UNION SELECT r.t, r.node, e.b FROM sr r JOIN se e ON e.t = r.t AND e.a = r.reached),
-sl AS (SELECT t, node, min(reached) AS label FROM sr GROUP BY 1, 2), sz AS (SELECT t, label, count(*) AS n FROM sl GROUP BY 1, 2),
-sk AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, label) AS r FROM sz),
-sweep AS (SELECT t / 100 AS threshold, count(*) AS families, max(n) AS largest, coalesce(max(n) FILTER (r = 2), 0) AS second, count(*) FILTER (n = 1) AS singletons,
-  CAST(coalesce(sum(n * n) FILTER (r > 1), 0) AS BIGINT) AS second_moment, coalesce(sum(n * n) FILTER (r > 1) / sum(n) FILTER (r > 1), 0) AS mean_finite_size FROM sk GROUP BY t)"""
+
+
+def _sweep_sql(lens: str = "jaccard", name: str = "sweep") -> str:
+    """The sweep by the labels at each of the thresholds, from all edges."""
+    at = f"least(100, floor(round({lens}, 12) * 100))"
+    return f"""{name}_t AS (SELECT range AS t FROM range(101)),
+{name}_e AS (SELECT t, a, b FROM ham JOIN {name}_t ON {lens} > 0 AND t <= {at} UNION SELECT t, b, a FROM ham JOIN {name}_t ON {lens} > 0 AND t <= {at}),
+{name}_r(t, node, reached) AS (SELECT t, idx, idx FROM gr, {name}_t UNION SELECT r.t, r.node, e.b FROM {name}_r r JOIN {name}_e e ON e.t = r.t AND e.a = r.reached),
+{name}_l AS (SELECT t, node, min(reached) AS label FROM {name}_r GROUP BY 1, 2), {name}_z AS (SELECT t, label, count(*) AS n FROM {name}_l GROUP BY 1, 2),
+{name}_k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY n DESC, label) AS r FROM {name}_z),
+{name} AS (SELECT t / 100 AS threshold, count(*) AS families, max(n) AS largest, coalesce(max(n) FILTER (r = 2), 0) AS second, count(*) FILTER (n = 1) AS singletons,
+  CAST(coalesce(sum(n * n) FILTER (r > 1), 0) AS BIGINT) AS second_moment, coalesce(sum(n * n) FILTER (r > 1) / sum(n) FILTER (r > 1), 0) AS mean_finite_size FROM {name}_k GROUP BY t)"""
+
+
+_SWEEP = _sweep_sql()
+_BROKEN = f"""{_families('fb', str(BEFORE), 'round(idf_jaccard, 12)')}, {_families('fa', str(AFTER), 'round(idf_jaccard, 12)')},
+big AS (SELECT label FROM fb GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1), inner_ AS (SELECT idx, fa.label FROM fb JOIN big USING (label) JOIN fa USING (idx)),
+pc AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) AS piece, count(*) AS groups FROM inner_ GROUP BY 1), broken AS (SELECT piece, idx, groups FROM inner_ JOIN pc USING (label))"""
+_SHARES = """ps AS (SELECT piece, token, sum(size) / any_value(whole) AS share, CAST(sum(size) AS BIGINT) AS entities, count(*) AS groups FROM broken JOIN tok USING (idx) JOIN (SELECT piece, sum(size) AS whole FROM broken JOIN gr USING (idx) GROUP BY 1) USING (piece) GROUP BY 1, 2),
+base AS (SELECT token, sum(size) / (SELECT sum(size) FROM broken JOIN gr USING (idx)) AS baseline_share FROM broken JOIN tok USING (idx) GROUP BY 1)"""
+
+
+def _splits_sql() -> str:
+    parts = []
+    for lens, column in (("idf", "idf_jaccard"), ("hamming", "hamming")):
+        for kind in ("first", "peak"):
+            pick = "largest < was AND second > 0 ORDER BY threshold" if kind == "first" else "true ORDER BY mean_finite_size DESC, threshold"
+            parts.append(f"""SELECT '{lens}' AS lens, '{kind}' AS split, before, threshold AS at, row_number() OVER (ORDER BY count(*) DESC, l1.label) AS piece, count(*) AS groups
+  FROM (SELECT * FROM (SELECT *, coalesce(lag(threshold) OVER (ORDER BY threshold), threshold) AS before, lag(largest) OVER (ORDER BY threshold) AS was FROM {lens}_s) WHERE {pick} LIMIT 1) p
+  JOIN {lens}_s_l l0 ON l0.t = round(p.before * 100) JOIN {lens}_s_l l1 ON l1.node = l0.node AND l1.t = round(p.threshold * 100)
+  WHERE l0.label = (SELECT label FROM {lens}_s_k k WHERE k.t = round(p.before * 100) AND k.r = 1) GROUP BY before, threshold, l1.label""")
+    return f"{_PAIRS}, {_sweep_sql('idf_jaccard', 'idf_s')}, {_sweep_sql('hamming', 'hamming_s')} " + " UNION ALL ".join(f"({p})" for p in parts)
+
 
 SQL = {
     "combination_groups": f"{_BASE} SELECT idx, group_key, size, array_to_string(vec, '|') AS state_vector, array_to_string(tokens, '|') AS tokens, sample FROM gr",
@@ -164,6 +249,31 @@ SELECT CAST(r.range AS INT) AS bucket, coalesce(n, 0) AS n, round(coalesce(n, 0)
 SELECT a, CAST(row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, size DESC, b) AS INT) AS rank, b, round(jaccard, 6) AS jaccard FROM m JOIN gr ON gr.idx = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, size DESC, b) <= 5""",
     "families_at_threshold": f"{_PAIRS}, {_families('fam', '0.6')} SELECT idx, label FROM fam",
     "threshold_sweep": f"{_PAIRS}, {_SWEEP} SELECT threshold, families, largest, second, singletons, second_moment, round(mean_finite_size, 6) AS mean_finite_size FROM sweep",
+    "spanning_forest": f"""{_PAIRS}, lv AS (SELECT DISTINCT round(idf_jaccard, 12) AS weight FROM ham WHERE idf_jaccard > 0),
+le AS (SELECT weight, a, b FROM ham JOIN lv ON round(idf_jaccard, 12) >= weight UNION SELECT weight, b, a FROM ham JOIN lv ON round(idf_jaccard, 12) >= weight),
+lr(weight, node, reached) AS (SELECT weight, idx, idx FROM gr, lv UNION SELECT r.weight, r.node, e.b FROM lr r JOIN le e ON e.weight = r.weight AND e.a = r.reached),
+lc AS (SELECT weight, count(DISTINCT label) AS k FROM (SELECT weight, node, min(reached) AS label FROM lr GROUP BY 1, 2) GROUP BY 1)
+SELECT round(weight, 6) AS weight, CAST(sum(n) AS BIGINT) AS n FROM (SELECT weight, coalesce(lag(k) OVER (ORDER BY weight DESC), (SELECT count(*) FROM gr)) - k AS n FROM lc) WHERE n > 0 GROUP BY 1""",
+    "merge_tree": f"""{_PAIRS}, {_SWEEP}, cl AS (SELECT t, node, label, count(*) OVER (PARTITION BY t, label) AS n FROM sweep_l UNION ALL SELECT 101, idx, idx, 1 FROM gr),
+up AS (SELECT DISTINCT lo.t AS level, hi.label AS child, hi.n AS child_size, lo.label AS parent, lo.n AS parent_size FROM cl lo JOIN cl hi ON hi.node = lo.node AND hi.t = lo.t + 1 WHERE hi.n <> lo.n)
+SELECT CAST(level AS INT) AS level, child, child_size, CAST(coalesce(lag(level) OVER (PARTITION BY child ORDER BY level DESC), 101) AS INT) AS born, parent, parent_size FROM up""",
+    "percolation_splits": _splits_sql(),
+    "hamming_audit": f"""{_PAIRS}, {_BROKEN}, inp AS (SELECT x.piece, a, b, hamming FROM ham JOIN broken x ON x.idx = a JOIN broken y ON y.idx = b AND y.piece = x.piece),
+ie_ AS (SELECT piece, a, b FROM inp WHERE hamming >= {AUDIT} UNION SELECT piece, b, a FROM inp WHERE hamming >= {AUDIT}),
+ir(piece, node, reached) AS (SELECT piece, idx, idx FROM broken UNION SELECT r.piece, r.node, e.b FROM ir r JOIN ie_ e ON e.piece = r.piece AND e.a = r.reached),
+iz AS (SELECT piece, label, count(*) AS n FROM (SELECT piece, node, min(reached) AS label FROM ir GROUP BY 1, 2) GROUP BY 1, 2),
+ic AS (SELECT piece, count(*) AS subclusters, max(n) AS largest_subcluster, count(*) FILTER (n = 1) AS singletons FROM iz GROUP BY 1)
+SELECT piece, groups, entities, round(CASE WHEN groups > 1 THEN coalesce(total, 0) / (groups * (groups - 1) / 2) END, 6) AS mean_hamming, subclusters, largest_subcluster, round(largest_subcluster / groups, 6) AS largest_share, singletons
+FROM (SELECT piece, count(*) AS groups, CAST(sum(size) AS BIGINT) AS entities FROM broken JOIN gr USING (idx) GROUP BY 1) JOIN ic USING (piece) LEFT JOIN (SELECT piece, sum(hamming) AS total FROM inp GROUP BY 1) USING (piece)""",
+    "piece_contrast": f"""{_PAIRS}, {_BROKEN}, {_SHARES}, major AS (SELECT piece FROM pc WHERE groups >= greatest(10, ceil((SELECT count(*) FROM broken) * 0.02)))
+SELECT p.piece, CAST(row_number() OVER (PARTITION BY p.piece ORDER BY entities DESC, groups DESC, token) AS INT) AS rank, token, entities, groups, round(share, 6) AS share, round(baseline_share, 6) AS baseline_share, round(share / baseline_share, 6) AS lift,
+  round(share - coalesce((SELECT max(o.share) FROM ps o JOIN major USING (piece) WHERE o.piece <> p.piece AND o.token = p.token), 0), 6) AS contrast
+FROM ps p JOIN base USING (token) WHERE p.piece <= 4 QUALIFY row_number() OVER (PARTITION BY p.piece ORDER BY entities DESC, groups DESC, token) <= 5""",
+    "broken_bridges": f"""{_PAIRS}, {_BROKEN}, {_SHARES},
+lost AS (SELECT a, b, round(idf_jaccard, 12) AS weight FROM ham JOIN broken x ON x.idx = a JOIN broken y ON y.idx = b WHERE round(idf_jaccard, 12) >= {BEFORE} AND round(idf_jaccard, 12) < {AFTER} AND x.piece <> y.piece),
+c AS (SELECT x.token, count(*) AS edges, sum(weight) AS weight FROM lost JOIN tok x ON x.idx = a JOIN tok y ON y.idx = b AND y.token = x.token GROUP BY 1)
+SELECT token, edges, (SELECT count(*) FROM lost) AS bridges, round(edges / (SELECT count(*) FROM lost), 6) AS share, round(baseline_share, 6) AS baseline_share, round(edges / (SELECT count(*) FROM lost) / baseline_share, 6) AS lift, round(weight / edges, 6) AS mean_weight
+FROM c JOIN base USING (token) ORDER BY edges DESC, round(weight, 9) DESC, token LIMIT 8""",
     "threshold_candidates": f"""{_PAIRS}, {_SWEEP},
 sized AS (SELECT *, lag(largest) OVER (ORDER BY threshold) - largest AS drop_, greatest(10, ceil((SELECT count(*) FROM gr) * 0.02)) AS size FROM sweep),
 em AS (SELECT coalesce(min(threshold) FILTER (second >= size), 0.4) AS emergence FROM sized)
