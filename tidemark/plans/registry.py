@@ -7,6 +7,7 @@ from tidemark.operators.signals import Condition, Registry, Signal
 
 GROWN = ("revenue", "net_income", "operating_cash_flow")
 AXIS = "fundamentals_based"
+MARKET = "market_price"
 
 
 def default_features() -> list[Feature]:
@@ -32,7 +33,7 @@ def default_features() -> list[Feature]:
     ]
 
 
-def default_signals() -> Registry:
+def default_signals(with_market: bool = False) -> Registry:
     def trio(factor: str, key: str, high: float, low: float, names: tuple[str, str], extra: tuple[Condition, ...] = (), support: tuple[str, ...] = ()) -> list[Signal]:
         shown = (key, *support)
         return [
@@ -41,7 +42,13 @@ def default_signals() -> Registry:
             Signal(factor, AXIS, f"mixed_{factor}", 90, default=True, supporting=shown, full_metrics=3),
         ]
 
+    market = [
+        Signal("momentum", MARKET, "rising_price", 10, all=(Condition("yearReturn", ">=", 0.01),), supporting=("yearReturn", "quarterReturn")),
+        Signal("momentum", MARKET, "falling_price", 20, any=(Condition("yearReturn", "<=", -0.01),), supporting=("yearReturn", "quarterReturn")),
+        Signal("momentum", MARKET, "mixed_momentum", 90, default=True, supporting=("yearReturn",)),
+    ] if with_market else []
     return Registry([
+        *market,
         *trio("growth", "latestGrowth", 0.05, -0.05, ("strong_growth", "weak_growth"), (Condition("durableGrowth", ">=", 0.4, 2),), ("durableGrowth", "yoyGrowthAcceleration")),
         *trio("stretch", "trendStretch", 0.05, -0.05, ("stretched", "compressed"), support=("annualStretch",)),
         *trio("profitability", "netMargin", 0.05, -0.05, ("high_margin", "low_margin"), support=("freeCashToAssets",)),

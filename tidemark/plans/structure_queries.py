@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import communities, percolation, signals, structure
+from tidemark.operators import communities, percolation, signals, snapshots, structure
 from tidemark.plans import signal_queries as sq
+from tidemark.plans import sql
 from tidemark.plans.common import rounded, stored
-from tidemark.plans.registry import QUESTIONS, default_signals
-from tidemark.session import materialize
+from tidemark.plans.registry import MARKET, QUESTIONS, default_signals
+from tidemark.session import materialize, scratch_path
+from tidemark.sources import adapters
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,9 +173,49 @@ def family_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(communities.summaries(labels, edges).crossJoin(F.broadcast(communities.modularity(labels, edges).select("modularity"))))
 
 
+def _market_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns of each company's listed share from quarter end to quarter end, as features of the price axis."""
+    quarter = F.last_day(F.add_months(F.trunc("price_date", "quarter"), 2))
+    closes = adapters.bars(spark, sf_dir).groupBy("ticker", quarter.alias("end")).agg(F.max_by("close", "price_date").alias("close"))
+    w = Window.partitionBy("ticker").orderBy("end")
+    told = closes.select(F.col("ticker").alias("listed"), "end", *[(F.col("close") / F.lag("close", n).over(w) - 1).alias(k) for k, n in (("yearReturn", 4), ("quarterReturn", 1))])
+    flat = told.select("listed", "end", F.explode(F.array(*[F.struct(F.lit(k).alias("feature_key"), F.round(k, 9).alias("feature_value")) for k in ("yearReturn", "quarterReturn")])).alias("f"))
+    return adapters.companies(spark, sf_dir).join(flat, "listed").where("f.feature_value is not null").select(
+        "ticker", "cik", F.lit("momentum").alias("factor"), F.lit(MARKET).alias("axis"), F.lit("price").alias("metric_key"), "f.feature_key", "f.feature_value", F.col("end").alias("period_end"), F.col("end").alias("effective_date")
+    )
+
+
+def _signals_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of both axes at 32 quarter ends."""
+    def build() -> DataFrame:
+        rows = sq._features(spark, sf_dir).unionByName(_market_features(spark, sf_dir))
+        return signals.timeline(rows, default_signals(with_market=True), sq.QUARTERS).select("as_of", "entity", "factor", "axis", "signal_key")
+
+    return stored(spark, sf_dir, "signals-at", build)
+
+
+def structure_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structure of every scope at 32 quarter ends, through a store that first got the quarters up to 1999, then all."""
+    at = snapshots.scoped(_signals_at(spark, sf_dir))
+    store = snapshots.SnapshotStore(spark, scratch_path(spark, "snapshots"))
+    store.update(at.where("as_of < date'2000-01-01'"))
+    store.update(at)
+    core = F.concat_ws(",", F.transform("core", lambda x: F.concat(x["token"], F.lit(":"), F.format_number(x["share"], 4))))
+    return store.rows().drop("mark").withColumn("core", core)
+
+
+def gated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups at the end of 2000 by the questions whose policy lets them be used, over fundamental axes."""
+    size = adapters.companies(spark, sf_dir).count()
+    valid = signals.validation(sq._features(spark, sf_dir), default_signals(), size)
+    policies = signals.question_policies(signals.question_states(valid, size)).withColumn("is_active", F.col("dominant_share") < 0.9)
+    at = snapshots.scoped(_signals_at(spark, sf_dir).where("as_of = date'2000-12-31'")).where("scope = 'fundamentals'")
+    return snapshots.state_groups(snapshots.gated(at, policies)).select("scope", "as_of", "idx", "size", F.concat_ws("|", "state").alias("state"), F.concat_ws("|", "tokens").alias("tokens"))
+
+
 QUERIES = {f.__name__: f for f in (
     combination_groups, token_weights, pair_similarity, similarity_histogram, similar_groups, families_at_threshold, spanning_forest, merge_tree, threshold_sweep, threshold_candidates,
-    percolation_splits, hamming_audit, piece_contrast, broken_bridges,
+    structure_snapshots, gated_groups, percolation_splits, hamming_audit, piece_contrast, broken_bridges,
     family_tokens, bridge_analysis, sparse_graph, partition_agreement, state_diversity, flow_communities, markov_communities, louvain_communities, family_modularity,
 )}
 
@@ -227,6 +269,25 @@ _SHARES = """ps AS (SELECT piece, token, sum(size) / any_value(whole) AS share,
 base AS (SELECT token, sum(size) / (SELECT sum(size) FROM broken JOIN gr USING (idx)) AS baseline_share FROM broken JOIN tok USING (idx) GROUP BY 1)"""
 
 
+_AT = f"""WITH RECURSIVE {sq._FEATURES.replace('features AS (', 'funda AS (')}, {sql.COMPANIES.strip()}, {sql.BARS.strip()},
+qc AS (SELECT ticker, last_day(date_trunc('quarter', price_date) + INTERVAL 2 MONTH) AS "end", arg_max(close, price_date) AS close FROM bars GROUP BY 1, 2),
+qr AS (SELECT ticker, "end", round(close / lag(close, 4) OVER w - 1, 9) AS y, round(close / lag(close) OVER w - 1, 9) AS q FROM qc WINDOW w AS (PARTITION BY ticker ORDER BY "end")),
+features AS MATERIALIZED (SELECT ticker, cik, factor, axis, metric_key, feature_key, feature_value, period_end, effective_date FROM funda
+  UNION ALL SELECT c.ticker, c.cik, 'momentum', '{MARKET}', 'price', k, CASE k WHEN 'yearReturn' THEN y ELSE q END, "end", "end" FROM companies c JOIN qr ON qr.ticker = c.listed, (VALUES ('yearReturn'), ('quarterReturn')) f(k) WHERE CASE k WHEN 'yearReturn' THEN y ELSE q END IS NOT NULL),
+dates(as_of) AS (VALUES {', '.join(f"(DATE '{d}')" for d in sq.QUARTERS)}),
+latest AS (SELECT cik AS entity, d.as_of, f.* FROM features f JOIN dates d ON f.effective_date <= d.as_of
+  QUALIFY row_number() OVER (PARTITION BY cik, d.as_of, factor, axis, metric_key, feature_key ORDER BY effective_date DESC, period_end DESC) = 1),
+agg AS MATERIALIZED (SELECT entity, as_of, factor, axis, feature_key, median(feature_value) AS value, count(DISTINCT metric_key) AS metrics FROM latest GROUP BY 1, 2, 3, 4, 5),
+hit AS ({' UNION ALL '.join(
+    f"SELECT entity, as_of, factor, axis, '{s.signal_key}' AS signal_key, {s.priority} AS priority FROM agg WHERE factor = '{s.factor}' GROUP BY ALL HAVING "
+    + (' AND '.join([f"count(*) FILTER (feature_key = '{c.feature_key}' AND metrics >= {c.least_metrics} AND value {c.operator} {c.value}) > 0" for c in (*s.all, *s.any)]) or 'true')
+    for s in default_signals(with_market=True).signals)}),
+at_ AS MATERIALIZED (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY entity, as_of, factor, axis ORDER BY priority, signal_key) = 1),
+sc AS (SELECT 'all' AS scope, * FROM at_ UNION ALL SELECT 'fundamentals', * FROM at_ WHERE axis = '{sq.AXIS}' UNION ALL SELECT 'price_linked', * FROM at_ WHERE axis = '{MARKET}')"""
+_STATES = """st AS (SELECT scope, as_of, entity, list_sort(list(factor || '.' || axis || '=' || signal_key)) AS state, list_sort(coalesce(list(factor || '.' || axis || '.' || signal_key) FILTER (signal_key NOT LIKE 'mixed\\_%' ESCAPE '\\'), [])) AS tokens FROM {source} GROUP BY 1, 2, 3),
+sg AS MATERIALIZED (SELECT scope, as_of, state, any_value(tokens) AS tokens, count(*) AS size, row_number() OVER (PARTITION BY scope, as_of ORDER BY count(*) DESC, array_to_string(state, '|')) - 1 AS idx FROM st GROUP BY 1, 2, 3)"""
+
+
 def _splits_sql() -> str:
     parts = []
     for lens, column in (("idf", "idf_jaccard"), ("hamming", "hamming")):
@@ -257,6 +318,26 @@ SELECT round(weight, 6) AS weight, CAST(sum(n) AS BIGINT) AS n FROM (SELECT weig
     "merge_tree": f"""{_PAIRS}, {_SWEEP}, cl AS (SELECT t, node, label, count(*) OVER (PARTITION BY t, label) AS n FROM sweep_l UNION ALL SELECT 101, idx, idx, 1 FROM gr),
 up AS (SELECT DISTINCT lo.t AS level, hi.label AS child, hi.n AS child_size, lo.label AS parent, lo.n AS parent_size FROM cl lo JOIN cl hi ON hi.node = lo.node AND hi.t = lo.t + 1 WHERE hi.n <> lo.n)
 SELECT CAST(level AS INT) AS level, child, child_size, CAST(coalesce(lag(level) OVER (PARTITION BY child ORDER BY level DESC), 101) AS INT) AS born, parent, parent_size FROM up""",
+    "structure_snapshots": f"""{_AT}, {_STATES.format(source='sc')},
+tk AS (SELECT scope, as_of, idx, size, unnest(tokens) AS token FROM sg),
+wt AS (SELECT scope, as_of, token, round(least(ln(1 + any_value(g) / count(*)), 3.0), 12) AS w FROM tk JOIN (SELECT scope, as_of, count(*) AS g FROM sg GROUP BY 1, 2) USING (scope, as_of) GROUP BY 1, 2, 3),
+tw AS (SELECT tk.*, w FROM tk JOIN wt USING (scope, as_of, token)), tot AS (SELECT scope, as_of, idx, sum(w) AS t FROM tw GROUP BY 1, 2, 3),
+ed AS MATERIALIZED (SELECT scope, as_of, m.a, m.b FROM (SELECT x.scope, x.as_of, x.idx AS a, y.idx AS b, sum(x.w) AS s FROM tw x JOIN tw y ON x.scope = y.scope AND x.as_of = y.as_of AND x.token = y.token AND x.idx <> y.idx GROUP BY 1, 2, 3, 4) m
+  JOIN tot p USING (scope, as_of) JOIN tot q USING (scope, as_of) WHERE p.idx = m.a AND q.idx = m.b AND round(s / (p.t + q.t - s), 9) >= 0.6),
+rc(scope, as_of, node, reached) AS (SELECT scope, as_of, idx, idx FROM sg UNION SELECT r.scope, r.as_of, r.node, e.b FROM rc r JOIN ed e ON e.scope = r.scope AND e.as_of = r.as_of AND e.a = r.reached),
+lb AS (SELECT scope, as_of, node AS idx, min(reached) AS label FROM rc GROUP BY 1, 2, 3),
+mb AS (SELECT sg.*, label FROM sg JOIN lb USING (scope, as_of, idx)),
+fm AS (SELECT scope, as_of, label, count(*) AS groups, CAST(sum(size) AS BIGINT) AS entities FROM mb GROUP BY 1, 2, 3),
+lg AS (SELECT * FROM fm QUALIFY row_number() OVER (PARTITION BY scope, as_of ORDER BY groups DESC, label) = 1),
+tp AS (SELECT scope, as_of, token, sum(size) / any_value(entities) AS share, row_number() OVER (PARTITION BY scope, as_of ORDER BY sum(size) DESC, count(*) DESC, token) AS r
+  FROM (SELECT scope, as_of, size, entities, unnest(tokens) AS token FROM mb JOIN lg USING (scope, as_of, label)) GROUP BY 1, 2, 3)
+SELECT scope, as_of, CAST(sum(f.entities) AS BIGINT) AS entities, CAST(sum(f.groups) AS BIGINT) AS groups, (SELECT count(DISTINCT token) FROM tk WHERE tk.scope = f.scope AND tk.as_of = f.as_of) AS dimensions, count(*) AS families,
+  any_value(l.groups) AS largest_groups, any_value(l.entities) AS largest_entities, coalesce((SELECT string_agg(token || ':' || format('{{:.4f}}', share), ',' ORDER BY r) FROM tp WHERE tp.scope = f.scope AND tp.as_of = f.as_of AND r <= 5), '') AS core
+FROM fm f JOIN lg l USING (scope, as_of) GROUP BY f.scope, f.as_of, scope, as_of""",
+    "gated_groups": f"""{_AT}, policy AS ({sq.SQL['question_policies']}),
+open_ AS (SELECT factor, axis FROM policy WHERE status IN ('use', 'review') AND dominant_share < 0.9),
+gt AS (SELECT sc.* FROM sc JOIN open_ USING (factor, axis) WHERE scope = 'fundamentals' AND as_of = DATE '2000-12-31'), {_STATES.format(source='gt')}
+SELECT scope, as_of, idx, size, array_to_string(state, '|') AS state, array_to_string(tokens, '|') AS tokens FROM sg""",
     "percolation_splits": _splits_sql(),
     "hamming_audit": f"""{_PAIRS}, {_BROKEN}, inp AS (SELECT x.piece, a, b, hamming FROM ham JOIN broken x ON x.idx = a JOIN broken y ON y.idx = b AND y.piece = x.piece),
 ie_ AS (SELECT piece, a, b FROM inp WHERE hamming >= {AUDIT} UNION SELECT piece, b, a FROM inp WHERE hamming >= {AUDIT}),
