@@ -173,7 +173,7 @@ def _told(chosen: DataFrame, effective: Column) -> DataFrame:
         "entity", "ticker", "cik", *SCOPE, "signal_key", "primary_feature_key", F.coalesce(d("__a.value"), F.coalesce("__first", "__any")["feature_value"]).alias("signal_value"),
         "observed_metrics", F.when(enough, F.least(F.lit(1.0), d("observed_metrics") / d("full_metrics"))).alias("confidence"), "supporting", "contradicting",
         d("newest.period_end").alias("period_end"), effective.alias("effective_date"), d("total_metrics").cast("int").alias("total_metrics"),
-        F.map_from_entries(F.transform(F.map_entries("features"), lambda e: F.struct(e["key"], e["value"]["value"]))).alias("feature_values"), "since", "until",
+        F.transform_values("features", lambda _, v: v["value"]).alias("feature_values"), F.transform_values("features", lambda _, v: v["metrics"]).alias("feature_metrics"), "since", "until",
     )
 
 

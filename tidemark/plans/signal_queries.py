@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import enrichment, features, relational, signals, valuation
+from tidemark.operators import enrichment, evidence, features, relational, serving, signals, valuation
 from tidemark.operators import rules as stored_rules
 from tidemark.plans import series_queries, sql
 from tidemark.plans.common import rounded, stored
@@ -105,6 +105,26 @@ def graded_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(told.select("entity", "factor", "axis", "signal_key", "signal_value", "confidence", "primary_feature_key", F.size("supporting").alias("n_supporting")))
 
 
+def evidence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every evidence item of every signal, after it was stored as JSON and read back."""
+    rows, _ = evidence.read(evidence.stored(signals.build(_features(spark, sf_dir), default_signals())))
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("items")) for side in evidence.SIDES])
+    flat = rows.select("entity", "factor", "axis", "signal_key", F.explode(sides).alias("s")).select("entity", "factor", "axis", "signal_key", "s.side", F.posexplode("s.items").alias("place", "i"))
+    return rounded(flat.select("entity", "factor", "axis", "signal_key", "side", "place", "i.*"))
+
+
+def ticker_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overview of every company, from tables bucketed by company; nested parts as text."""
+    told, _ = evidence.read(evidence.stored(signals.build(_features(spark, sf_dir), default_signals())))
+    profiles = adapters.companies(spark, sf_dir).drop("listed")
+    tables = serving.ServingTables(spark).write(profiles=profiles, features=_features(spark, sf_dir), signals=told)
+    rows = serving.overview(*(tables.table(n) for n in ("profiles", "features", "signals")))
+    number = lambda c: F.coalesce(F.format_string("%.4f", c), F.lit("-"))
+    shown = F.transform("features", lambda f: F.concat_ws(":", f["metric_key"], f["feature_key"], number(f["feature_value"]), f["period_end"].cast("string")))
+    stated = F.transform("signals", lambda s: F.concat_ws(":", s["factor"], s["signal_key"], number(s["signal_value"]), F.concat_ws("+", F.transform(s["supporting"], lambda e: e["feature_key"]))))
+    return rows.select("cik", "ticker", "company_name", "sector", "industry", F.concat_ws(",", shown).alias("features"), F.concat_ws(",", stated).alias("signals"))
+
+
 def signal_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = adapters.companies(spark, sf_dir).count()
     return rounded(signals.validation(_features(spark, sf_dir), default_signals(), size))
@@ -118,7 +138,7 @@ def question_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     series_features, latest_feature_values, sign_profiles, sign_normalized, macro_contrasts, valuation_composites, implied_expectations,
-    factor_signals, signal_timeline, quarterly_signals, graded_states, signal_validation, question_policies,
+    factor_signals, signal_timeline, quarterly_signals, graded_states, evidence_items, ticker_overviews, signal_validation, question_policies,
 )}
 
 _INSTANT_ENRICHED = """ie AS (
@@ -306,4 +326,18 @@ SQL["graded_states"] = f"""WITH {_FEATURES}, {_LATEST.format(where='')}, {_AGG},
 rules(factor, signal_key, priority, feature_key, t) AS (VALUES {", ".join(f"('{s.factor}', '{s.signal_key}', {s.priority}, '{s.all[0].feature_key}', {s.all[0].value}::DOUBLE)" for s in graded_signals().signals)}),
 best AS (SELECT a.*, r.signal_key FROM agg a JOIN rules r ON r.factor = a.factor AND r.feature_key = a.feature_key AND a.value >= r.t QUALIFY row_number() OVER (PARTITION BY entity, a.factor, axis ORDER BY priority, signal_key) = 1)
 SELECT entity, factor, axis, signal_key, round(value, 6) AS signal_value, round(least(1.0, metrics / 3), 6) AS confidence, feature_key AS primary_feature_key, CAST(least(metrics, 5) AS INT) AS n_supporting FROM best"""
+_ITEMS = f"""placed(factor, signal_key, feature_key, pos) AS (VALUES {", ".join(f"('{d.factor}', '{d.signal_key}', '{k}', {i})" for d in default_signals().signals for i, k in enumerate(d.contradicting))}),
+all_items AS (
+  SELECT c.entity, c.factor, c.axis, c.signal_key, side, r.metric_key, r.feature_key, r.feature_value, r.period_end, r.effective_date, row_number() OVER (PARTITION BY c.entity, c.factor, side ORDER BY r.i, s.pos) - 1 AS place
+  FROM chosen c JOIN (SELECT 'supporting' AS side, * FROM sup UNION ALL SELECT 'contradicting', * FROM placed) s ON s.factor = c.factor AND s.signal_key = c.signal_key
+  JOIN ranked r ON r.entity = c.entity AND r.factor = c.factor AND r.feature_key = s.feature_key)"""
+_SIGNALS = f"WITH {_FEATURES}, {_LATEST.format(where='')}, {_AGG}, {_rules_sql()}, {_CHOSEN}, {_evidence_sql().strip()}, {_ITEMS}"
+SQL["evidence_items"] = f"""{_SIGNALS} SELECT entity, factor, axis, signal_key, side, CAST(place AS INT) AS place, metric_key, feature_key, round(feature_value, 6) AS feature_value, period_end, effective_date FROM all_items WHERE place < 5"""
+SQL["ticker_overviews"] = f"""{_SIGNALS}, {sql.COMPANIES.strip()},
+fs AS (SELECT cik, string_agg(metric_key || ':' || feature_key || ':' || format('{{:.4f}}', feature_value) || ':' || CAST(period_end AS DATE)::VARCHAR, ',' ORDER BY factor, axis, metric_key, feature_key) AS features FROM latest GROUP BY 1),
+ss AS (SELECT c.entity, string_agg(c.factor || ':' || c.signal_key || ':' || coalesce(format('{{:.4f}}', a.value), '-') || ':' || coalesce(i.keys, ''), ',' ORDER BY c.factor) AS signals
+  FROM chosen c LEFT JOIN ev ON ev.entity = c.entity AND ev.factor = c.factor
+  LEFT JOIN agg a ON a.entity = c.entity AND a.factor = c.factor AND a.feature_key = CASE WHEN c.signal_key LIKE 'mixed%' THEN ev.first_key ELSE c.key END
+  LEFT JOIN (SELECT entity, factor, string_agg(feature_key, '+' ORDER BY place) AS keys FROM all_items WHERE side = 'supporting' AND place < 5 GROUP BY 1, 2) i ON i.entity = c.entity AND i.factor = c.factor GROUP BY 1)
+SELECT cik, ticker, company_name, sector, industry, coalesce(features, '') AS features, coalesce(signals, '') AS signals FROM companies LEFT JOIN fs USING (cik) LEFT JOIN ss ON ss.entity = cik"""
 __all__ = ["AXIS", "QUERIES", "SQL"]
