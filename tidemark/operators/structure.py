@@ -283,3 +283,39 @@ def extremes(items: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
     ranked = items.withColumns({"far": F.when(F.col("value").isNotNull(), F.row_number().over(far)), "near": F.when((F.col("value") - F.col("threshold")).isNotNull(), F.row_number().over(near))})
     pick = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c) <= n, F.struct(c, "ticker")))), lambda x: x["ticker"])
     return ranked.where((F.col("far") <= n) | (F.col("near") <= n)).groupBy(*keys).agg(pick("far").alias("outliers"), pick("near").alias("near_threshold"))
+
+
+def best_cell(grid: DataFrame) -> tuple[float, float] | None:
+    """The pair of thresholds of :func:`partition_grid` that agrees best, the lowest thresholds if several do."""
+    row = grid.orderBy(F.desc(F.round("adjusted_rand", 12)), "jaccard_t", "hamming_t").select("jaccard_t", "hamming_t").first()
+    return tuple(row) if row else None
+
+
+def ranked_families(labels: DataFrame) -> DataFrame:
+    """(label, family, groups): families numbered from 1 by size, then label."""
+    counted = labels.groupBy("label").agg(F.count("*").alias("groups"))
+    return numbered(counted, [F.desc("groups"), F.asc("label")], "__at").select("label", (F.col("__at") + 1).alias("family"), "groups")
+
+
+def matched_families(found: DataFrame, left: DataFrame, right: DataFrame, n: int = 8, tokens: int = 5) -> DataFrame:
+    """The ``n`` largest overlaps between the families of two partitions (idx, label): by groups, then entities, then family numbers.
+
+    Each with its shares of either family and of their union, whether the two are each other's largest overlap, and the overlap's
+    commonest tokens. Only cells that hold a group exist, so the table of cells has at most a row a group.
+    """
+    x, y = materialize(ranked_families(left), "left-families"), materialize(ranked_families(right), "right-families")
+    named = lambda df, ranks, side: df.join(if_small(ranks), "label").select("idx", F.col("family").alias(side), F.col("groups").alias(f"{side}_groups"))
+    both = materialize(named(left, x, "left_family").join(named(right, y, "right_family"), "idx").join(found.select("idx", "size", "tokens"), "idx"), "overlaps")
+    cells = both.groupBy("left_family", "right_family", "left_family_groups", "right_family_groups").agg(F.count("*").alias("overlap"), F.sum("size").alias("entities"))
+    best = lambda side, other: F.row_number().over(Window.partitionBy(side).orderBy(F.desc("overlap"), F.desc("entities"), other)) == 1
+    cells = cells.withColumn("mutual_best", best("left_family", "right_family") & best("right_family", "left_family"))
+    order = [F.desc("overlap"), F.desc("entities"), F.asc("left_family"), F.asc("right_family")]
+    top = materialize(cells.orderBy(*order).limit(n), "top-overlaps").withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    inside = both.join(F.broadcast(top.select("left_family", "right_family", "rank")), ["left_family", "right_family"])
+    held = top_tokens(inside.select("idx", "size", "tokens"), inside.select("idx", F.col("rank").alias("label")), tokens)
+    shown = held.groupBy(F.col("label").alias("rank_")).agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("t"))
+    n_, union = F.col("overlap"), F.col("left_family_groups") + F.col("right_family_groups") - F.col("overlap")
+    return top.join(shown, top["rank"] == shown["rank_"], "left").select(
+        top["rank"], "left_family", "right_family", "overlap", "entities", (n_ / F.col("left_family_groups")).alias("share_of_left"), (n_ / F.col("right_family_groups")).alias("share_of_right"),
+        (n_ / union).alias("overlap_jaccard"), "mutual_best", F.coalesce(F.transform("t", lambda x: x["token"]), F.array().cast("array<string>")).alias("top_tokens"),
+    )

@@ -288,6 +288,17 @@ _STATES = """st AS (SELECT scope, as_of, entity, list_sort(list(factor || '.' ||
 sg AS MATERIALIZED (SELECT scope, as_of, state, any_value(tokens) AS tokens, count(*) AS size, row_number() OVER (PARTITION BY scope, as_of ORDER BY count(*) DESC, array_to_string(state, '|')) - 1 AS idx FROM st GROUP BY 1, 2, 3)"""
 
 
+def _agreement_sql(left: tuple[float, ...], right: tuple[float, ...]) -> str:
+    return f"{_PAIRS}, " + ", ".join(_families(f"j{i}", str(t)) for i, t in enumerate(left)) + ", " + ", ".join(_families(f"h{i}", str(t), "hamming") for i, t in enumerate(right)) + ", both_l AS (" + " UNION ALL ".join(
+        f"SELECT {t} AS jaccard_t, {u} AS hamming_t, x.label AS l, y.label AS m FROM j{i} x JOIN h{k} y USING (idx)" for i, t in enumerate(left) for k, u in enumerate(right)
+    ) + """), cell AS (SELECT jaccard_t, hamming_t, l, m, count(*) AS n FROM both_l GROUP BY ALL),
+c0 AS (SELECT jaccard_t, hamming_t, sum(n * (n - 1) / 2) AS s, sum(n) AS t FROM cell GROUP BY ALL),
+c1 AS (SELECT jaccard_t, hamming_t, sum(n * (n - 1) / 2) AS s FROM (SELECT jaccard_t, hamming_t, l, sum(n) AS n FROM cell GROUP BY ALL) GROUP BY ALL),
+c2 AS (SELECT jaccard_t, hamming_t, sum(n * (n - 1) / 2) AS s FROM (SELECT jaccard_t, hamming_t, m, sum(n) AS n FROM cell GROUP BY ALL) GROUP BY ALL)
+SELECT CAST(jaccard_t AS DOUBLE) AS jaccard_t, CAST(hamming_t AS DOUBLE) AS hamming_t, round(CASE WHEN (c1.s + c2.s) / 2 - c1.s * c2.s / (t * (t - 1) / 2) <> 0 THEN (c0.s - c1.s * c2.s / (t * (t - 1) / 2)) / ((c1.s + c2.s) / 2 - c1.s * c2.s / (t * (t - 1) / 2)) ELSE 0 END, 6) AS adjusted_rand
+FROM c0 JOIN c1 USING (jaccard_t, hamming_t) JOIN c2 USING (jaccard_t, hamming_t)"""
+
+
 def _splits_sql() -> str:
     parts = []
     for lens, column in (("idf", "idf_jaccard"), ("hamming", "hamming")):
@@ -368,14 +379,7 @@ lost AS (SELECT a, b FROM ham JOIN hi x ON x.idx = a JOIN hi y ON y.idx = b WHER
 c AS (SELECT x.token, count(*) AS n FROM lost JOIN tok x ON x.idx = a JOIN tok y ON y.idx = b AND y.token = x.token GROUP BY 1)
 SELECT c.token, n, round(n / (SELECT count(*) FROM lost), 6) AS share, round(n / (SELECT count(*) FROM lost) / (w.df / (SELECT count(*) FROM gr)), 6) AS lift FROM c JOIN w USING (token)""",
     "sparse_graph": f"{_PAIRS}, {_SPARSE} SELECT a, b, round(weight, 6) AS weight FROM sparse",
-    "partition_agreement": f"{_PAIRS}, " + ", ".join(_families(f"j{i}", str(t)) for i, t in enumerate((0.4, 0.6, 0.8))) + ", " + ", ".join(_families(f"h{i}", str(t), "hamming") for i, t in enumerate((0.6, 0.8))) + ", both_l AS (" + " UNION ALL ".join(
-        f"SELECT {t} AS jaccard_t, {u} AS hamming_t, x.label AS l, y.label AS m FROM j{i} x JOIN h{k} y USING (idx)" for i, t in enumerate((0.4, 0.6, 0.8)) for k, u in enumerate((0.6, 0.8))
-    ) + """), cell AS (SELECT jaccard_t, hamming_t, l, m, count(*) AS n FROM both_l GROUP BY ALL),
-c0 AS (SELECT jaccard_t, hamming_t, sum(n * (n - 1) / 2) AS s, sum(n) AS t FROM cell GROUP BY ALL),
-c1 AS (SELECT jaccard_t, hamming_t, sum(n * (n - 1) / 2) AS s FROM (SELECT jaccard_t, hamming_t, l, sum(n) AS n FROM cell GROUP BY ALL) GROUP BY ALL),
-c2 AS (SELECT jaccard_t, hamming_t, sum(n * (n - 1) / 2) AS s FROM (SELECT jaccard_t, hamming_t, m, sum(n) AS n FROM cell GROUP BY ALL) GROUP BY ALL)
-SELECT CAST(jaccard_t AS DOUBLE) AS jaccard_t, CAST(hamming_t AS DOUBLE) AS hamming_t, round(CASE WHEN (c1.s + c2.s) / 2 - c1.s * c2.s / (t * (t - 1) / 2) <> 0 THEN (c0.s - c1.s * c2.s / (t * (t - 1) / 2)) / ((c1.s + c2.s) / 2 - c1.s * c2.s / (t * (t - 1) / 2)) ELSE 0 END, 6) AS adjusted_rand
-FROM c0 JOIN c1 USING (jaccard_t, hamming_t) JOIN c2 USING (jaccard_t, hamming_t)""",
+    "partition_agreement": _agreement_sql((0.4, 0.6, 0.8), (0.6, 0.8)),
     "state_diversity": f"""{_BASE}, c AS (SELECT question, coalesce(signal_key, 'missing') AS state, count(*) AS n FROM answers GROUP BY 1, 2)
 SELECT question, count(*) AS states, round(max(n) / sum(n), 6) AS dominant_share FROM c GROUP BY 1 ORDER BY max(n) / sum(n), question LIMIT 5""",
     "family_modularity": f"""{_PAIRS}, {_families('fam', '0.6')}, {_SPARSE},
