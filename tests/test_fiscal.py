@@ -55,6 +55,15 @@ def test_built_series(filings):
     assert all(r.effective_date is not None for r in told)
 
 
+def test_derived_negatives_go_where_a_tag_is_known_as_positive(spark, filings):
+    more = [row("capex_cash", "2023-01-01", "2023-03-31", 50.0, "Q1", fy=2023, tag="Capex"), row("capex_cash", "2023-01-01", "2023-06-30", 20.0, "Q2", fy=2023, tag="Capex"), row("capex_cash", "2023-01-01", "2023-09-30", 90.0, "Q3", fy=2023, tag="Capex")]
+    rows, calendar = filings.unionByName(spark.createDataFrame(more, SCHEMA)), fiscal.calendar(filings)
+    value = lambda positive: {r.fiscal_quarter: r.val for r in metric_series.build(rows, *calendar, positive).where("metric_key = 'capex_cash' and fiscal_year = 2023").collect()}
+    known = spark.createDataFrame([("c", "capex_cash", "Capex", "USD")] * 2, "cik string, metric_key string, tag string, unit string")
+    assert value(None) == {1: 50.0, 2: -30.0, 3: 70.0} and value(known) == {1: 50.0, 3: 70.0}
+    assert value(known.withColumn("tag", F.lit("Other"))) == value(None)
+
+
 def test_calendar_without_facts(filings):
     none = filings.where("false")
     years, quarters = fiscal.calendar(none)

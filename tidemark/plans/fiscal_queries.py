@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import features, fiscal, metric_series
+from tidemark.operators import features, fiscal, metric_series, periods
 from tidemark.plans import sql
 from tidemark.plans.common import rounded
 from tidemark.sources import adapters
@@ -91,6 +91,24 @@ def built_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metric_series.build(rows, *fiscal.calendar(rows)), 4)
 
 
+def rebuilt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that the series builder makes of stated ones, by source: differences, leading spans, segments, and prefixes of chains.
+
+    Kinds go by tag and length here, so that each source can be told without the resolver before it.
+    """
+    days, quarter = F.date_diff("end", "start") + 1, F.regexp_extract("fp", "Q([1-4])", 1).try_cast("int")
+    kind = F.when(F.col("tag") == "Segments", "quarter").when(F.col("tag") == "Parts", "other").when(days >= 330, "annual").when(days >= 120, "ytd").otherwise("quarter")
+    filing = Window.partitionBy("cik", "metric_key", "accn")
+    rows = _filings(spark, sf_dir).where("fact_type = 'flow'").select(
+        "*", kind.alias("kind"), F.when(F.col("tag") == "Segments", "raw_partial").otherwise("raw_direct").alias("source_kind"), F.col("fy").alias("fiscal_year"), quarter.alias("fiscal_quarter"),
+        F.min("start").over(filing).alias("expected_start"), F.max("end").over(filing).alias("expected_end"),
+    )
+    made = [metric_series.from_earlier(rows), metric_series.from_later(rows), metric_series.from_segments(rows), metric_series.prefixes(rows)]
+    names = ["cik", "metric_key", "tag", "start", "end", "val", "filed", "accn", "source_kind"]
+    told = [df.select(*names, F.lit(way).alias("way"), (F.col("place") if way == "prefix" else F.lit(0)).alias("place")) for df, way in zip(made, ("earlier", "later", "segment", "prefix"))]
+    return rounded(told[0].unionByName(told[1]).unionByName(told[2]).unionByName(told[3]), 4)
+
+
 def vector_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust scores of each supplier's last snapshots as one vector."""
     rows = adapters.instant_series(spark, sf_dir)
@@ -99,7 +117,7 @@ def vector_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("ticker", F.concat_ws(",", "feature_keys").alias("feature_keys"), F.posexplode("values").alias("pos", "z"), "observed", "missing", "coverage").withColumn("z", F.round("z", 6))
 
 
-QUERIES = {f.__name__: f for f in (fiscal_years, fiscal_history, fiscal_quarters, quarter_durations, odd_durations, fiscal_profiles, fiscal_windows, built_series, vector_matrix)}
+QUERIES = {f.__name__: f for f in (fiscal_years, fiscal_history, fiscal_quarters, quarter_durations, odd_durations, fiscal_profiles, fiscal_windows, built_series, rebuilt_rows, vector_matrix)}
 
 _FACTS = f"""{sql.QUARTERS},
 g AS (SELECT *, year(start) AS y, qn % 4 + 1 AS k, CAST(s % 5 - CASE WHEN s % 3 = 0 AND year(start) >= 1997 THEN 20 ELSE 0 END AS INT) AS o FROM quarters),
@@ -175,3 +193,29 @@ md AS (SELECT *, median(x) OVER (PARTITION BY key) AS c, stddev_pop(x) OVER (PAR
 ks AS (SELECT string_agg(DISTINCT key, ',' ORDER BY key) AS feature_keys, count(DISTINCT key) AS n FROM l)
 SELECT ticker, feature_keys, CAST(row_number() OVER (PARTITION BY ticker ORDER BY key) - 1 AS INT) AS pos, round(greatest(-3, least(3, (x - c) / CASE WHEN mad <> 0 THEN mad WHEN sd <> 0 THEN sd ELSE 1 END)), 6) AS z, CAST(n AS INT) AS observed, 0 AS missing, 1.0::DOUBLE AS coverage FROM mm, ks""",
 }
+
+_STATED = f"""{sql.QUARTERS},
+g AS (SELECT *, year(start) AS y, qn % 4 + 1 AS k, CAST(s % 5 - CASE WHEN s % 3 = 0 AND year(start) >= 1997 THEN 20 ELSE 0 END AS INT) AS o, round(sum(r) OVER (PARTITION BY s, year(start) ORDER BY start), 4) AS ytd FROM quarters),
+h AS (SELECT *, start + o AS b, "end" + o AS e, make_date(y, 1, 1) + o AS yb, 'Q' || k AS label, CASE WHEN k = 4 THEN '10-K' ELSE '10-Q' END AS form FROM g),
+fx AS (
+  SELECT s, y, qn, e AS f, 0 AS later, 'Revenues' AS tag, 'revenue' AS metric_key, b AS start, e AS "end", r AS val, CASE WHEN (s + qn) % 4 <> 0 THEN label END AS fp, form FROM h
+  UNION ALL SELECT s, y, qn, e, 0, 'Revenues', 'revenue', yb, e, ytd, CASE WHEN k = 4 THEN 'FY' ELSE label END, form FROM h
+  UNION ALL SELECT s, y, qn, e, 365, 'Revenues', 'revenue', yb, e, ytd + 100, 'FY', form FROM h WHERE k = 4
+  UNION ALL SELECT s, y, qn, e, 0, 'Segments', 'net_income', b, b + 44, n, label, form FROM h UNION ALL SELECT s, y, qn, e, 0, 'Segments', 'net_income', b + 45, e, n * 2, label, form FROM h
+  UNION ALL SELECT s, y, qn, e, 0, 'Parts', 'capex_cash', b + CAST(k % 2 * 3 AS INT), b + 44, n * 3, NULL, '8-K' FROM h UNION ALL SELECT s, y, qn, e, 0, 'Parts', 'capex_cash', b + 45, e, n * 4, NULL, '8-K' FROM h),
+rw AS (SELECT s AS cik, metric_key, tag, start, "end", CAST(val AS DOUBLE) AS val, f + 30 + later AS filed, s || '-' || qn || '-' || later AS accn, y + CASE WHEN (s + y) % 7 = 0 THEN 1 ELSE 0 END AS fy, fp, form,
+  CASE WHEN tag = 'Segments' THEN 'quarter' WHEN tag = 'Parts' THEN 'other' WHEN "end" - start + 1 >= 330 THEN 'annual' WHEN "end" - start + 1 >= 120 THEN 'ytd' ELSE 'quarter' END AS kind FROM fx),
+ea AS (SELECT x.*, p.f, p."end" AS pe, p.val AS pv, row_number() OVER (PARTITION BY x.cik, x.metric_key, x.tag, x.start, x."end", x.val, x.filed, x.accn ORDER BY p."end" DESC, p.f DESC, p.val DESC) AS o
+  FROM rw x JOIN (SELECT *, filed AS f FROM rw WHERE kind IN ('quarter', 'ytd') AND val IS NOT NULL) p ON p.cik = x.cik AND p.metric_key = x.metric_key AND p.tag = x.tag AND p.start = x.start AND p."end" < x."end" WHERE x.kind = 'ytd' OR (x.kind = 'annual' AND x.form NOT IN ('8-K', '6-K'))),
+la AS (SELECT x.*, p.start AS ps, p.val AS pv, row_number() OVER (PARTITION BY x.cik, x.metric_key, x.tag, x.start, x."end", x.val, x.filed, x.accn ORDER BY p.start, p.filed DESC, p.val DESC) AS o
+  FROM rw x JOIN rw p ON p.cik = x.cik AND p.metric_key = x.metric_key AND p.tag = x.tag AND p."end" = x."end" AND p.start > x.start AND p.kind = 'quarter' AND p.val IS NOT NULL WHERE x.kind = 'ytd'),
+sg AS (SELECT *, coalesce(abs(start - lag("end") OVER (PARTITION BY cik, accn, filed, fy, fp ORDER BY start, "end", val) - 1) > 1, false) AS gap FROM rw WHERE tag = 'Segments' AND fy IS NOT NULL),
+pf AS (SELECT *, CASE WHEN abs(start - lag("end") OVER (PARTITION BY cik, metric_key ORDER BY start, "end", tag, accn, val) - 1) <= 1 THEN 0 ELSE 1 END AS fresh FROM rw WHERE kind = 'other' AND val IS NOT NULL),
+pc AS (SELECT *, sum(fresh) OVER (PARTITION BY cik, metric_key ORDER BY start, "end", tag, accn, val ROWS UNBOUNDED PRECEDING) AS chain FROM pf),
+pp AS (SELECT * EXCLUDE (val, start), row_number() OVER w AS place, sum(val) OVER w AS val, first(start) OVER w AS start FROM pc WINDOW w AS (PARTITION BY cik, metric_key, chain ORDER BY start, "end", tag, accn, val ROWS UNBOUNDED PRECEDING))"""
+_LOW, _HIGH = periods.QUARTER_LENGTH
+SQL["rebuilt_rows"] = f"""WITH {_STATED}
+SELECT cik, metric_key, tag, CAST(pe + 1 AS DATE) AS start, "end", round(val - pv, 4) AS val, filed, accn, CASE WHEN kind = 'annual' THEN 'annual_derived' ELSE 'cumulative_derived' END AS source_kind, 'earlier' AS way, 0 AS place FROM ea WHERE o = 1 AND "end" - pe BETWEEN {_LOW} AND {_HIGH}
+UNION ALL SELECT cik, metric_key, tag, start, CAST(ps - 1 AS DATE), round(val - pv, 4), filed, accn, 'cumulative_derived', 'later', 0 FROM la WHERE o = 1 AND ps - start BETWEEN {_LOW} AND {_HIGH}
+UNION ALL SELECT cik, metric_key, tag, min(start), max("end"), round(sum(val), 4), filed, accn, 'segment_merged', 'segment', 0 FROM sg GROUP BY cik, metric_key, tag, accn, filed, fy, fp HAVING count(*) > 1 AND NOT bool_or(gap)
+UNION ALL SELECT cik, metric_key, tag, start, "end", round(val, 4), filed, accn, 'other_merged', 'prefix', CAST(place AS INT) FROM pp WHERE place > 1"""
