@@ -102,3 +102,16 @@ def test_registry_tree(spark):
     assert tree["g"]["label"] == "G!" and [a["axis"] for a in g] == ["x", "y"] and [(s["signal_key"], s["label"]) for s in g[0]["signals"]] == [("z", "Zed"), ("a", "a"), ("b", "b")]
     assert [(m["metric_key"], m["companies"]) for m in g[0]["features"][0]["metrics"]] == [("m1", 2), ("m2", 0)] and g[1]["signals"] == []
     assert tree["h"]["axes"][0]["features"][0]["label"] == "K" and tree["only"]["axes"][0]["features"] == [] and len(tree) == 3
+
+
+def test_sweep_deletes_what_the_application_wrote(spark, monkeypatch, tmp_path):
+    from tidemark import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    kept = spark.range(3).coalesce(1)
+    kept.write.parquet(f"{tmp_path}/shared/other")
+    session.materialize(kept, "a"), session.materialize(kept, "b")
+    here = tmp_path / "shared" / "tidemark" / spark.sparkContext.applicationId
+    assert len(list(here.iterdir())) == 2
+    session.sweep(spark)
+    assert not here.exists() and (tmp_path / "shared" / "other").exists()

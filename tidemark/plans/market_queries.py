@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import methodology, sampling, sessions, signals, structure, symbols
+from tidemark.operators import features, methodology, sampling, sessions, signals, structure, symbols, timeline
 from tidemark.operators import rules as stored_rules
+from tidemark.plans import fiscal_queries
 from tidemark.plans import signal_queries as sq
 from tidemark.plans import sql
 from tidemark.plans import structure_queries as tq
 from tidemark.plans.common import rounded
 from tidemark.plans.registry import QUESTIONS, default_features, default_signals
-from tidemark.sources import adapters
+from tidemark.sources import adapters, facts
 
 GRID = ([0.7, 0.8], [0.8, 0.9])
 FIRST, LAST, STEPS = "1995-01-01", "2002-12-31", (5, 21, 63)
+BUCKET = ("latestGrowth", "durableGrowth", "netMargin", "trendStretch", "annualStretch", "decline")
 LABELS = {"growth": "Growth", "growth.latestGrowth": "Latest growth", "quality.declining": "Declining business"}
 
 
@@ -75,13 +77,44 @@ def session_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a factor: its axes, their features with the metrics and companies that have them, and their signals, as JSON."""
     stored = stored_rules.read(stored_rules.store(spark, default_signals().signals))
-    from tidemark.operators.features import registry_frame
-
-    told = methodology.registry_tree(registry_frame(spark, default_features()), stored.definitions, sq._features(spark, sf_dir), LABELS)
+    told = methodology.registry_tree(features.registry_frame(spark, default_features()), stored.definitions, sq._features(spark, sf_dir), LABELS)
     return told.withColumn("axes", F.to_json("axes"))
 
 
-QUERIES = {f.__name__: f for f in (matched_families, family_samples, provider_symbols, session_calendar, session_returns, registry_tree)}
+def feature_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features in which the companies of one region differ most from all others."""
+    latest = features.latest_features(sq._features(spark, sf_dir)).join(adapters.companies(spark, sf_dir).select("cik", "sector"), "cik")
+    return rounded(structure.feature_audit(latest, F.col("sector") == "ASIA"))
+
+
+def covered_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarter ends at which every question of both axes is answered by half of the companies of the last one."""
+    return timeline.covered_dates(tq._signals_at(spark, sf_dir))
+
+
+def bucket_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per company and question the median over a bucket of features."""
+    told = signals.build(sq._features(spark, sf_dir), default_signals())
+    return rounded(told.select("entity", "factor", "axis", signals.bucket_median(F.col("feature_values"), list(BUCKET)).alias("bucket_value")))
+
+
+def facts_by_parameter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filed facts of two tags and two forms; absent parameters filter nothing."""
+    told = facts.facts_of(fiscal_queries._filings(spark, sf_dir), tags=["Revenues", "Parts"], forms=["10-K", "8-K"])
+    return rounded(told.select("cik", "tag", "start", "end", "val", "form", "filed", "accn"), 4)
+
+
+def stale_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers whose vendor tables are missing or old, the dates of which come from their last line items."""
+    last = adapters.table(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate"]).groupBy("l_suppkey").agg(F.max(F.col("l_shipdate").cast("date")).alias("d"))
+    s = F.col("l_suppkey")
+    rows = last.select(s, F.concat(F.lit("S"), s).alias("ticker"), F.date_sub("d", (s % 40).cast("int")).alias("a"), F.date_sub("d", (s % 23).cast("int")).alias("b"))
+    members = rows.select("ticker", F.when(s % 3 == 0, "one").otherwise("two").alias("universe_key"), (s % 11 != 0).alias("is_active"))
+    tables = {"identity": rows.where(s % 7 != 0).select("ticker", F.col("a").alias("fetched_at")), "profile": rows.where(s % 5 != 0).select("ticker", F.when(s % 13 != 0, F.col("b")).alias("fetched_at"))}
+    return facts.stale_candidates(members, tables, ["one", "two"], "2001-10-20")
+
+
+QUERIES = {f.__name__: f for f in (matched_families, family_samples, provider_symbols, session_calendar, session_returns, registry_tree, feature_shifts, covered_quarters, bucket_medians, facts_by_parameter, stale_profiles)}
 
 _GRID_SQL = tq._agreement_sql(*GRID)
 _RANKED = """{n}f AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) AS family, count(*) AS groups FROM {n}_l GROUP BY 1)"""
@@ -151,3 +184,16 @@ SELECT factor, coalesce((SELECT v FROM lb WHERE k = factor), factor) AS label, t
 
 
 SQL["registry_tree"] = _tree_sql()
+SQL["feature_shifts"] = f"""WITH {sq._FEATURES}, {sq._LATEST.format(where='')}, {sql.COMPANIES.strip()},
+p AS (SELECT factor, axis, feature_key, quantile_cont(feature_value, 0.5) FILTER (sector = 'ASIA') AS inside, count(feature_value) FILTER (sector = 'ASIA') AS n, quantile_cont(feature_value, 0.5) FILTER (sector <> 'ASIA') AS outside,
+  quantile_cont(feature_value, 0.25) FILTER (sector <> 'ASIA') AS q1, quantile_cont(feature_value, 0.75) FILTER (sector <> 'ASIA') AS q3 FROM latest JOIN companies USING (cik) GROUP BY 1, 2, 3)
+SELECT factor, axis, feature_key, round(inside, 6) AS inside, n, round(outside, 6) AS outside, round(q1, 6) AS q1, round(q3, 6) AS q3, round((inside - outside) / (q3 - q1), 6) AS shift FROM p WHERE n >= 5 AND q3 > q1 ORDER BY abs((inside - outside) / (q3 - q1)) DESC, factor, axis, feature_key LIMIT 5"""
+SQL["covered_quarters"] = f"""{tq._AT}, c AS (SELECT as_of, factor, axis, count(DISTINCT entity) AS n, count(DISTINCT signal_key) FILTER (signal_key NOT LIKE 'mixed%') AS k FROM at_ GROUP BY 1, 2, 3),
+l AS (SELECT factor, axis, arg_max(n, as_of) AS latest FROM c GROUP BY 1, 2)
+SELECT as_of, count(*) AS axes FROM c JOIN l USING (factor, axis) WHERE n >= latest * 0.5 AND k > 0 GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM l)"""
+SQL["bucket_medians"] = f"""WITH {sq._FEATURES}, {sq._LATEST.format(where='')}, {sq._AGG}, {sq._rules_sql()}, {sq._CHOSEN}
+SELECT c.entity, c.factor, c.axis, round(median(a.value), 6) AS bucket_value FROM chosen c LEFT JOIN agg a ON a.entity = c.entity AND a.factor = c.factor AND a.axis = c.axis AND a.feature_key IN {BUCKET} GROUP BY 1, 2, 3"""
+SQL["facts_by_parameter"] = f"""WITH {fiscal_queries._STATED} SELECT cik, tag, start, "end", round(val, 4) AS val, form, filed, accn FROM rw WHERE tag IN ('Revenues', 'Parts') AND form IN ('10-K', '8-K') AND val IS NOT NULL AND "end" IS NOT NULL"""
+SQL["stale_profiles"] = """WITH t AS (SELECT l_suppkey AS s, max(CAST(l_shipdate AS DATE)) AS d FROM lineitem GROUP BY 1),
+u AS (SELECT 'S' || s AS ticker, s % 7 = 0 OR s % 5 = 0 AS missing, least(CASE WHEN s % 7 = 0 THEN DATE '1970-01-01' ELSE d - CAST(s % 40 AS INT) END, CASE WHEN s % 5 = 0 OR s % 13 = 0 THEN DATE '1970-01-01' ELSE d - CAST(s % 23 AS INT) END) AS oldest_fetch FROM t WHERE s % 11 <> 0)
+SELECT * FROM u WHERE missing OR oldest_fetch < DATE '2001-10-20'"""

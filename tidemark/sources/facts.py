@@ -139,3 +139,19 @@ def profile_rows(raw: DataFrame) -> DataFrame:
 def write_keyed(df: DataFrame, path: str, partition: str) -> None:
     """Write by partition, replacing only the partitions that ``df`` has: a delete and insert of slices."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def stale_candidates(memberships: DataFrame, fetched: dict[str, DataFrame], universes: list[str], before: str, n: int | None = None) -> DataFrame:
+    """Active members of the universes that lack one of the vendor's tables, or whose oldest fetch is before a day: (ticker, missing, oldest_fetch).
+
+    ``fetched``: tables (ticker, fetched_at), one row a ticker; a null date is a row never fetched. Those that lack something come
+    first, then the oldest; ``n`` limits the list to what one run will fetch.
+    """
+    told = memberships.where(F.col("universe_key").isin(*universes) & F.col("is_active")).select("ticker").distinct()
+    for name, rows in fetched.items():
+        told = told.join(rows.select("ticker", F.col("fetched_at").alias(f"__{name}"), F.lit(True).alias(f"__has_{name}")), "ticker", "left")
+    epoch = F.lit("1970-01-01").cast("date")
+    oldest = F.least(*[F.coalesce(F.col(f"__{name}").cast("date"), epoch) for name in fetched], F.lit("9999-12-31").cast("date"))
+    missing = F.exists(F.array(*[F.col(f"__has_{name}").isNull() for name in fetched]), lambda x: x)
+    some = told.select("ticker", missing.alias("missing"), oldest.alias("oldest_fetch")).where(F.col("missing") | (F.col("oldest_fetch") < F.lit(before).cast("date")))
+    return some.orderBy(F.desc("missing"), "oldest_fetch", "ticker").limit(n) if n else some
