@@ -70,7 +70,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, sweeps: int = SWEEPS) -> DataFra
     parts = components(edges)
     tagged = edges.join(parts.select(F.col("node").alias("a"), F.col("label").alias("part")), "a").select("part", "a", "b", "weight")
 
-    def solve(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         around: dict[int, list[tuple[int, float]]] = {}
         for a, b, w in rows[["a", "b", "weight"]].itertuples(index=False):
             around.setdefault(a, []).append((b, w))

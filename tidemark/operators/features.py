@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import as_number, deviation, ratio_to_size
+from tidemark.operators.relational import as_of
 
 
 @dataclass(frozen=True)
@@ -140,16 +141,13 @@ def emit(enriched: DataFrame, definitions: list[Feature]) -> DataFrame:
 def with_macro(enriched: DataFrame, macro: DataFrame, series: list[str]) -> DataFrame:
     """Adds ``macro``: for each named series the last value at or before the row's end.
 
-    A macro series has one row a day for all companies, so the observations are first turned
-    into intervals and matched to the distinct period ends, which are few; the ends are
+    The distinct period ends, few whatever the number of companies, are looked up in each series by one as-of join, and
     joined back by equality.
     """
-    known = macro.where(F.col("series_id").isin(*series) & F.col("value").isNotNull())
-    ends = enriched.select("end").distinct()
-    w = Window.partitionBy("series_id").orderBy("observation_date")
-    spans = known.withColumn("until", F.lead("observation_date").over(w))
-    match = (F.col("observation_date") <= F.col("end")) & (F.col("until").isNull() | (F.col("until") > F.col("end")))
-    at = ends.join(F.broadcast(spans), match).groupBy("end").agg(F.map_from_entries(F.collect_list(F.struct("series_id", "value"))).alias("macro"))
+    known = macro.where(F.col("series_id").isin(*series) & F.col("value").isNotNull()).select("series_id", "observation_date", "value")
+    asked = enriched.select("end").distinct().withColumn("series_id", F.explode(F.array(*map(F.lit, series))))
+    found = as_of(asked, known, ["series_id"], "end", "observation_date", tie=["value"]).where("value is not null")
+    at = found.groupBy("end").agg(F.map_from_entries(F.collect_list(F.struct("series_id", "value"))).alias("macro"))
     return enriched.join(at, "end", "left")
 
 

@@ -201,7 +201,7 @@ def relative_features(features: DataFrame, benchmark: DataFrame, names: dict[str
 
 def basket_returns(returns: DataFrame, members: DataFrame) -> DataFrame:
     """(definition, d, basket): the mean return by date of each definition's members that have one."""
-    return returns.join(F.broadcast(members), "ticker").groupBy("definition", F.col("price_date").alias("d")).agg(F.avg("log_return").alias("basket"))
+    return returns.join(if_small(members), "ticker").groupBy("definition", F.col("price_date").alias("d")).agg(F.avg("log_return").alias("basket"))
 
 
 def proxy_betas(bars: DataFrame, baskets: DataFrame, least_bars: int = 756, least_pairs: int = 90) -> DataFrame:

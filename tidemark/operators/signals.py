@@ -259,6 +259,7 @@ def question_states(validated: DataFrame, universe_size: int) -> DataFrame:
 
 def question_policies(states: DataFrame) -> DataFrame:
     """hold, review or use per question. Reasons: gaps, dominance, few directional answers, low diversity."""
+    # fixed values: the shares and the entropy at which a question is doubtful, and those at which it isn't used
     reasons = sum((F.coalesce(c.cast("int"), F.lit(0)) for c in (
         F.col("no_signal_share") > 0.2, F.col("dominant_share") > 0.6, F.col("directional_share") < 0.25, F.col("entropy") < 0.45
     )), F.lit(0))

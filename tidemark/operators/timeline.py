@@ -81,7 +81,7 @@ def covered_dates(signals: DataFrame, least: float = 0.5) -> DataFrame:
     told = signals.groupBy("as_of", "factor", "axis").agg(F.countDistinct("entity").alias("n"), F.countDistinct(F.when(~F.col("signal_key").startswith("mixed_"), F.col("signal_key"))).alias("directional"))
     last = told.groupBy("factor", "axis").agg(F.max_by("n", "as_of").alias("latest"))
     axes = last.count()
-    good = told.join(F.broadcast(last), ["factor", "axis"]).where((F.col("n") >= F.col("latest") * least) & (F.col("directional") > 0))
+    good = told.join(if_small(last), ["factor", "axis"]).where((F.col("n") >= F.col("latest") * least) & (F.col("directional") > 0))
     return good.groupBy("as_of").agg(F.count("*").alias("axes")).where(F.col("axes") == axes)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.filings import is_ticker_like, padded_cik, ticker
 from tidemark.operators.relational import last_wins, replace_slice
+from tidemark.session import if_small
 
 POINT = "struct<start:string,end:string,val:double,accn:string,fy:int,fp:string,form:string,filed:string,frame:string>"
 COMPANY = f"cik string, entityName string, facts map<string,map<string,struct<label:string,description:string,units:map<string,array<{POINT}>>>>>"
@@ -62,13 +63,13 @@ def facts_of(facts: DataFrame, cik: str | None = None, tags: list[str] | None =
 
 def map_tags(facts: DataFrame, tag_meta: DataFrame, default_priority: int = 99) -> DataFrame:
     """Facts of known tags with their metric, fact type, priority and length. ``tag_meta`` is a registry of a few hundred rows."""
-    known = facts.where("val is not null and end is not null").join(F.broadcast(tag_meta), "tag")
+    known = facts.where("val is not null and end is not null").join(if_small(tag_meta), "tag")
     return known.withColumn("priority", F.coalesce("priority", F.lit(default_priority))).withColumn("duration_days", F.date_diff("end", "start") + 1)
 
 
 def unmapped_tag_stats(facts: DataFrame, tag_meta: DataFrame, since: str = "2018-01-01") -> DataFrame:
     """Per company, tag, unit and kind of unmapped tags: rows, first and last end, and the newest accession and label."""
-    rest = facts.where(F.col("end") >= F.lit(since).cast("date")).join(F.broadcast(tag_meta.select("tag")), "tag", "left_anti")
+    rest = facts.where(F.col("end") >= F.lit(since).cast("date")).join(if_small(tag_meta.select("tag")), "tag", "left_anti")
     kind = F.when(F.col("start").isNull(), "instant").otherwise("flow")
     return rest.groupBy("cik", "tag", "unit", kind.alias("kind")).agg(
         F.count("*").alias("n"), F.min("end").alias("first_end"), F.max("end").alias("last_end"), F.max("filed").alias("last_filed"),
