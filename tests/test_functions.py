@@ -96,3 +96,10 @@ def test_texts_in_other_words(spark):
     assert [(i["code"], i["title"], i["body"]) for i in row[0]] == [("8", "Statements", "sums"), ("9B", None, "none"), ("5", "of the list is short", "Item one")]
     assert row[1] == [] and row[2] is None and [tuple(e) for e in row[3]] == [("3.1.a", "By-laws of it")] and row[4] == []
     assert row[5] == "a’s 😀 b\nc\nd" and row[6] == ["non_dividend"]
+
+
+def test_day_distance_and_revenue_families(spark):
+    days = spark.sql("select date'2024-03-01' as a, date'2024-02-27' as b union all select null, date'2024-01-01'")
+    assert sorted([r[0] for r in days.select(cal.day_distance(F.col("a"), F.col("b"))).collect()], key=str) == [3, None]
+    rows = spark.createDataFrame([("Regional Banks", "bank"), ("Regional Banks", "reit"), ("Software", "general"), ("Software", "bank"), (None, None), (" Electric UTILITIES ", "utility"), ("Health Care", "healthcare")], "industry string, family string")
+    assert [r[0] for r in rows.select(text.allowed_revenue_family(F.col("industry"), F.col("family"))).collect()] == [True, False, True, False, True, True, True]

@@ -191,4 +191,4 @@ def allowed_revenue_family(industry: Column, family: Column) -> Column:
     """Whether a revenue tag's family fits the company: banks, REITs, utilities and health care have families of their own."""
     name = F.lower(F.trim(F.coalesce(industry, F.lit(""))))
     special = F.when(name.contains("bank"), "bank").when(name.contains("reit"), "reit").when(name.contains("utilit"), "utility").when(name.contains("health"), "healthcare")
-    return family.isNull() | (family == "general") | (family == special)
+    return family.isNull() | (family == "general") | F.coalesce(family == special, F.lit(False))

@@ -208,14 +208,6 @@ def from_trailing(facts: DataFrame, keys: tuple[str, ...] = ("cik", "tag", "unit
     )
 
 
-def guarded(rows: DataFrame, positive_tags: DataFrame | None = None) -> DataFrame:
-    """Rebuilt rows without negative revenue, and without negative values of tags known as positive (tag)."""
-    told = rows.where(~((F.col("metric_key") == "revenue") & (F.col("val") < 0)))
-    if positive_tags is not None:
-        told = told.join(F.broadcast(positive_tags.select("tag").withColumn("__p", F.lit(True))), "tag", "left").where(F.col("__p").isNull() | (F.col("val") >= 0)).drop("__p")
-    return told
-
-
 def chains(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``chain``: rows that follow each other within a day share a number (gaps and islands)."""
     w = Window.partitionBy(*keys).orderBy("start", "end")
@@ -257,9 +249,3 @@ def regimes(annual: DataFrame, tolerance: int = 7) -> DataFrame:
     fresh = F.when(F.lag("end").over(w).isNull() | moved | gap, 1).otherwise(0)
     told = annual.withColumn("__f", fresh).withColumn("regime", F.sum("__f").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return told.groupBy("cik", "regime").agg(F.min("fiscal_year").alias("first_year"), F.max("fiscal_year").alias("last_year"), F.count("*").alias("years"))
-
-
-def classified(facts: DataFrame) -> DataFrame:
-    """Facts with their length and its class."""
-    days = F.when(F.col("start").isNotNull(), F.date_diff("end", "start") + 1)
-    return facts.withColumn("duration_days", days).withColumn("duration_class", duration_class(days))

@@ -89,12 +89,6 @@ def bitemporal_latest(rows: DataFrame, snapshots: DataFrame, keys: Sequence[str]
     return spans.join(F.broadcast(snapshots.select(as_of_date).distinct()), match).drop("__until")
 
 
-def mirrored(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Each unordered pair in both directions."""
-    rest = [c for c in pairs.columns if c not in (a, b)]
-    return pairs.unionByName(pairs.select(F.col(b).alias(a), F.col(a).alias(b), *rest))
-
-
 def recent_or_all(rows: DataFrame, keys: list[str], date: str, years: int) -> DataFrame:
     """The rows of each key's last ``years`` years up to its latest date; all of a key's rows where that would leave one or none."""
     own = Window.partitionBy(*keys)
