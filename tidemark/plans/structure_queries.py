@@ -248,6 +248,8 @@ def _families(name: str, threshold: str, lens: str = "jaccard") -> str:
 _SPARSE = """both_ AS (SELECT a, b, idf_jaccard AS weight FROM ham WHERE idf_jaccard >= 0.08 UNION ALL SELECT b, a, idf_jaccard FROM ham WHERE idf_jaccard >= 0.08),
 sparse AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, weight FROM (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) <= 14))"""
 
+_BOTH_SPARSE = "bs AS MATERIALIZED (SELECT a, b, weight FROM sparse UNION ALL SELECT b, a, weight FROM sparse)"
+
 
 def _sweep_sql(lens: str = "jaccard", name: str = "sweep") -> str:
     """The sweep by the labels at each of the thresholds, from all edges."""
@@ -389,3 +391,41 @@ md AS (SELECT sum(coalesce(i.weight, 0) / t - pow(d / (2 * t), 2)) AS modularity
 nn AS (SELECT label, count(*) AS nodes FROM fam GROUP BY 1)
 SELECT label, nodes, coalesce(edges, 0) AS edges, round(coalesce(weight, 0), 6) AS weight, round(CASE WHEN nodes > 1 THEN coalesce(edges, 0) / (nodes * (nodes - 1) / 2) ELSE 0 END, 6) AS density, round(modularity, 6) AS modularity FROM nn LEFT JOIN ins USING (label), md""",
 }
+
+def _flow_sql() -> str:
+    """Label flow, a pair of relations a round; a round after the last change changes nothing."""
+    rounds = "".join(f""",
+v{i} AS (SELECT e.a AS idx, l.label AS vote, round(sum(e.weight), 12) AS w FROM bs e JOIN l{i - 1} l ON l.idx = e.b GROUP BY 1, 2),
+l{i} AS MATERIALIZED (SELECT idx, CASE WHEN w > coalesce(mine, 0) OR (w = coalesce(mine, 0) AND vote < label) THEN vote ELSE label END AS label
+  FROM (SELECT l.idx, l.label, max(v.w) AS w, arg_max(v.vote, (v.w, -v.vote)) AS vote, max(v.w) FILTER (v.vote = l.label) AS mine FROM l{i - 1} l LEFT JOIN v{i} v USING (idx) GROUP BY 1, 2))""" for i in range(1, communities.FLOW_ROUNDS + 1))
+    return f"{_PAIRS}, {_SPARSE}, {_BOTH_SPARSE}, l0 AS (SELECT idx, idx AS label FROM gr){rounds} SELECT idx, label FROM l{communities.FLOW_ROUNDS}"
+
+
+def _markov_sql() -> str:
+    """Markov clustering, a matrix a round."""
+    rounds = "".join(f""",
+p{i} AS (SELECT x.i, y.j, pow(sum(x.v * y.v), {communities.INFLATION}) AS v FROM m{i - 1} x JOIN m{i - 1} y ON x.j = y.i GROUP BY 1, 2),
+q{i} AS (SELECT * FROM p{i} WHERE v >= {communities.LEAST_VALUE} QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(v, 12) DESC, j) <= {communities.ROW_LIMIT}),
+m{i} AS MATERIALIZED (SELECT i, j, v / sum(v) OVER (PARTITION BY i) AS v FROM q{i})""" for i in range(1, communities.MARKOV_ROUNDS + 1))
+    return f"""{_PAIRS}, {_SPARSE}, {_BOTH_SPARSE}, s0 AS (SELECT idx AS i, idx AS j, 1.0::DOUBLE AS v FROM gr UNION ALL SELECT a, b, weight FROM bs),
+m0 AS MATERIALIZED (SELECT i, j, v / sum(v) OVER (PARTITION BY i) AS v FROM s0){rounds},
+bm AS (SELECT i AS idx, arg_max(j, (round(v, 9), -j)) AS label FROM m{communities.MARKOV_ROUNDS} GROUP BY 1) SELECT gr.idx, coalesce(label, gr.idx) AS label FROM gr LEFT JOIN bm USING (idx)"""
+
+
+#: One level of Louvain: a step a move, the state is the list of all labels.
+_LOUVAIN = f"""{_PAIRS}, {_SPARSE}, {_BOTH_SPARSE},
+nb AS MATERIALIZED (SELECT gr.idx, coalesce(list({{'b': bs.b, 'w': bs.weight}}) FILTER (bs.b IS NOT NULL), []) AS around, coalesce(sum(bs.weight), 0) AS degree FROM gr LEFT JOIN bs ON bs.a = gr.idx GROUP BY 1),
+dg AS MATERIALIZED (SELECT list(degree ORDER BY idx) AS degrees, sum(degree) AS twice, count(*) AS n FROM nb),
+lv(step, labels) AS (SELECT 0::BIGINT, list(idx ORDER BY idx) FROM gr
+  UNION ALL SELECT step + 1, list_concat(list_concat(labels[1:idx], [best]), labels[idx + 2:]) FROM (
+    SELECT step, labels, idx, list_sort(list_transform(list_distinct(list_append(list_transform(around, lambda x: labels[x.b + 1]), labels[idx + 1])),
+      lambda c: {{'r': -round(coalesce(list_sum(list_transform(list_filter(around, lambda x: labels[x.b + 1] = c), lambda x: x.w)), 0)
+        - degree * (list_sum(list_transform(range(n), lambda k: CASE WHEN labels[k + 1] = c AND k <> idx THEN degrees[k + 1] ELSE 0 END))) / twice, 12), 'c': c}}))[1].c AS best
+    FROM lv, dg, nb WHERE step < {communities.SWEEPS} * n AND nb.idx = step % n)),
+fl AS (SELECT unnest(labels) AS label, unnest(range(len(labels))) AS idx FROM (SELECT labels FROM lv ORDER BY step DESC LIMIT 1)),
+tot AS (SELECT sum(weight) AS t FROM sparse), deg AS (SELECT label, sum(degree) AS d FROM nb JOIN fl USING (idx) WHERE degree > 0 GROUP BY 1),
+ins AS (SELECT x.label, sum(weight) AS weight FROM sparse JOIN fl x ON x.idx = a JOIN fl y ON y.idx = b WHERE x.label = y.label GROUP BY 1),
+md AS (SELECT coalesce(sum(coalesce(i.weight, 0) / t - pow(d / (2 * t), 2)), 0) AS modularity, count(*) AS communities FROM deg LEFT JOIN ins i USING (label), tot)
+SELECT idx, label, round(modularity, 6) AS modularity, communities FROM fl, md"""
+
+SQL |= {"flow_communities": _flow_sql(), "markov_communities": _markov_sql(), "louvain_communities": _LOUVAIN}
