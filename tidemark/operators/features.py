@@ -195,6 +195,38 @@ def macro_contrast(features: DataFrame, macro: DataFrame, series: list[str]) ->
     return told.withColumn("contrast", F.col("feature_value") - F.col("macro_value") / 100).withColumnRenamed("end", "period_end").drop("macro")
 
 
+#: The macro series that a metric is held against, the first one first; DEFAULT_MACROS stand for every other metric.
+METRIC_MACROS = {
+    "capex_cash": ("private_investment_yoy", "nonresidential_fixed_investment_yoy"),
+    "capex_incurred": ("private_investment_yoy", "nonresidential_fixed_investment_yoy"),
+    "gross_profit": ("corporate_profits_yoy", "nominal_gdp_yoy"),
+    "net_income": ("corporate_profits_yoy", "nominal_gdp_yoy"),
+    "operating_cash_flow": ("corporate_profits_yoy", "nominal_gdp_yoy"),
+    "operating_income": ("corporate_profits_yoy", "nominal_gdp_yoy"),
+    "revenue": ("nominal_gdp_yoy", "real_gdp_yoy", "pce_inflation_yoy"),
+}
+DEFAULT_MACROS = ("nominal_gdp_yoy", "real_gdp_yoy")
+
+
+def macros_of(metric: Column, mapping: dict[str, tuple[str, ...]] = METRIC_MACROS, default: tuple[str, ...] = DEFAULT_MACROS) -> Column:
+    """The names of a metric's macro series as an array; the default ones for a metric that isn't mapped, or null."""
+    names = lambda keys: F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>")
+    told = F.create_map(*[c for m, keys in mapping.items() for c in (F.lit(m), names(keys))]) if mapping else F.create_map().cast("map<string,array<string>>")
+    return F.coalesce(F.get(F.filter(F.array(F.try_element_at(told, metric)), lambda x: x.isNotNull()), 0), names(default))
+
+
+def mapped_macros(features: DataFrame, macro: DataFrame, mapping: dict[str, tuple[str, ...]] = METRIC_MACROS, default: tuple[str, ...] = DEFAULT_MACROS) -> DataFrame:
+    """The latest value of each feature beside those of its metric's macro series as of its period end: place (from 1), series_id, macro_value, contrast.
+
+    A mapped series without an observation up to then stays, with nulls; the macro value is in per cent.
+    """
+    wanted = sorted({k for keys in (*mapping.values(), default) for k in keys})
+    told = with_macro(latest_features(features).withColumnRenamed("period_end", "end"), macro.where(F.col("series_id").isin(*wanted)), wanted)
+    rows = told.select("*", F.posexplode(macros_of(F.col("metric_key"), mapping, default)).alias("place", "series_id"))
+    value = F.try_element_at("macro", F.col("series_id"))
+    return rows.withColumns({"place": F.col("place") + 1, "macro_value": value, "contrast": F.col("feature_value") - value / 100}).withColumnRenamed("end", "period_end").drop("macro")
+
+
 def comparison_members(companies: DataFrame, universe: DataFrame) -> DataFrame:
     """(ticker, comparison, member): every ticker against all, its universe and its sector, as group names."""
     base = companies.join(universe.where("is_active").select("ticker").distinct().withColumn("in_universe", F.lit(True)), "ticker", "left")

@@ -171,3 +171,27 @@ def build(facts: DataFrame, years: DataFrame, quarters: DataFrame, positive: Dat
         *SERIES, F.col("tag").alias("source_tag"), "fact_type", "unit", "val", "start", "end", duration_days(F.col("start"), F.col("end")).alias("duration_days"), "filed",
         F.coalesce("filed", "end").alias("effective_date"), "accn", *LABELS, "fiscal_year", "fiscal_quarter", F.col("kind").alias("period_type"), "source_kind",
     )
+
+
+#: What tells one row of a series from another.
+PERIOD = ["cik", "metric_key", "unit", "period_type", "fiscal_year", "fiscal_quarter", "end"]
+
+
+def compare(base: DataFrame, wider: DataFrame) -> DataFrame:
+    """What a wider set of tags changes, per company and metric: rows of both series, those gained, lost and changed, and the tags that rows come from.
+
+    A row is that of a metric's unit and period; years and quarters are told by their number, snapshots by their end. Values
+    that differ by more than a billionth of the larger one are changed. One full join on the period; nulls in it are equal.
+    """
+    fiscal = F.col("period_type").isin("annual", "quarter") & F.col("fiscal_year").isNotNull()
+    key = [*PERIOD[:-1], F.when(~fiscal, F.col("end")).alias("at")]
+    one = lambda df, name: df.select(*key, F.struct("val", "source_tag").alias(name))
+    both = one(base, "b").withColumn("w", F.lit(None).cast("struct<val:double,source_tag:string>")).unionByName(one(wider, "w").withColumn("b", F.lit(None).cast("struct<val:double,source_tag:string>")))
+    rows = both.groupBy(*PERIOD[:-1], "at").agg(F.max("b").alias("b"), F.max("w").alias("w"))
+    moved = F.abs(F.col("b.val") - F.col("w.val")) > F.greatest(F.abs("b.val"), F.abs("w.val")) * 1e-9
+    count = lambda condition, name: F.count_if(F.coalesce(condition, F.lit(False))).alias(name)
+    has_b, has_w = F.col("b").isNotNull(), F.col("w").isNotNull()
+    return rows.groupBy("cik", "metric_key").agg(
+        count(has_b, "base_rows"), count(has_w, "wider_rows"), count(has_w & ~has_b, "gained"), count(has_b & ~has_w, "lost"), count(has_b & has_w & moved, "changed"),
+        F.array_sort(F.collect_set("w.source_tag")).alias("tags"),
+    )

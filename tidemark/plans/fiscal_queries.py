@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import features, fiscal, metric_series, periods
+from tidemark.operators import features, fiscal, fiscal_store, metric_series, periods
 from tidemark.plans import sql
 from tidemark.plans.common import rounded
-from tidemark.sources import adapters
+from tidemark.session import scratch_path
+from tidemark.sources import adapters, facts
 
 
 def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,12 +86,47 @@ def fiscal_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return years.select("cik", "fiscal_year", F.lit(0).alias("fiscal_quarter"), "low", "high").unionByName(quarters)
 
 
+def _profile_store(spark: SparkSession, sf_dir: str) -> fiscal_store.ProfileStore:
+    """Profiles stored from what was filed before 1996, then updated from all filings."""
+    rows = _filings(spark, sf_dir)
+    store = fiscal_store.ProfileStore(spark, scratch_path(spark, "profiles"))
+    store.update(fiscal_store.profile(rows.where("filed < date'1996-01-01'")))
+    store.update(fiscal_store.profile(rows))
+    return store
+
+
+def stored_calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of all suppliers, read from the store of their profiles."""
+    years, quarters = _profile_store(spark, sf_dir).calendar()
+    told = years.select("cik", "fiscal_year", F.lit(0).alias("fiscal_quarter"), "low", "high").unionByName(quarters)
+    return told.withColumn("cik", F.col("cik").cast("long"))
+
+
+def stored_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of like year ends, read back from the JSON text that the store keeps of them."""
+    told, _ = fiscal_store.regimes(_profile_store(spark, sf_dir).rows())
+    return told.withColumns({"cik": F.col("cik").cast("long"), "transition_years": F.size("transition_years")})
+
+
 def built_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metric series of all suppliers from their facts: every way to a quarter, the best row per period, summed years."""
     rows = _filings(spark, sf_dir)
     return rounded(metric_series.build(rows, *fiscal.calendar(rows)), 4)
 
 
+def experiment_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the series of all suppliers gain from a wider set of tags, some of which are open to some sectors only."""
+    wide = {"Revenues": [], "Quantity": [], "Segments": ["EUROPE", "ASIA", "AMERICA"], "Parts": ["EUROPE", "AFRICA"]}
+    registry = spark.createDataFrame([(t, True, s, []) for t, s in wide.items()], "tag string, enabled boolean, include_sectors array<string>, exclude_sectors array<string>")
+    rows = _filings(spark, sf_dir)
+    companies = adapters.companies(spark, sf_dir).select(F.col("cik").cast("long").alias("cik"), "sector")
+    opened = facts.gate_by_sector(rows.join(F.broadcast(registry), "tag"), companies)
+    calendar = fiscal.calendar(rows)
+    base = metric_series.build(rows.where("tag in ('Revenues', 'Quantity')"), *calendar)
+    told = metric_series.compare(base, metric_series.build(opened, *calendar))
+    return told.withColumn("tags", F.concat_ws(",", "tags"))
+
+
 def rebuilt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row that the series builder makes of stated ones, by source: differences, leading spans, segments, and prefixes of chains.
 
@@ -117,7 +153,7 @@ def vector_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("ticker", F.concat_ws(",", "feature_keys").alias("feature_keys"), F.posexplode("values").alias("pos", "z"), "observed", "missing", "coverage").withColumn("z", F.round("z", 6))
 
 
-QUERIES = {f.__name__: f for f in (fiscal_years, fiscal_history, fiscal_quarters, quarter_durations, odd_durations, fiscal_profiles, fiscal_windows, built_series, rebuilt_rows, vector_matrix)}
+QUERIES = {f.__name__: f for f in (fiscal_years, fiscal_history, fiscal_quarters, quarter_durations, odd_durations, fiscal_profiles, fiscal_windows, stored_calendars, stored_regimes, experiment_series, built_series, rebuilt_rows, vector_matrix)}
 
 _FACTS = f"""{sql.QUARTERS},
 g AS (SELECT *, year(start) AS y, qn % 4 + 1 AS k, CAST(s % 5 - CASE WHEN s % 3 = 0 AND year(start) >= 1997 THEN 20 ELSE 0 END AS INT) AS o FROM quarters),
@@ -213,6 +249,7 @@ sg AS (SELECT *, coalesce(abs(start - lag("end") OVER (PARTITION BY cik, accn, f
 pf AS (SELECT *, CASE WHEN abs(start - lag("end") OVER (PARTITION BY cik, metric_key ORDER BY start, "end", tag, accn, val) - 1) <= 1 THEN 0 ELSE 1 END AS fresh FROM rw WHERE kind = 'other' AND val IS NOT NULL),
 pc AS (SELECT *, sum(fresh) OVER (PARTITION BY cik, metric_key ORDER BY start, "end", tag, accn, val ROWS UNBOUNDED PRECEDING) AS chain FROM pf),
 pp AS (SELECT * EXCLUDE (val, start), row_number() OVER w AS place, sum(val) OVER w AS val, first(start) OVER w AS start FROM pc WINDOW w AS (PARTITION BY cik, metric_key, chain ORDER BY start, "end", tag, accn, val ROWS UNBOUNDED PRECEDING))"""
+SQL["stored_calendars"], SQL["stored_regimes"] = SQL["fiscal_windows"], SQL["fiscal_history"]
 _LOW, _HIGH = periods.QUARTER_LENGTH
 SQL["rebuilt_rows"] = f"""WITH {_STATED}
 SELECT cik, metric_key, tag, CAST(pe + 1 AS DATE) AS start, "end", round(val - pv, 4) AS val, filed, accn, CASE WHEN kind = 'annual' THEN 'annual_derived' ELSE 'cumulative_derived' END AS source_kind, 'earlier' AS way, 0 AS place FROM ea WHERE o = 1 AND "end" - pe BETWEEN {_LOW} AND {_HIGH}

@@ -96,6 +96,20 @@ def mapped_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("accn", "cik", "tag", "metric_key", "fact_type", "priority", "duration_days", "val")
 
 
+#: A wider registry: who a tag is open to.
+_GATED_TAGS = [("AIR", "revenue", "flow", 1, True, [], ["ASIA"]), ("TRUCK", "revenue", "flow", 5, True, ["EUROPE", "AFRICA"], []), ("MAIL", "capex_cash", "flow", None, True, None, None), ("FOB", "assets", "instant", 2, False, [], []), ("REG", "assets", "instant", 4, True, ["AMERICA"], ["AMERICA"])]
+
+
+def gated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the wider registry's tags that are open to their company's sector; every ninth company's is unknown, some have spaces around it."""
+    meta = spark.createDataFrame(_GATED_TAGS, "tag string, metric_key string, fact_type string, priority int, enabled boolean, include_sectors array<string>, exclude_sectors array<string>")
+    k = F.col("cik").cast("long")
+    sector = F.when(k % 9 == 0, None).when(k % 9 == 1, F.lit(" ")).when(k % 2 == 0, F.concat(F.lit("  "), "sector", F.lit(" "))).otherwise(F.col("sector"))
+    companies = adapters.companies(spark, sf_dir).select(k.cast("string").alias("cik"), sector.alias("sector"))
+    told = facts.gate_by_sector(facts.map_tags(_raw_facts(spark, sf_dir), meta), companies)
+    return told.select("accn", "cik", "tag", "metric_key", "fact_type", "priority", "duration_days", "val")
+
+
 def unmapped_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per company, unit and kind the tags that no metric claims, with their newest accession."""
     told = facts.unmapped_tag_stats(_raw_facts(spark, sf_dir), _tag_meta(spark), "1994-01-01")
@@ -428,7 +442,7 @@ def group_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    reconstructed_quarters, leading_quarters, resolved_quarters, resolved_periods, merged_segments, mapped_facts, unmapped_tags, fact_upsert, best_candidates, file_changes, annual_consistency, annual_from_quarters, fiscal_regimes, formula_metric, series_issues,
+    reconstructed_quarters, leading_quarters, resolved_quarters, resolved_periods, merged_segments, mapped_facts, gated_facts, unmapped_tags, fact_upsert, best_candidates, file_changes, annual_consistency, annual_from_quarters, fiscal_regimes, formula_metric, series_issues,
     page_texts, filing_items, filing_exhibits, dividend_phrases, inferred_tags, portfolio_rebalance, portfolio_exposure, core_turnover, share_turnover, core_forward_returns, event_cohorts,
     status_pivot, modal_priority, price_percentiles, segment_shares, unordered_customers, membership_sync, changed_customers, nearest_to_median, comparison_groups,
     trailing_usage, tag_candidates, robust_scores, recent_orders, identity_rows, group_extremes, group_leaders,
@@ -476,6 +490,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY abs(v) DES
 SELECT c_mktsegment, string_agg(CAST(t AS VARCHAR), ',' ORDER BY f) FILTER (f <= 5) AS outliers, string_agg(CAST(t AS VARCHAR), ',' ORDER BY n) FILTER (n <= 5) AS near_threshold FROM r GROUP BY 1""",
     "group_leaders": """SELECT s_nationkey, s_suppkey AS ticker, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS market_cap, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY coalesce(CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END, -1) DESC, s_suppkey) AS INT) AS place FROM supplier QUALIFY place <= 5""",
     "mapped_facts": f"""WITH {_FACTS} SELECT accn, cik, tag, metric_key, fact_type, CAST(priority AS INT) AS priority, CAST("end" - start + 1 AS INT) AS duration_days, val FROM raw JOIN meta USING (tag)""",
+    "gated_facts": f"""WITH {_FACTS}, {sql.COMPANIES.strip()},
+gate(tag, metric_key, fact_type, priority, inc, exc) AS (VALUES ('AIR', 'revenue', 'flow', 1, [], ['ASIA']), ('TRUCK', 'revenue', 'flow', 5, ['EUROPE', 'AFRICA'], []), ('MAIL', 'capex_cash', 'flow', 99, [], []), ('REG', 'assets', 'instant', 4, ['AMERICA'], [])),
+cs AS (SELECT CAST(CAST(cik AS INT) AS VARCHAR) AS cik, CASE WHEN CAST(cik AS INT) % 9 > 1 THEN sector END AS sector FROM companies)
+SELECT accn, raw.cik, tag, metric_key, fact_type, CAST(priority AS INT) AS priority, CAST("end" - start + 1 AS INT) AS duration_days, val FROM raw JOIN gate USING (tag) LEFT JOIN cs ON cs.cik = raw.cik
+WHERE CASE WHEN len(inc) > 0 THEN coalesce(list_contains(inc, sector), false) ELSE sector IS NULL OR NOT list_contains(exc, sector) END""",
     "unmapped_tags": f"""WITH {_FACTS} SELECT cik, tag, unit, CASE WHEN start IS NULL THEN 'instant' ELSE 'flow' END AS kind, count(*) AS n, min("end") AS first_end, max("end") AS last_end, max(filed) AS last_filed, arg_max(accn, (filed, "end", accn)) AS accn, any_value(tag) AS label
 FROM raw WHERE "end" >= DATE '1994-01-01' AND tag NOT IN (SELECT tag FROM meta) GROUP BY 1, 2, 3, 4""",
     "fact_upsert": f"""WITH {_FACTS} SELECT accn, cik, tag, unit, start, "end", CASE WHEN unit = 'R' THEN val + 1 ELSE val END AS val, CASE WHEN unit = 'R' THEN filed + 400 ELSE filed END AS filed FROM raw""",

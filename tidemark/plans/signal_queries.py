@@ -53,10 +53,23 @@ def sign_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def macro_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = features.macro_contrast(_features(spark, sf_dir).where("feature_key = 'latestGrowth'"), adapters.macro(spark, sf_dir), ["rate", "spread"])
+    told = features.macro_contrast(_features(spark, sf_dir), adapters.macro(spark, sf_dir), ["rate", "spread"])
     return rounded(told.select("entity", "metric_key", "feature_key", "period_end", "series_id", "feature_value", "macro_value", "contrast"))
 
 
+#: Which of the observed series stands for a macro series that metrics are held against; one is never observed.
+MACRO_NAMES = {"nominal_gdp_yoy": "rate", "real_gdp_yoy": "spread", "corporate_profits_yoy": "vix", "private_investment_yoy": "spread", "pce_inflation_yoy": "rate"}
+
+
+def metric_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every latest feature beside the macro series that its metric is mapped to."""
+    names = F.create_map(*[F.lit(x) for x in MACRO_NAMES.items() for x in x])
+    pairs = F.explode(F.map_entries(names)).alias("e")
+    seen = adapters.macro(spark, sf_dir).select("*", pairs).where("e.value = series_id").select(F.col("e.key").alias("series_id"), "observation_date", "value")
+    told = features.mapped_macros(_features(spark, sf_dir), seen)
+    return rounded(told.select("entity", "factor", "metric_key", "feature_key", "period_end", "place", "series_id", "feature_value", "macro_value", "contrast"))
+
+
 def _snapshots(spark: SparkSession) -> DataFrame:
     return spark.sql("select explode(array(" + ", ".join(f"date'{d}'" for d in YEARS) + ")) as as_of")
 
@@ -137,7 +150,7 @@ def question_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    series_features, latest_feature_values, sign_profiles, sign_normalized, macro_contrasts, valuation_composites, implied_expectations,
+    series_features, latest_feature_values, sign_profiles, sign_normalized, macro_contrasts, metric_macros, valuation_composites, implied_expectations,
     factor_signals, signal_timeline, quarterly_signals, graded_states, evidence_items, ticker_overviews, signal_validation, question_policies,
 )}
 
@@ -280,10 +293,17 @@ SELECT cik, metric_key, n, round(positive_share, 6) AS positive_share, round(neg
     "sign_normalized": f"""WITH {sql.FLOW}, t AS (SELECT cik, metric_key, count(*) AS n, avg((val > 0)::INT) AS p, avg((val < 0)::INT) AS m FROM flow GROUP BY 1, 2)
 SELECT cik, metric_key, "end", round(CASE WHEN p >= 0.9 THEN val ELSE -val END, 6) AS feature_value FROM flow JOIN t USING (cik, metric_key)
 WHERE n >= 5 AND (p >= 0.9 OR m >= 0.9) AND round(greatest(p, m) * least(n / 20, 1.0), 4) >= 0.8""",
-    "macro_contrasts": f"""WITH {_FEATURES}, {_LATEST.format(where="WHERE feature_key = 'latestGrowth'")},
+    "macro_contrasts": f"""WITH {_FEATURES}, {_LATEST.format(where='')},
 l AS (SELECT * FROM latest, (VALUES ('rate'), ('spread')) s(series_id))
 SELECT entity, metric_key, feature_key, period_end, l.series_id, round(feature_value, 6) AS feature_value, round(m.value, 6) AS macro_value, round(feature_value - m.value / 100, 6) AS contrast
 FROM l ASOF JOIN (SELECT * FROM macro WHERE value IS NOT NULL) m ON l.series_id = m.series_id AND l.period_end >= m.observation_date""",
+    "metric_macros": f"""WITH {_FEATURES}, {_LATEST.format(where='')},
+named(name, series_id) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in MACRO_NAMES.items())}), seen AS (SELECT name, observation_date, value FROM macro JOIN named USING (series_id) WHERE value IS NOT NULL),
+l AS (SELECT *, CASE WHEN metric_key LIKE 'capex%' THEN ['private_investment_yoy', 'nonresidential_fixed_investment_yoy'] WHEN metric_key IN ('net_income', 'operating_cash_flow') THEN ['corporate_profits_yoy', 'nominal_gdp_yoy']
+  WHEN metric_key = 'revenue' THEN ['nominal_gdp_yoy', 'real_gdp_yoy', 'pce_inflation_yoy'] ELSE ['nominal_gdp_yoy', 'real_gdp_yoy'] END AS keys FROM latest),
+x AS (SELECT *, unnest(keys) AS name, CAST(unnest(range(1, len(keys) + 1)) AS INT) AS place FROM l)
+SELECT entity, factor, metric_key, feature_key, period_end, place, x.name AS series_id, round(feature_value, 6) AS feature_value, round(m.value, 6) AS macro_value, round(feature_value - m.value / 100, 6) AS contrast
+FROM x ASOF LEFT JOIN seen m ON x.name = m.name AND x.period_end >= m.observation_date""",
     "valuation_composites": f"WITH {_BASE}, {_CLOSES} {_composite_sql()}",
     "implied_expectations": f"""WITH {_BASE}, {_CLOSES},
 sets(assumption_set, y, r, s, p, m) AS (VALUES {', '.join(f"('{k}', {y}.0::DOUBLE, {r}::DOUBLE, {s}::DOUBLE, {p}::DOUBLE, {m}::DOUBLE)" for k, y, r, s, p, m in valuation.ASSUMPTIONS)}),

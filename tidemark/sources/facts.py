@@ -67,6 +67,23 @@ def map_tags(facts: DataFrame, tag_meta: DataFrame, default_priority: int = 99)
     return known.withColumn("priority", F.coalesce("priority", F.lit(default_priority))).withColumn("duration_days", F.date_diff("end", "start") + 1)
 
 
+def gate_by_sector(mapped: DataFrame, companies: DataFrame) -> DataFrame:
+    """Mapped facts whose tag is open to their company's sector; the registry's gate columns go.
+
+    ``mapped``: facts after :func:`map_tags` by a registry with enabled, include_sectors and exclude_sectors. A tag that
+    isn't enabled is closed. One that names sectors to include is open to these only, so not to a company of unknown or blank
+    sector; else it is open but to the sectors it excludes. ``companies``: (cik, sector), a row each; spaces around a sector don't count.
+    """
+    known = companies.select("cik", F.trim("sector").alias("__sector"))
+    told = mapped.join(if_small(known), "cik", "left")
+    own = F.coalesce("__sector", F.lit(""))
+    named = F.coalesce(F.size("include_sectors") > 0, F.lit(False))
+    inside = F.coalesce(F.array_contains("include_sectors", own), F.lit(False)) & (own != "")
+    outside = F.coalesce(F.array_contains("exclude_sectors", own), F.lit(False)) & (own != "")
+    open_ = F.coalesce("enabled", F.lit(False)) & F.when(named, inside).otherwise(~outside)
+    return told.where(open_).drop("__sector", "enabled", "include_sectors", "exclude_sectors")
+
+
 def unmapped_tag_stats(facts: DataFrame, tag_meta: DataFrame, since: str = "2018-01-01") -> DataFrame:
     """Per company, tag, unit and kind of unmapped tags: rows, first and last end, and the newest accession and label."""
     rest = facts.where(F.col("end") >= F.lit(since).cast("date")).join(if_small(tag_meta.select("tag")), "tag", "left_anti")
