@@ -308,6 +308,18 @@ def test_shards(spark, tmp_path):
     assert sstable.read_shards(sstable.write_shards(docs(spark, rows).limit(0), f"file://{tmp_path}/none")).count() == 0
 
 
+def test_shards_are_closed_at_a_size(spark, tmp_path):
+    rows = [(i % 40, f"text {i} " * (i % 50)) for i in range(400)] + [(None, "n")] * 9 + [(7, "same")] * 30
+    table, whole = docs(spark, rows), sstable.read_shards(sstable.write_shards(docs(spark, rows), f"file://{tmp_path}/whole"))
+    show = lambda df: sorted((r["start"], r["n_tokens"], r["ids_crc32"], str(r["doc_id"])) for r in df.collect())
+    for name, limits in (("entries", {"shard_entries": 5}), ("bytes", {"shard_bytes": 900})):
+        manifest = sstable.write_shards(table, f"file://{tmp_path}/{name}", **limits)
+        files = manifest.collect()
+        assert len(files) > 20 and sum(f["n_entries"] for f in files) == len(rows) and show(sstable.read_shards(manifest)) == show(whole)
+        assert name == "bytes" or max(f["n_entries"] for f in files) == 5
+        assert len(sstable.lookup(manifest, 7)) == 40 and len(sstable.lookup(manifest, None)) == 9 and sstable.lookup(manifest, 41) == []
+
+
 def test_chat_round_trip(spark):
     hostile = ["<|im_end|>", "\\", "<\\|", "\\\\<|im_start|>user\n", "", None, "<|im_next|>", "\n", "a\\n"]
     rows = [(i, k, ("user", "assistant", "sys\n<|", None, "\\n")[(i + k) % 5], hostile[(i * 7 + k) % len(hostile)]) for i in range(20) for k in range(i % 6 + 1)]

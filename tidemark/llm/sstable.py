@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -33,6 +34,10 @@ FOOTER = struct.Struct("<QIQIQQI8s")
 #: A block is closed once it has so many bytes; a longer value makes a longer block.
 BLOCK = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: A shard is closed once it has so many bytes or entries, and its task goes on with another: so index and Bloom filter stay small.
+SHARD_BYTES, SHARD_ENTRIES = 256 << 20, 1 << 20
+#: Keys that are put into the Bloom filter at once.
+BLOOM_KEYS = 1 << 16
 
 
 #: Names that Hadoop has for stores which Arrow knows by other names.
@@ -67,7 +72,7 @@ class Writer:
         self.out, self.at = out, out.write(MAGIC)
         self.block, self.first, self.last, self.held, self.held_ids = [], b"", b"", 0, 0
         self.lines: list[bytes] = []
-        self.keys: list[int] = []
+        self.keys = array("q")
         self.entries = self.ids = self.bytes = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -100,9 +105,9 @@ class Writer:
             self._close_block()
         index = b"".join(self.lines)
         bits = max(64, len(self.keys) * BLOOM_BITS)
-        bloom = np.zeros(bits, np.uint8)
-        if self.keys:
-            bloom[_bloom_places(np.array(self.keys, np.int64).astype(np.uint64), bits).ravel().astype(np.int64)] = 1
+        bloom, keys = np.zeros(bits, np.uint8), np.frombuffer(self.keys, np.int64).astype(np.uint64)
+        for i in range(0, len(keys), BLOOM_KEYS):
+            bloom[_bloom_places(keys[i : i + BLOOM_KEYS], bits).ravel().astype(np.int64)] = 1
         packed = struct.pack("<Q", bits) + np.packbits(bloom).tobytes()
         self.out.write(index)
         self.out.write(packed)
@@ -123,8 +128,7 @@ class Reader:
         self.lines = [LINE.unpack_from(index, i) for i in range(0, length, LINE.size)]
         self.last = [x[3][: x[2]] for x in self.lines]
         packed = self.file.read_at(bloom_length, bloom_at)
-        self.bits = struct.unpack_from("<Q", packed)[0]
-        self.bloom = np.unpackbits(np.frombuffer(packed, np.uint8, offset=8))[: self.bits]
+        self.bits, self.bloom = struct.unpack_from("<Q", packed)[0], np.frombuffer(packed, np.uint8, offset=8)
 
     def _block(self, line) -> Iterator[tuple[int | None, np.ndarray]]:
         data = self.file.read_at(line[5], line[4])
@@ -146,8 +150,10 @@ class Reader:
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of every entry of a key, in the order written; none for an absent key."""
         key = key_of(doc_id)
-        if doc_id is not None and not self.bloom[_bloom_places(np.array([doc_id], np.int64).astype(np.uint64), self.bits)[0].astype(np.int64)].all():
-            return []
+        if doc_id is not None:
+            at = _bloom_places(np.array([doc_id], np.int64).astype(np.uint64), self.bits)[0].astype(np.int64)
+            if not (self.bloom[at >> 3] >> (7 - (at & 7)) & 1).all():
+                return []
         found = []
         for line in self.lines[bisect_left(self.last, key) :]:
             if line[1][: line[0]] > key:
@@ -159,15 +165,17 @@ class Reader:
         self.file.close()
 
 
-def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str | None = None, shard_bytes: int = SHARD_BYTES, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """Encode every whole text and write shards below ``folder``; returns the manifest.
 
     One range shuffle brings rows into the order of doc_id, then of a hash of the text and
     the text itself, so that repeated ids have one order too; nulls come first. Each task
-    encodes and writes its range as one file under a name of its own, so a task that runs
-    again does no harm: only files named in the manifest (shard, path, n_entries, n_ids,
-    low, high) count. A null text is empty and still has the end id; a long one is a long value
-    of one block. Columns other than doc_id and text are ignored, whatever their names. An
+    encodes its range and writes it as files under names of their own, so a task that runs
+    again does no harm: only files named in the manifest (shard, part, path, n_entries, n_ids,
+    low, high) count. A file is closed at ``shard_bytes`` or ``shard_entries``, whichever comes
+    first, so what a task and a reader hold of it (keys, index, filter) doesn't grow with the
+    range; entries of one id may then be in several files, and :func:`lookup` opens them all.
+    A null text is empty and still has the end id; a long one is a long value of one block. Columns other than doc_id and text are ignored, whatever their names. An
     empty table gives an empty manifest.
     """
     spark = docs.sparkSession
@@ -176,29 +184,35 @@ def write_shards(docs: DataFrame, folder: str | None = None, vocabulary: str | N
     system, inner = opened(folder)
     system.create_dir(inner, recursive=True)
 
+    kind = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("n_entries", pa.int64()), ("n_ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, writer, low, high = TaskContext.get().partitionId(), None, None, None
-        path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
+        shard, part, writer, low, high = TaskContext.get().partitionId(), 0, None, None, None
         encoder = tokens.encoder(vocabulary)
+
+        def finished() -> pa.RecordBatch:
+            writer.close()
+            writer.out.close()
+            row = {"shard": [shard], "part": [part], "path": [path], "n_entries": [writer.entries], "n_ids": [writer.ids], "low": [low], "high": [high]}
+            return pa.RecordBatch.from_pydict(row, kind)
+
         for batch in batches:
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist())):
                 if writer is None:
+                    path = f"{folder}/shard-{shard:06d}-{part:04d}-{uuid.uuid4().hex}.sst"
                     there, at = opened(path)
-                    stream = there.open_output_stream(at)
-                    writer, low = Writer(stream), doc_id
+                    writer, low = Writer(there.open_output_stream(at)), doc_id
                 writer.add(doc_id, ids)
                 high = doc_id
+                if writer.at + writer.bytes >= shard_bytes or writer.entries + writer.held >= shard_entries:
+                    yield finished()
+                    writer, part = None, part + 1
         if writer is not None:
-            writer.close()
-            stream.close()
-            yield pa.RecordBatch.from_pydict(
-                {"shard": [shard], "path": [path], "n_entries": [writer.entries], "n_ids": [writer.ids], "low": [low], "high": [high]},
-                pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_entries", pa.int64()), ("n_ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]),
-            )
+            yield finished()
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").withColumn("h", F.xxhash64("text"))
     ordered = ordered.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    written = ordered.select("doc_id", "text").mapInArrow(write, "shard int, path string, n_entries long, n_ids long, low long, high long")
+    written = ordered.select("doc_id", "text").mapInArrow(write, "shard int, part int, path string, n_entries long, n_ids long, low long, high long")
     return materialize(written, "manifest")
 
 
@@ -208,7 +222,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     ``start`` counts the ids before the entry over all shards: a running sum over the
     manifest, which has one row per file, plus a running sum while a file is read.
     """
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start")).repartition(max(1, manifest.count()), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +251,7 @@ def lookup(manifest: DataFrame, doc_id: int | None) -> list[np.ndarray]:
     """The ids stored for one key: only shards whose range holds it are opened."""
     same = F.col("low").isNull() if doc_id is None else (F.coalesce("low", F.lit(doc_id)) <= doc_id) & (F.col("high") >= doc_id)
     found = []
-    for row in manifest.where(same).orderBy("shard").collect():
+    for row in manifest.where(same).orderBy("shard", "part").collect():
         reader = Reader(row["path"])
         found += reader.get(doc_id)
         reader.close()
