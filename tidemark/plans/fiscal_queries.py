@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import features, fiscal, fiscal_store, metric_series, periods
 from tidemark.plans import sql
 from tidemark.plans.common import rounded
-from tidemark.session import scratch_path
+from tidemark.session import SERIES_A_TASK, dealt, scratch_path
 from tidemark.sources import adapters, facts
 
 
@@ -18,7 +18,8 @@ def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     Dates are some days off the calendar; every third supplier moves its year by 20 days in
     1997, every fourth quarter isn't labelled, some years are labelled as the next.
     """
-    q = adapters.quarters(spark, sf_dir)
+    # a quarter makes up to eight facts, which stay in its task
+    q = dealt(adapters.quarters(spark, sf_dir), SERIES_A_TASK // 8, "s")
     year, k = F.year("start"), F.col("qn") % 4 + 1
     off = (F.col("s") % 5 - F.when((F.col("s") % 3 == 0) & (year >= 1997), 20).otherwise(0)).cast("int")
     upto = F.round(F.sum("r").over(Window.partitionBy("s", year).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)), 4)
