@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,47 +35,74 @@ def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if row_count_at_most(df, limit) else df
 
 
+#: Edges whose components a task finds at once.
+EDGES_AT_ONCE = 500_000
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of some edges, each node but a component's smallest with that one (hi, lo)."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        least = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], least)
+        np.minimum.at(label, label[y], least)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    far = label != np.arange(len(nodes))
+    return nodes[far], nodes[label[far]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (hi, lo) with the same components, in each task no more than its nodes; longs without nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            held += [] if batch is None else [batch]
+            if held and (batch is None or sum(x.num_rows for x in held) >= EDGES_AT_ONCE):
+                found = stars(*(np.concatenate([x[c].to_numpy() for x in held]) for c in ("hi", "lo")))
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], ["hi", "lo"])
+                held = []
+
+    return edges.mapInArrow(run, "hi long, lo long")
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (node, component) for each node named.
 
-    ``component`` is the smallest node reachable. Alternating large-star and small-star
-    steps turn every component into a star around its smallest node in a logarithmic
-    number of rounds; each round is two aggregations and a written table. Self-loops and
+    ``component`` is the smallest node reachable. Tasks first contract the edges they hold; alternating
+    large-star and small-star steps turn what is left into a star around each component's smallest node in a logarithmic
+    number of rounds, none if it is stars already; each round is two aggregations and a written table. Self-loops and
     null ends are ignored; no edge gives no row.
     """
-    pairs = (
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-        .distinct()
-    )
-    current = materialize(pairs, label)
-    seen = _mark(current)
-    while seen[0]:
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("hi"), F.least("a", "b").cast("long").alias("lo"))
+    current = materialize(_contracted(_contracted(pairs).distinct()), label)
+    while not _are_stars(current):
         both = current.union(current.select("lo", "hi"))
         near = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
-        large = (
-            both.join(near, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-            .where("hi <> lo").distinct()
-        )
+        large = both.join(near, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (
             large.join(least, "hi")
             .select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
             .select("e.*").where("hi <> lo").distinct()
         )
-        following = materialize(small, label)
+        following = materialize(_contracted(small), label)
         discard(current)
-        current, before, seen = following, seen, _mark(following)
-        if seen == before:
-            break
+        current = following
     roots = current.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    """Size and checksum of a set of edges: equal marks mean that a round changed nothing."""
-    row = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(hi, lo))").alias("x")).first()
-    return row["n"], row["x"] or 0
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each hi has one lo, which is no hi itself: then every component is a star around its smallest node."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("node"), F.lit(1).alias("up")), F.struct(F.col("lo").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    seen = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("least"))
+    return seen.where("ups > 1 or ups = 1 and least = 0").isEmpty()
 
 
 def crc32_sql(text: str) -> str:

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, if_small
+from tidemark.llm.common import BROADCAST_ROWS, components, if_small
 from tidemark.llm.textvec import shingle_sets, texts_of
-from tidemark.session import discard, materialize
+from tidemark.session import discard, materialize, row_count_at_most
 
 WIDTH = 5
 #: Similarity as a fraction of whole numbers: 100 * intersection >= 75 * union.
@@ -147,15 +147,23 @@ def _attached(pairs: DataFrame, table: DataFrame, value: Column, x: str, y: str)
     """The pairs (a, b), a table, with what ``table`` has for a as ``x`` and for b as ``y``.
 
     A document in many pairs is no hot key: they are dealt to as many parts as they fill, each
-    with a copy of its value.
+    with a copy of its value. Where there is no such document, nothing is dealt.
     """
+    ends = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("doc_id")) for s in "ab"])).alias("e")
+    hot = pairs.select(ends).groupBy("e.side", "e.doc_id").agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("parts")).where("parts > 1")
+    hot = materialize(hot, "hot-documents")
+    few = None if hot.isEmpty() else row_count_at_most(hot, BROADCAST_ROWS)
     rows = pairs
     for side, name in (("a", x), ("b", y)):
-        many = pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("parts")).where("parts > 1")
-        many = if_small(materialize(many, "hot-documents"))
+        copied = table.select(F.col("doc_id").alias(side), value.alias(name))
+        if few is None:
+            rows = rows.join(copied, side)
+            continue
+        many = hot.where(F.col("side") == side).select(F.col("doc_id").alias(side), "parts")
+        many = F.broadcast(many) if few else many
         parts = F.coalesce("parts", F.lit(1))
         dealt = rows.join(many, side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), parts)).drop("parts")
-        copied = table.select(F.col("doc_id").alias(side), value.alias(name)).join(many, side, "left")
+        copied = copied.join(many, side, "left")
         copied = copied.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
         rows = dealt.join(copied, [side, "part"]).drop("part")
     return rows
