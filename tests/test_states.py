@@ -32,6 +32,12 @@ def test_one_date_is_a_slice_of_all(spark):
     assert one.count() > 0 and sorted(map(tuple, one.collect())) == sorted(map(tuple, every.collect()))
 
 
+def test_gated_groups_build_one_date_only(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(tq, "_signals_at", lambda *a: asked.append(a))
+    assert tq.gated_groups(spark, SF).count() > 0 and not asked
+
+
 def test_aggregates_count_without_a_second_level(spark):
     each = signals.aggregates(sq._features(spark, SF))
     assert "distinct" not in plan(each.drop("all_metrics")).lower().replace("array_distinct", "")
