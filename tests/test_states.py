@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import signals
+from tidemark.operators import signals, snapshots
 from tidemark.plans import signal_queries as sq
 from tidemark.plans import structure_queries as tq
 from tidemark.plans.registry import default_signals
@@ -42,3 +42,12 @@ def test_aggregates_count_without_a_second_level(spark):
     each = signals.aggregates(sq._features(spark, SF))
     assert "distinct" not in plan(each.drop("all_metrics")).lower().replace("array_distinct", "")
     assert each.where(F.col("metrics") != F.size("all_metrics")).count() == 0
+
+
+def test_snapshots_deal_entities_by_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(snapshots, "FEATURES_A_TASK", 100)
+    monkeypatch.setattr(snapshots, "state_groups", lambda df, keys, f=snapshots.state_groups: seen.append(df.rdd.glom().map(len).max()) or f(df, keys))
+    rows = spark.range(3000).selectExpr("'all' as scope", "date'2000-12-31' as as_of", "cast(id div 3 as string) as entity", "concat('f', id % 3) as factor", "'x' as axis", "concat('s', id % 2) as signal_key")
+    told = snapshots.snapshot_rows(rows).collect()
+    assert [(r["entities"], r["groups"]) for r in told] == [(1000, 2)] and seen and max(seen) < 200

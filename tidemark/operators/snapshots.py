@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.structure import GROUPS_A_TASK, IDF_CAP, components, directional
-from tidemark.session import if_small, materialize
+from tidemark.session import FEATURES_A_TASK, dealt, if_small, materialize
 
 #: The scopes of a timeline and the axes they look at; a scope without axes looks at all.
 SCOPES = {"all": None, "fundamentals": ("fundamentals_based",), "price_linked": ("market_price", "etf_exposure")}
@@ -67,10 +67,10 @@ def similar_pairs(weighted: DataFrame, least: float, keys: list[str] = KEYS) ->
     first = F.filter(F.transform("weights", lambda x, i: F.when(left(i) >= least * F.col("total") - 1e-9, x["token"])), lambda t: t.isNotNull())
     rows = materialize(w.withColumn("token", F.explode(first)), "prefixes")
     parts = if_small(rows.groupBy(*keys, "token").agg(F.ceil(F.count("*") / GROUPS_A_TASK).alias("parts")))
-    dealt = rows.join(parts, [*keys, "token"])
+    apart = rows.join(parts, [*keys, "token"])
     named = lambda df, n: df.select(*keys, "token", "part", F.col("idx").alias(n), F.col("weights").alias(f"w{n}"), F.col("total").alias(f"t{n}"))
-    x = named(dealt.withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts"))), "a")
-    y = named(dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))), "b")
+    x = named(apart.withColumn("part", F.pmod(F.xxhash64("idx"), F.col("parts"))), "a")
+    y = named(apart.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))), "b")
     met = x.join(y, [*keys, "token", "part"]).where((F.col("a") < F.col("b")) & (F.least("ta", "tb") >= least * F.greatest("ta", "tb") - 1e-9))
     shared = F.aggregate(F.array_intersect("wa", "wb"), F.lit(0.0), lambda t, x: t + x["weight"])
     scored = met.withColumn("s", shared).select(*keys, "a", "b", F.round(F.col("s") / (F.col("ta") + F.col("tb") - F.col("s")), 9).alias("weight"))
@@ -83,7 +83,8 @@ def snapshot_rows(signals: DataFrame, threshold: float = 0.6, keys: list[str] =
     All snapshots go through the same joins, told apart by their keys. The largest family has the most groups, then the smallest
     index; its core are the tokens that most of its entities hold.
     """
-    found = materialize(weighted_tokens(state_groups(signals, keys), keys), "snapshot-groups")
+    # an entity's signals are short when shuffled and long as state; by rows, not bytes, a task's states are bounded
+    found = materialize(weighted_tokens(state_groups(dealt(signals, FEATURES_A_TASK, *keys, "entity"), keys), keys), "snapshot-groups")
     labels = components(similar_pairs(found, threshold, keys), tuple(keys))
     member = found.join(labels.withColumnRenamed("node", "idx"), [*keys, "idx"], "left").withColumn("label", F.coalesce("label", "idx"))
     families = member.groupBy(*keys, "label").agg(F.count("*").alias("groups"), F.sum("size").alias("entities"))
