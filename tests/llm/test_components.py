@@ -63,3 +63,54 @@ def test_near_duplicates_take_few_jobs(spark):
     told = {r["doc_id"]: r["component_id"] for r in neardup.link(docs).collect()}
     assert told == {i: 0 if i < 12 else i for i, _ in rows}
     assert jobs(spark) - before <= 90
+
+
+def tasks_of(spark, group, run):
+    """What ``run`` returns, and how many tasks it took."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = run()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    told = spark.sparkContext.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup(group) for s in told.getJobInfo(j).stageIds}
+    return found, sum(i.numCompletedTasks for i in map(told.getStageInfo, stages) if i)
+
+
+@pytest.fixture
+def many_partitions(spark):
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_few_edges_take_one_task(spark, many_partitions):
+    chain = [(i, i + 1) for i in range(300)]
+    random.Random(4).shuffle(chain)
+    table = spark.createDataFrame(chain, "a long, b long").repartition(7).localCheckpoint()
+    told, tasks = tasks_of(spark, "chain", lambda: common.components(table).collect())
+    assert {r["node"]: r["component"] for r in told} == dict.fromkeys(range(301), 0) and len(told) == 301
+    assert tasks <= 30
+
+
+def test_tasks_of_near_duplicates_follow_the_rows(spark, many_partitions):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        # edited again and again: what the first rounds join is joined further by later ones
+        words = [f"v{i}" if rng.random() < 0.012 else w for w in words]
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(f"x{i}y{j}" for j in range(40))) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told, tasks = tasks_of(spark, "near-duplicates", lambda: neardup.link(docs).collect())
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    edges = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = {i: i for i in sets} | brute(edges)
+    assert len(edges) > 40 and {r["doc_id"]: r["component_id"] for r in told} == want
+    # only what compares takes a task for each partition of its shuffle
+    assert tasks <= 20 * 97

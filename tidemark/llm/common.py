@@ -74,24 +74,28 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (node, component) for each node named.
 
-    ``component`` is the smallest node reachable. Tasks first contract the edges they hold; alternating
-    large-star and small-star steps turn what is left into a star around each component's smallest node in a logarithmic
-    number of rounds, none if it is stars already; each round is two aggregations and a written table. Self-loops and
-    null ends are ignored; no edge gives no row.
+    ``component`` is the smallest node reachable. EDGES_AT_ONCE edges or fewer, by a count, are what a task holds anyway and
+    take one. Of more, tasks first contract the edges they hold; alternating large-star and small-star steps turn what is left
+    into a star around each component's smallest node in a logarithmic number of rounds, none if it is stars already; each
+    round is two aggregations and a written table. Self-loops and null ends are ignored; no edge gives no row. ``edges`` are
+    read more than once, so they should be a table.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("hi"), F.least("a", "b").cast("long").alias("lo"))
-    current = materialize(_contracted(_contracted(pairs).distinct()), label)
-    while not _are_stars(current):
+    small = row_count_at_most(pairs, EDGES_AT_ONCE)
+    current = materialize(_contracted(pairs.coalesce(1) if small else _contracted(pairs).distinct()), label)
+    # rows of one partition are made distinct without a shuffle
+    current = current.coalesce(1) if small else current
+    while not small and not _are_stars(current):
         both = current.union(current.select("lo", "hi"))
         near = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
         large = both.join(near, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = (
+        low = (
             large.join(least, "hi")
             .select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
             .select("e.*").where("hi <> lo").distinct()
         )
-        following = materialize(_contracted(small), label)
+        following = materialize(_contracted(low), label)
         discard(current)
         current = following
     roots = current.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()

@@ -38,8 +38,10 @@ ROUNDS, TRIES = 3, 2
 BUCKET = 2_000
 #: A document that stands in more pairs than this has its set sent to several tasks.
 PAIRS_A_TASK = 512
-#: Classes whose keys one task makes.
-CLASSES_A_TASK = 20_000
+#: Documents whose keys one task makes; tables of keys, parts and pairs are written by as many tasks, and by as many as run
+#: at once at least. A shuffle has a fixed number of partitions, mostly far more than such a table fills, and each one that is
+#: read by a task and written as a file of its own costs more than its rows. What tasks compare is left to Spark's partitions.
+DOCUMENTS_A_TASK = 20_000
 
 _rng = np.random.Generator(np.random.PCG64(5))
 _A = _rng.integers(1, 2**63, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,34 +132,36 @@ def differing(a: str, b: str) -> Column:
     return F.expr(" + ".join(counts))
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; ``pairs`` and ``sets`` are tables.
+def confirm(pairs: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, in ``tasks`` partitions; ``pairs`` and ``sets`` are tables.
 
     Only the sets of documents that stand in a pair are shuffled; which they are is broadcast if a
     count allows it.
     """
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "confirm-ids")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().coalesce(tasks), "confirm-ids")
     some = sets.join(if_small(wanted), "doc_id", "left_semi")
-    both = _attached(pairs, some, F.col("shingles"), "x", "y")
+    both = _attached(pairs, some, F.col("shingles"), "x", "y", tasks)
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * AT_LEAST).select("a", "b").distinct()
+    return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * AT_LEAST).select("a", "b").distinct().coalesce(tasks)
 
 
-def _attached(pairs: DataFrame, table: DataFrame, value: Column, x: str, y: str) -> DataFrame:
+def _attached(pairs: DataFrame, table: DataFrame, value: Column, x: str, y: str, tasks: int) -> DataFrame:
     """The pairs (a, b), a table, with what ``table`` has for a as ``x`` and for b as ``y``.
 
     A document in many pairs is no hot key: they are dealt to as many parts as they fill, each
-    with a copy of its value. Where there is no such document, nothing is dealt.
+    with a copy of its value. Where there is no such document, nothing is dealt. What has the
+    first value is dealt anew for the second by ``tasks`` tasks.
     """
     ends = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("doc_id")) for s in "ab"])).alias("e")
     hot = pairs.select(ends).groupBy("e.side", "e.doc_id").agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("parts")).where("parts > 1")
-    hot = materialize(hot, "hot-documents")
+    hot = materialize(hot.coalesce(tasks), "hot-documents")
     few = None if hot.isEmpty() else row_count_at_most(hot, BROADCAST_ROWS)
     rows = pairs
     for side, name in (("a", x), ("b", y)):
         copied = table.select(F.col("doc_id").alias(side), value.alias(name))
         if few is None:
             rows = rows.join(copied, side)
+            rows = rows.coalesce(tasks) if side == "a" else rows
             continue
         many = hot.where(F.col("side") == side).select(F.col("doc_id").alias(side), "parts")
         many = F.broadcast(many) if few else many
@@ -166,6 +170,7 @@ def _attached(pairs: DataFrame, table: DataFrame, value: Column, x: str, y: str)
         copied = copied.join(many, side, "left")
         copied = copied.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
         rows = dealt.join(copied, [side, "part"]).drop("part")
+        rows = rows.coalesce(tasks) if side == "a" else rows
     return rows
 
 
@@ -197,36 +202,34 @@ def link(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = materialize(sign(docs), "signatures")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-signed.count() // DOCUMENTS_A_TASK))
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(
-        some.groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in (*SIGNATURE, *BITS)]), "classes"
-    )
-    tasks = max(spark.sparkContext.defaultParallelism, -(-classes.count() // CLASSES_A_TASK))
-    keyed = classes.select("doc_id", *SIGNATURE).repartition(tasks, "doc_id").select("doc_id", F.explode(chunk_keys()).alias("key"))
+    classes = some.groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in (*SIGNATURE, *BITS)])
+    classes = materialize(classes.coalesce(tasks), "classes")
+    keyed = classes.select("doc_id", *SIGNATURE).repartition(tasks).select("doc_id", F.explode(chunk_keys()).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(keyed.join(counts, "key"), "shared-keys")
-    popular = materialize(shared.groupBy("doc_id").agg(F.sum("n").alias("popular")), "popular")
-    buckets = materialize(shared.join(popular, "doc_id"), "buckets")
-    discard(shared)
+    shared = materialize(keyed.join(counts, "key").coalesce(tasks), "shared-keys")
+    popular = materialize(shared.groupBy("doc_id").agg(F.sum("n").alias("popular")).coalesce(tasks), "popular")
+    popular = if_small(popular)
+    buckets = shared.join(popular, "doc_id")
     # the texts that share a bucket with another are cut into shingles again, once
-    sets = materialize(full_sets(docs.join(if_small(popular.select("doc_id")), "doc_id", "left_semi")).where("size(shingles) > 0"), "shingle-sets")
+    sets = materialize(full_sets(docs.join(popular.select("doc_id"), "doc_id", "left_semi")).where("size(shingles) > 0"), "shingle-sets")
 
     parts = None
     for _ in range(ROUNDS):
-        tries = materialize(_representatives(_placed(buckets, parts), classes), "tries")
-        edges = materialize(confirm(tries, sets), "edges")
+        tries = materialize(_representatives(_placed(buckets, parts), classes, tasks), "tries")
+        edges = materialize(confirm(tries, sets, tasks), "edges")
         discard(tries)
         if edges.isEmpty():
             break
-        parts = materialize(components(edges if parts is None else edges.union(parts.select("node", "component"))), "parts")
+        parts = _parts(edges, parts, tasks)
         discard(edges)
-    more = _across(_placed(buckets, parts), classes)
+    more = _across(_placed(shared, parts), classes, tasks)
     if more is not None:
-        fresh = materialize(confirm(more, sets), "more-edges")
+        fresh = materialize(confirm(more, sets, tasks), "more-edges")
         discard(more)
-        known = fresh if parts is None else fresh.union(parts.select("node", "component"))
-        parts = materialize(components(known), "parts")
-    discard(buckets)
+        parts = _parts(fresh, parts, tasks)
+    discard(shared)
     discard(sets)
     if parts is None:
         parts = spark.createDataFrame([], "node long, component long")
@@ -235,20 +238,27 @@ def link(docs: DataFrame) -> DataFrame:
     told = signed.select("doc_id", "n_shingles", "f0", "f1").join(named, ["f0", "f1", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return told.select(
+    told = told.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
+    return told.coalesce(tasks)
+
+
+def _parts(edges: DataFrame, parts: DataFrame | None, tasks: int) -> DataFrame:
+    """The parts (node, component), a table, once documents are also joined by ``edges``."""
+    known = edges if parts is None else edges.union(parts.select("node", "component"))
+    return materialize(components(known).coalesce(tasks), "parts")
 
 
 def _placed(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """The rows (key, doc_id, n, popular) of the buckets with the part of their document."""
+    """The rows of the buckets with the part of their document."""
     if parts is None:
         return buckets.withColumn("part", F.col("doc_id"))
-    placed = buckets.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return placed.select("key", "doc_id", "n", "popular", F.coalesce("component", "doc_id").alias("part"))
+    placed = buckets.join(if_small(parts).withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return placed.select(*buckets.columns, F.coalesce("component", "doc_id").alias("part"))
 
 
-def _representatives(placed: DataFrame, classes: DataFrame) -> DataFrame:
+def _representatives(placed: DataFrame, classes: DataFrame, tasks: int) -> DataFrame:
     """Pairs (a, b) of documents that stand for two parts that share buckets, with close signatures.
 
     In a bucket the document of each part whose buckets are fullest stands for it, and is
@@ -257,16 +267,16 @@ def _representatives(placed: DataFrame, classes: DataFrame) -> DataFrame:
     tries the TRIES with most buckets in common. Members are counted down to one row for each
     bucket and part before anything is joined, so a large part isn't carried along.
     """
-    stands = materialize(placed.groupBy("key", "part").agg(F.min(F.struct(-F.col("popular"), "doc_id")).alias("s")), "standing")
+    stands = materialize(placed.groupBy("key", "part").agg(F.min(F.struct(-F.col("popular"), "doc_id")).alias("s")).coalesce(tasks), "standing")
     head = stands.groupBy("key").agg(F.min(F.struct("s", "part")).alias("h"), F.count("*").alias("parts")).where("parts > 1")
     head = head.select("key", F.struct(F.col("h.part").alias("part"), F.col("h.s.doc_id").alias("a")).alias("h"))
-    met = stands.select("key", "part", F.col("s.doc_id").alias("a")).join(head, "key").where("part <> h.part")
-    met = met.groupBy("part", F.col("h.part").alias("other"), "a", F.col("h.a").alias("b")).agg(F.count("*").alias("m"))
-    best = met.groupBy("part", "other").agg(F.sum("m").alias("m"), F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("pair"))
-    best = best.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("m"), "other"))).where(f"r <= {TRIES}")
-    tried = materialize(best.select("pair.*").distinct(), "tried")
-    near = _attached(tried, classes, F.struct("n_shingles", *SIGNATURE, *BITS), "s", "t")
-    return near.where(_close("s", "t")).select("a", "b").distinct()
+    met = stands.select("key", "part", F.col("s.doc_id").alias("a")).join(head, "key").where("part <> h.part").coalesce(tasks)
+    met = met.groupBy("part", F.col("h.part").alias("other"), "a", F.col("h.a").alias("b")).agg(F.count("*").alias("m")).coalesce(tasks)
+    best = met.groupBy("part", "other").agg(F.sum("m").alias("m"), F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("pair")).coalesce(tasks)
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("m"), "other"))).where(f"r <= {TRIES}").coalesce(tasks)
+    tried = materialize(best.select("pair.*").distinct().coalesce(tasks), "tried")
+    near = _attached(tried, classes, F.struct("n_shingles", *SIGNATURE, *BITS), "s", "t", tasks)
+    return near.where(_close("s", "t")).select("a", "b").distinct().coalesce(tasks)
 
 
 def _once() -> Column:
@@ -295,10 +305,10 @@ def _once() -> Column:
     return F.expr(f"({first}) and if(x.second = -1, {alike}, {second})")
 
 
-def _across(placed: DataFrame, classes: DataFrame) -> DataFrame | None:
+def _across(placed: DataFrame, classes: DataFrame, tasks: int) -> DataFrame | None:
     """Pairs of different parts that share a bucket and have close signatures, as a table; None if no bucket holds two parts."""
-    main = _main(placed, "key")
-    rest = materialize(placed.join(main.select("key"), "key").select("key", "doc_id", "n", "part"), "mixed-buckets")
+    main = _main(placed, tasks, "key")
+    rest = materialize(placed.join(main.select("key"), "key").select("key", "doc_id", "n", "part").coalesce(tasks), "mixed-buckets")
     if rest.isEmpty():
         return None
     seen = classes.select("doc_id", "n_shingles", *SIGNATURE, *BITS)
@@ -307,21 +317,21 @@ def _across(placed: DataFrame, classes: DataFrame) -> DataFrame | None:
         "key", F.explode(chunk_keys(F.shiftright("key", 52))).alias("second"), "doc_id", "part"
     )
     both = materialize(small.unionByName(large), "divided-buckets")
-    rows = both.join(_main(both, "key", "second"), ["key", "second"]).join(seen, "doc_id")
-    rows = materialize(rows, "open-buckets")
+    rows = both.join(_main(both, tasks, "key", "second"), ["key", "second"]).join(seen, "doc_id")
+    rows = materialize(rows.coalesce(tasks), "open-buckets")
     x, y = rows.where("part <> main").alias("x"), rows.alias("y")
     apart = F.expr("x.part <> y.part and (y.part = y.main or x.doc_id < y.doc_id)")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.second") == F.col("y.second"))
     pairs = x.join(y, same & apart & _close("x", "y") & _once()).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    found = materialize(pairs, "across")
+    found = materialize(pairs.coalesce(tasks), "across")
     for table in (rest, both, rows):
         discard(table)
     return found
 
 
-def _main(rows: DataFrame, *keys: str) -> DataFrame:
+def _main(rows: DataFrame, tasks: int, *keys: str) -> DataFrame:
     """The largest part of each bucket that holds several (keys, main)."""
-    sizes = rows.groupBy(*keys, "part").agg(F.count("*").alias("m"))
+    sizes = rows.groupBy(*keys, "part").agg(F.count("*").alias("m")).coalesce(tasks)
     main = sizes.groupBy(*keys).agg(F.max(F.struct("m", "part")).getField("part").alias("main"), F.count("*").alias("parts"))
     return main.where("parts > 1").drop("parts")
 
