@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import features, fiscal, metric_series
+from tidemark.operators import features, fiscal, metric_series, periods
 
 SCHEMA = "cik string, tag string, metric_key string, fact_type string, unit string, priority int, start date, end date, val double, filed date, accn string, fy int, fp string, form string, frame string"
 
@@ -64,6 +64,25 @@ def test_derived_negatives_go_where_a_tag_is_known_as_positive(spark, filings):
     assert value(known.withColumn("tag", F.lit("Other"))) == value(None)
 
 
+def test_periods_are_chosen_without_sorting_candidates(spark):
+    schema = "cik string, start date, end date, fy int, fp string, form string, frame string"
+    rows = [
+        ("c", d("2022-01-01"), d("2022-12-31"), 2022, "FY", "10-K", None), ("c", d("2022-01-01"), d("2022-12-31"), None, None, None, "CY2022"), ("c", d("2022-04-03"), d("2022-06-30"), 2022, "Q2", "10-Q", None),
+        ("c", d("2022-01-01"), d("2022-06-30"), 2022, "Q2", "10-Q", None), ("c", None, d("2022-09-28"), 2022, "Q3", "10-Q", None), ("c", d("2022-05-01"), d("2022-05-31"), 2022, "Q2", "10-Q", None),
+        ("c", None, None, None, None, None, None), ("d", d("2022-01-01"), d("2022-03-31"), 2022, "Q1", "10-Q", None), (None, d("2022-01-01"), d("2022-03-31"), None, None, None, None),
+    ]
+    years = spark.createDataFrame([("c", y, d(f"{y}-01-01"), d(f"{y}-12-31")) for y in (2021, 2022, 2023)], "cik string, fiscal_year int, low date, high date")
+    told = periods.resolve_periods(spark.createDataFrame(rows + rows[:1], schema), years, periods.quarter_windows(years, (90, 91, 92)))
+    # the windows that a span could be of are compared in place, by one number each
+    assert "SortAggregate" not in told._jdf.queryExecution().executedPlan().toString()
+    seen = [(str(r.cik), str(r.start), str(r.end), r.kind, r.fiscal_year, r.fiscal_quarter, r.window_match, r.basis) for r in told.collect()]
+    assert sorted(seen, key=str) == sorted([
+        *[("c", "2022-01-01", "2022-12-31", "annual", 2022, None, "exact", "annual_window")] * 3, ("c", "2022-04-03", "2022-06-30", "quarter", 2022, 2, "near", "quarter_window"),
+        ("c", "2022-01-01", "2022-06-30", "ytd", 2022, 2, "exact", "quarter_window"), ("c", "None", "2022-09-28", "instant", 2022, 3, "near", "fiscal_profile"), ("c", "2022-05-01", "2022-05-31", "other", 2022, None, "unknown", "unresolved"),
+        ("c", "None", "None", "instant", None, None, "unknown", "instant_snapshot"), ("d", "2022-01-01", "2022-03-31", "quarter", 2022, 1, "exact", "sec_fp"), ("None", "2022-01-01", "2022-03-31", "other", None, None, "unknown", "unresolved"),
+    ], key=str)
+
+
 def test_calendar_without_facts(filings):
     none = filings.where("false")
     years, quarters = fiscal.calendar(none)

@@ -40,7 +40,8 @@ def from_earlier(rows: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy(*STATED, "start").orderBy(F.unix_date("end")).rangeBetween(Window.unboundedPreceding, -1)
     before = F.max(F.when(F.col("kind").isin("quarter", "ytd") & F.col("val").isNotNull(), F.struct("end", "filed", "val"))).over(w)
-    told = rows.where("start is not null and end is not null").withColumn("p", before).where(F.col("p").isNotNull() & F.col("kind").isin("ytd", "annual"))
+    # spans of other kinds are neither taken from nor rebuilt
+    told = rows.where("start is not null and end is not null and kind in ('quarter', 'ytd', 'annual')").withColumn("p", before).where(F.col("p").isNotNull() & F.col("kind").isin("ytd", "annual"))
     strong = (F.col("kind") == "ytd") | ~F.coalesce(F.upper("form").isin(*WEAK_FORMS), F.lit(False))
     return _rebuilt(told.where(strong), F.date_add("p.end", 1), F.col("end"), F.when(F.col("kind") == "annual", "annual_derived").otherwise("cumulative_derived"))
 
@@ -49,7 +50,7 @@ def from_later(rows: DataFrame) -> DataFrame:
     """Leading quarters as a cumulative span less the quarter of the same tag and end that starts earliest after it."""
     w = Window.partitionBy(*STATED, "end").orderBy(-F.unix_date("start")).rangeBetween(Window.unboundedPreceding, -1)
     after = F.max(F.when((F.col("kind") == "quarter") & F.col("val").isNotNull(), F.struct((-F.unix_date("start")).alias("s"), "filed", "start", "val"))).over(w)
-    told = rows.where("start is not null and end is not null").withColumn("p", after).where(F.col("p").isNotNull() & (F.col("kind") == "ytd"))
+    told = rows.where("start is not null and end is not null and kind in ('quarter', 'ytd')").withColumn("p", after).where(F.col("p").isNotNull() & (F.col("kind") == "ytd"))
     return _rebuilt(told, F.col("start"), F.date_add("p.start", -1), F.lit("cumulative_derived"))
 
 
@@ -136,7 +137,8 @@ def build_flow(rows: DataFrame, years: DataFrame, quarters: DataFrame, positive:
     names = [*ROW, "source_kind", "chain", "place"]
     none = lambda df: df.select(*ROW, "source_kind", F.lit(None).cast("long").alias("chain"), F.lit(None).cast("int").alias("place"))
     made = none(from_earlier(rows)).unionByName(none(from_later(rows))).unionByName(none(from_segments(rows))).unionByName(prefixes(rows).select(*names))
-    told = periods.resolve_periods(materialize(made, "rebuilt"), years, quarters).where("kind = 'quarter'")
+    # written, or each condition below would be made anew of all that a period is found by
+    told = materialize(periods.resolve_periods(materialize(made, "rebuilt"), years, quarters), "rebuilt-periods").where("kind = 'quarter'")
     derived = F.col("source_kind").isin("cumulative_derived", "annual_derived")
     told = told.where(~derived | (F.col("val") >= 0) | (F.col("metric_key") != "revenue"))
     told = told.where((F.col("source_kind") != "segment_merged") | F.col("window_match").isin("exact", "near"))
@@ -158,15 +160,28 @@ def build_instant(rows: DataFrame) -> DataFrame:
     return best_rows(rows.where("end is not null"), [*SERIES, "unit", "end"])
 
 
+def resolved(facts: DataFrame, years: DataFrame, quarters: DataFrame) -> DataFrame:
+    """Mapped facts (``ROW``) as a written table of candidates for :func:`build_resolved`; an instant has no start.
+
+    A fact's period depends on no other fact, so any part of the table can be built from.
+    """
+    flow = F.col("fact_type").isin(*FLOW_KINDS)
+    some = facts.where(flow | (F.col("fact_type") == "instant")).withColumn("start", F.when(flow, F.col("start")))
+    return materialize(candidates(some, years, quarters), "candidates")
+
+
 def build(facts: DataFrame, years: DataFrame, quarters: DataFrame, positive: DataFrame | None = None) -> DataFrame:
     """The metric series of all companies from mapped facts (``ROW``); flows, values per share and share counts as flows, instants as snapshots.
 
     ``years`` and ``quarters`` are windows as of :func:`fiscal.calendar`. A row is known from
     its filing date on (``effective_date``), or from its end where that is missing.
     """
-    flows = materialize(candidates(facts.where(F.col("fact_type").isin(*FLOW_KINDS)), years, quarters), "candidates")
-    snapshots = facts.where("fact_type = 'instant'").withColumn("start", F.lit(None).cast("date"))
-    every = build_flow(flows, years, quarters, positive).unionByName(build_instant(candidates(snapshots, years, quarters)))
+    return build_resolved(resolved(facts, years, quarters), years, quarters, positive)
+
+
+def build_resolved(rows: DataFrame, years: DataFrame, quarters: DataFrame, positive: DataFrame | None = None) -> DataFrame:
+    """:func:`build` from facts whose periods :func:`resolved` found."""
+    every = build_flow(rows.where(F.col("fact_type").isin(*FLOW_KINDS)), years, quarters, positive).unionByName(build_instant(rows.where("fact_type = 'instant'")))
     return every.select(
         *SERIES, F.col("tag").alias("source_tag"), "fact_type", "unit", "val", "start", "end", duration_days(F.col("start"), F.col("end")).alias("duration_days"), "filed",
         F.coalesce("filed", "end").alias("effective_date"), "accn", *LABELS, "fiscal_year", "fiscal_quarter", F.col("kind").alias("period_type"), "source_kind",

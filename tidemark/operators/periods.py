@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.filings import duration_class, fiscal_year, form_hint, frame_parts, period_hint, period_quarter
+from tidemark.session import FEATURES_A_TASK, dealt
 
 #: Weights of a window's score, tolerances in days, and the least scores.
 START_WEIGHT, END_WEIGHT, LENGTH_WEIGHT = 0.35, 0.45, 0.20
@@ -98,73 +99,114 @@ def resolve_periods(facts: DataFrame, years: DataFrame, quarters: DataFrame) ->
     Facts that state one span under the same labels share their period, so distinct spans
     are matched, with the windows of three years each, and facts look theirs up: the work
     grows with filings and not with their facts, and no fact meets all windows of a company.
+    All of a company's is in one task, where a span's choice is the largest of whole numbers
+    (:func:`_packed`), so candidates are neither sorted nor shuffled.
     """
-    names = ["cik", *PERIOD]
-    at = lambda c: F.col(f"k.{c}")
-    spans = facts.select(F.struct(*names).alias("k")).distinct()
-    days = F.when(at("start").isNotNull(), F.date_diff(at("end"), at("start")) + 1)
-    told = spans.select(
-        "k", at("cik").alias("cik"), at("start").alias("start"), at("end").alias("end"), days.alias("days"), duration_class(days).alias("length"), form_hint(at("form")).alias("form"),
-        period_hint(at("fp")).alias("hint"), fiscal_year(at("fy")).alias("fy"), period_quarter(at("fp")).alias("fq"), frame_parts(F.upper(F.trim(at("frame")))).alias("frame"),
+    # a company's spans are numbered, so that facts find theirs by two numbers
+    keyed = dealt(facts, FEATURES_A_TASK, "cik").withColumn("__n", F.dense_rank().over(Window.partitionBy("cik").orderBy(*PERIOD)))
+    span = ["cik", "__n", "k"]
+    spans = keyed.select("cik", "__n", F.struct(*PERIOD).alias("k")).distinct()
+    own = years.select("cik", F.col("fiscal_year").cast("int").alias("fiscal_year"), F.col("low").alias("year_low"), F.col("high").alias("year_high"))
+    cut = own.join(quarters.select("cik", "fiscal_year", "fiscal_quarter", "low", "high"), ["cik", "fiscal_year"])
+    whole = own.select("*", F.lit(0).alias("fiscal_quarter"), F.col("year_low").alias("low"), F.col("year_high").alias("high"))
+    windows = cut.select(whole.columns).unionByName(whole).where("fiscal_year is not null")
+    yearly = windows.groupBy("cik", "fiscal_year").agg(F.sort_array(F.collect_list(F.struct("fiscal_quarter", "low", "high", "year_low"))).alias("x"))
+    company = yearly.groupBy("cik").agg(F.map_from_entries(F.collect_list(F.struct("fiscal_year", "x"))).alias("windows"))
+
+    # what can't be known counts as far away or as 0, so that a candidate's columns are plain numbers
+    far, known = 100_000, lambda c, other: F.coalesce(c, F.lit(other))
+    apart = lambda a, b: known(F.abs(F.date_diff(a, b)), far)
+    own_year, frame = fiscal_year(F.col("k.fy")), frame_parts(F.upper(F.trim("k.frame")))
+    met = spans.withColumn("f", frame).select(
+        *span, "k.start", "k.end", F.date_diff("k.end", "k.start").alias("length"), known(own_year, 0).alias("own_year"), known(period_quarter(F.col("k.fp")), 0).alias("fq"),
+        known(F.when(~F.col("f.instant"), F.col("f.quarter")), -1).alias("frame_quarter"), known(F.when(F.col("f.quarter").isNull(), F.col("f.year")), -far).alias("frame_year"),
+    )
+    about = F.when(F.col("own_year") > 0, F.col("own_year")).otherwise(F.year("end"))
+    around = [c + k for c in (about, F.col("frame_year")) for k in (-1, 0, 1)]
+    around = F.when(F.col("frame_year") > 0, F.array_distinct(F.array(*around))).otherwise(F.array(*around[:3]))
+    met = met.join(company.hint("merge"), "cik", "left").withColumn("fiscal_year", F.explode(around))
+    met = met.select(*span, "start", "end", "length", "own_year", "fq", "frame_quarter", "frame_year", "fiscal_year", F.posexplode_outer(F.col("windows")[F.col("fiscal_year")]).alias("place", "w"))
+    # a missing fy leaves the years around the end, a given one only those around it; a frame's year counts for annual facts
+    here = known((F.col("own_year") == 0) | (F.abs(F.col("fiscal_year") - F.col("own_year")) <= 1), False)
+    met = met.select(
+        *span, "own_year", "fq", "frame_quarter", known(F.col("fiscal_year"), 0).alias("year"), known(F.col("place"), 0).alias("place"), known(F.col("w.fiscal_quarter"), -1).alias("q"),
+        here.alias("here"), (here | known(F.abs(F.col("fiscal_year") - F.col("frame_year")) <= 1, False)).alias("annual_here"), apart("start", "w.low").alias("a"), apart("end", "w.high").alias("b"),
+        apart("start", "w.year_low").alias("y"), known(F.abs(F.col("length") - F.date_diff("w.high", "w.low")), far).alias("l"), known(F.abs(F.col("length") - F.date_diff("w.high", "w.year_low")), far).alias("yl"),
+    )
+    of_year, of_quarter = (F.col("q") == 0) & F.col("annual_here"), (F.col("q") > 0) & F.col("here")
+    points = lambda start, length, tolerance: START_WEIGHT * closeness(F.col(start), tolerance[0]) + END_WEIGHT * closeness(F.col("b"), tolerance[0]) + LENGTH_WEIGHT * closeness(F.col(length), tolerance[1])
+    labelled = points("a", "l", QUARTER_TOLERANCE) + F.when(F.col("fq") == F.col("q"), QUARTER_BONUS).when(F.col("fq") > 0, -QUARTER_PENALTY).otherwise(0.0) + F.when(F.col("frame_quarter") == F.col("q"), FRAME_BONUS).otherwise(0.0)
+    agree = lambda c, w: F.when(F.col(c) == F.col(w), SNAPSHOT_BONUS).otherwise(0.0)
+    clash = F.when(((F.col("own_year") > 0) & (F.col("own_year") != F.col("year"))) | ((F.col("fq") > 0) & (F.col("fq") != F.col("q"))), SNAPSHOT_PENALTY).otherwise(0.0)
+    snap_sure = _snap(F.col("b")) + agree("own_year", "year") + agree("fq", "q") - clash
+    bests = met.groupBy(*span).agg(
+        F.max(F.when(of_year, _packed(points("a", "l", YEAR_TOLERANCE)))).alias("at_a"), F.max(F.when(of_quarter, _packed(labelled))).alias("at_b"), F.max(F.when(of_quarter, _packed(points("y", "yl", YTD_TOLERANCE)))).alias("at_c"),
+        F.max(F.when(of_quarter, _packed(snap_sure, F.when(F.col("b") <= SNAPSHOT_DAYS, SNAPSHOT_DAYS + 1 - F.col("b")).otherwise(0)))).alias("at_d"),
+    ).select("cik", "__n", "k.*", "at_a", "at_b", "at_c", "at_d")
+
+    days = F.when(F.col("start").isNotNull(), F.date_diff("end", "start") + 1)
+    told = bests.select(
+        "cik", "__n", "start", "end", days.alias("days"), duration_class(days).alias("length"), form_hint(F.col("form")).alias("form"), period_hint(F.col("fp")).alias("hint"), fiscal_year(F.col("fy")).alias("fy"),
+        period_quarter(F.col("fp")).alias("fq"), frame_parts(F.upper(F.trim("frame"))).alias("frame"), *[F.col(f"at_{c}") for c in "abcd"],
     )
     signs = (F.col("length") == "quarter", F.col("form") == "quarter", F.col("hint") == "quarter", F.col("frame.quarter").isNotNull() & ~F.col("frame.instant"))
     sure = sum(F.when(F.coalesce(s, F.lit(False)), w).otherwise(0.0) for s, w in zip(signs, QUARTER_SIGNS))
-    frame_quarter = F.when(~F.col("frame.instant"), F.col("frame.quarter"))
-    frame_year = F.when(F.col("frame.quarter").isNull(), F.col("frame.year"))
-    told = told.withColumns({"sure": sure, "frame_quarter": frame_quarter, "frame_year": frame_year})
-    about = F.array_distinct(F.flatten(F.transform(F.filter(F.array(F.coalesce("fy", F.year("end")), "frame_year"), lambda y: y.isNotNull()), lambda y: F.array(y - 1, y, y + 1))))
-    own = years.select("cik", "fiscal_year", F.col("low").alias("year_low"), F.col("high").alias("year_high"))
-    cut = own.join(quarters.select("cik", "fiscal_year", "fiscal_quarter", "low", "high"), ["cik", "fiscal_year"])
-    whole = own.select("*", F.lit(0).alias("fiscal_quarter"), F.col("year_low").alias("low"), F.col("year_high").alias("high"))
-    windows = cut.select(whole.columns).unionByName(whole)
-    met = told.withColumn("fiscal_year", F.explode(about)).join(windows, ["cik", "fiscal_year"])
-    within = F.coalesce(F.abs(F.col("fiscal_year") - F.col("fy")) <= 1, F.lit(False))
-    of_year, of_quarter = F.col("fiscal_quarter") == 0, F.col("fiscal_quarter") > 0
-    score = lambda low, high, tolerance: window_score(F.col("start"), F.col("end"), F.col(low), F.col(high), tolerance)
-    met = met.withColumns({"y": score("low", "high", YEAR_TOLERANCE), "q": score("low", "high", QUARTER_TOLERANCE), "t": score("year_low", "high", YTD_TOLERANCE)})
+    is_ = lambda kind: (F.col("length") == kind) | (F.col("form") == kind) | (F.col("hint") == kind)
+    told = told.select("cik", "__n", "start", "end", "days", "length", "fy", "fq", sure.alias("sure"), is_("annual").alias("is_annual"), is_("quarter").alias("is_quarter"), *[f"at_{c}" for c in "abcd"])
+    # by sorting, so that what labels tell and what windows tell aren't one piece of code too long to be compiled; windows that aren't there have null dates: they score 0 and match nothing
+    told = told.join(company.hint("merge"), "cik", "left").select(
+        *told.columns, *[_window(F.col("windows"), F.col(f"at_{c}")).alias(c) for c in "abcd"], *[_year(F.col(f"at_{c}")).alias(f"year_{c}") for c in "abcd"], _points(F.col("at_b")).alias("points_b"), _points(F.col("at_d")).alias("points_d"),
+    )
+    fit = lambda c, low, tolerance: window_score(F.col("start"), F.col("end"), F.col(low), F.col(f"{c}.high"), tolerance)
     near = lambda a, b: F.coalesce(F.abs(F.date_diff(a, b)) <= 2, F.lit(False))
-    labelled = F.col("q.score") + F.when(F.col("fq") == F.col("fiscal_quarter"), QUARTER_BONUS).when(F.col("fq").isNotNull(), -QUARTER_PENALTY).otherwise(0.0) + F.when(F.col("frame_quarter") == F.col("fiscal_quarter"), FRAME_BONUS).otherwise(0.0)
-    off = F.abs(F.date_diff("end", "high"))
-    snap = F.when(off <= SNAPSHOT_DAYS, 1 - off / (2 * SNAPSHOT_DAYS)).otherwise(0.0)
-    agree = lambda c, w: F.when(F.col(c) == F.col(w), SNAPSHOT_BONUS).otherwise(0.0)
-    clash = F.when((F.col("fy") != F.col("fiscal_year")) | (F.col("fq") != F.col("fiscal_quarter")), SNAPSHOT_PENALTY).otherwise(0.0)
-    bounded = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 9)
-    met = met.withColumns({
-        "labelled": bounded(labelled), "cumulative": (F.col("fiscal_quarter") > 1) & near("start", "year_low") & near("end", "high"), "snap": snap,
-        "snap_sure": bounded(snap + agree("fy", "fiscal_year") + agree("fq", "fiscal_quarter") - clash),
-    })
-    # a missing fy leaves the years around the end, a given one only those around it; a frame's year counts for annual facts
-    here = within | F.col("fy").isNull()
-    best = lambda values, order, *where: F.max_by(F.struct(*values, "fiscal_year", "fiscal_quarter", "low", "high", "year_low"), F.when(where[0], F.struct(*order, -F.col("fiscal_year"), -F.col("fiscal_quarter"))))
-    bests = met.groupBy("k").agg(
-        best([F.col("y.score").alias("score"), F.col("y.match").alias("match")], [F.round("y.score", 9)], of_year & (here | (F.abs(F.col("fiscal_year") - F.col("frame_year")) <= 1))).alias("a"),
-        best([F.col("labelled").alias("score"), F.col("q.match").alias("match"), "cumulative"], ["labelled"], of_quarter & here).alias("b"),
-        best([F.col("t.score").alias("score"), F.col("t.match").alias("match")], [F.round("t.score", 9)], of_quarter & here).alias("c"),
-        best([F.col("snap").alias("score"), F.col("snap_sure").alias("sure"), F.when(off == 0, "exact").otherwise("near").alias("match")], ["snap_sure", "snap"], of_quarter & here).alias("d"),
+    every = told.select(
+        "*", fit("a", "a.low", YEAR_TOLERANCE).alias("of_a"), fit("b", "b.low", QUARTER_TOLERANCE)["match"].alias("match_b"), fit("c", "c.year_low", YTD_TOLERANCE).alias("of_c"),
+        ((F.col("b.fiscal_quarter") > 1) & near("start", "b.year_low") & near("end", "b.high")).alias("cumulative"), F.abs(F.date_diff("end", "d.high")).alias("off"),
     )
-    every = told.join(bests.withColumnRenamed("k", "of"), F.col("k").eqNullSafe(F.col("of")), "left").drop("of")
-    fits = lambda c: F.col(f"{c}.match").isin("exact", "near")
     period = lambda kind, basis, year, quarter, low, high, score, sure, match: F.struct(
         F.lit(kind).alias("kind"), year.cast("int").alias("fiscal_year"), quarter.cast("int").alias("fiscal_quarter"), low.cast("date").alias("expected_start"), high.cast("date").alias("expected_end"),
         score.cast("double").alias("fit_score"), sure.cast("double").alias("confidence"), F.lit(match).alias("window_match") if isinstance(match, str) else match.alias("window_match"), F.lit(basis).alias("basis"),
     )
     none, q = F.lit(None), F.col
-    is_annual = (q("length") == "annual") | (q("form") == "annual") | (q("hint") == "annual")
-    is_quarter = (q("length") == "quarter") | (q("form") == "quarter") | (q("hint") == "quarter")
-    partial = (q("b.match") == "partial") & (q("days") < PARTIAL_DAYS)
-    annual = F.when(is_annual & fits("a") & (q("a.score") >= LEAST_ANNUAL), period("annual", "annual_window", q("a.fiscal_year"), none, q("a.low"), q("a.high"), q("a.score"), q("a.score"), q("a.match")))
-    quarter = F.when(is_quarter & ~q("b.cumulative") & ((fits("b") & (q("b.score") >= LEAST_QUARTER)) | partial), period("quarter", "quarter_window", q("b.fiscal_year"), q("b.fiscal_quarter"), q("b.low"), q("b.high"), q("b.score"), F.least(F.lit(1.0), F.greatest("b.score", "sure")), q("b.match")))
+    fits = lambda match: match.isin("exact", "near")
+    partial = (q("match_b") == "partial") & (q("days") < PARTIAL_DAYS)
+    annual = F.when(q("is_annual") & fits(q("of_a.match")) & (q("of_a.score") >= LEAST_ANNUAL), period("annual", "annual_window", q("year_a"), none, q("a.low"), q("a.high"), q("of_a.score"), q("of_a.score"), q("of_a.match")))
+    quarter = F.when(q("is_quarter") & ~q("cumulative") & ((fits(q("match_b")) & (q("points_b") >= LEAST_QUARTER)) | partial), period("quarter", "quarter_window", q("year_b"), q("b.fiscal_quarter"), q("b.low"), q("b.high"), q("points_b"), F.least(F.lit(1.0), F.greatest("points_b", "sure")), q("match_b")))
     by_label = F.least(q("sure"), F.lit(LABELS_ALONE))
-    labels = F.when(is_quarter & q("fy").isNotNull() & q("fq").isNotNull() & (q("length") == "quarter"), period("quarter", "sec_fp", q("fy"), q("fq"), q("start"), q("end"), by_label, by_label, "exact"))
-    ytd = F.when((q("length") == "ytd") & fits("c") & (q("c.score") >= LEAST_YTD), period("ytd", "quarter_window", q("c.fiscal_year"), q("c.fiscal_quarter"), q("c.year_low"), q("c.high"), q("c.score"), q("c.score"), q("c.match")))
+    labels = F.when(q("is_quarter") & q("fy").isNotNull() & q("fq").isNotNull() & (q("length") == "quarter"), period("quarter", "sec_fp", q("fy"), q("fq"), q("start"), q("end"), by_label, by_label, "exact"))
+    ytd = F.when((q("length") == "ytd") & fits(q("of_c.match")) & (q("of_c.score") >= LEAST_YTD), period("ytd", "quarter_window", q("year_c"), q("c.fiscal_quarter"), q("c.year_low"), q("c.high"), q("of_c.score"), q("of_c.score"), q("of_c.match")))
     snapshot = q("length") == "instant"
     both = F.when(q("fy").isNotNull() & q("fq").isNotNull(), 0.65).otherwise(0.45)
-    instant = F.when(snapshot & (q("d.score") > 0), period("instant", "fiscal_profile", q("d.fiscal_year"), q("d.fiscal_quarter"), q("d.low"), q("d.high"), q("d.score"), q("d.sure"), q("d.match"))).when(
+    instant = F.when(snapshot & (q("off") <= SNAPSHOT_DAYS), period("instant", "fiscal_profile", q("year_d"), q("d.fiscal_quarter"), q("d.low"), q("d.high"), _snap(q("off")), q("points_d"), F.when(q("off") == 0, "exact").otherwise("near"))).when(
         snapshot, period("instant", "instant_snapshot", q("fy"), q("fq"), none, q("end"), both, both, "unknown"))
     other = period("other", "unresolved", q("fy"), none, none, none, F.lit(0.2), F.lit(0.2), "unknown")
-    found = every.select("k", F.coalesce(annual, quarter, labels, ytd, instant, other).alias("p"))
-    key = facts.withColumn("__k", F.struct(*names))
-    return key.join(found, F.col("__k").eqNullSafe(F.col("k"))).select(*[F.col(c) for c in facts.columns if c not in ("kind", "fiscal_year", "fiscal_quarter")], "p.*")
+    found = every.select(F.col("cik").alias("__c"), F.col("__n").alias("__m"), F.coalesce(annual, quarter, labels, ytd, instant, other).alias("p"))
+    told = keyed.join(found, F.col("cik").eqNullSafe(F.col("__c")) & (F.col("__n") == F.col("__m")))
+    return told.select(*[F.col(c) for c in facts.columns if c not in ("kind", "fiscal_year", "fiscal_quarter")], "p.*")
+
+
+def _snap(off: Column) -> Column:
+    """How near a snapshot is to a window's end: 1 for no distance, a half at the farthest, 0 beyond it."""
+    return F.when(off <= SNAPSHOT_DAYS, 1 - off / (2 * SNAPSHOT_DAYS)).otherwise(0.0)
+
+
+def _packed(points: Column, second: Column | None = None) -> Column:
+    """A whole number that is larger for more ``points`` (0 to 1, by 9 digits), then for a larger ``second`` (below 16), the earlier year, the earlier window of it."""
+    nine = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), points)) * 1_000_000_000 + 0.5)
+    return ((nine * 16 + (F.lit(0) if second is None else second)) * 65_536 + (32_767 - F.col("year"))) * 256 + (255 - F.col("place"))
+
+
+def _points(packed: Column) -> Column:
+    return F.shiftright(packed, 28) / 1e9
+
+
+def _year(packed: Column) -> Column:
+    return (32_767 - F.shiftright(packed, 8).bitwiseAND(65_535)).cast("int")
+
+
+def _window(windows: Column, packed: Column) -> Column:
+    """The window that :func:`_packed` was told of; null where there is none."""
+    return F.get(windows[_year(packed)], (255 - packed.bitwiseAND(255)).cast("int"))
 
 
 def best_rows(rows: DataFrame, keys: list[str]) -> DataFrame:

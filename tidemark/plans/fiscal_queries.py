@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features, fiscal, fiscal_store, metric_series, periods
 from tidemark.plans import sql
-from tidemark.plans.common import rounded
-from tidemark.session import SERIES_A_TASK, dealt, scratch_path
+from tidemark.plans.common import rounded, stored
+from tidemark.session import SERIES_A_TASK, dealt, materialize, scratch_path
 from tidemark.sources import adapters, facts
 
 
 def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filed facts of :func:`_filed` as a table: calendars, series and rebuilt rows read them several times."""
+    return stored(spark, sf_dir, "filings", lambda: _filed(spark, sf_dir))
+
+
+def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's quarter as filed facts: the quarter, the span from the year's start, a snapshot, two halves with labels and two without, and restated years.
 
     Dates are some days off the calendar; every third supplier moves its year by 20 days in
     1997, every fourth quarter isn't labelled, some years are labelled as the next.
     """
-    # a quarter makes up to eight facts, which stay in its task
-    q = dealt(adapters.quarters(spark, sf_dir), SERIES_A_TASK // 8, "s")
+    # a quarter makes up to eight facts, which stay in its task; counted and read from a table, as line items are many
+    q = dealt(materialize(adapters.quarters(spark, sf_dir), "quarters"), SERIES_A_TASK // 8, "s")
     year, k = F.year("start"), F.col("qn") % 4 + 1
     off = (F.col("s") % 5 - F.when((F.col("s") % 3 == 0) & (year >= 1997), 20).otherwise(0)).cast("int")
     upto = F.round(F.sum("r").over(Window.partitionBy("s", year).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)), 4)
@@ -40,7 +45,7 @@ def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
         fact("Segments", "net_income", "flow", b, F.date_add("b", 44), n, label, form), fact("Segments", "net_income", "flow", F.date_add("b", 45), e, n * 2, label, form),
         fact("Parts", "capex_cash", "flow", F.date_add("b", (k % 2 * 3).cast("int")), F.date_add("b", 44), n * 3, none, F.lit("8-K")), fact("Parts", "capex_cash", "flow", F.date_add("b", 45), e, n * 4, none, F.lit("8-K")),
     )
-    told = q.withColumn("f", F.explode(F.filter(kinds, lambda x: x.isNotNull())))
+    told = q.withColumn("f", F.explode(kinds)).where("f is not null")
     return told.select(
         F.col("s").alias("cik"), "f.tag", "f.metric_key", "f.fact_type", F.lit("USD").alias("unit"), F.lit(1).alias("priority"), "f.start", "f.end", "f.val", F.date_add("e", F.col("f.later") + 30).alias("filed"),
         F.concat_ws("-", "s", "qn", "f.later").alias("accn"), (F.col("y") + F.when((F.col("s") + F.col("y")) % 7 == 0, 1).otherwise(0)).cast("int").alias("fy"), "f.fp", "f.form", none.alias("frame"),
@@ -121,10 +126,12 @@ def experiment_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = spark.createDataFrame([(t, True, s, []) for t, s in wide.items()], "tag string, enabled boolean, include_sectors array<string>, exclude_sectors array<string>")
     rows = _filings(spark, sf_dir)
     companies = adapters.companies(spark, sf_dir).select(F.col("cik").cast("long").alias("cik"), "sector")
-    opened = facts.gate_by_sector(rows.join(F.broadcast(registry), "tag"), companies)
     calendar = fiscal.calendar(rows)
-    base = metric_series.build(rows.where("tag in ('Revenues', 'Quantity')"), *calendar)
-    told = metric_series.compare(base, metric_series.build(opened, *calendar))
+    # both sets of tags are parts of the facts, whose periods are found once
+    found = metric_series.resolved(rows, *calendar)
+    opened = facts.gate_by_sector(found.join(F.broadcast(registry), "tag"), companies)
+    base = metric_series.build_resolved(found.where("tag in ('Revenues', 'Quantity')"), *calendar)
+    told = metric_series.compare(base, metric_series.build_resolved(opened, *calendar))
     return told.withColumn("tags", F.concat_ws(",", "tags"))
 
 
