@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import snapshots
+from tidemark.operators import signals, snapshots
 
 DAYS = [dt.date(2020, 3, 31), dt.date(2020, 6, 30), dt.date(2020, 9, 30)]
 SIGNALS = "as_of date, entity string, factor string, axis string, signal_key string"
@@ -114,3 +114,22 @@ def test_questions_are_gated_by_their_policies(spark):
     policies = spark.createDataFrame([("a", "fundamentals_based", "use", True), ("b", "fundamentals_based", "review", True), ("c", "fundamentals_based", "hold", True), ("d", "fundamentals_based", "use", False), ("e", "elsewhere", "use", True), ("a", "fundamentals_based", "use", True)], "factor string, axis string, status string, is_active boolean")
     kept = snapshots.gated(told, policies)
     assert {r["factor"] for r in kept.select("factor").distinct().collect()} == {"a", "b"} and kept.count() == told.where(F.col("factor").isin("a", "b")).count()
+
+
+def test_states_are_hashed_and_cut_alike_for_few_and_many_dates(spark):
+    day = lambda m: dt.date(2000, m, 1)
+    rows = [("A", "1", "g", "x", metric, "yoy", value, day(m), day(m)) for metric, value, m in (("r", 1.0, 1), ("n", -3.0, 2), ("r", 5.0, 4), ("o", 0.5, 5), ("n", -9.0, 7))]
+    rows += [("B", "2", "g", "x", "r", "yoy", -1.0, day(3), day(3)), ("B", "2", "g", "x", "r", "yoy", None, day(6), day(6)), ("C", "3", "g", "x", "r", "other", 1.0, day(1), None)]
+    features = spark.createDataFrame(rows, "ticker string, cik string, factor string, axis string, metric_key string, feature_key string, feature_value double, period_end date, effective_date date")
+    registry = signals.Registry([
+        signals.Signal("g", "x", "up", 1, all=(signals.Condition("yoy", ">", 0.5),)), signals.Signal("g", "x", "down", 1, all=(signals.Condition("yoy", "<", 0.0),)), signals.Signal("g", "x", "none", 9, default=True),
+    ])
+    few = [f"2000-{m:02d}-15" for m in range(1, 9)]
+    told = signals.states(features, registry, few)
+    assert "SortAggregate" not in told._jdf.queryExecution().executedPlan().toString()
+    seen = {(r.entity, r.as_of.month): r.signal_key for r in told.collect()}
+    # the medians of A: 1, -1, -1, 1, 0.5, 0.5, 0.5, 0.5
+    assert [seen["1", m] for m in range(1, 9)] == ["up", "down", "down", "up", "none", "none", "none", "none"]
+    assert [seen.get(("2", m)) for m in range(1, 9)] == [None, None, *["down"] * 6] and {seen["3", m] for m in range(1, 9)} == {"none"}
+    many = signals.states(features, registry, few + [f"{y}-06-30" for y in range(2100, 2160)])
+    assert {(r.entity, r.as_of.month): r.signal_key for r in many.collect() if r.as_of.year == 2000} == seen

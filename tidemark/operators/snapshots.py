@@ -84,7 +84,8 @@ def snapshot_rows(signals: DataFrame, threshold: float = 0.6, keys: list[str] =
     index; its core are the tokens that most of its entities hold.
     """
     # an entity's signals are short when shuffled and long as state; by rows, not bytes, a task's states are bounded
-    found = materialize(weighted_tokens(state_groups(dealt(signals, FEATURES_A_TASK, *keys, "entity"), keys), keys), "snapshot-groups")
+    groups = materialize(state_groups(dealt(signals, FEATURES_A_TASK, *keys, "entity"), keys), "state-groups")  # read five times for the weights
+    found = materialize(weighted_tokens(groups, keys), "snapshot-groups")
     labels = components(similar_pairs(found, threshold, keys), tuple(keys))
     member = found.join(labels.withColumnRenamed("node", "idx"), [*keys, "idx"], "left").withColumn("label", F.coalesce("label", "idx"))
     families = member.groupBy(*keys, "label").agg(F.count("*").alias("groups"), F.sum("size").alias("entities"))
