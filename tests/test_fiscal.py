@@ -83,6 +83,13 @@ def test_periods_are_chosen_without_sorting_candidates(spark):
     ], key=str)
 
 
+def test_a_part_of_resolved_facts_builds_its_series(filings):
+    calendar = fiscal.calendar(filings)
+    some = "metric_key in ('dividends', 'assets')"
+    part = metric_series.build_resolved(metric_series.resolved(filings, *calendar).where(some), *calendar)
+    assert sorted(map(tuple, part.collect()), key=str) == sorted(map(tuple, metric_series.build(filings.where(some), *calendar).collect()), key=str)
+
+
 def test_calendar_without_facts(filings):
     none = filings.where("false")
     years, quarters = fiscal.calendar(none)
